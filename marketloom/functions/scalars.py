@@ -260,7 +260,8 @@ def extract_collector_number(c: Column) -> Column:
     """The first number/total, #number or letter-number of a text's lines that is no bare year."""
     lines = F.split(text_of(c), r"\r?\n")
     patterns = (r"\b([A-Za-z]{0,4}\d{1,4}/[A-Za-z]{0,4}\d{1,4})\b", r"#\s?(\d{1,5}[A-Za-z]?)\b", r"\b([A-Z]{2,5}-[A-Z]{0,2}\d{2,4})\b")
-    found = [F.filter(F.transform(lines, lambda x, p=p: F.regexp_extract(x, p, 1)), lambda m: (m != "") & ~m.rlike(r"^(?:19|20)\d{2}$")) for p in patterns]
+    number = lambda p: lambda line: F.regexp_extract(line, p, 1)
+    found = [F.filter(F.transform(lines, number(p)), lambda m: (m != "") & ~m.rlike(r"^(?:19|20)\d{2}$")) for p in patterns]
     return F.coalesce(*[F.get(f, F.lit(0)) for f in found], F.lit(""))
 
 

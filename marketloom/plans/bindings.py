@@ -89,7 +89,7 @@ def demand_events(spark: SparkSession, d: str) -> DataFrame:
 KINDS = {"view": "card_view", "click": "search_view", "purchase": "portfolio_add", "signup": "watch_add", "error": "watch_remove"}
 DEMAND = """demand AS (SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS INTEGER) AS variant,
   CASE event_type WHEN 'view' THEN 'card_view' WHEN 'click' THEN 'search_view' WHEN 'purchase' THEN 'portfolio_add'
-    WHEN 'signup' THEN 'watch_add' WHEN 'error' THEN 'watch_remove' END AS kind, ts AS at FROM events)"""
+    WHEN 'signup' THEN 'watch_add' WHEN 'error' THEN 'watch_remove' END AS kind, ts AS ts FROM events)"""
 
 
 def holdings(spark: SparkSession, d: str) -> DataFrame:

@@ -1 +1,136 @@
-"""Queries."""
+"""Demand, votes and portfolios."""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketloom.functions.scalars import wilson_interval
+from marketloom.operators import demand, portfolio
+from marketloom.plans import bindings as b
+from marketloom.plans.market_queries import rounded
+from marketloom.plans.registry import query
+
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {n}" for n, k in demand.KINDS.items())
+_ELIG = f"""{b.DEMAND}, elig AS (SELECT * FROM demand WHERE "user" % 50 NOT IN (0, 1))"""
+
+
+def _excluded(events: DataFrame) -> DataFrame:
+    return events.where(F.col("user") % 50 < 2).select("user").distinct()
+
+
+@query(f"""WITH {_ELIG} SELECT variant, CAST(date_trunc('week', ts) AS DATE) AS period, {_COUNTS}, count(DISTINCT "user") AS unique_users, count(DISTINCT "user") >= 15 AS privacy_threshold_met FROM elig GROUP BY 1, 2""")
+def demand_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    e = b.demand_events(spark, d)
+    return demand.demand_aggregate(e, _excluded(e), F.to_date(F.date_trunc("week", "at")), 15)
+
+
+def _weeks(spark: SparkSession, d: str) -> DataFrame:
+    e = b.demand_events(spark, d)
+    w = demand.demand_aggregate(e, _excluded(e), F.to_date(F.date_trunc("week", "at")), 5)
+    return w.withColumnRenamed("period", "period_start").withColumn("period_end", F.date_add("period_start", 6))
+
+
+def _rate(end: str, days: int, expr: str, name: str) -> str:
+    lo = f"DATE '{end}' - {days - 1}"
+    return f"""{name} AS (SELECT variant, CASE WHEN max((gap <> 1)::INT) = 0 AND max(pe) = DATE '{end}' AND bool_and(ok) AND min(u) > 0 THEN sum({expr}) / sum(u * 7) END AS v FROM
+  (SELECT variant, ps, ps + 6 AS pe, wa, wr, se, pa, vi, u, ok, ps - coalesce(lag(ps + 6) OVER (PARTITION BY variant ORDER BY ps), {lo} - 1) AS gap FROM wk WHERE ps >= {lo} AND ps + 6 <= DATE '{end}') GROUP BY variant)"""
+
+
+@query(f"""WITH {_ELIG}, wk AS (SELECT variant, CAST(date_trunc('week', ts) AS DATE) AS ps, count(*) FILTER (WHERE kind = 'watch_add') AS wa, count(*) FILTER (WHERE kind = 'watch_remove') AS wr, count(*) FILTER (WHERE kind = 'search_view') AS se,
+  count(*) FILTER (WHERE kind = 'portfolio_add') AS pa, count(*) FILTER (WHERE kind = 'card_view') AS vi, count(DISTINCT "user") AS u, count(DISTINCT "user") >= 5 AS ok FROM elig GROUP BY 1, 2),
+{_rate("2024-01-28", 7, "wa - wr", "a")}, {_rate("2024-01-28", 7, "se", "s")}, {_rate("2024-01-28", 7, "vi", "w")}, {_rate("2024-01-28", 7, "wa - wr + pa", "n")}, {_rate("2024-01-21", 7, "wa - wr + pa", "p")}
+SELECT v.variant, round(a.v, 6) + 0.0 AS watchlist_velocity_7d, round(s.v, 6) + 0.0 AS search_velocity_7d, round(w.v, 6) + 0.0 AS view_velocity_7d, round(n.v - p.v, 6) + 0.0 AS demand_acceleration
+FROM (SELECT DISTINCT variant FROM wk WHERE ps + 6 <= DATE '2024-01-28') v LEFT JOIN a USING (variant) LEFT JOIN s USING (variant) LEFT JOIN w USING (variant) LEFT JOIN n USING (variant) LEFT JOIN p USING (variant)""")
+def demand_velocity(spark: SparkSession, d: str) -> DataFrame:
+    v = demand.demand_velocity(_weeks(spark, d), datetime.date(2024, 1, 28))
+    return rounded(v.select("variant", "watchlist_velocity_7d", "search_velocity_7d", "view_velocity_7d", "demand_acceleration"))
+
+
+@query(f"""WITH {b.VOTES}, a AS (SELECT v, count(*) AS n FROM (SELECT a AS v FROM votes UNION ALL SELECT b FROM votes) GROUP BY 1), w AS (SELECT winner AS v, count(*) AS wins FROM votes GROUP BY 1),
+x AS (SELECT a.v, n, coalesce(wins, 0) / n AS p, 1.959963984540054 AS z FROM a LEFT JOIN w ON a.v = w.v WHERE n >= 10),
+y AS (SELECT v, n, (p + z * z / (2 * n)) / (1 + z * z / n) AS c, z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) AS m FROM x)
+SELECT v AS variant, n AS vote_count, round(c, 5) + 0.0 AS score, round(greatest(0, c - m), 5) + 0.0 AS lower_bound, round(least(1, c + m), 5) + 0.0 AS upper_bound FROM y""")
+def artwork_scores(spark: SparkSession, d: str) -> DataFrame:
+    v = b.votes(spark, d)
+    each = v.select(F.explode(F.array("a", "b")).alias("variant")).groupBy("variant").agg(F.count("*").alias("n"))
+    wins = v.groupBy(F.col("winner").alias("variant")).agg(F.count("*").alias("wins"))
+    i = wilson_interval(F.coalesce("wins", F.lit(0)), F.col("n"))
+    x = each.join(wins, "variant", "left").where("n >= 10").select("variant", F.col("n").alias("vote_count"), i.alias("i"))
+    return rounded(x.select("variant", "vote_count", F.col("i.center").alias("score"), F.col("i.lower").alias("lower_bound"), F.col("i.upper").alias("upper_bound")), 5)
+
+
+_VAL = "coalesce(market_price * greatest(0, quantity), 0)"
+_COST = "coalesce(purchase_price * quantity, 0) + coalesce(fees, 0)"
+_BOTH = "currency = 'USD' AND cost_currency = 'USD' AND market_price IS NOT NULL AND purchase_price IS NOT NULL"
+
+
+@query(f"""WITH {b.HOLDINGS}, s AS (SELECT owner, sum(CASE WHEN currency = 'USD' THEN {_VAL} ELSE 0 END) AS market_value, sum(CASE WHEN cost_currency = 'USD' THEN {_COST} ELSE 0 END) AS cost_basis,
+  sum(CASE WHEN {_BOTH} THEN {_VAL} ELSE 0 END) AS cv, sum(CASE WHEN {_BOTH} THEN {_COST} ELSE 0 END) AS cc, count(*) FILTER (WHERE purchase_price IS NOT NULL) AS cost_basis_items, count(*) FILTER (WHERE {_BOTH}) AS gain_eligible_items,
+  count(*) FILTER (WHERE market_price IS NULL OR purchase_price IS NULL) AS missing_gain_items, count(*) FILTER (WHERE currency <> 'USD') AS excluded_market_items, count(*) AS unique_items, sum(quantity) AS total_quantity FROM holdings GROUP BY owner)
+SELECT owner, round(market_value, 3) + 0.0 AS market_value, round(cost_basis, 3) + 0.0 AS cost_basis, cost_basis_items, gain_eligible_items, missing_gain_items, excluded_market_items, unique_items, round(total_quantity, 3) + 0.0 AS total_quantity,
+  round(cv - cc, 3) + 0.0 AS gain, round(CASE WHEN cc > 0 THEN 100 * (cv - cc) / cc END, 3) + 0.0 AS return_percent FROM s""")
+def portfolio_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = portfolio.portfolio_summary(b.holdings(spark, d), ["owner"], "USD")
+    return rounded(s.select("owner", "market_value", "cost_basis", "cost_basis_items", "gain_eligible_items", "missing_gain_items", "excluded_market_items", "unique_items", "total_quantity", "gain", "return_percent"), 3)
+
+
+@query(f"WITH {b.HOLDINGS} SELECT owner, category, round(sum(CASE WHEN currency = 'USD' THEN {_VAL} ELSE 0 END), 3) + 0.0 AS value FROM holdings GROUP BY 1, 2")
+def portfolio_allocation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(portfolio.portfolio_allocation(b.holdings(spark, d), ["owner"], "USD"), 3)
+
+
+@query(f"""WITH {b.HOLDINGS}, v AS (SELECT owner, id, CASE WHEN currency = 'USD' THEN {_VAL} ELSE 0 END AS v FROM holdings), r AS (SELECT owner, id, v, v / sum(v) OVER (PARTITION BY owner) AS s, row_number() OVER (PARTITION BY owner ORDER BY v DESC, id) AS r FROM v WHERE v > 0),
+g AS (SELECT owner, sum(s * s) AS hhi, sum(CASE WHEN r <= 5 THEN s ELSE 0 END) AS top5, max(s) AS top, arg_min(id, r) AS top_id FROM r GROUP BY 1)
+SELECT owner, round(hhi, 6) + 0.0 AS hhi, round(top5, 6) + 0.0 AS top_five_share, top_id, CASE WHEN hhi >= 0.35 OR top >= 0.5 THEN 'high' WHEN hhi >= 0.2 THEN 'moderate' ELSE 'spread' END AS concentration FROM g""")
+def concentration(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(portfolio.concentration(b.holdings(spark, d), ["owner"], "USD").select("owner", "hhi", "top_five_share", "top_id", "concentration"))
+
+
+@query(f"""WITH {b.HOLDINGS} SELECT owner, category, set_name, count(*) AS holdings, round(sum(quantity), 3) + 0.0 AS copies, count(DISTINCT product) AS printings, round(sum(CASE WHEN currency = 'USD' THEN {_VAL} ELSE 0 END), 3) + 0.0 AS value,
+count(*) FILTER (WHERE market_price IS NOT NULL AND currency = 'USD') AS priced, count(*) FILTER (WHERE market_price IS NULL) AS unpriced, count(*) FILTER (WHERE market_price IS NOT NULL AND currency <> 'USD') AS excluded, max(updated_on) AS updated_on, min(id) AS cover FROM holdings GROUP BY 1, 2, 3""")
+def portfolio_sets(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(portfolio.portfolio_sets(b.holdings(spark, d), ["owner"], "USD"), 3)
+
+
+@query(f"""WITH {b.HOLDINGS} SELECT owner, count(*) FILTER (WHERE market_price IS NOT NULL AND currency = 'USD') AS priced, count(*) FILTER (WHERE market_price IS NULL) AS unpriced, count(*) FILTER (WHERE market_price IS NOT NULL AND currency <> 'USD') AS excluded,
+round(sum(CASE WHEN currency = 'USD' THEN {_VAL} ELSE 0 END), 3) + 0.0 AS priced_value FROM holdings GROUP BY 1""")
+def value_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(portfolio.value_breakdown(b.holdings(spark, d), ["owner"], "USD"), 3)
+
+
+@query(f"""WITH {b.HOLDINGS}, x AS (SELECT owner, {_VAL} AS v, greatest(-0.95, least(3, CASE category WHEN 'ECONOMY' THEN -0.3 WHEN 'LARGE' THEN 0.2 ELSE 0 END * sqrt(0.5))) AS s FROM holdings WHERE currency = 'USD')
+SELECT owner, round(sum(v), 3) + 0.0 AS before, round(sum(v * (1 + s)), 3) + 0.0 AS after FROM x GROUP BY 1""")
+def shock_revalue(spark: SparkSession, d: str) -> DataFrame:
+    shocks = spark.range(1).select(F.explode(F.map_from_arrays(F.array(F.lit("ECONOMY"), F.lit("LARGE")), F.array(F.lit(-0.3), F.lit(0.2)))).alias("category", "shock"))
+    return rounded(portfolio.shock_revalue(b.holdings(spark, d), shocks, 45, "USD"), 3)
+
+
+@query(f"""WITH {b.HOLDINGS}, {b.FACTS}, g AS (SELECT unnest([DATE '1996-06-30', DATE '1997-06-30', DATE '1998-06-30']) AS day), pr AS (SELECT product, day, max(price) AS price FROM facts GROUP BY 1, 2), c AS (SELECT DISTINCT product, g.day FROM pr, g),
+cf AS (SELECT c.product, c.day, pr.price FROM c ASOF LEFT JOIN pr ON c.product = pr.product AND c.day >= pr.day)
+SELECT owner, cf.day, round(sum(coalesce(price * quantity, 0)), 3) + 0.0 AS value, round(sum({_COST}), 3) + 0.0 AS cost, count(price) AS covered, count(*) AS held FROM holdings h JOIN cf ON h.product = cf.product AND cf.day >= bought_on GROUP BY 1, 2""")
+def portfolio_value_series(spark: SparkSession, d: str) -> DataFrame:
+    hist = b.facts(spark, d).groupBy("product", "day").agg(F.max("price").alias("price"))
+    grid = spark.range(1).select(F.explode(F.array(*[F.lit(f"{y}-06-30").cast("date") for y in (1996, 1997, 1998)])).alias("day"))
+    return rounded(portfolio.portfolio_value_series(b.holdings(spark, d), hist, grid), 3)
+
+
+@query(f"""WITH {b.HOLDINGS}, f AS (SELECT p_type AS category, p_brand AS set_name, min(p_retailprice) AS q25, avg(p_retailprice) AS q50, max(p_retailprice) AS q75 FROM part WHERE p_size > 45 GROUP BY 1, 2)
+SELECT owner, round(sum(q25 * quantity), 5) + 0.0 AS q25, round(sum(q50 * quantity), 5) + 0.0 AS q50, round(sum(q75 * quantity), 5) + 0.0 AS q75, count(q50) AS covered, count(*) AS held FROM holdings LEFT JOIN f USING (category, set_name) GROUP BY 1""")
+def forecast_rollup(spark: SparkSession, d: str) -> DataFrame:
+    p = b.table(spark, d, "part").where("p_size > 45").groupBy(F.col("p_type").alias("category"), F.col("p_brand").alias("set_name")).agg(F.min("p_retailprice").alias("q25"), F.avg("p_retailprice").alias("q50"), F.max("p_retailprice").alias("q75"))
+    return rounded(portfolio.forecast_rollup(b.holdings(spark, d), p, ["owner"]), 5)
+
+
+@query("""WITH w AS (SELECT p_partkey AS key, CASE WHEN p_size > 2 THEN p_retailprice END AS price, CASE WHEN p_partkey % 5 = 0 THEN 'EUR' ELSE 'USD' END AS currency, 1000 AS target FROM part), bl AS (SELECT p_partkey AS key, p_retailprice * (0.8 + (p_partkey % 5) * 0.1) AS bp, 'USD' AS bc FROM part WHERE p_size < 48),
+j AS (SELECT w.key, price, bp, currency = bc AS same, target FROM w LEFT JOIN bl ON w.key = bl.key)
+SELECT key, 'new_price' AS alert FROM j WHERE bp IS NULL AND price IS NOT NULL UNION ALL SELECT key, 'unpriced' FROM j WHERE bp IS NOT NULL AND price IS NULL
+UNION ALL SELECT key, 'target_crossed' FROM j WHERE same AND bp < target AND price >= target UNION ALL SELECT key, 'moved' FROM j WHERE same AND abs(price / bp - 1) >= 0.105""")
+def alerts(spark: SparkSession, d: str) -> DataFrame:
+    p = b.table(spark, d, "part")
+    k = F.col("p_partkey")
+    w = p.select(k.alias("key"), F.when(F.col("p_size") > 2, F.col("p_retailprice")).alias("price"), F.when(k % 5 == 0, "EUR").otherwise("USD").alias("currency"), F.lit(1000).alias("target"))
+    base = p.where("p_size < 48").select(k.alias("key"), (F.col("p_retailprice") * (0.8 + (k % 5) * 0.1)).alias("price"), F.lit("USD").alias("currency"))
+    return portfolio.alerts(w, base, 0.105)
