@@ -137,3 +137,26 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
 
 VOTES = """votes AS (SELECT x.doc_id % 20 AS a, y.doc_id % 20 AS b, CASE WHEN y.quality > x.quality THEN y.doc_id % 20 ELSE x.doc_id % 20 END AS winner
   FROM labels x JOIN labels y ON y.doc_id = x.doc_id + 1)"""
+
+
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    """Forecast cases of the panel: half of the last step carried on, scored by the next price."""
+    from pyspark.sql import Window
+
+    from marketloom.functions.scalars import clamp
+    from marketloom.operators.market import Z
+    from marketloom.operators.windows import step_returns
+
+    keys = ["category", "grp", "product"]
+    s = step_returns(week_panel(spark, d), keys)
+    w = Window.partitionBy(*keys).orderBy("t")
+    c = s.withColumn("realized", F.lead("price").over(w)).where("realized is not null")
+    r = clamp(F.coalesce("r", F.lit(0.0)), -0.7, 0.7)
+    c = c.select(*keys, F.col("t").alias("origin"), F.col("price").alias("current"), "realized", (F.col("price") * F.exp(0.5 * r)).alias("predicted"), F.col("price").alias("baseline"), (F.col("price") * F.exp(r)).alias("momentum"), clamp(0.5 + 0.3 * r, 0.01, 0.99).alias("probability_up"))
+    return c.withColumns({q: F.col("predicted") * F.exp(F.lit(z * 0.2)) for q, z in Z.items()})
+
+
+CASES = f"""{PANEL}, steps AS (SELECT *, ln(price / lag(price) OVER w) / (t - lag(t) OVER w) AS r, lead(price) OVER w AS realized FROM panel WINDOW w AS (PARTITION BY category, grp, product ORDER BY t)),
+c0 AS (SELECT category, grp, product, t AS origin, price AS current, realized, price * exp(0.5 * least(0.7, greatest(-0.7, coalesce(r, 0)))) AS predicted, price AS baseline, price * exp(least(0.7, greatest(-0.7, coalesce(r, 0)))) AS momentum,
+  least(0.99, greatest(0.01, 0.5 + 0.3 * least(0.7, greatest(-0.7, coalesce(r, 0))))) AS probability_up FROM steps WHERE realized IS NOT NULL),
+cases AS (SELECT *, predicted * exp(-1.281551565545 * 0.2) AS q10, predicted * exp(-0.674489750196 * 0.2) AS q25, predicted AS q50, predicted * exp(0.674489750196 * 0.2) AS q75, predicted * exp(1.281551565545 * 0.2) AS q90 FROM c0)"""

@@ -386,8 +386,8 @@ def _tm(keys: str, n: str) -> str:
 
 
 INDEX = f"""{_STEPS}, m AS {_tm("t", "m")}, c AS {_tm("category, t", "c")}, g AS {_tm("category, grp, t", "g")}, grid AS (SELECT DISTINCT t FROM panel),
-lv AS (SELECT 'market' AS level, NULL AS category, NULL AS grp, grid.t, coalesce(m, 0) AS step FROM grid LEFT JOIN m ON grid.t = m.t
-  UNION ALL SELECT 'category', cs.category, NULL, grid.t, CASE WHEN c IS NOT NULL THEN c - coalesce(m, 0) ELSE 0 END FROM (SELECT DISTINCT category FROM panel) cs CROSS JOIN grid LEFT JOIN c ON c.category = cs.category AND c.t = grid.t LEFT JOIN m ON m.t = grid.t
+lv AS (SELECT 'market' AS level, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS grp, grid.t, coalesce(m, 0) AS step FROM grid LEFT JOIN m ON grid.t = m.t
+  UNION ALL SELECT 'category', cs.category, CAST(NULL AS VARCHAR), grid.t, CASE WHEN c IS NOT NULL THEN c - coalesce(m, 0) ELSE 0 END FROM (SELECT DISTINCT category FROM panel) cs CROSS JOIN grid LEFT JOIN c ON c.category = cs.category AND c.t = grid.t LEFT JOIN m ON m.t = grid.t
   UNION ALL SELECT 'group', gs.category, gs.grp, grid.t, CASE WHEN g IS NOT NULL THEN g - coalesce(c, 0) ELSE 0 END FROM (SELECT category, grp, min(t) AS t0 FROM panel GROUP BY 1, 2) gs JOIN grid ON grid.t >= t0
     LEFT JOIN g ON g.category = gs.category AND g.grp = gs.grp AND g.t = grid.t LEFT JOIN c ON c.category = gs.category AND c.t = grid.t),
 idx AS (SELECT *, sum(step) OVER (PARTITION BY level, category, grp ORDER BY t ROWS UNBOUNDED PRECEDING) AS idx FROM lv)"""

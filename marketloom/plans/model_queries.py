@@ -1 +1,209 @@
-"""Queries."""
+"""Forecasts, regressions and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketloom.operators import evaluate, forecast, regress, stats
+from marketloom.operators.index import index_levels
+from marketloom.operators.windows import step_returns
+from marketloom.plans import bindings as b
+from marketloom.plans.market_queries import INDEX, KEYS, rounded
+from marketloom.plans.registry import query
+
+
+@query("""WITH x AS (SELECT p_partkey AS id, p_retailprice AS price, (p_size - 25) / 500.0 AS slope, 0.001 AS market, (p_partkey % 7 - 3) / 5.0 AS cohort, p_retailprice * (1 + (p_size - 25) / 50.0) AS st FROM part),
+y AS (SELECT id, price, unnest(['no_change', 'damped_momentum', 'market_index', 'lifecycle_cohort', 'structural_convergence']) AS baseline, unnest([0, slope * 30 * 0.25, market * 30 * 0.25, cohort, ln(st / price) * 0.25]) AS r FROM x)
+SELECT id, baseline, round(least(0.7, greatest(-0.7, r)), 6) + 0.0 AS log_return, round(price * exp(least(0.7, greatest(-0.7, r))), 3) + 0.0 AS price FROM y""")
+def baselines(spark: SparkSession, d: str) -> DataFrame:
+    size, k = F.col("p_size"), F.col("p_partkey")
+    x = b.table(spark, d, "part").select(k.alias("id"), F.col("p_retailprice").alias("price"), ((size - 25) / 500.0).alias("slope"), F.lit(0.001).alias("market_slope"), ((k % 7 - 3) / 5.0).alias("cohort"), (F.col("p_retailprice") * (1 + (size - 25) / 50.0)).alias("structural"))
+    out = forecast.baselines(x, ["id"], 30)
+    return out.select("id", "baseline", (F.round("log_return", 6) + 0.0).alias("log_return"), (F.round("price", 3) + 0.0).alias("price"))
+
+
+_DAMP = """RECURSIVE {0}, s AS (SELECT category, grp, t, idx AS y, row_number() OVER (PARTITION BY category, grp ORDER BY t) AS i FROM idx WHERE level = 'group'), h AS (
+  SELECT a.category, a.grp, a.i, a.t, a.y AS level, z.y - a.y AS trend FROM s a JOIN s z ON a.category = z.category AND a.grp = z.grp AND a.i = 1 AND z.i = 2
+  UNION ALL SELECT s.category, s.grp, s.i, s.t, 0.3 * s.y + 0.7 * (h.level + 0.85 * h.trend), 0.1 * (0.3 * s.y + 0.7 * (h.level + 0.85 * h.trend) - h.level) + 0.9 * 0.85 * h.trend FROM h JOIN s ON s.category = h.category AND s.grp = h.grp AND s.i = h.i + 1)""".format(INDEX)
+
+
+@query(f"WITH {_DAMP} SELECT category, grp, CAST(t AS BIGINT) AS t, round(level, 6) + 0.0 AS level, round(trend, 6) + 0.0 AS trend FROM h")
+def damped_trend(spark: SparkSession, d: str) -> DataFrame:
+    idx = index_levels(b.week_panel(spark, d), KEYS).where("level = 'group'")
+    return rounded(forecast.damped_trend(idx, ["category", "grp"], "t", "idx"))
+
+
+@query(f"""WITH RECURSIVE {b.PANEL}, st AS (SELECT category, grp, product, t, ln(price / lag(price) OVER w) / (t - lag(t) OVER w) AS r FROM panel WINDOW w AS (PARTITION BY category, grp, product ORDER BY t)),
+s AS (SELECT product, r, row_number() OVER (PARTITION BY product ORDER BY t) AS i, count(*) OVER (PARTITION BY product) AS n FROM st WHERE r IS NOT NULL), h AS (SELECT product, i, n, r AS l FROM s WHERE i = 1 UNION ALL SELECT s.product, s.i, s.n, 0.3 * s.r + 0.7 * h.l FROM h JOIN s ON s.product = h.product AND s.i = h.i + 1)
+SELECT product, n, round(l * n / (n + 8), 6) + 0.0 AS drift FROM h WHERE i = n""")
+def theta_drift(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(forecast.theta_drift(step_returns(b.week_panel(spark, d), KEYS), ["product"], "t", "r"))
+
+
+@query(f"""WITH {b.CASES}, r AS (SELECT category, ln(realized / predicted) AS e FROM cases) SELECT category, {", ".join(f"round(least(0, quantile_cont(e, {p})), 6) + 0.0 AS {q}" for q, p in (("q10", 0.1), ("q25", 0.25)))}, CAST(0 AS DOUBLE) AS q50,
+{", ".join(f"round(greatest(0, quantile_cont(e, {p})), 6) + 0.0 AS {q}" for q, p in (("q75", 0.75), ("q90", 0.9)))}, count(*) AS pool FROM r GROUP BY 1""")
+def conformal_offsets(spark: SparkSession, d: str) -> DataFrame:
+    r = b.cases(spark, d).select("category", F.log(F.col("realized") / F.col("predicted")).alias("standardized"))
+    return rounded(forecast.conformal_offsets(r, ["category"]))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'insufficient-history' WHEN p_size < 8 THEN 'low-history' WHEN p_partkey % 13 > 8 THEN 'low-history' ELSE 'standard' END AS tier,
+round(CASE WHEN p_size >= 8 THEN ln(p_retailprice) ELSE ln(p_retailprice) + least(1.0986122886681098, greatest(-1.0986122886681098, (1 - p_size / (p_size + 8.0)) * (5 - ln(p_retailprice)))) END, 6) + 0.0 AS anchor FROM part""")
+def hedonic_anchor(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_size")
+    tier = forecast.confidence_tier(F.when(k % 10 != 0, F.lit(0.1)), n, k % 13)
+    return rounded(b.table(spark, d, "part").select(k.alias("id"), tier.alias("tier"), forecast.hedonic_anchor(F.log("p_retailprice"), F.lit(5.0), n).alias("anchor")))
+
+
+@query()
+def trajectory_forecast(spark: SparkSession, d: str) -> DataFrame:
+    panel = b.week_panel(spark, d)
+    return rounded(forecast.trajectory_forecast(panel, KEYS, index_levels(panel, KEYS)), 4)
+
+
+@query(f"WITH {b.CASES}, r AS (SELECT product, origin, current AS price, greatest(abs(ln(q10 / current)), abs(ln(q90 / current))) AS rad FROM cases) SELECT product, CAST(origin AS BIGINT) AS origin, round(price * exp(-rad), 4) + 0.0 AS lo, round(price * exp(rad), 4) + 0.0 AS hi FROM r")
+def range_only_band(spark: SparkSession, d: str) -> DataFrame:
+    c = b.cases(spark, d).withColumnRenamed("current", "price")
+    return rounded(forecast.range_only_band(c).select("product", "origin", "lo", "hi"), 4)
+
+
+@query(f"""WITH {b.CASES}, o AS (SELECT origin, row_number() OVER (ORDER BY origin) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT origin FROM cases)) SELECT CASE WHEN r <= floor(n * 0.6) THEN 'train' WHEN r <= floor(n * 0.6) + 1 THEN 'embargo' ELSE 'holdout' END AS block, count(*) AS n FROM cases JOIN o USING (origin) GROUP BY 1""")
+def origin_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.origin_blocks(b.cases(spark, d), "origin").groupBy("block").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {b.FACTS}, p AS (SELECT category, grp, day, max(price) AS price FROM facts GROUP BY 1, 2, 3), s AS (SELECT category, grp, day, price, day - lag(day) OVER w AS g, ln(price / lag(price) OVER w) AS r, max(day) OVER (PARTITION BY category, grp) AS last FROM p WINDOW w AS (PARTITION BY category, grp ORDER BY day)),
+a AS (SELECT category, grp, arg_max(price, day) AS price, sum(pow(0.5, (last - day) / 180.0) * r) / sum(CASE WHEN r IS NOT NULL THEN pow(0.5, (last - day) / 180.0) * g END) AS drift, sqrt(sum(pow(0.5, (last - day) / 60.0) * r * r) / sum(CASE WHEN r IS NOT NULL THEN pow(0.5, (last - day) / 60.0) * g END)) AS sigma FROM s GROUP BY 1, 2)
+SELECT category, grp, round(drift, 6) + 0.0 AS drift, round(sigma, 6) + 0.0 AS sigma, round(price * exp(least(0.7, greatest(-0.7, drift * 90)) - 1.281551565545 * sigma * sqrt(90)), 4) + 0.0 AS lo FROM a""")
+def volatility_cone(spark: SparkSession, d: str) -> DataFrame:
+    p = b.facts(spark, d).groupBy("category", "grp", "day").agg(F.max("price").alias("price"))
+    v = forecast.volatility_cone(p, ["category", "grp"], "day", "price", 90)
+    return v.select("category", "grp", (F.round("drift", 6) + 0.0).alias("drift"), (F.round("sigma", 6) + 0.0).alias("sigma"), (F.round("lo", 4) + 0.0).alias("lo"))
+
+
+@query("""WITH f AS (SELECT p_partkey AS id, p_type AS category, CASE WHEN p_size < 5 THEN 'insufficient-history' WHEN p_size < 15 THEN 'low-history' ELSE 'standard' END AS tier, CASE WHEN p_partkey % 50 = 0 THEN 0 ELSE p_retailprice END AS q50 FROM part)
+SELECT id, CASE WHEN category NOT IN ('ECONOMY', 'LARGE', 'SMALL') THEN 'withheld_category' WHEN tier = 'insufficient-history' THEN 'withheld_history' WHEN q50 <= 0 THEN 'withheld_price' WHEN tier = 'low-history' THEN 'range_only' ELSE 'full' END AS serve FROM f""")
+def serve_tiers(spark: SparkSession, d: str) -> DataFrame:
+    size, k = F.col("p_size"), F.col("p_partkey")
+    f = b.table(spark, d, "part").select(k.alias("id"), F.col("p_type").alias("category"), F.lit(30).alias("horizon"), F.when(size < 5, "insufficient-history").when(size < 15, "low-history").otherwise("standard").alias("tier"), F.when(k % 50 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("q50"))
+    e = f.select("category").distinct().where("category in ('ECONOMY', 'LARGE', 'SMALL')").select("category", F.lit(30).alias("horizon"), F.lit(True).alias("eligible"))
+    return forecast.serve_tiers(f, e).select("id", "serve")
+
+
+def _pin(q: str, a: float) -> str:
+    return f"round(avg(greatest({a} * (realized - {q}), ({a} - 1) * (realized - {q}))), 4) + 0.0 AS pinball_{q}"
+
+
+def _dir(t: str, cond: str) -> str:
+    return f"round(avg(CASE WHEN {cond} THEN CASE WHEN sign(predicted - current) = sign(realized - current) THEN 1.0 ELSE 0.0 END END), 6) + 0.0 AS {t}"
+
+
+EVAL = f"""SELECT category, count(*) AS n, round(avg(abs(ln(predicted / realized))), 6) + 0.0 AS mae_log, round(quantile_cont(abs(predicted - realized) / realized, 0.5), 6) + 0.0 AS median_ape, round(avg(2 * abs(predicted - realized) / (predicted + realized)), 6) + 0.0 AS smape,
+round(quantile_cont(abs(predicted - realized), 0.5), 3) + 0.0 AS median_error, {_dir("direction", "realized <> current")}, {_dir("direction_10", "abs(realized / current - 1) >= 0.10")}, {_dir("direction_25", "abs(realized / current - 1) >= 0.25")},
+round(1 - avg(abs(ln(predicted / realized))) / avg(abs(ln(baseline / realized))), 6) + 0.0 AS lift, round(avg(pow(probability_up - (realized > current)::INT, 2)), 6) + 0.0 AS brier, {", ".join(_pin(q, a) for q, a in evaluate.LEVELS.items())},
+round(avg((realized BETWEEN q25 AND q75)::INT), 6) + 0.0 AS coverage_50, round(avg((realized BETWEEN q10 AND q90)::INT), 6) + 0.0 AS coverage_80, round(avg(q75 - q25), 3) + 0.0 AS width_50, round(avg(q90 - q10), 3) + 0.0 AS width_80 FROM cases GROUP BY category"""
+_COARSE = {"median_error": 3, "width_50": 3, "width_80": 3, **{f"pinball_{q}": 4 for q in evaluate.LEVELS}}
+
+
+@query(f"WITH {b.CASES} {EVAL}")
+def evaluate_cases(spark: SparkSession, d: str) -> DataFrame:
+    e = evaluate.evaluate_cases(b.cases(spark, d), ["category"])
+    return e.select(*[(F.round(c, _COARSE.get(c, 6)) + 0.0).alias(c) if t == "double" else c for c, t in e.dtypes])
+
+
+@query(f"""WITH {b.CASES}, k AS (SELECT category, least(floor(probability_up * 10), 9) AS bin, count(*) AS n, avg(probability_up) AS p, avg((realized > current)::INT) AS y FROM cases GROUP BY 1, 2) SELECT category, round(sum(n * abs(p - y)) / sum(n), 6) + 0.0 AS calibration_error FROM k GROUP BY 1""")
+def calibration_error(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.calibration_error(b.cases(spark, d), ["category"], "probability_up", F.col("realized") > F.col("current")))
+
+
+@query(f"""WITH {b.CASES}, x AS (SELECT unnest(['baseline', 'momentum']) AS name, unnest([baseline, momentum]) AS price, predicted, realized FROM cases) SELECT name, round(1 - avg(abs(ln(predicted / realized))) / avg(abs(ln(price / realized))), 6) + 0.0 AS lift FROM x GROUP BY 1""")
+def baseline_lifts(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.baseline_lifts(b.cases(spark, d), ["baseline", "momentum"]))
+
+
+@query(f"""WITH {b.CASES}, x AS (SELECT unnest(['baseline', 'momentum']) AS name, unnest([baseline, momentum]) AS price, predicted, realized FROM cases), l AS (SELECT name, 1 - avg(abs(ln(predicted / realized))) / avg(abs(ln(price / realized))) AS lift FROM x GROUP BY 1) SELECT arg_min(name, lift) AS name, round(min(lift), 6) + 0.0 AS lift FROM l""")
+def strongest_challenger(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.strongest_challenger(evaluate.baseline_lifts(b.cases(spark, d), ["baseline", "momentum"])))
+
+
+@query(f"""WITH {b.CASES}, x AS (SELECT unnest(['baseline', 'momentum']) AS name, unnest([baseline, momentum]) AS price, origin, predicted, realized FROM cases), cl AS (SELECT name, origin, sum(abs(ln(predicted / realized))) AS e, sum(abs(ln(price / realized))) AS be FROM x GROUP BY 1, 2),
+nu AS (SELECT name, e, be, row_number() OVER (PARTITION BY name ORDER BY origin) AS i, count(*) OVER (PARTITION BY name) AS n FROM cl), dr AS (SELECT name, s, 1 + ('0x' || sha256('plan|' || name || '|' || s || '|' || d)[1:8])::BIGINT % n AS i, n FROM (SELECT DISTINCT name, n FROM nu), generate_series(1, 200) a(s), generate_series(1, 40) z(d) WHERE d <= n),
+es AS (SELECT dr.name, s, any_value(dr.n) AS n, 1 - sum(e) / sum(be) AS lift FROM dr JOIN nu ON dr.name = nu.name AND dr.i = nu.i GROUP BY 1, 2) SELECT name, any_value(n) AS clusters, round(quantile_cont(lift, 0.025), 6) + 0.0 AS lower FROM es GROUP BY 1""")
+def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.cluster_bootstrap(b.cases(spark, d), ["baseline", "momentum"], "origin", "plan"))
+
+
+@query()
+def two_way_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    c = b.cases(spark, d)
+    cells = c.groupBy("origin", "grp").agg(F.sum(F.abs(F.log(F.col("predicted") / F.col("realized")))).alias("e"), F.sum(F.abs(F.log(F.col("baseline") / F.col("realized")))).alias("be"))
+    return rounded(evaluate.two_way_bootstrap(cells, "plan"))
+
+
+@query(f"""WITH {b.CASES}, e AS (SELECT category, count(*) AS n, 1 - avg(abs(ln(predicted / realized))) / avg(abs(ln(baseline / realized))) AS lift, avg(pow(probability_up - (realized > current)::INT, 2)) AS brier, avg((realized BETWEEN q10 AND q90)::INT) AS cov FROM cases GROUP BY 1),
+r AS (SELECT category, n < 30 AS a, lift < 0.02 AS b, NOT (cov BETWEEN 0.72 AND 0.88) AS c, brier > 0.25 AS d FROM e) SELECT category, array_to_string(list_filter([CASE WHEN a THEN 'insufficient_cases' END, CASE WHEN b THEN 'baseline_lift' END, CASE WHEN c THEN 'interval_coverage' END, CASE WHEN d THEN 'brier_score' END], lambda x: x IS NOT NULL), ',') AS reasons,
+CASE WHEN a THEN 'insufficient' WHEN b OR c OR d THEN 'reject' ELSE 'eligible' END AS recommendation FROM r""")
+def scorecard_gate(spark: SparkSession, d: str) -> DataFrame:
+    g = evaluate.scorecard_gate(evaluate.evaluate_cases(b.cases(spark, d), ["category"]))
+    return g.select("category", F.array_join("reasons", ",").alias("reasons"), "recommendation")
+
+
+@query(f"""WITH {b.CASES}, s AS (SELECT category, grp, avg(abs(ln(baseline / realized))) - avg(abs(ln(predicted / realized))) AS lift FROM cases GROUP BY 1, 2 HAVING count(*) >= 20) SELECT category, count(*) AS sets, round(avg(lift), 6) + 0.0 AS macro_lift, round(avg((lift >= -0.005)::INT), 6) + 0.0 AS share, count(*) >= 3 AND avg((lift >= -0.005)::INT) >= 0.8 AND avg(lift) > 0 AS passed FROM s GROUP BY 1""")
+def held_out_set_gate(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.held_out_set_gate(b.cases(spark, d)))
+
+
+_MAT = "mat AS (SELECT DISTINCT series, m AS matures FROM obs, (SELECT unnest([DATE '2024-01-14', DATE '2024-01-28']) AS m))"
+
+
+@query(f"""WITH {b.OBS}, {_MAT}, w AS (SELECT mat.series, matures, price, row_number() OVER (PARTITION BY mat.series, matures, observed_at ORDER BY available_at DESC, id DESC) AS rn FROM mat JOIN obs ON mat.series = obs.series AND observed_at::DATE BETWEEN matures - 6 AND matures AND available_at::DATE <= matures)
+SELECT series, matures, round(quantile_cont(price, 0.5), 6) + 0.0 AS realized, count(*) AS points FROM w WHERE rn = 1 GROUP BY 1, 2""")
+def realized_price(spark: SparkSession, d: str) -> DataFrame:
+    o = b.observations(spark, d)
+    days = F.explode(F.array(F.lit("2024-01-14").cast("date"), F.lit("2024-01-28").cast("date")))
+    return rounded(evaluate.realized_price(o, o.select("series").distinct().select("series", days.alias("matures")), ["series"]))
+
+
+@query(f"""WITH {b.OBS}, d AS (SELECT DISTINCT series, observed_at::DATE AS day FROM obs WHERE observed_at::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'), e AS (SELECT series, day FROM d UNION ALL SELECT DISTINCT series, DATE '2024-01-04' FROM d UNION ALL SELECT DISTINCT series, DATE '2024-01-26' FROM d),
+g AS (SELECT series, day - lag(day) OVER (PARTITION BY series ORDER BY day) AS gap FROM e) SELECT series, count(*) - 2 AS observed, CAST(21 AS BIGINT) AS expected, round((count(*) - 2) / 21.0, 6) + 0.0 AS coverage, max(gap) AS largest_gap FROM g GROUP BY 1""")
+def target_window_audit(spark: SparkSession, d: str) -> DataFrame:
+    o = b.observations(spark, d).withColumn("day", F.to_date("observed_at"))
+    return rounded(evaluate.target_window_audit(o, ["series"], F.lit("2024-01-05").cast("date"), F.lit("2024-01-25").cast("date")))
+
+
+@query(f"""WITH {b.CASES}, g AS (SELECT a, z AS b FROM (SELECT unnest([0.0, 0.5, 1.0]) AS a), (SELECT unnest([0.0, 0.25, 0.5]) AS z)), s AS (SELECT category, a, b, avg(abs(ln(current) + a * ln(momentum / current) + b * ln(predicted / current) - ln(realized))) AS mae FROM cases, g GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY mae, a, b) AS rn FROM s) SELECT category, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, round(mae, 6) + 0.0 AS mae FROM r WHERE rn = 1""")
+def component_weights(spark: SparkSession, d: str) -> DataFrame:
+    c = b.cases(spark, d).select("category", F.log("current").alias("anchor"), F.log(F.col("momentum") / F.col("current")).alias("index_delta"), F.log(F.col("predicted") / F.col("current")).alias("reversion"), F.log("realized").alias("actual"))
+    one = spark.range(1)
+    grid = one.select(F.explode(F.array(*[F.lit(x) for x in (0.0, 0.5, 1.0)])).alias("a")).select("a", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5)])).alias("b"))
+    return rounded(evaluate.component_weights(c, grid, ["category"]))
+
+
+@query("""SELECT p_type AS type, count(*) AS n, round(sum(1), 4) + 0.0 AS xx_0_0, round(sum(p_size), 4) + 0.0 AS xx_0_1, round(sum(ln(p_retailprice)), 4) + 0.0 AS xx_0_2, round(sum(p_size * p_size), 4) + 0.0 AS xx_1_1, round(sum(p_size * ln(p_retailprice)), 4) + 0.0 AS xx_1_2, round(sum(ln(p_retailprice) * ln(p_retailprice)), 4) + 0.0 AS xx_2_2,
+round(sum(p_partkey % 10), 4) + 0.0 AS xy_0, round(sum(p_size * (p_partkey % 10)), 4) + 0.0 AS xy_1, round(sum(ln(p_retailprice) * (p_partkey % 10)), 4) + 0.0 AS xy_2 FROM part GROUP BY 1""")
+def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
+    p = b.table(spark, d, "part").select(F.col("p_type").alias("type"), F.col("p_size").cast("double").alias("size"), F.log("p_retailprice").alias("lp"), (F.col("p_partkey") % 10).cast("double").alias("y"))
+    return rounded(stats.gram_matrix(p, ["type"], ["size", "lp"], "y"), 4)
+
+
+@query("""WITH x AS (SELECT p_type, p_size AS x, ln(p_retailprice) AS y, list_reduce(list_prepend(0::BIGINT, [('0x' || h)::BIGINT FOR h IN string_split(sha256(p_brand), '')]), lambda a, z: (a * 16 + z) % 5) AS fold FROM part),
+f AS (SELECT a.p_type, a.fold, regr_slope(b.y, b.x) AS s, regr_intercept(b.y, b.x) AS i FROM (SELECT DISTINCT p_type, fold FROM x) a JOIN x b ON a.p_type = b.p_type AND a.fold <> b.fold GROUP BY 1, 2)
+SELECT x.p_type AS type, count(*) AS n, round(sqrt(avg(pow(y - i - s * x.x, 2))), 4) + 0.0 AS rmse, round(1 - avg(pow(y - i - s * x.x, 2)) / var_pop(y), 3) + 0.0 AS r2 FROM x JOIN f ON x.p_type = f.p_type AND x.fold = f.fold GROUP BY 1""")
+def hedonic_fit(spark: SparkSession, d: str) -> DataFrame:
+    p = b.table(spark, d, "part").select(F.col("p_type").alias("type"), "p_brand", F.col("p_size").cast("double").alias("x"), F.log("p_retailprice").alias("y"))
+    h = regress.hedonic_fit(p, "type", "p_brand", ["x"], "y", ridge=1e-12)
+    return h.select("type", "n", (F.round("rmse", 4) + 0.0).alias("rmse"), (F.round("r2", 3) + 0.0).alias("r2"))
+
+
+@query()
+def robust_fair_value(spark: SparkSession, d: str) -> DataFrame:
+    p = b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.col("p_size").cast("double").alias("x"), F.log("p_retailprice").alias("y"))
+    return rounded(regress.robust_fair_value(p, "type", ["x"], "y").select("id", "type", "fair", "position"))
+
+
+@query("""WITH l AS (SELECT p_type AS type, p_brand AS model, avg(p_size) AS loss FROM part GROUP BY 1, 2), w AS (SELECT type, model, greatest(0.05, exp(-loss / quantile_cont(loss, 0.5) OVER (PARTITION BY type))) AS w FROM l) SELECT type, model, round(w / sum(w) OVER (PARTITION BY type), 6) + 0.0 AS weight FROM w""")
+def model_weights(spark: SparkSession, d: str) -> DataFrame:
+    losses = b.table(spark, d, "part").groupBy(F.col("p_type").alias("type"), F.col("p_brand").alias("model")).agg(F.avg("p_size").alias("loss"))
+    return rounded(stats.model_weights(losses, ["type"], "model", "loss"))
