@@ -157,4 +157,16 @@ def component_weights(cases: DataFrame, grid: DataFrame, by: Sequence[str]) -> D
     return scored.groupBy(*by).agg(F.min_by(F.struct("a", "b", "mae"), F.struct("mae", "a", "b")).alias("w")).select(*by, "w.a", "w.b", "w.mae")
 
 
-__all__ = ["baseline_lifts", "calibration_error", "cluster_bootstrap", "component_weights", "evaluate_cases", "held_out_set_gate", "realized_price", "scorecard_gate", "shard_of", "strongest_challenger", "target_window_audit", "two_way_bootstrap"]
+def cohort_horizon_eval(cases: DataFrame, by: Sequence[str], mover: float = 0.04879016416943205) -> DataFrame:
+    """(by, n, mae, mae_no_change, mae_movers): movers are cases whose price moved by `mover` in log terms."""
+    e = F.abs(F.log(F.col("predicted") / F.col("realized")))
+    moved = F.abs(F.log(F.col("realized") / F.col("current"))) >= mover
+    return cases.groupBy(*by).agg(F.count("*").alias("n"), F.avg(e).alias("mae"), F.avg(F.abs(F.log(F.col("baseline") / F.col("realized")))).alias("mae_no_change"), F.avg(F.when(moved, e)).alias("mae_movers"))
+
+
+def count_distinct_breadth(cases: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One row: how many distinct values each column has."""
+    return cases.agg(*[F.count_distinct(c).alias(n) for n, c in columns.items()])
+
+
+__all__ = ["baseline_lifts", "calibration_error", "cluster_bootstrap", "cohort_horizon_eval", "component_weights", "count_distinct_breadth", "evaluate_cases", "held_out_set_gate", "realized_price", "scorecard_gate", "shard_of", "strongest_challenger", "target_window_audit", "two_way_bootstrap"]

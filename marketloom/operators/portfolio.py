@@ -119,3 +119,8 @@ def alerts(watch: DataFrame, baseline: DataFrame, move: float = 0.10) -> DataFra
         )
     )
     return watch.join(b, "key", "left").select("key", F.explode(kinds).alias("alert"))
+
+
+def daily_snapshot(h: DataFrame, keys: list[str], day: str, currency: str) -> DataFrame:
+    """(keys, day, items, quantity): one row for each owner and day; a day that is written again replaces its rows."""
+    return h.where(F.col("currency") == currency).groupBy(*keys, day).agg(F.count("*").alias("items"), F.sum("quantity").alias("quantity"))

@@ -97,3 +97,14 @@ def enrich(products: DataFrame, bridge: DataFrame, cards: DataFrame, fields: lis
     c = cards.select("card_id", *[F.col(f).alias(f"__{f}") for f in fields])
     j = products.join(bridge, "product", "left").join(c, "card_id", "left")
     return j.withColumns({f: F.coalesce(f, f"__{f}") for f in fields}).drop(*[f"__{f}" for f in fields])
+
+
+def unresolved_counter(prices: DataFrame, known: DataFrame, state: DataFrame, key: str, day: str) -> DataFrame:
+    """(key, first_seen, last_seen, total) of prices without a product, on top of the counts seen before (key, seen)."""
+    lost = prices.join(known.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.min(day).alias("first_seen"), F.max(day).alias("last_seen"), F.count("*").alias("__n"))
+    return lost.join(state.select(key, "seen"), key, "left").select(key, "first_seen", "last_seen", (F.col("__n") + F.coalesce("seen", F.lit(0))).alias("total"))
+
+
+def group_sets(sets: DataFrame, family: str, year: str) -> DataFrame:
+    """(family, n, first_year) of sets by family."""
+    return sets.groupBy(family).agg(F.count("*").alias("n"), F.min(year).alias("first_year"))
