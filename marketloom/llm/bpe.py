@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import slices, strings
+from marketloom.llm.common import map_arrow, slices, strings
 
 #: Pieces that a task remembers; the memo is emptied when it is full, which only costs time.
 MEMO_PIECES = 400_000
@@ -112,7 +112,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", kee
                 out += [pa.array([[s[k] for s in x] for x in spans], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(out, names=[*keep, "ids", "decoded", *(["starts", "ends"] * with_offsets)])
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -127,7 +127,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", keep:
             texts = [own.decode_bytes(x or []).decode("utf-8", "replace") for x in part.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
 
 
 def digests(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
@@ -150,4 +150,4 @@ def digests(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") ->
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(kept, run, f"doc_id {dict(kept.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Stands in for a null doc_id where a key must not be null; such rows sort after all others.
 NULL_ID = 9223372036854775807
 
+#: Rows and bytes of an Arrow batch of texts at most.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8_000_000
+
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
 
@@ -28,6 +31,15 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, size)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with batches of bounded size: texts are long, and Spark's default of 10,000 rows a batch would
+    make a worker's memory follow the length of documents."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's values as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import keyed_texts, slices, utf8
+from marketloom.llm.common import keyed_texts, map_arrow, slices, utf8
 
 WINDOW, RAREST, BLOCK_BYTES = 10, 2, 16_000_000
 
@@ -48,7 +48,7 @@ def term_counts(docs: DataFrame, terms: frozenset[bytes]) -> dict[bytes, int]:
             total.update(chain.from_iterable(filter(terms.__contains__, words_of(t)) for t in utf8(part.column(0))))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
-    found = docs.select("text").mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = map_arrow(docs.select("text"), run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     return {bytes(r["term"]): r["n"] for r in found}
 
 
@@ -70,7 +70,7 @@ def postings(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), part.column(0).take(take), part.column(1).take(take), pa.array(pos, pa.int32())], names=["term", "k1", "k2", "pos"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "term int, k1 long, k2 long, pos int")
+    return map_arrow(docs.select("k1", "k2", "text"), run, "term int, k1 long, k2 long, pos int")
 
 
 def proximity(index: DataFrame, first: int, second: int, distance: int) -> DataFrame:
@@ -150,7 +150,7 @@ def block_hits(docs: DataFrame, named: list[tuple[str, list[bytes]]], window: in
             )
 
     joined = docs.join(aligned, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "text", "aligned")
-    return joined.mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, starts array<int>, ends array<int>, items array<string>")
+    return map_arrow(joined, run, "doc_id long, k1 long, k2 long, n_words long, starts array<int>, ends array<int>, items array<string>")
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, list[bytes]]]]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import slices, strings
+from marketloom.llm.common import map_arrow, slices, strings
 
 SIGMA = 1.0
 
@@ -171,4 +171,4 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
             texts = [main_text(h) for h in strings(part.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return kept.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + ", text string, n_chars long")
+    return map_arrow(kept, run, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + ", text string, n_chars long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import slices, utf8
+from marketloom.llm.common import map_arrow, slices, utf8
 
 #: Kinds in the order in which spans at one place are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -331,7 +331,7 @@ def find(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(bases, span), pa.array(every, span)], names=[*keep, "base", "spans"])
 
     spans = "array<struct<kind:string,start:int,end:int>>"
-    return kept.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + f", base {spans}, spans {spans}")
+    return map_arrow(kept, run, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + f", base {spans}, spans {spans}")
 
 
 def base_digest(spans: list[Span]) -> str:

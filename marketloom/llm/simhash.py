@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, slices, utf8
+from marketloom.llm.common import cut, map_arrow, slices, utf8
 from marketloom.llm.graph import components
 
 BLOCKS, DISTANCE, WORDS, CHUNK = 7, 4, 4, 20_000
@@ -60,7 +60,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
             bits = np.array([fingerprint(t, words) for t in utf8(part.column(len(keep)))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(bits)], names=[*keep, "fp"])
 
-    return kept.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + ", fp long")
+    return map_arrow(kept, run, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + ", fp long")
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -151,7 +151,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, c
             yield solve(np.concatenate(held))
 
     dealt = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(dealt, run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE, blocks: int = BLOCKS, words: int = WORDS, chunk: int = CHUNK) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import slices, strings
+from marketloom.llm.common import map_arrow, slices, strings
 
 
 class PatternRule(NamedTuple):
@@ -114,7 +114,7 @@ def judge(urls: DataFrame, keep: tuple[str, ...] = ("page_id",), rules: tuple[Pa
                 fetched.append(len(own))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(verdicts, pa.string()), pa.array(fetched, pa.int32())], names=[*keep, "url", "pattern_verdict", "fetched"])
 
-    return kept.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes) + ", pattern_verdict string, fetched int")
+    return map_arrow(kept, run, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes) + ", pattern_verdict string, fetched int")
 
 
 def filter_urls(pages: DataFrame, rules: tuple[PatternRule, ...] = PATTERN_RULES, host_rules: tuple[tuple[str, str], ...] = HOST_RULES) -> DataFrame:
