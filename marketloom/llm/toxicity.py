@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, slices, strings
+from marketloom.llm.common import cut, map_arrow, slices, strings
 
 MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 4_000, 8_000, 2_048
-#: A feature is kept if it occurs in so many labelled texts at least.
-LEAST_TEXTS = 4
+#: A feature is kept if it occurs in so many labelled texts, and tells the labels apart by so many standard errors, at least.
+LEAST_TEXTS, LEAST_STRENGTH = 4, 3.0
 PREFIXES = (4, 5, 6)
 RIDGE, COUNTERFACTUAL, STEPS = 2e-4, 1.0, 400
 THRESHOLD = 0.3
@@ -101,7 +101,7 @@ def texts_features(sampled: DataFrame) -> DataFrame:
             other = [None if s.isdisjoint(SWAP) else sorted(features_of(swapped(s))) for s in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sorted(features_of(s)) for s in sets], kind), pa.array(other, kind)], names=["y", "features", "swapped"])
 
-    return sampled.select("y", "text").mapInArrow(run, "y int, features array<string>, swapped array<string>")
+    return map_arrow(sampled.select("y", "text"), run, "y int, features array<string>, swapped array<string>")
 
 
 def train(
@@ -124,11 +124,11 @@ def train(
     sizes = {r["y"]: r["n"] for r in data.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return constant
-    share = F.abs(F.log((F.col("pos") + 0.5) / (sizes[1] + 1)) - F.log((F.col("neg") + 0.5) / (sizes[0] + 1)))
     counts = data.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).where(F.col("pos") + F.col("neg") >= LEAST_TEXTS)
-    # a difference of shares that chance would hardly give
-    strength = share * F.sqrt(F.col("pos") + F.col("neg"))
-    chosen = [r["f"] for r in counts.orderBy(F.desc(strength), "f").limit(max_features).select("f").collect()]
+    # the difference of log shares in standard errors: what chance would hardly give
+    difference = F.abs(F.log((F.col("pos") + 0.5) / (sizes[1] + 1)) - F.log((F.col("neg") + 0.5) / (sizes[0] + 1)))
+    strength = difference / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    chosen = [r["f"] for r in counts.where(strength >= LEAST_STRENGTH).orderBy(F.desc(strength), "f").limit(max_features).select("f").collect()]
     column = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *SWAP]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +137,7 @@ def train(
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([pick(x) for x in part.column(k).to_pylist()], ints) for k in (1, 2))], names=["y", "x", "swapped"])
 
-    rows = data.mapInArrow(run, "y int, x array<int>, swapped array<int>").collect()
+    rows = map_arrow(data, run, "y int, x array<int>, swapped array<int>").collect()
     y = np.array([r["y"] for r in rows], np.float64)
     weight = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == 0).sum())
     weight /= weight.sum()
@@ -173,16 +173,16 @@ def descend(x, y, weight, pairs, n_features, start, ridge, counterfactual, steps
     return w, b
 
 
-def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and score double for every whole text."""
+def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """`keep` and a double, `name`, for every whole text."""
     kept = documents.select(*keep, F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = [model.score(t) for t in strings(part.column(len(keep)))]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(found, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(found, pa.float64())], names=[*keep, name])
 
-    return kept.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + ", score double")
+    return map_arrow(kept, run, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + f", `{name}` double")
 
 
 def judged(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -195,7 +195,7 @@ def not_toxic(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents below the threshold, with all their columns."""
     model = train(documents, labels.where(~held_out(F.col("doc_id"))), **options)
     names = documents.columns
-    scored = score(documents, model, keep=tuple(dict.fromkeys([*names]))) if len(set(names)) == len(names) else None
-    if scored is None:
+    if len(set(names)) < len(names):
         raise ValueError("documents has two columns of one name")
-    return scored.where(F.col("score") < THRESHOLD).select(*names)
+    scored = score(documents, model, keep=tuple(names), name="__score")
+    return scored.where(F.col("__score") < THRESHOLD).select(*names)
