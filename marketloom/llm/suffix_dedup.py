@@ -29,33 +29,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import NULL_ID, slices, utf8
+from marketloom.llm.common import NULL_ID, map_arrow, slices, utf8
 
-LENGTH, GRAM = 100, 16
-#: Packets that a task's anchors are dealt into; partitions share them out.
-BUCKETS = 4096
+LENGTH, GRAM = 100, 32
+#: Packets that a task's anchors and ranges are dealt into; partitions share them out.
+BUCKETS, DOC_BUCKETS = 4096, 2048
 #: Bytes of one shard's strings, and of the strings merged at a time.
 SHARD_BYTES, UNIT_BYTES = 128_000, 1_000_000
-#: Documents whose packets a task builds at a time.
-PACK_ROWS = 2048
+#: Documents whose packets a task builds, and whose equal parts it collapses, at a time.
+PACK_ROWS, SEGMENT_ROWS = 4096, 2048
 
 _RANDOM = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
+#: In place of a place: the hash was seen more than once in some task.
+WITNESS = 0xFFFFFFFF
 ANCHOR = np.dtype([("h", "<u8"), ("k1", "<i8"), ("k2", "<u4"), ("at", "<u4")])
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the GRAM bytes from each place on, by doubling."""
     h = _RANDOM[data]
-    for step, odd in zip((1, 2, 4, 8), _ODD, strict=True):
-        h = h[:-step] * odd + h[step:]
+    for step, odd in zip((1, 2, 4, 8, 16), _ODD, strict=True):
+        tail = h[step:]
+        h = h[:-step] * odd
+        h += tail
     h ^= h >> np.uint64(29)
     h *= _ODD[0]
-    return h ^ (h >> np.uint64(32))
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def segments_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,23 +73,26 @@ def segments_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nda
     if len(data) < length:
         return none.astype(np.uint64), none, none, none
     h = gram_hashes(data)
-    v = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    v = h & np.uint64(0xFFFFFFFF00000000)
+    v |= np.arange(len(h), dtype=np.uint64)
     width, reach = length - GRAM + 1, 1
     while reach * 2 <= width:
         v = np.minimum(v[:-reach], v[reach:])
         reach *= 2
     v = np.minimum(v[: len(v) - (width - reach)], v[width - reach :])  # v[s]: least over the window from s on
-    at = (v & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    starts = np.arange(len(at))
-    doc = np.searchsorted(ends, starts, side="right")
-    inside = starts + length <= ends[np.minimum(doc, len(ends) - 1)]
-    starts, at, doc = starts[inside], at[inside], doc[inside]
-    if not len(starts):
-        return none.astype(np.uint64), none, none, none
-    border = np.flatnonzero((np.diff(at) != 0) | (np.diff(doc) != 0)) + 1
-    first = np.concatenate(([0], border))
-    last = np.concatenate((border, [len(starts)])) - 1
-    return h[at[first]], at[first], starts[first], starts[last]
+    at = v.astype(np.uint32)
+    inside = np.ones(len(at) + 1, bool)
+    for e in ends.tolist():
+        inside[max(0, e - length + 1) : e] = False  # windows that would cross the document's end
+    inside[-1] = False
+    change = np.ones(len(at) + 1, bool)
+    np.not_equal(at[1:], at[:-1], out=change[1:-1])
+    change[1:] |= ~inside[:-1]
+    first = np.flatnonzero(change[:-1] & inside[:-1])
+    change[:-1] |= ~inside[:-1]
+    last = np.flatnonzero((change[1:] | ~inside[1:]) & inside[:-1])
+    place = at[first].astype(np.int64)
+    return h[place], place, first, last
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,54 +112,112 @@ def packets(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, lis
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(bucket, packet): anchor records of many documents, by hash."""
+    """(bucket, packet, done): anchor records by hash; and, done, places of anchors that a task saw twice, by document.
+
+    A hash is sent once from each chunk of documents however often it occurs there, so a passage that a third of all documents
+    share doesn't fill one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in slices(batches, PACK_ROWS):
-            found = []
-            for part in slices([group], 64):
-                texts = utf8(part.column(2))
-                data, ends = joined(texts)
-                h, at, _, _ = segments_of(data, ends, length)
-                doc = np.searchsorted(ends, at, side="right")
-                begin = ends - np.array([len(t) for t in texts])
-                own = np.empty(len(h), ANCHOR)
-                own["h"], own["at"] = h, at - begin[doc] if len(h) else at
-                own["k1"], own["k2"] = part.column(0).to_numpy()[doc], part.column(1).to_numpy()[doc]
-                found.append(own)
-            every = np.concatenate(found) if found else np.empty(0, ANCHOR)
-            buckets, blobs = [], []
-            for b, (rows,) in packets((every["h"] % BUCKETS).astype(np.int32), every):
-                buckets.append(b)
-                blobs.append(b"".join(rows[c].tobytes() for c in ANCHOR.names))
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "packet"])
-
-    return docs.select("k1", "k2", "text").mapInArrow(run, "bucket int, packet binary")
-
-
-def unpacked(blob: bytes) -> np.ndarray:
-    n = len(blob) // ANCHOR.itemsize
-    out, place = np.empty(n, ANCHOR), 0
-    for c in ANCHOR.names:
-        out[c] = np.frombuffer(blob, ANCHOR[c], n, place)
-        place += n * ANCHOR[c].itemsize
+        found, held = [], 0
+
+        def pack() -> pa.RecordBatch:
+            every = np.concatenate(found)
+            every = every[np.argsort(every["h"], kind="stable")]
+            same = np.zeros(len(every) + 1, bool)
+            same[1:-1] = every["h"][1:] == every["h"][:-1]
+            here = same[:-1] | same[1:]
+            # seen twice here already: the places are known, and one witness tells the other tasks
+            places = np.empty(int(here.sum()), PLACE)
+            for c in PLACE.names:
+                places[c] = every[c][here]
+            witness = every[here & ~same[:-1]].copy()
+            witness["k1"], witness["k2"], witness["at"] = 0, 0, WITNESS
+            told = np.concatenate((every[~here], witness))
+            own = [(b, rows, False) for b, (rows,) in packets((told["h"] % BUCKETS).astype(np.int32), told)]
+            own += [(b, rows, True) for b, (rows,) in packets(document_bucket(places), places)]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int32()), pa.array([blob_of(x[1]) for x in own], pa.binary()), pa.array([x[2] for x in own])], names=["bucket", "packet", "done"])
+
+        for part in slices(batches, 64):
+            texts = utf8(part.column(2))
+            data, ends = joined(texts)
+            h, at, _, _ = segments_of(data, ends, length)
+            doc = np.searchsorted(ends, at, side="right")
+            begin = ends - np.array([len(t) for t in texts])
+            own = np.empty(len(h), ANCHOR)
+            own["h"], own["at"] = h, at - begin[doc] if len(h) else at
+            own["k1"], own["k2"] = part.column(0).to_numpy()[doc], part.column(1).to_numpy()[doc]
+            found.append(own)
+            held += len(texts)
+            if held >= PACK_ROWS:
+                yield pack()
+                found, held = [], 0
+        if found:
+            yield pack()
+
+    return map_arrow(docs.select("k1", "k2", "text"), run, "bucket int, packet binary, done boolean")
+
+
+PLACE = np.dtype([("k1", "<i8"), ("k2", "<u4"), ("at", "<u4")])
+COVER = np.dtype([("k1", "<i8"), ("k2", "<u4"), ("a", "<u4"), ("b", "<u4")])
+RANGE = np.dtype([("a", "<u4"), ("b", "<u4")])
+
+
+def blob_of(rows: np.ndarray) -> bytes:
+    """The records column by column, which compresses better than row by row."""
+    return b"".join(rows[c].tobytes() for c in rows.dtype.names)
+
+
+def unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
+    n = len(blob) // kind.itemsize
+    out, place = np.empty(n, kind), 0
+    for c in kind.names:
+        out[c] = np.frombuffer(blob, kind[c], n, place)
+        place += n * kind[c].itemsize
     return out
 
 
-def by_document(k1: np.ndarray, k2: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """One row (k1, k2, packet) for each document; values holds each one's packet rows."""
-    order = np.lexsort((k2, k1))
-    k1, k2, values = k1[order], k2[order], values[order]
-    first = np.concatenate(([0], np.flatnonzero((np.diff(k1) != 0) | (np.diff(k2) != 0)) + 1)) if len(k1) else np.zeros(0, np.int64)
-    blobs = [values[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(k1)), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(k1[first], pa.int64()), pa.array(k2[first].astype(np.int64), pa.int64()), pa.array(blobs, pa.binary())], names=["k1", "k2", "packet"])
+def document_bucket(rows: np.ndarray) -> np.ndarray:
+    return (((rows["k1"].astype(np.uint64) * _ODD[0] >> np.uint64(40)) ^ rows["k2"]) % np.uint64(DOC_BUCKETS)).astype(np.int32)
+
+
+def by_documents(rows: np.ndarray) -> pa.RecordBatch:
+    """(bucket, packet): records packed by a hash of their document."""
+    found = list(packets(document_bucket(rows), rows))
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([blob_of(r) for _, (r,) in found], pa.binary())], names=["bucket", "packet"])
+
+
+def gathered(packed: DataFrame, kind: np.dtype, values: list[str]) -> DataFrame:
+    """(k1, k2, packet): one row for each document, with all its records' values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [unpacked(x, kind) for batch in batches for x in batch.column(1).to_pylist()]
+        if not found:
+            return
+        every = np.concatenate(found)
+        del found
+        every = every[np.lexsort((every["k2"], every["k1"]))]
+        first = np.concatenate(([0], np.flatnonzero((np.diff(every["k1"]) != 0) | (np.diff(every["k2"].astype(np.int64)) != 0)) + 1))
+        plain = np.ascontiguousarray(np.stack([every[v] for v in values], axis=1))
+        for start in range(0, len(first), 2048):
+            own = first[start : start + 2048]
+            ends = np.append(first[start + 1 : start + 1 + len(own)], len(every))[: len(own)]
+            blobs = [plain[a:b].tobytes() for a, b in zip(own.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(every["k1"][own], pa.int64()), pa.array(every["k2"][own].astype(np.int64), pa.int64()), pa.array(blobs, pa.binary())], names=["k1", "k2", "packet"])
+
+    return map_arrow(packed.repartition("bucket"), run, "k1 long, k2 long, packet binary")
 
 
 def repeated_anchors(dealt: DataFrame) -> DataFrame:
-    """(k1, k2, packet): places, unsigned 32-bit, of anchors whose hash is seen at two places or more."""
+    """(bucket, packet): places of anchors whose hash is seen at two places or more, by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [unpacked(x) for batch in batches for x in batch.column(1).to_pylist()]
+        found = []
+        for batch in batches:
+            done = batch.column(2).to_numpy(zero_copy_only=False)
+            found += [unpacked(x, ANCHOR) for x, d in zip(batch.column(1).to_pylist(), done, strict=True) if not d]
+            if done.any():
+                yield batch.filter(batch.column(2)).select(["bucket", "packet"])
         if not found:
             return
         every = np.concatenate(found)
@@ -160,33 +227,50 @@ def repeated_anchors(dealt: DataFrame) -> DataFrame:
         same = np.zeros(len(h) + 1, bool)
         same[1:-1] = h[1:] == h[:-1]
         keep = order[same[:-1] | same[1:]]
-        for start in range(0, len(keep), 200_000):
-            own = every[keep[start : start + 200_000]]
-            yield by_document(own["k1"], own["k2"], own["at"].copy())
-
-    return dealt.repartition("bucket").mapInArrow(run, "k1 long, k2 long, packet binary")
-
+        keep = keep[every["at"][keep] != WITNESS]
+        places = np.empty(len(keep), PLACE)
+        for c in PLACE.names:
+            places[c] = every[c][keep]
+        yield by_documents(places)
 
-def gathered(packets: DataFrame) -> DataFrame:
-    return packets.groupBy("k1", "k2").agg(F.collect_list("packet").alias("packets"))
+    return map_arrow(dealt.repartition("bucket"), run, "bucket int, packet binary")
 
 
 def candidate_segments(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
-    """(bucket, heads, bytes): segments of repeated anchors, by hash."""
+    """(bucket, heads, bytes, done): distinct segments of repeated anchors by hash; and, done, ranges that an equal segment
+    of the same chunk covers, by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in slices(batches, 512):
-            heads, texts_out = [], []
-            for part in slices([group], 64):
-                texts = utf8(part.column(2))
-                data, ends = joined(texts)
-                sizes = np.array([len(t) for t in texts])
-                begin = ends - sizes
-                h, at, first, last = segments_of(data, ends, length)
-                if not len(h):
+        heads, bodies, held = [], [], 0
+
+        def pack() -> pa.RecordBatch:
+            every = np.concatenate(heads)
+            # of equal segments in this chunk the earliest goes on, the others are covered whole
+            order = np.lexsort((every["start"], every["k2"], every["k1"]))
+            first: dict[bytes, int] = {}
+            covered, before = [], None
+            for i, *me in zip(order.tolist(), *(every[c][order].tolist() for c in ("k1", "k2", "start")), strict=True):
+                if me == before:  # a repeated row
                     continue
+                before = me
+                if first.setdefault(bodies[i], i) != i:
+                    covered.append(i)
+            stay = np.fromiter(first.values(), np.int64, len(first))
+            strings = np.array([*first, b""], dtype=object)[:-1]
+            own = [(b, rows.tobytes(), b"".join(s), False) for b, (rows, s) in packets((every["h"][stay] % BUCKETS).astype(np.int32), every[stay], strings)]
+            ranges = whole_cover(every[covered])
+            own += [(b, blob_of(rows), b"", True) for b, (rows,) in packets(document_bucket(ranges), ranges)]
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], t) for k, t in enumerate(kinds)], names=["bucket", "heads", "bytes", "done"])
+
+        for part in slices(batches, 64):
+            texts = utf8(part.column(2))
+            data, ends = joined(texts)
+            begin = ends - np.array([len(t) for t in texts])
+            h, at, first, last = segments_of(data, ends, length)
+            if len(h):
                 doc = np.searchsorted(ends, at, side="right")
-                wanted = [np.frombuffer(b"".join(x), "<u4").astype(np.int64) + b for x, b in zip(part.column(3).to_pylist(), begin, strict=True)]
+                wanted = [np.frombuffer(x, "<u4").astype(np.int64) + b for x, b in zip(part.column(3).to_pylist(), begin, strict=True)]
                 live = np.isin(at, np.concatenate(wanted))
                 own = np.empty(int(live.sum()), SEGMENT)
                 doc, first, last = doc[live], first[live], last[live]
@@ -194,19 +278,16 @@ def candidate_segments(docs: DataFrame, repeated: DataFrame, length: int) -> Dat
                 own["k1"], own["k2"] = part.column(0).to_numpy()[doc], part.column(1).to_numpy()[doc]
                 heads.append(own)
                 whole = data.tobytes()
-                texts_out += [whole[a:b] for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
-            if not heads:
-                continue
-            every, strings = np.concatenate(heads), np.array([*texts_out, b""], dtype=object)[:-1]
-            buckets, blobs, bodies = [], [], []
-            for b, (rows, own) in packets((every["h"] % BUCKETS).astype(np.int32), every, strings):
-                buckets.append(b)
-                blobs.append(rows.tobytes())
-                bodies.append(b"".join(own))
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary()), pa.array(bodies, pa.binary())], names=["bucket", "heads", "bytes"])
+                bodies += [whole[a:b] for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
+            held += len(texts)
+            if held >= SEGMENT_ROWS and heads:
+                yield pack()
+                heads, bodies, held = [], [], 0
+        if heads:
+            yield pack()
 
-    with_places = docs.join(gathered(repeated), ["k1", "k2"]).select("k1", "k2", "text", "packets")
-    return with_places.mapInArrow(run, "bucket int, heads binary, bytes binary")
+    with_places = docs.join(gathered(repeated, PLACE, ["at"]), ["k1", "k2"]).select("k1", "k2", "text", "packet", "doc_id")  # doc_id: the same columns as in the last join, so that one exchange serves both
+    return map_arrow(with_places, run, "bucket int, heads binary, bytes binary, done boolean")
 
 
 SEGMENT = np.dtype([("h", "<u8"), ("k1", "<i8"), ("k2", "<u4"), ("start", "<u4"), ("size", "<u4")])
@@ -242,38 +323,39 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.where(starts[order], np.uint16(0), symbols[before])
 
 
-def merged_blocks(transforms: list[np.ndarray], counts: list[int], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the shards' concatenated transforms, block) in merged order after `rounds` rounds.
+def merged_blocks(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the shards' concatenated transforms, block) in merged order after `rounds` rounds, of the
+    suffixes that share their block with another.
 
-    counts are the shards' numbers of strings. Suffixes of one block have a common prefix of `rounds`
-    symbols; a terminator equals no other, so a suffix shorter than that is alone.
+    Suffixes of one block have a common prefix of `rounds`
+    symbols. A terminator equals no other symbol, so a suffix shorter than that is alone. A suffix that is alone in its block
+    is left out of later rounds: what stands before it is alone too.
     """
-    sizes = np.array([len(t) for t in transforms])
-    offsets = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     whole = np.concatenate(transforms)
-    n, shard_type = len(whole), np.uint8 if len(transforms) < 256 else np.uint16
-    interleave = np.repeat(np.arange(len(transforms)), sizes).astype(shard_type)
-    terminators = np.repeat(np.arange(len(counts)), counts).astype(shard_type)
-    block = np.zeros(n, np.int32)
-    place = np.arange(n)
-    n_term = len(terminators)
+    # where each suffix's predecessor stands in its own shard: the last-to-first mapping
+    back, begin = np.empty(len(whole), np.int32), 0
+    for bwt in transforms:
+        back[begin + np.argsort(bwt, kind="stable")] = np.arange(begin, begin + len(bwt), dtype=np.int32)
+        begin += len(bwt)
+    used, symbol_of = np.unique(whole, return_inverse=True)
+    whole = symbol_of.astype(np.uint8 if len(used) <= 256 else np.uint16)
+    place = np.arange(len(whole), dtype=np.int32)
+    block = np.zeros(len(whole), np.int32)
     for _ in range(rounds):
+        if not len(place):
+            break
         symbol = whole[place]
         order = np.argsort(symbol, kind="stable")
         symbol, old = symbol[order], block[order]
-        interleave = interleave[order]
-        interleave[:n_term] = terminators
-        border = np.empty(n, bool)
-        border[0] = False
-        border[1:] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
-        border[1 : n_term + 1] = True
-        block = np.cumsum(border, dtype=np.int32)
-        # the i-th place of a shard in the interleave is its i-th suffix
-        if len(transforms) > 1:
-            place = np.empty(n, np.int64)
-            place[np.argsort(interleave, kind="stable")] = np.arange(n)
-        if block[-1] == n - 1:
-            break
+        place = back[place[order]]
+        border = np.ones(len(place) + 1, bool)
+        np.not_equal(old[1:], old[:-1], out=border[1:-1])
+        border[1:-1] |= symbol[1:] != symbol[:-1]
+        border[:-1] |= symbol == 0  # what begins with a terminator is alone
+        border[1:] |= symbol == 0
+        shared = ~(border[:-1] & border[1:])
+        block = np.cumsum(border[:-1], dtype=np.int32)[shared]
+        place = place[shared]
     return place, block
 
 
@@ -286,29 +368,21 @@ def repeats(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -
             held = 0
         shards[-1].append(i)
         held += len(s)
-    orders, transforms, owners, offsets, lengths = [], [], [], [], []
+    transforms, owners, offsets = [], [], []
     for own in shards:
         order, bwt = transform([strings[i] for i in own])
         sizes = np.array([len(strings[i]) + 1 for i in own])
         begins = np.cumsum(sizes) - sizes
-        orders.append(order)
         transforms.append(bwt)
         owners.append(np.repeat(np.array(own), sizes)[order])
         offset = np.arange(sizes.sum()) - np.repeat(begins, sizes)
         offsets.append(offset[order])
-        lengths.append((np.repeat(sizes, sizes) - 1 - offset)[order])
-    place, block = merged_blocks(transforms, [len(s) for s in shards], length)
-    owner, offset, left = np.concatenate(owners)[place], np.concatenate(offsets)[place], np.concatenate(lengths)[place]
-    shared = np.zeros(len(block), bool)
-    same = block[1:] == block[:-1]
-    shared[1:] |= same
-    shared[:-1] |= same
-    shared &= left >= length
-    return block[shared], owner[shared], offset[shared]
+    place, block = merged_blocks(transforms, length)
+    return block, np.concatenate(owners)[place], np.concatenate(offsets)[place]
 
 
 def covered_ranges(segments: DataFrame, length: int, shard_bytes: int, unit_bytes: int) -> DataFrame:
-    """(k1, k2, packet): covered ranges as pairs of unsigned 32-bit integers."""
+    """(bucket, packet): covered ranges, by document."""
 
     def unit(heads: np.ndarray, strings: list[bytes]) -> Iterator[np.ndarray]:
         block, owner, offset = repeats(strings, length, shard_bytes)
@@ -324,6 +398,11 @@ def covered_ranges(segments: DataFrame, length: int, shard_bytes: int, unit_byte
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, strings = [], []
         for batch in batches:
+            done = batch.column(3)
+            if pc.any(done).as_py():
+                ready = batch.filter(done)
+                yield pa.RecordBatch.from_arrays([ready.column(0), ready.column(1)], names=["bucket", "packet"])
+            batch = batch.filter(pc.invert(done))
             for head, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = np.frombuffer(head, SEGMENT)
                 cuts = np.concatenate(([0], np.cumsum(own["size"].astype(np.int64))))
@@ -353,14 +432,13 @@ def covered_ranges(segments: DataFrame, length: int, shard_bytes: int, unit_byte
 
         whole: list[int] = []
         before = None
-        for i, h in zip(order.tolist(), every["h"][order].tolist(), strict=True):
+        identity = (order.tolist(), *(every[c][order].tolist() for c in ("h", "k1", "k2", "start")))
+        for i, h, *me in zip(*identity, strict=True):
             if h != anchor:
                 close()
                 anchor = h
                 if held >= unit_bytes:
                     covers += emit()
-            head = every[i]
-            me = (head["k1"], head["k2"], head["start"])
             if strings[i] not in distinct:
                 distinct[strings[i]] = i
             elif me != before:  # not a repeated row
@@ -369,21 +447,11 @@ def covered_ranges(segments: DataFrame, length: int, shard_bytes: int, unit_byte
         close()
         covers += emit()
         if whole:
-            own = every[whole]
-            out = np.empty(len(own), COVER)
-            out["k1"], out["k2"], out["a"], out["b"] = own["k1"], own["k2"], own["start"], own["start"].astype(np.int64) + own["size"]
-            covers.append(merged_ranges(out))
+            covers.append(whole_cover(every[whole]))
         if covers:
-            done = merged_ranges(np.concatenate(covers))
-            for a in range(0, len(done), 100_000):
-                part = done[a : a + 100_000]
-                yield by_document(part["k1"], part["k2"], np.ascontiguousarray(part[["a", "b"]]).astype(RANGE))
-
-    return segments.repartition("bucket").mapInArrow(run, "k1 long, k2 long, packet binary")
-
+            yield by_documents(merged_ranges(np.concatenate(covers)))
 
-COVER = np.dtype([("k1", "<i8"), ("k2", "<u4"), ("a", "<u4"), ("b", "<u4")])
-RANGE = np.dtype([("a", "<u4"), ("b", "<u4")])
+    return map_arrow(segments.repartition("bucket"), run, "bucket int, packet binary")
 
 
 def merged_ranges(ranges: np.ndarray) -> np.ndarray:
@@ -403,9 +471,16 @@ def merged_ranges(ranges: np.ndarray) -> np.ndarray:
     return out
 
 
-def removal(text: bytes, packets: list[bytes] | None) -> tuple[int, int, bytes]:
+def whole_cover(segments: np.ndarray) -> np.ndarray:
+    """The ranges of whole segments."""
+    out = np.empty(len(segments), COVER)
+    out["k1"], out["k2"], out["a"], out["b"] = segments["k1"], segments["k2"], segments["start"], segments["start"].astype(np.int64) + segments["size"]
+    return merged_ranges(out)
+
+
+def removal(text: bytes, packet: bytes | None) -> tuple[int, int, bytes]:
     """(bytes removed, spans, what stays)."""
-    found = np.frombuffer(b"".join(packets or ()), RANGE)
+    found = np.frombuffer(packet or b"", RANGE)
     every = np.zeros(len(found), COVER)
     every["a"], every["b"] = found["a"], found["b"]
     kept, place, removed = [], 0, 0
@@ -424,7 +499,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, shard_bytes: int
         raise ValueError(f"length must be at least {2 * GRAM}")
     docs = keyed(documents)
     segments = candidate_segments(docs, repeated_anchors(anchors(docs, length)), length)
-    ranges = gathered(covered_ranges(segments, length, shard_bytes, unit_bytes))
+    ranges = gathered(covered_ranges(segments, length, shard_bytes, unit_bytes), COVER, ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -436,5 +511,5 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, shard_bytes: int
                 out.append(pa.array([d[2] for d in done], pa.binary()))
             yield pa.RecordBatch.from_arrays(out, names=[*names, *(["kept"] * with_text)])
 
-    joined_back = docs.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "packets")
-    return joined_back.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    joined_back = docs.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "packet")
+    return map_arrow(joined_back, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
