@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.operators.stats import trimmed_mean
+from marketloom.operators.stats import trimmed_mean, trimmed_mean_of_large
 from marketloom.operators.windows import step_returns
 
 
-def level_returns(panel: DataFrame, keys: list[str], fraction: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Trimmed mean step returns of the market, each category and each group at each t."""
-    r = step_returns(panel, keys).where("r is not null").select("category", "grp", "t", "r")
+def level_returns(steps: DataFrame, fraction: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trimmed mean step returns of the market (t, m), each category (c) and each group (g) at each t.
+
+    A date of the market or of a large category is too much for one task, so these go by cells of the return.
+    """
+    r = steps.where("r is not null").select("category", "grp", "t", "r")
     return (
-        trimmed_mean(r, ["t"], "r", fraction, "m").drop("n"),
-        trimmed_mean(r, ["category", "t"], "r", fraction, "c").drop("n"),
+        trimmed_mean_of_large(r, ["t"], "r", fraction, "m").drop("n"),
+        trimmed_mean_of_large(r, ["category", "t"], "r", fraction, "c").drop("n"),
         trimmed_mean(r, ["category", "grp", "t"], "r", fraction, "g").drop("n"),
     )
 
@@ -23,20 +26,20 @@ def index_levels(panel: DataFrame, keys: list[str], fraction: float = 0.1) -> Da
     """(level, category, grp, t, step, idx): cumulative market return, a category's excess over it, a group's over its category.
 
     A level has a row for each t at which any price was seen; without returns it carries its value, and a group starts at 0
-    when first seen. The grid holds dates and groups only, never series.
+    when first seen. What follows the trimmed means works on dates and groups only, never on series; those small tables
+    are persisted because several levels use them.
     """
-    market, category, group = level_returns(panel, keys, fraction)
-    priced = panel.where("price > 0")
+    steps = step_returns(panel, keys)
+    market, category, group = (x.persist() for x in level_returns(steps, fraction))
+    seen = steps.groupBy("category", "grp", "t").agg(F.count("*").alias("n")).persist()
     # bounded by the dates of the panel
-    grid = F.broadcast(priced.select("t").distinct())
+    grid = F.broadcast(seen.select("t").distinct())
     none = F.lit(None).cast("string")
     rows_m = grid.join(market, "t", "left").select(F.lit("market").alias("level"), none.alias("category"), none.alias("grp"), "t", F.coalesce("m", F.lit(0.0)).alias("step"))
-    cats = priced.select("category").distinct().join(grid)
+    cats = seen.select("category").distinct().join(grid)
     rows_c = cats.join(category, ["category", "t"], "left").join(market, "t", "left").select(F.lit("category").alias("level"), "category", none.alias("grp"), "t", F.when(F.col("c").isNotNull(), F.col("c") - F.coalesce("m", F.lit(0.0))).otherwise(0.0).alias("step"))
-    first = priced.groupBy("category", "grp").agg(F.min("t").alias("t0")).join(grid).where("t >= t0").drop("t0")
-    rows_g = (
-        first.join(group, ["category", "grp", "t"], "left").join(category, ["category", "t"], "left").select(F.lit("group").alias("level"), "category", "grp", "t", F.when(F.col("g").isNotNull(), F.col("g") - F.coalesce("c", F.lit(0.0))).otherwise(0.0).alias("step"))
-    )
+    first = seen.groupBy("category", "grp").agg(F.min("t").alias("t0")).join(grid).where("t >= t0").drop("t0")
+    rows_g = first.join(group, ["category", "grp", "t"], "left").join(category, ["category", "t"], "left").select(F.lit("group").alias("level"), "category", "grp", "t", F.when(F.col("g").isNotNull(), F.col("g") - F.coalesce("c", F.lit(0.0))).otherwise(0.0).alias("step"))
     w = Window.partitionBy("level", "category", "grp").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     return rows_m.union(rows_c).union(rows_g).withColumn("idx", F.sum("step").over(w))
 

@@ -52,6 +52,8 @@ AS_OF = "ad AS (SELECT day AS as_of FROM facts WHERE day >= DATE '1997-01-01' GR
 def week_panel(spark: SparkSession, d: str) -> DataFrame:
     """One price for each (category, grp, product) and quarter: category, grp, product, t, price."""
     f = facts(spark, d)
+    # dealt out by series once: the aggregate and the series windows that follow need no other shuffle
+    f = f.repartition("category", "grp", "product")
     return f.withColumn("t", F.floor(F.datediff("day", F.lit("1995-01-01")) / 91).cast("int")).groupBy("category", "grp", "product", "t").agg(F.max_by("price", F.struct("day", "obs_id")).alias("price")).where("price > 0")
 
 

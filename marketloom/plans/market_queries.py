@@ -280,6 +280,12 @@ def trimmed_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.trimmed_mean(b.facts(spark, d), b.SERIES, "price"))
 
 
+@query(f"WITH {b.FACTS}, r AS (SELECT category, ln(price) AS v, row_number() OVER (PARTITION BY category ORDER BY price) AS i, count(*) OVER (PARTITION BY category) AS n FROM facts) SELECT category, round(avg(v) FILTER (WHERE i > floor(n * 0.2) AND i <= n - floor(n * 0.2)), 6) + 0.0 AS trimmed_mean, max(n) AS n FROM r GROUP BY 1")
+def trimmed_mean_of_large(spark: SparkSession, d: str) -> DataFrame:
+    f = b.facts(spark, d).select("category", F.log("price").alias("v"))
+    return rounded(stats.trimmed_mean_of_large(f, ["category"], "v", 0.2, cell=0.05))
+
+
 @query(f"WITH {b.FACTS} SELECT category, round(quantile_cont(price, 0.1), 6) + 0.0 AS q10, round(quantile_cont(price, 0.5), 6) + 0.0 AS q50, round(quantile_cont(price, 0.9), 6) + 0.0 AS q90 FROM facts GROUP BY 1")
 def empirical_quantile(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.empirical_quantile(b.facts(spark, d), ["category"], "price", (0.1, 0.5, 0.9)))
