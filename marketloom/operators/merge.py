@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.functions.scalars import shard_of
+
 
 def upsert_changed(current: DataFrame, batch: DataFrame, keys: list[str], values: list[str], day: Column) -> DataFrame:
     """The table after the batch: first_seen stays, changed_on moves only where a value differs; action tells what happened."""
@@ -63,7 +65,7 @@ def append_revision(ledger: DataFrame, obs: DataFrame, keys: list[str], value: s
 def refresh_plan(current: DataFrame, known: DataFrame, key: str, value: str, day_number: int, cycle: int = 7) -> DataFrame:
     """(key, reasons): new, changed, gone, or due for its turn in a rotating audit."""
     j = current.select(key, F.col(value).alias("__c")).join(known.select(key, F.col(value).alias("__k")), key, "outer")
-    turn = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(cycle)) == day_number % cycle
+    turn = shard_of(F.col(key), cycle) == day_number % cycle
     reasons = F.array_compact(
         F.array(F.when(F.col("__k").isNull(), "new"), F.when(F.col("__c").isNull(), "gone"), F.when(F.col("__c").isNotNull() & F.col("__k").isNotNull() & (F.col("__c") != F.col("__k")), "changed"), F.when(turn, "audit"))
     )

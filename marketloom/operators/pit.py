@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.scalars import shard_of
+
 SERIES = ["series"]
 
 
@@ -135,7 +137,7 @@ def first_eligible_import(obs: DataFrame, imports: DataFrame, cutoff: Column) ->
 def ordered_set_hash(df: DataFrame, keys: list[str], line: Column, buckets: int = 16) -> DataFrame:
     """(keys, set_hash): SHA-256 over sorted lines of each of `buckets` parts, then over the parts' hashes, so that no
     task gathers a whole large set."""
-    parts = df.select(*keys, line.alias("__line")).withColumn("__b", F.pmod(F.crc32("__line"), F.lit(buckets)))
+    parts = df.select(*keys, line.alias("__line")).withColumn("__b", shard_of(F.col("__line"), buckets))
     hashed = parts.groupBy(*keys, "__b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__line")), "\n"), 256).alias("__h"))
     return hashed.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__h"))), lambda x: x["__h"]), "\n"), 256).alias("set_hash"))
 

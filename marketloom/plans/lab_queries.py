@@ -93,10 +93,12 @@ def rolling_held_out(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lab.rolling_held_out(c, grid, "block", "grp"))
 
 
-@query()
+@query("""WITH x AS (SELECT p_partkey AS id, p_size AS x, ln(p_retailprice) AS y, list_reduce(list_prepend(0::BIGINT, [('0x' || h)::BIGINT FOR h IN string_split(sha256(p_brand), '')]), lambda a, z: (a * 16 + z) % 5) AS fold FROM part),
+f AS (SELECT k AS fold, regr_slope(y, x.x) AS s, regr_intercept(y, x.x) AS i FROM generate_series(0, 4) g(k) JOIN x ON x.fold <> k AND x.fold <> (k + 1) % 5 GROUP BY 1), e AS (SELECT f.fold, quantile_cont(y - i - s * x.x, 0.1) AS lo, quantile_cont(y - i - s * x.x, 0.9) AS hi FROM f JOIN x ON x.fold = (f.fold + 1) % 5 GROUP BY 1)
+SELECT id, round(i + s * x.x, 4) + 0.0 AS fair, round(i + s * x.x + lo, 4) + 0.0 AS lo, round(i + s * x.x + hi, 4) + 0.0 AS hi, CASE WHEN y < i + s * x.x + lo THEN 'below' WHEN y > i + s * x.x + hi THEN 'above' ELSE 'within' END AS position FROM x JOIN f USING (fold) JOIN e USING (fold)""")
 def structural_gap(spark: SparkSession, d: str) -> DataFrame:
     p = b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("grp"), F.col("p_size").cast("double").alias("x"), F.log("p_retailprice").alias("y"))
-    return rounded(lab.structural_gap(p, "grp", ["x"], "y").select("id", "fair", "lo", "hi", "position"), 4)
+    return rounded(lab.structural_gap(p, "grp", ["x"], "y", ridge=1e-14).select("id", "fair", "lo", "hi", "position"), 4)
 
 
 @query(f"""WITH {b.OBS}, s AS (SELECT id, CASE WHEN id % 17 = 0 THEN 'outlier' WHEN id % 13 = 0 THEN 'missing' WHEN id % 11 = 0 THEN 'rejected' ELSE 'accepted' END AS status FROM obs) SELECT id, status AS kind, CASE status WHEN 'outlier' THEN 'high' WHEN 'rejected' THEN 'medium' ELSE 'low' END AS severity, sha256(id || '|' || status) AS event_hash FROM s WHERE status <> 'accepted'""")

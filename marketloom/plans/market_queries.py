@@ -156,7 +156,8 @@ def foreign_key_violations(spark: SparkSession, d: str) -> DataFrame:
     return pit.foreign_key_violations(rows, "id", {"l_partkey": (parts, "p_partkey"), "l_suppkey": (supp, "s_suppkey")})
 
 
-@query()
+@query("""WITH x AS (SELECT o_custkey % 20 AS k, CAST(o_orderkey AS VARCHAR) AS line FROM orders), p AS (SELECT k, ('0x' || sha256(line)[1:8])::BIGINT % 16 AS bkt, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM x GROUP BY 1, 2)
+SELECT k, sha256(string_agg(h, chr(10) ORDER BY bkt)) AS set_hash FROM p GROUP BY k""")
 def ordered_set_hash(spark: SparkSession, d: str) -> DataFrame:
     return pit.ordered_set_hash(b.table(spark, d, "orders").withColumn("k", F.col("o_custkey") % 20), ["k"], F.col("o_orderkey").cast("string"))
 

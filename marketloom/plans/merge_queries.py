@@ -74,11 +74,13 @@ def append_revision(spark: SparkSession, d: str) -> DataFrame:
     return rounded(merge.append_revision(ledger, obs, ["k"], "v"))
 
 
-@query(None)
+@query("""WITH c AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 11 <> 0), n AS (SELECT p_partkey AS k, p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS v FROM part WHERE p_partkey % 5 <> 0),
+j AS (SELECT coalesce(c.k, n.k) AS k, c.v AS cv, n.v AS nv FROM c FULL JOIN n ON c.k = n.k), r AS (SELECT k, array_to_string(list_filter([CASE WHEN nv IS NULL THEN 'new' END, CASE WHEN cv IS NULL THEN 'gone' END, CASE WHEN cv <> nv THEN 'changed' END, CASE WHEN ('0x' || sha256(CAST(k AS VARCHAR))[1:8])::BIGINT % 7 = 3 THEN 'audit' END], lambda x: x IS NOT NULL), ',') AS reasons FROM j)
+SELECT k, reasons FROM r WHERE reasons <> ''""")
 def refresh_plan(spark: SparkSession, d: str) -> DataFrame:
     p = b.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
     known = p.where("k % 5 <> 0").withColumn("v", F.when(F.col("k") % 7 == 0, F.col("v") + 1).otherwise(F.col("v")))
-    return merge.refresh_plan(p.where("k % 11 <> 0"), known, "k", "v", 3)
+    return merge.refresh_plan(p.where("k % 11 <> 0"), known, "k", "v", 3).select("k", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE DATE '1999-01-01' - CAST(o_orderdate AS DATE) <= 900")

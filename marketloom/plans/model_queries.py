@@ -134,7 +134,13 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.cluster_bootstrap(b.cases(spark, d), ["baseline", "momentum"], "origin", "plan"))
 
 
-@query()
+def _axis(axis: str) -> str:
+    return f"""k_{axis} AS (SELECT k, row_number() OVER (ORDER BY k) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT {axis} AS k FROM cells)),
+m_{axis} AS (SELECT s, k, count(*) AS m FROM (SELECT s, 1 + ('0x' || sha256('plan|{axis}|' || s || '|' || i)[1:8])::BIGINT % n AS j FROM k_{axis}, generate_series(1, 400) g(s)) d JOIN k_{axis} ON k_{axis}.i = d.j GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {b.CASES}, cells AS (SELECT origin, grp, sum(abs(ln(predicted / realized))) AS e, sum(abs(ln(baseline / realized))) AS be FROM cases GROUP BY 1, 2), {_axis("origin")}, {_axis("grp")},
+l AS (SELECT o.s, 1 - sum(o.m * g.m * e) / sum(o.m * g.m * be) AS lift FROM cells JOIN m_origin o ON o.k = cells.origin JOIN m_grp g ON g.k = cells.grp AND g.s = o.s GROUP BY 1) SELECT round(quantile_cont(lift, 0.05), 6) + 0.0 AS lower FROM l""")
 def two_way_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     c = b.cases(spark, d)
     cells = c.groupBy("origin", "grp").agg(F.sum(F.abs(F.log(F.col("predicted") / F.col("realized")))).alias("e"), F.sum(F.abs(F.log(F.col("baseline") / F.col("realized")))).alias("be"))
