@@ -179,3 +179,32 @@ def storage_budget(measured: DataFrame, budgets: DataFrame, warn: float = 0.8) -
 def features_known(df: DataFrame, stamps: list[str], cutoff: Column) -> DataFrame:
     """One row: how many rows have a stamp after the cutoff."""
     return df.agg(F.count_if(F.greatest(*[F.col(c) for c in stamps]) > cutoff).alias("late"))
+
+
+def label_is_mature(feature_day: Column, horizon_days: Column, cutoff: Column) -> Column:
+    return F.date_add(feature_day, horizon_days.cast("int")) <= cutoff
+
+
+def pull_rate_entries(df: DataFrame, tolerance: float = 0.15) -> DataFrame:
+    """df (percent, margin, one_in) with probability, bounds (a lower one of 0 or less is left out) and whether one_in agrees."""
+    p = F.col("percent") / 100
+    lower, upper = p - F.col("margin") / 100, p + F.col("margin") / 100
+    ok = F.col("one_in").isNull() | (F.abs(F.col("one_in") - 1 / p) <= tolerance / p)
+    return df.withColumns({"probability": p, "lower": F.when(lower > 0, lower), "upper": F.least(F.lit(1.0), upper), "one_in_ok": ok})
+
+
+def validate_history_import(obs: DataFrame, series: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """(check, n) of an import packet: repeated series, repeated record hashes, rows available before they were observed, rows of
+    unknown series, prices that are not positive."""
+    one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
+    parts = [
+        one("repeated_series", series.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1")),
+        one("repeated_record", obs.groupBy(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, "observed_at", "price")]), 256)).agg(F.count("*").alias("c")).where("c > 1")),
+        one("available_before_observed", obs.where("available_at < observed_at")),
+        one("unknown_series", obs.join(series.select(*keys).distinct(), keys, "left_anti")),
+        one("price_not_positive", obs.where("price is null or price <= 0")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out

@@ -108,3 +108,22 @@ def unresolved_counter(prices: DataFrame, known: DataFrame, state: DataFrame, ke
 def group_sets(sets: DataFrame, family: str, year: str) -> DataFrame:
     """(family, n, first_year) of sets by family."""
     return sets.groupBy(family).agg(F.count("*").alias("n"), F.min(year).alias("first_year"))
+
+
+def match_products(products: DataFrame, cards: DataFrame) -> DataFrame:
+    """(product, method, card_id): by collector number within the matched set, then by name; several at a tier are ambiguous and end it.
+
+    products: product, set_id, number, name; cards: card_id, set_id, number, name, of which rows with one id before ':' are one card.
+    """
+    c = cards.withColumn("card_id", F.substring_index(F.col("card_id"), ":", 1)).groupBy("card_id").agg(F.min(F.struct("set_id", "number", "name")).alias("x")).select("card_id", F.col("x.set_id").alias("set_id"), collector_number_norm(F.col("x.number")).alias("__n"), name_norm(F.col("x.name")).alias("__m"))
+    p = products.select("product", "set_id", collector_number_norm(F.col("number")).alias("__pn"), name_norm(F.col("name")).alias("__pm"))
+    j = p.join(c, "set_id", "left")
+    number, name = (F.col("__pn") != "") & (F.col("__pn") == F.col("__n")), F.col("__pm") == F.col("__m")
+    g = j.groupBy("product").agg(F.count_if(number).alias("a"), F.min(F.when(number, F.col("card_id"))).alias("ai"), F.count_if(name).alias("b"), F.min(F.when(name, F.col("card_id"))).alias("bi"))
+    method = F.when(F.col("a") == 1, "number").when(F.col("a") > 1, "ambiguous").when(F.col("b") == 1, "name").when(F.col("b") > 1, "ambiguous").otherwise("none")
+    return g.select("product", method.alias("method"), F.when(F.col("a") == 1, F.col("ai")).when((F.col("a") == 0) & (F.col("b") == 1), F.col("bi")).alias("card_id"))
+
+
+def bridge_table(matches: DataFrame) -> DataFrame:
+    """The matched pairs only."""
+    return matches.where("card_id is not null").select("product", "card_id", "method")

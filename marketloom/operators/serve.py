@@ -139,3 +139,59 @@ def retrospective_walk_forward(obs: DataFrame, origins: DataFrame, keys: list[st
     sigma = F.greatest(F.lit(0.05), F.coalesce("volatility_90d", F.lit(0.0)) * F.sqrt("horizon"))
     cases = cells.select("horizon", F.col("current_price").alias("current"), "realized", (F.col("current_price") * F.exp(move)).alias("predicted"), F.col("current_price").alias("baseline"), F.lit(0.5).alias("probability_up"), *[(F.col("current_price") * F.exp(move + z * sigma)).alias(q) for q, z in lab.Z.items()])
     return evaluate.scorecard_gate(evaluate.evaluate_cases(cases, ["horizon"]))
+
+
+def after_cost_scorecard(cases: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, n, brier, calibration_error, selected, positive_rate, median_roi) of cases with probability, roi and selected."""
+    y = F.col("roi") > 0
+    base = cases.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.avg(F.pow(F.col("probability") - y.cast("double"), 2)).alias("brier"),
+        F.count_if(F.col("selected")).alias("selected"),
+        F.avg(F.when(F.col("selected"), y.cast("double"))).alias("positive_rate"),
+        F.percentile(F.when(F.col("selected"), F.col("roi")), 0.5).alias("median_roi"),
+    )
+    return base.join(evaluate.calibration_error(cases, by, "probability", y), list(by))
+
+
+def forecast_status_history(df: DataFrame, now: Column) -> DataFrame:
+    """df (id, matures, realized) once for each id with status matured, awaiting or open."""
+    status = F.when(F.col("realized").isNotNull() & (F.col("matures") <= now), "matured").when(F.col("matures") <= now, "awaiting").otherwise("open")
+    rest = [c for c in df.columns if c != "id"]
+    one = df.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(F.col("realized").isNotNull(), F.col("matures"))).alias("w")).select("id", *[F.col(f"w.{c}").alias(c) for c in rest])
+    return one.withColumn("status", status)
+
+
+def descriptive_candidate(snapshots: DataFrame) -> DataFrame:
+    """snapshots with the drivers of their state and the reasons against it, as arrays of codes."""
+    drivers = F.array_compact(F.array(F.when(F.col("slope_90d") > 0, "rising"), F.when(F.col("slope_90d") < 0, "falling"), F.when(F.col("acceleration") > 0, "accelerating"), F.when(F.col("max_drawdown_180d") >= 0.3, "deep_drawdown")))
+    against = F.array_compact(F.array(F.when(F.col("density_90d") < 0.5, "sparse_history"), F.when(F.col("staleness_hours") > 168, "stale"), F.when(F.col("source_quality_90d") < 0.5, "weak_source")))
+    return snapshots.withColumns({"drivers": drivers, "reasons": against})
+
+
+def portfolio_cone(holdings: DataFrame, cones: DataFrame, keys: list[str], on: list[str], currency: str) -> DataFrame:
+    """Per owner: lower, middle and upper value of the holdings in one currency that have a cone, and how many were left out."""
+    j = holdings.join(cones, on, "left")
+    ok = (F.col("currency") == currency) & F.col("lo").isNotNull()
+    add = lambda c: F.sum(F.when(ok, F.col(c) * F.col("quantity")).otherwise(0.0)).alias(c)
+    return j.groupBy(*keys).agg(add("lo"), add("price"), add("hi"), F.count_if(ok).alias("covered"), F.count_if(~ok).alias("left_out"))
+
+
+def shadow_walk_forward(cells: DataFrame, keys: list[str], models: Sequence[str]) -> DataFrame:
+    """(horizon, scorecard columns): the ensemble at every origin, scored where its cell is, and gated."""
+    f = lab.ensemble_forecast(cells, cells, keys, models).select(*keys, "origin", "horizon", *forecast.QUANTILES, "probability_up")
+    scored = cells.where("cell = 'scored'").select(*keys, "origin", "horizon", F.col("current_price").alias("current"), "realized")
+    cases = f.join(scored, [*keys, "origin", "horizon"]).withColumns({"predicted": F.col("q50"), "baseline": F.col("current")})
+    return evaluate.scorecard_gate(evaluate.evaluate_cases(cases, ["horizon"]))
+
+
+def private_trend_and_baseline(obs: DataFrame, origins: DataFrame, keys: list[str], horizons: Sequence[int]) -> DataFrame:
+    """(origin, keys, horizon, baseline, log_return, price): each snapshot's baselines at each horizon."""
+    s = lab.trend_snapshot(obs, origins, keys).select("origin", *keys, F.col("current_price").alias("price"), F.coalesce("slope_90d", F.lit(0.0)).alias("slope"))
+    market = s.groupBy("origin").agg(F.percentile("slope", 0.5).alias("market_slope"))
+    s = s.join(F.broadcast(market), "origin").withColumns({"cohort": F.lit(0.0), "structural": F.col("price")})
+    out = None
+    for h in horizons:
+        one = forecast.baselines(s, ["origin", *keys], h).withColumn("horizon", F.lit(h))
+        out = one if out is None else out.union(one)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.operators import serve
+from marketloom.operators import pit, resolve, serve
 from marketloom.plans import bindings as b
 from marketloom.plans.market_queries import rounded
 from marketloom.plans.model_queries import EVAL
@@ -108,3 +108,69 @@ def retrospective_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     days = F.explode(F.array(*[F.lit(f"2024-01-{x} 00:00:00").cast("timestamp") for x in ("12", "19")]))
     w = serve.retrospective_walk_forward(b.observations(spark, d), spark.range(1).select(days.alias("origin")), ["series"], (3, 7), F.lit("2024-01-30").cast("date"))
     return rounded(w.select("horizon", "n", "mae_log", "lift", "coverage_80", "recommendation"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS product, p_brand AS set_id, p_size AS num, p_name AS name FROM part), m AS (SELECT a.product, count(*) FILTER (WHERE a.num = z.num AND a.product % 3 <> 0) AS x, min(z.product) FILTER (WHERE a.num = z.num AND a.product % 3 <> 0) AS xi, count(*) FILTER (WHERE a.name = z.name) AS y, min(z.product) FILTER (WHERE a.name = z.name) AS yi FROM p a LEFT JOIN p z ON a.set_id = z.set_id AND z.product % 4 <> 0 GROUP BY 1)
+SELECT product, CASE WHEN x = 1 THEN 'number' WHEN x > 1 THEN 'ambiguous' WHEN y = 1 THEN 'name' WHEN y > 1 THEN 'ambiguous' ELSE 'none' END AS method, CASE WHEN x = 1 THEN xi WHEN x = 0 AND y = 1 THEN yi END AS card_id FROM m""")
+def match_products(spark: SparkSession, d: str) -> DataFrame:
+    k, p = F.col("p_partkey"), b.table(spark, d, "part")
+    own = p.select(k.alias("product"), F.col("p_brand").alias("set_id"), F.when(k % 3 != 0, F.col("p_size").cast("string")).alias("number"), F.upper("p_name").alias("name"))
+    card = p.where("p_partkey % 4 <> 0").select(F.explode(F.array(F.concat(k.cast("string"), F.lit(":a")), F.concat(k.cast("string"), F.lit(":b")))).alias("card_id"), F.col("p_brand").alias("set_id"), F.lpad(F.col("p_size").cast("string"), 3, "0").alias("number"), F.col("p_name").alias("name"))
+    m = resolve.match_products(own, card.withColumn("card_id", F.lpad("card_id", 12, "0")))
+    return m.withColumn("card_id", F.col("card_id").cast("long"))
+
+
+@query("""SELECT p_partkey AS id, round(p_size / 100.0, 6) + 0.0 AS probability, round(CASE WHEN (p_size - 5) / 100.0 > 0 THEN (p_size - 5) / 100.0 END, 6) + 0.0 AS lower, round((p_size + 5) / 100.0, 6) + 0.0 AS upper, abs(3 - 100.0 / p_size) <= 0.15 * 100.0 / p_size AS one_in_ok FROM part""")
+def pull_rate_entries(spark: SparkSession, d: str) -> DataFrame:
+    p = b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("percent"), F.lit(5.0).alias("margin"), F.lit(3.0).alias("one_in"))
+    return rounded(pit.pull_rate_entries(p).select("id", "probability", "lower", "upper", "one_in_ok"))
+
+
+@query(f"""WITH {b.OBS}, s AS (SELECT series FROM obs WHERE series % 7 <> 0 GROUP BY 1) SELECT 'repeated_series' AS "check", CAST(0 AS BIGINT) AS n UNION ALL SELECT 'repeated_record', count(*) FROM (SELECT series, observed_at, price FROM obs GROUP BY 1, 2, 3 HAVING count(*) > 1)
+UNION ALL SELECT 'available_before_observed', count(*) FROM obs WHERE available_at < observed_at UNION ALL SELECT 'unknown_series', count(*) FROM obs WHERE series % 7 = 0 UNION ALL SELECT 'price_not_positive', count(*) FROM obs WHERE price IS NULL OR price <= 0""")
+def validate_history_import(spark: SparkSession, d: str) -> DataFrame:
+    o = b.observations(spark, d)
+    return pit.validate_history_import(o, o.where("series % 7 <> 0").select("series").distinct())
+
+
+@query(f"""WITH {b.CASES}, x AS (SELECT category, probability_up AS p, ln(realized / current) AS roi, predicted > current AS sel FROM cases), k AS (SELECT category, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS p, avg((roi > 0)::INT) AS y FROM x GROUP BY 1, 2), c AS (SELECT category, sum(n * abs(p - y)) / sum(n) AS ce FROM k GROUP BY 1)
+SELECT x.category, count(*) AS n, round(avg(pow(p - (roi > 0)::INT, 2)), 6) + 0.0 AS brier, count(*) FILTER (WHERE sel) AS selected, round(avg((roi > 0)::INT) FILTER (WHERE sel), 6) + 0.0 AS positive_rate, round(quantile_cont(roi, 0.5) FILTER (WHERE sel), 6) + 0.0 AS median_roi, round(any_value(ce), 6) + 0.0 AS calibration_error FROM x JOIN c ON x.category = c.category GROUP BY 1""")
+def after_cost_scorecard(spark: SparkSession, d: str) -> DataFrame:
+    c = b.cases(spark, d).select("category", F.col("probability_up").alias("probability"), F.log(F.col("realized") / F.col("current")).alias("roi"), (F.col("predicted") > F.col("current")).alias("selected"))
+    return rounded(serve.after_cost_scorecard(c, ["category"]))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 AND CAST(o_orderdate AS DATE) <= DATE '1998-01-01' THEN 'matured' WHEN CAST(o_orderdate AS DATE) <= DATE '1998-01-01' THEN 'awaiting' ELSE 'open' END AS status FROM orders""")
+def forecast_status_history(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = b.table(spark, d, "orders").select(k.alias("id"), F.to_date("o_orderdate").alias("matures"), F.when(k % 3 == 0, F.col("o_totalprice")).alias("realized"))
+    return serve.forecast_status_history(o.union(o.where("id % 5 = 0").withColumn("realized", F.lit(None).cast("double"))), F.lit("1998-01-01").cast("date")).select("id", "status")
+
+
+@query(f"""WITH {b.HOLDINGS}, c AS (SELECT p_type AS category, p_brand AS set_name, min(p_retailprice) AS lo, avg(p_retailprice) AS price, max(p_retailprice) AS hi FROM part WHERE p_size > 45 GROUP BY 1, 2)
+SELECT owner, round(sum(CASE WHEN currency = 'USD' AND lo IS NOT NULL THEN lo * quantity ELSE 0 END), 4) + 0.0 AS lo, round(sum(CASE WHEN currency = 'USD' AND lo IS NOT NULL THEN hi * quantity ELSE 0 END), 4) + 0.0 AS hi, count(*) FILTER (WHERE currency = 'USD' AND lo IS NOT NULL) AS covered, count(*) FILTER (WHERE NOT (currency = 'USD' AND lo IS NOT NULL)) AS left_out FROM holdings LEFT JOIN c USING (category, set_name) GROUP BY 1""")
+def portfolio_cone(spark: SparkSession, d: str) -> DataFrame:
+    c = b.table(spark, d, "part").where("p_size > 45").groupBy(F.col("p_type").alias("category"), F.col("p_brand").alias("set_name")).agg(F.min("p_retailprice").alias("lo"), F.avg("p_retailprice").alias("price"), F.max("p_retailprice").alias("hi"))
+    return rounded(serve.portfolio_cone(b.holdings(spark, d), c, ["owner"], ["category", "set_name"], "USD").drop("price"), 4)
+
+
+@query()
+def shadow_walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    from marketloom.plans.lab_queries import _cells
+
+    return rounded(serve.shadow_walk_forward(_cells(spark, d), ["series"], ["no_change", "momentum", "reversal"]).select("horizon", "n", "mae_log", "coverage_80", "recommendation"))
+
+
+@query()
+def private_trend_and_baseline(spark: SparkSession, d: str) -> DataFrame:
+    days = F.explode(F.array(F.lit("2024-01-19 00:00:00").cast("timestamp")))
+    return rounded(serve.private_trend_and_baseline(b.observations(spark, d), spark.range(1).select(days.alias("origin")), ["series"], (7, 30)))
+
+
+@query()
+def descriptive_candidate(spark: SparkSession, d: str) -> DataFrame:
+    from marketloom.plans.lab_queries import _snapshots
+
+    s = serve.descriptive_candidate(_snapshots(spark, d))
+    return s.select("origin", "series", F.array_join("drivers", ",").alias("drivers"), F.array_join("reasons", ",").alias("reasons"))
+

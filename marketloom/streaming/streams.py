@@ -76,6 +76,43 @@ def outlier_stream(stream: DataFrame, **policy: float) -> DataFrame:
     return stream.select("series", "observed_at", "available_at", "price", "id").groupBy("series").transformWithStateInPandas(OutlierGate(**policy), "series long, id long, status string", "Append", "None")
 
 
+class AlertState(StatefulProcessor):
+    """Compares each watch entry with its last baseline, and keeps the newest as the next."""
+
+    def __init__(self, move: float = 0.10) -> None:
+        self.move = move
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "price double, currency string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows)).sort_values("at")
+        price, currency = self.last.get() if self.last.exists() else (None, None)
+        out = []
+        for at, now, unit, target in zip(pdf["at"], pdf["price"], pdf["currency"], pdf["target"], strict=True):
+            now = None if pd.isna(now) else float(now)
+            if price is None and now is not None:
+                out.append((key[0], at, "new_price"))
+            elif price is not None and now is None:
+                out.append((key[0], at, "unpriced"))
+            elif price is not None and unit == currency:
+                if price < target <= now:
+                    out.append((key[0], at, "target_crossed"))
+                if abs(now / price - 1) >= self.move:
+                    out.append((key[0], at, "moved"))
+            price, currency = now, unit
+        self.last.update((price, currency))
+        yield pd.DataFrame(out, columns=["key", "at", "alert"])
+
+    def close(self) -> None:
+        pass
+
+
+def alert_stream(stream: DataFrame, move: float = 0.10) -> DataFrame:
+    """(key, at, alert) from rows (key, at, price, currency, target): needs the RocksDB state store."""
+    return stream.select("key", "at", "price", "currency", "target").groupBy("key").transformWithStateInPandas(AlertState(move), "key long, at timestamp, alert string", "Append", "None")
+
+
 def first_seen_stream(stream: DataFrame, delay: str = "30 days") -> DataFrame:
     """The first row of each id within the watermark's reach."""
     return stream.withWatermark("available_at", delay).dropDuplicatesWithinWatermark(["id"])

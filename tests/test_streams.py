@@ -61,6 +61,18 @@ def test_outlier_stream_equals_batch(spark, tmp_path):
     assert {(r["id"], r["status"]) for r in got.collect()} == {(r["id"], r["status"]) for r in want.select("id", "status").collect()}
 
 
+def test_alert_stream(spark, tmp_path):
+    at = lambda d: dt.datetime(2024, 1, d)
+    rows = [(1, at(1), 10.0, "USD", 12.0), (1, at(2), 10.5, "USD", 12.0), (1, at(3), 12.5, "USD", 12.0), (1, at(4), 20.0, "EUR", 12.0), (1, at(5), None, "EUR", 12.0)]
+    frame = spark.createDataFrame(rows, "key long, at timestamp, price double, currency string, target double")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = run(spark, frame, str(tmp_path), streams.alert_stream)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted((r["at"].day, r["alert"]) for r in got.collect()) == [(1, "new_price"), (3, "moved"), (3, "target_crossed"), (5, "unpriced")]
+
+
 def test_upsert_sink_replaces_rows_and_can_be_run_again(spark, tmp_path):
     path = str(tmp_path / "t")
     write = streams.upsert_sink(spark, path, ["k"])
