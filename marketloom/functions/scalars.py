@@ -275,3 +275,9 @@ def legacy_log_price(intercept: float, cost_weight: float, scale: float, desirab
 
 def publication_eligibility(decision: Column, active: Column, reviewed: Column, expires: Column, usage: Column, at: Column) -> Column:
     return F.coalesce((decision == "approved") & active & (reviewed <= at) & (at < expires) & usage, F.lit(False))
+
+
+def array_median(values: Column) -> Column:
+    """Median of an array without nulls, null for an empty one."""
+    s, n = F.array_sort(values), F.size(values)
+    return F.when(n > 0, (F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, F.floor(n / 2).cast("int") + 1)) / 2)

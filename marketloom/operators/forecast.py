@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.scalars import clamp, horizon_steps
+from marketloom.functions.scalars import array_median, clamp, horizon_steps
 from marketloom.operators.index import cohort_return
 from marketloom.operators.stats import mad_volatility, tercile_bucket  # noqa: F401  mad_volatility: daily form, re-exported
-from marketloom.operators.windows import level_reversion, step_returns
 
 CAP = 0.70
 QUANTILES = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
@@ -88,25 +87,35 @@ def trajectory_forecast(panel: DataFrame, keys: list[str], index: DataFrame, hor
     """
     trend = damped_trend(index.where("level = 'group'"), ["category", "grp"], "t", "idx")
     last_trend = trend.groupBy("category", "grp").agg(F.max_by("trend", "t").alias("trend"))
-    steps = step_returns(panel, keys)
-    drift = theta_drift(steps, keys, "t", "r")
-    centre = steps.withColumn("__c", F.percentile("r", 0.5).over(Window.partitionBy(*keys)))
-    mad = centre.groupBy(*keys).agg((1.4826 * F.percentile(F.abs(F.col("r") - F.col("__c")), 0.5)).alias("mad"))
-    logs = level_reversion(steps.withColumn("y", F.log("price")), keys, "t", "y")
-    now = logs.groupBy(*keys).agg(F.max_by(F.struct("price", "y", "reversion", "t"), "t").alias("x"), F.count("r").alias("n"), F.max("t").alias("last_t"))
-    base = now.join(drift.select(*keys, "drift"), keys, "left").join(mad, keys, "left").join(last_trend, ["category", "grp"], "left")
+    # a series has as many points as the panel has dates: one array for each holds all that its own forecast needs
+    series = panel.where("price > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", F.log("price").alias("y"), "price"))).alias("p"))
+    series = series.withColumns({"r": F.expr("zip_with(slice(p, 2, greatest(size(p) - 1, 0)), slice(p, 1, greatest(size(p) - 1, 0)), (b, a) -> (b.y - a.y) / (b.t - a.t))"), "x": F.try_element_at("p", F.lit(-1))})
+    series = series.withColumns({"n": F.size("r"), "c": array_median(F.col("r")), "near": F.expr("transform(filter(p, z -> z.t > x.t - 13), z -> z.y)")})
+    smoothed = F.aggregate(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), F.get("r", F.lit(0)), lambda acc, x: ALPHA * x + (1 - ALPHA) * acc)
+    base = series.select(
+        *keys,
+        "n",
+        F.col("x.price").alias("price"),
+        F.col("x.t").alias("last_t"),
+        "r",
+        (1.4826 * array_median(F.transform("r", lambda v: F.abs(v - F.col("c"))))).alias("mad"),
+        F.when(F.col("n") > 0, smoothed * F.col("n") / (F.col("n") + 8.0)).alias("drift"),
+        F.when(F.size("near") >= 2, array_median(F.col("near")) - F.col("x.y")).alias("reversion"),
+    )
+    base = tercile_bucket(base, ["category"], "mad")
     # residual of each known step against the series' own drift, in units of its spread
-    resid = steps.join(drift.select(*keys, "drift"), keys).join(mad, keys).where("r is not null").select(*keys, ((F.col("r") - drift_weight * F.col("drift")) / F.greatest("mad", F.lit(MAD_FLOOR))).alias("standardized"))
-    buckets = tercile_bucket(base, ["category"], "mad").select(*keys, "bucket")
-    offsets = conformal_offsets(resid.join(buckets, keys), ["category", "bucket"]).withColumnsRenamed({q: f"o_{q}" for q in QUANTILES})
+    scaled = F.transform("r", lambda v: (v - drift_weight * F.col("drift")) / F.greatest(F.col("mad"), F.lit(MAD_FLOOR)))
+    resid = base.select("category", "bucket", F.explode(scaled).alias("standardized"))
+    offsets = conformal_offsets(resid, ["category", "bucket"]).withColumnsRenamed({q: f"o_{q}" for q in QUANTILES})
+    base = base.drop("r").join(last_trend, ["category", "grp"], "left")
     newest = panel.agg(F.max("t").alias("newest"))
-    j = base.join(buckets, keys).join(offsets, ["category", "bucket"], "left").join(F.broadcast(newest))
+    j = base.join(offsets, ["category", "bucket"], "left").join(F.broadcast(newest))
     j = j.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("steps", F.col("horizon") / step_days)
-    move = F.coalesce(damped_delta(F.col("trend"), F.col("steps")), F.lit(0.0)) + reversion_weight * F.coalesce("x.reversion", F.lit(0.0)) + drift_weight * F.coalesce("drift", F.lit(0.0)) * F.col("steps")
+    move = F.coalesce(damped_delta(F.col("trend"), F.col("steps")), F.lit(0.0)) + reversion_weight * F.coalesce("reversion", F.lit(0.0)) + drift_weight * F.coalesce("drift", F.lit(0.0)) * F.col("steps")
     spread = F.greatest(F.coalesce("mad", F.lit(MAD_FLOOR)), F.lit(MAD_FLOOR)) * F.sqrt("steps")
     default = {q: (p - 0.5) * 2 for q, p in QUANTILES.items()}
     tier = confidence_tier(F.col("mad"), F.col("n"), (F.col("newest") - F.col("last_t")) * step_days / 7.0)
-    return j.select(*keys, "horizon", tier.alias("tier"), *[(F.col("x.price") * F.exp(move + F.coalesce(f"o_{q}", F.lit(default[q])) * spread)).alias(q) for q in QUANTILES])
+    return j.select(*keys, "horizon", tier.alias("tier"), *[(F.col("price") * F.exp(move + F.coalesce(f"o_{q}", F.lit(default[q])) * spread)).alias(q) for q in QUANTILES])
 
 
 def origin_blocks(df: DataFrame, at: str, train: float = 0.6, embargo: int = 1) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.scalars import clamp, fold_of, freshness_score, normal_cdf
+from marketloom.functions.scalars import array_median, clamp, fold_of, freshness_score, normal_cdf
 from marketloom.operators.market import Z
 from marketloom.operators.pit import point_in_time_many
 from marketloom.operators.regress import coefficients, predicted
@@ -29,21 +29,15 @@ def trend_snapshot(obs: DataFrame, origins: DataFrame, keys: list[str], max_lag_
     last = F.try_element_at("p", F.lit(-1))
     series = series.withColumn("last", last).withColumns({f"p{d}": F.expr(f"filter(p, x -> x.t >= last.t - {d})") for d in (30, 90, 180)})
 
-    def middle(values: Column) -> Column:
-        """Median of an array, null for an empty one."""
-        s = F.array_sort(values)
-        n = F.size(s)
-        return F.when(n > 0, (F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, F.floor(n / 2).cast("int") + 1)) / 2)
-
     def slope(p: str) -> Column:
-        return middle(F.expr(f"flatten(transform({p}, a -> transform(filter({p}, b -> b.t > a.t), b -> (b.y - a.y) / (b.t - a.t))))"))
+        return array_median(F.expr(f"flatten(transform({p}, a -> transform(filter({p}, b -> b.t > a.t), b -> (b.y - a.y) / (b.t - a.t))))"))
 
     def steps(p: str) -> str:
         return f"zip_with(slice({p}, 2, greatest(size({p}) - 1, 0)), slice({p}, 1, greatest(size({p}) - 1, 0)), (b, a) -> (b.y - a.y) / sqrt(b.t - a.t))"
 
     series = series.withColumns({"s30": slope("p30"), "s90": slope("p90"), "r90": F.expr(steps("p90")), "r30": F.expr(steps("p30"))})
-    series = series.withColumns({"m90": middle(F.col("r90")), "m30": middle(F.col("r30"))})
-    vol = lambda n: 1.4826 * middle(F.expr(f"transform(r{n}, x -> abs(x - m{n}))"))
+    series = series.withColumns({"m90": array_median(F.col("r90")), "m30": array_median(F.col("r30"))})
+    vol = lambda n: 1.4826 * array_median(F.expr(f"transform(r{n}, x -> abs(x - m{n}))"))
     back = lambda h: F.expr(f"try_element_at(filter(p, x -> x.t <= last.t - {h}), -1)")
 
     def change(h: int) -> Column:
@@ -64,7 +58,7 @@ def trend_snapshot(obs: DataFrame, origins: DataFrame, keys: list[str], max_lag_
         drawdown.alias("max_drawdown_180d"),
         density.alias("density_90d"),
         F.greatest(F.lit(0.0), (F.unix_micros("origin") / 1e6 / DAY - F.col("last.t")) * 24).alias("staleness_hours"),
-        middle(F.expr("transform(p90, x -> x.q)")).alias("source_quality_90d"),
+        array_median(F.expr("transform(p90, x -> x.q)")).alias("source_quality_90d"),
         F.size("p90").alias("observations_90d"),
     )
     out = out.withColumn("evidence_quality", F.least("density_90d", "source_quality_90d", freshness_score(F.col("staleness_hours"))))
