@@ -8,7 +8,8 @@ of text to tags is smoothed over neighbouring lines by a Gaussian kernel, and a
 two-means clustering of the page's smoothed ratios, selects content lines; runs of content lines form
 regions. Where a page marks its article (<article>, <main>, role=main), the region is that element: all
 its lines that are not furniture are kept, short ones included, and nothing outside. Pages without
-such a mark keep the selected regions with the short lines inside them.
+such a mark are cut at the innermost element that holds nine tenths of the content lines' text, or, where only the body does,
+keep the selected regions with the short lines inside them.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by a
 line feed. Null and empty pages, and pages without text, give an empty text. Unclosed tags end with
@@ -45,10 +46,12 @@ ENDS_P = BLOCK - {"br"}
 
 
 class Line:
-    __slots__ = ("text", "tags", "furniture", "article")
+    """within: the elements that the line stands in, outermost first, html and body left out."""
 
-    def __init__(self, text: str, tags: int, furniture: bool, article: bool) -> None:
-        self.text, self.tags, self.furniture, self.article = text, tags, furniture, article
+    __slots__ = ("text", "tags", "furniture", "article", "within")
+
+    def __init__(self, text: str, tags: int, furniture: bool, article: bool, within: list[int]) -> None:
+        self.text, self.tags, self.furniture, self.article, self.within = text, tags, furniture, article, within
 
 
 class LineParser(HTMLParser):
@@ -57,18 +60,19 @@ class LineParser(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, silent, furniture, article
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, silent, furniture, article, number
+        self.count = 0
         self.parts: list[str] = []
         self.tags = 0
 
     def state(self) -> tuple[bool, bool, bool]:
-        return self.stack[-1][1:] if self.stack else (False, False, False)
+        return self.stack[-1][1:4] if self.stack else (False, False, False)
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             _, furniture, article = self.state()
-            self.lines.append(Line(text, self.tags, furniture, article))
+            self.lines.append(Line(text, self.tags, furniture, article, [] if article else [x[4] for x in self.stack if x[0] not in ("html", "body")]))
             self.tags = 0
         self.parts = []
 
@@ -77,7 +81,7 @@ class LineParser(HTMLParser):
             self.end_line()
         self.tags += 1
         if tag in ENDS_P and any(t[0] == "p" for t in self.stack):
-            self.close("p")  # a paragraph ends where another block begins
+            self.close_tag("p")  # a paragraph ends where another block begins
         if tag in VOID:
             return
         silent, furniture, article = self.state()
@@ -87,12 +91,13 @@ class LineParser(HTMLParser):
         named = tag not in ("html", "body", "article", "main") and not marks.isdisjoint(FURNITURE_WORDS)
         hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in (own.get("style") or "").replace(" ", "")
         furniture |= tag in FURNITURE or named or (tag == "header" and not article) or (tag == "article" and article and "comment" in marks)
-        self.stack.append((tag, silent or tag in SILENT or hidden, furniture, article or main))
+        self.count += 1
+        self.stack.append((tag, silent or tag in SILENT or hidden, furniture, article or main, self.count))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
-    def close(self, tag: str) -> None:
+    def close_tag(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 del self.stack[k:]
@@ -105,7 +110,7 @@ class LineParser(HTMLParser):
             self.end_line()
         self.tags += 1
         if tag not in VOID:
-            self.close(tag)
+            self.close_tag(tag)
 
     def handle_data(self, data: str) -> None:
         if not self.state()[0]:
@@ -115,7 +120,7 @@ class LineParser(HTMLParser):
 def lines_of(html: str) -> list[Line]:
     parser = LineParser()
     parser.feed(html)
-    HTMLParser.close(parser)
+    parser.close()
     parser.end_line()
     return parser.lines
 
@@ -143,23 +148,36 @@ def threshold(ratios: np.ndarray) -> float:
     return float(np.expm1((lo + hi) / 2))
 
 
+def container(lines: list[Line], high: list[bool], share: float = 0.9) -> int | None:
+    """The innermost element that holds at least `share` of the content lines' text, if there is one inside the body."""
+    weight: dict[int, int] = {}
+    depth: dict[int, int] = {}
+    total = 0
+    for x, h in zip(lines, high, strict=True):
+        if h:
+            total += len(x.text)
+            for d, e in enumerate(x.within):
+                weight[e] = weight.get(e, 0) + len(x.text)
+                depth[e] = d
+    held = [e for e, w in weight.items() if w >= share * total]
+    return max(held, key=depth.__getitem__) if held else None
+
+
 def main_text(html: str, sigma: float = SIGMA) -> str:
     lines = lines_of(html)
     if not lines:
         return ""
-    ratios = smoothed_ratios(lines, sigma)
     if any(x.article and not x.furniture for x in lines):
-        chosen = [x.text for x in lines if x.article and not x.furniture]
-    else:
-        cut = threshold(ratios)
-        high = [r >= cut and not x.furniture for x, r in zip(lines, ratios, strict=True)]
-        places = [i for i, h in enumerate(high) if h]
-        chosen = []
-        if places:
-            # short lines between two content lines of one region stay
-            near = {j for a, b in zip(places, places[1:], strict=False) if b - a <= 3 for j in range(a, b)} | set(places)
-            chosen = [lines[i].text for i in sorted(near) if not lines[i].furniture]
-    return "\n".join(chosen)
+        return "\n".join([x.text for x in lines if x.article and not x.furniture])
+    ratios = smoothed_ratios(lines, sigma)
+    cut = threshold(ratios)
+    high = [r >= cut and not x.furniture for x, r in zip(lines, ratios, strict=True)]
+    if (region := container(lines, high)) is not None and sum(high) > 1:
+        return "\n".join([x.text for x in lines if region in x.within and not x.furniture])
+    places = [i for i, h in enumerate(high) if h]
+    # short lines between two content lines of one region stay
+    near = {j for a, b in zip(places, places[1:], strict=False) if b - a <= 3 for j in range(a, b)} | set(places)
+    return "\n".join([lines[i].text for i in sorted(near) if not lines[i].furniture])
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

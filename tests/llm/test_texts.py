@@ -112,6 +112,12 @@ def test_html_without_marks():
     assert html_text.main_text(page).split("\n").count(long.strip()) == 3 and "short." in html_text.main_text(page)
 
 
+def test_html_container_keeps_short_ends():
+    long = "several words of prose that go on " * 6
+    page = f"<body><ul><li><a>a</a><li><a>b</a></ul><table><tr><td><div id=main-text><h1>T</h1><p>x<p>{long}<p>{long}<p>y<p>{long}<p>end</div></td><td>links</td></tr></table><div>imprint</div>"
+    assert html_text.main_text(page).split("\n") == ["T", "x", long.strip(), long.strip(), "y", long.strip(), "end"]
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "</p></p>", "<p>" * 5000, "&#x110000; &bogus; &amp", "<!-- x", "<![CDATA[x]]>", "plain"])
 def test_html_never_breaks(page):
     assert isinstance(html_text.main_text(page or ""), str)
