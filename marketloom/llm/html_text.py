@@ -8,9 +8,13 @@ of text to tags is smoothed over neighbouring lines by a Gaussian kernel, and a
 two-means clustering of the page's smoothed ratios, selects content lines; runs of content lines form
 regions. Where a page marks its article (<article>, <main>, role=main), the region is that element: all
 its lines that are not furniture are kept, short ones included, and nothing outside. Pages without
-such a mark are cut at the innermost element that holds nine tenths of the content lines' text, or, where only the body does,
+such a mark are cut at the innermost element that holds nine tenths of the content lines' text, or, where only the body holds them,
 keep the selected regions with the short lines inside them.
 
+Class, id and role mark furniture by whole names, compounds of such words with neutral ones included (cookie-notice,
+site-header), but not headings nor headers inside an article. A form or named element that holds over half of
+the article text and began before the article, or over half of the text of a page without such a mark, is layout.
+
 Character references are decoded, white space in a block becomes one space, blocks are joined by a
 line feed. Null and empty pages, and pages without text, give an empty text. Unclosed tags end with
 their parent. Repeated rows are extracted independently.
@@ -42,16 +46,27 @@ BLOCK = frozenset(
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related respond sharing share sidebar signup social sponsor sponsored subscribe toolbar widget navigation contentinfo complementary search alert reply replies".split()
 )
+#: Words that don't change what a name marks.
+NEUTRAL_WORDS = frozenset("area bar block box button buttons container content global inner item items left link links list main outer page right section site top bottom wrap wrapper".split())
+#: Names of what readers wrote, which may be longer than the page's own text.
+READERS = frozenset("comment comments disqus respond reply replies".split())
 ENDS_P = BLOCK - {"br"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Line:
-    """within: the elements that the line stands in, outermost first, html and body left out."""
+    """article: the number of the innermost article or main, or 0. soft: the forms and named elements that the line stands in.
+    within: the elements that the line stands in, outermost first, html and body left out."""
+
+    __slots__ = ("text", "tags", "furniture", "article", "within", "soft", "heading")
+
+    def __init__(self, text: str, tags: int, furniture: bool, article: int, within: list[int], soft: tuple[int, ...], heading: bool) -> None:
+        self.text, self.tags, self.furniture, self.article, self.within, self.soft, self.heading = text, tags, furniture, article, within, soft, heading
 
-    __slots__ = ("text", "tags", "furniture", "article", "within")
 
-    def __init__(self, text: str, tags: int, furniture: bool, article: bool, within: list[int]) -> None:
-        self.text, self.tags, self.furniture, self.article, self.within = text, tags, furniture, article, within
+def marks_furniture(name: str) -> bool:
+    parts = set(re.findall("[a-z]+", name))
+    return not parts.isdisjoint(FURNITURE_WORDS) and parts <= FURNITURE_WORDS | NEUTRAL_WORDS
 
 
 class LineParser(HTMLParser):
@@ -60,19 +75,22 @@ class LineParser(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, silent, furniture, article, number
+        self.stack: list[tuple[str, bool, bool, int, tuple[int, ...], int]] = []  # tag, silent, furniture, article, soft, number
+        self.forms: set[int] = set()
+        self.readers: set[int] = set()
         self.count = 0
         self.parts: list[str] = []
         self.tags = 0
 
-    def state(self) -> tuple[bool, bool, bool]:
-        return self.stack[-1][1:4] if self.stack else (False, False, False)
+    def state(self) -> tuple[bool, bool, int, tuple[int, ...]]:
+        return self.stack[-1][1:5] if self.stack else (False, False, 0, ())
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, furniture, article = self.state()
-            self.lines.append(Line(text, self.tags, furniture, article, [] if article else [x[4] for x in self.stack if x[0] not in ("html", "body")]))
+            _, furniture, article, soft = self.state()
+            heading = any(x[0] in HEADINGS for x in self.stack[-3:])
+            self.lines.append(Line(text, self.tags, furniture, article, [] if article else [x[5] for x in self.stack if x[0] not in ("html", "body")], soft, heading))
             self.tags = 0
         self.parts = []
 
@@ -84,15 +102,23 @@ class LineParser(HTMLParser):
             self.close_tag("p")  # a paragraph ends where another block begins
         if tag in VOID:
             return
-        silent, furniture, article = self.state()
+        silent, furniture, article, soft = self.state()
         own = dict(attrs)
-        marks = set(re.findall("[a-z]+", " ".join(own.get(k) or "" for k in ("class", "id", "role")).lower())) if own else set()
+        names = " ".join(own.get(k) or "" for k in ("class", "id", "role")).lower().split() if own else []
         main = tag in ("article", "main") or own.get("role") == "main"
-        named = tag not in ("html", "body", "article", "main") and not marks.isdisjoint(FURNITURE_WORDS)
+        free = tag in ("html", "body", "article", "main") or tag in HEADINGS or (tag == "header" and article)
+        named = [] if free else [x for x in names if marks_furniture(x)]
         hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in (own.get("style") or "").replace(" ", "")
-        furniture |= tag in FURNITURE or named or (tag == "header" and not article) or (tag == "article" and article and "comment" in marks)
+        comment = tag == "article" and (article or soft) and any("comment" in re.findall("[a-z]+", x) for x in names)
+        furniture |= (tag in FURNITURE and tag != "form") or (tag == "header" and not article) or bool(comment)
         self.count += 1
-        self.stack.append((tag, silent or tag in SILENT or hidden, furniture, article or main, self.count))
+        if named or tag == "form":
+            soft = (*soft, self.count)
+            if tag == "form":
+                self.forms.add(self.count)
+            if any(not READERS.isdisjoint(re.findall("[a-z]+", x)) for x in named):
+                self.readers.add(self.count)
+        self.stack.append((tag, silent or tag in SILENT or hidden, furniture, self.count if main else article, soft, self.count))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -122,9 +148,24 @@ def lines_of(html: str) -> list[Line]:
     parser.feed(html)
     parser.close()
     parser.end_line()
+    settle(parser.lines, parser.forms, parser.readers)
     return parser.lines
 
 
+def settle(lines: list[Line], forms: set[int], readers: set[int]) -> None:
+    """Lines in soft elements become furniture, unless the element is layout."""
+    plain = [x for x in lines if not x.furniture]
+    marked = [x for x in plain if x.article and readers.isdisjoint(x.soft)]
+    held: dict[int, int] = {}
+    for x in marked or plain:
+        for e in x.soft:
+            if e not in readers and (not marked or e < x.article or e in forms):
+                held[e] = held.get(e, 0) + len(x.text)
+    half = sum(len(x.text) for x in marked or plain) / 2
+    for x in plain:
+        x.furniture = any(held.get(e, 0) <= half for e in x.soft)
+
+
 def smoothed_ratios(lines: list[Line], sigma: float = SIGMA) -> np.ndarray:
     """Text-to-tag ratio of each line, smoothed by a Gaussian kernel."""
     ratio = np.array([0.0 if x.furniture else len(x.text) / max(1, x.tags) for x in lines])

@@ -118,6 +118,25 @@ def test_html_container_keeps_short_ends():
     assert html_text.main_text(page).split("\n") == ["T", "x", long.strip(), long.strip(), "y", long.strip(), "end"]
 
 
+PROSE = ("several words of prose that go on " * 6).strip()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<div class="layout has-sidebar"><article><h1>T</h1><p>{PROSE}</article></div>', ["T", PROSE]),
+        (f'<div id="page-with-comments"><main><p>{PROSE}</main><div id=comments><p>nice</div></div>', [PROSE]),
+        (f'<form id=aspnetForm><nav><a>a</a></nav><article><p>{PROSE}<form>mail<input></form></article></form>', [PROSE]),
+        (f'<div class=sidebar><article><p>{PROSE}</article><article class=comment><p>nice</article></div>', [PROSE]),
+        (f'<article><header class="entry-header"><h1>T</h1></header><section id="related-work"><h2 id="search">S</h2><p>{PROSE}</section><div class="share-buttons">x</div></article>', ["T", "S", PROSE]),
+        (f'<article><p>{PROSE}<div class=comments><p>{PROSE} {PROSE} {PROSE}</div></article>', [PROSE]),
+        (f'<body><form><ul class=menu><li><a>a</a><li><a>b</a></ul><div><p>{PROSE}<p>{PROSE}<p>{PROSE}</div></form>', [PROSE] * 3),
+    ],
+)
+def test_html_layout_names_lose_nothing(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "</p></p>", "<p>" * 5000, "&#x110000; &bogus; &amp", "<!-- x", "<![CDATA[x]]>", "plain"])
 def test_html_never_breaks(page):
     assert isinstance(html_text.main_text(page or ""), str)
