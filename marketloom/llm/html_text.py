@@ -8,7 +8,8 @@ of text to tags is smoothed over neighbouring lines by a Gaussian kernel, and a
 two-means clustering of the page's smoothed ratios, selects content lines; runs of content lines form
 regions. Where a page marks its article (<article>, <main>, role=main), the region is that element: all
 its lines that are not furniture are kept, short ones included, and nothing outside. Pages without
-such a mark are cut at the innermost element that holds nine tenths of the content lines' text, or, where only the body holds them,
+such a mark are cut at the innermost element that holds nine tenths of the content lines' text, widened to its ancestors while
+they add mostly content lines or headings, and to content lines and a heading beside it, or, where only the body holds them,
 keep the selected regions with the short lines inside them.
 
 Class, id and role mark furniture by whole names, compounds of such words with neutral ones included (cookie-notice,
@@ -35,6 +36,9 @@ from marketloom.llm.common import map_arrow, slices, strings
 
 SIGMA = 1.0
 
+#: Characters of a line that can be prose beside a region.
+SENTENCE = 40
+
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math canvas iframe object audio video head title select option textarea button datalist".split())
@@ -204,6 +208,28 @@ def container(lines: list[Line], high: list[bool], share: float = 0.9) -> int |
     return max(held, key=depth.__getitem__) if held else None
 
 
+def widened(lines: list[Line], high: list[bool], strong: list[bool], region: int) -> list[int]:
+    """The lines to keep around a region: those of its ancestors while these add mostly content lines or headings,
+    then content lines at most three lines off, and a heading right before."""
+    inside = {i for i, x in enumerate(lines) if region in x.within}
+    chain = next(x.within for x in lines if region in x.within)
+    for parent in reversed(chain[: chain.index(region)]):
+        wider = {i for i, x in enumerate(lines) if parent in x.within}
+        added = [i for i in wider - inside if not lines[i].furniture]
+        good = sum(len(lines[i].text) for i in added if high[i] or lines[i].heading)
+        if added and 2 * good < sum(len(lines[i].text) for i in added):
+            break
+        inside = wider
+    lo, hi = min(inside), max(inside)
+    while (near := [i for i in range(max(0, lo - 3), lo) if strong[i]]):
+        lo = near[0]
+    while (near := [i for i in range(hi + 1, min(len(lines), hi + 4)) if strong[i]]):
+        hi = near[-1]
+    if lo and lines[lo - 1].heading and not lines[lo - 1].furniture:
+        lo -= 1
+    return [i for i in range(lo, hi + 1) if not lines[i].furniture]
+
+
 def main_text(html: str, sigma: float = SIGMA) -> str:
     lines = lines_of(html)
     if not lines:
@@ -214,7 +240,8 @@ def main_text(html: str, sigma: float = SIGMA) -> str:
     cut = threshold(ratios)
     high = [r >= cut and not x.furniture for x, r in zip(lines, ratios, strict=True)]
     if (region := container(lines, high)) is not None and sum(high) > 1:
-        return "\n".join([x.text for x in lines if region in x.within and not x.furniture])
+        strong = [h and len(x.text) >= SENTENCE for x, h in zip(lines, high, strict=True)]
+        return "\n".join([lines[i].text for i in widened(lines, high, strong, region)])
     places = [i for i, h in enumerate(high) if h]
     # short lines between two content lines of one region stay
     near = {j for a, b in zip(places, places[1:], strict=False) if b - a <= 3 for j in range(a, b)} | set(places)

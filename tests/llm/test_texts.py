@@ -137,6 +137,13 @@ def test_html_layout_names_lose_nothing(page, want):
     assert html_text.main_text(page).split("\n") == want
 
 
+@pytest.mark.parametrize("opened, closed", [("<div id=content>", "</div>"), ("", "")])
+def test_html_keeps_title_and_lead_beside_the_text(opened, closed):
+    lead = "Two sentences of lead stand here before the text. They belong to it."
+    page = f"<body><ul><li><a>a</a><li><a>b</a></ul>{opened}<h1>Title</h1><div class=lead><p>{lead}</p></div><div class=body>{f'<p>{PROSE}' * 8}</div>{closed}<ul><li><a>x</a><li><a>y</a></ul>"
+    assert html_text.main_text(page).split("\n") == ["Title", lead, *[PROSE] * 8]
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "</p></p>", "<p>" * 5000, "&#x110000; &bogus; &amp", "<!-- x", "<![CDATA[x]]>", "plain"])
 def test_html_never_breaks(page):
     assert isinstance(html_text.main_text(page or ""), str)
