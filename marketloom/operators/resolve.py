@@ -53,6 +53,39 @@ def mapping_batch(external: DataFrame, fields: list[str]) -> DataFrame:
     return external.groupBy("ext_id").agg(F.count("*").alias("copies"), F.when(F.count_distinct(signature) > 1, "conflict").when(F.count("*") > 1, "repeated").otherwise("single").alias("state"))
 
 
+def gram_keys(names: DataFrame, least: float, q: int = 3) -> DataFrame:
+    """(n, key) for each distinct name n: names with edit ratio `least` or more share a key, or one of them has the null key.
+
+    Such names are d = (1 - least) / least x length edits apart at most, and an edit changes q grams at most, so the q d + 1
+    rarest grams of the two have one in common. Names with fewer grams than that have the null key; without room for an edit the name is the key.
+    """
+    edits = F.floor(F.length("n") * ((1 - least) / least) + 1e-9).cast("int")
+    n = names.select("n", edits.alias("edits")).distinct()
+    starts = F.when(F.length("n") >= q, F.sequence(F.lit(1), F.length("n") - q + 1)).otherwise(F.array().cast("array<int>"))
+    grams = n.where("edits > 0").select("n", "edits", F.explode_outer(F.array_distinct(F.transform(starts, lambda i: F.col("n").substr(i, F.lit(q))))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("c"))
+    own = grams.join(counts, "gram", "left").groupBy("n", "edits").agg(F.array_sort(F.collect_list(F.when(F.col("gram").isNotNull(), F.struct("c", "gram")))).alias("x"))
+    rare = F.when(F.size("x") > F.col("edits") * q, F.slice("x", F.lit(1), F.col("edits") * q + 1)["gram"]).otherwise(F.array(F.lit(None).cast("string")))
+    return own.select("n", F.explode(rare).alias("key")).union(n.where("edits = 0").select("n", F.col("n").alias("key")))
+
+
+def near_names(g: DataFrame, s: DataFrame, least: float, days: int) -> DataFrame:
+    """(group_id, set_id, score) of names with edit ratio `least` or more in one category, `days` days apart at most.
+
+    Pairs meet on category, cell of days and a key of gram_keys, not on category and cell alone.
+    """
+    keys = gram_keys(g.select("n").union(s.select(F.col("sn").alias("n"))), least)
+    cell = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / days)
+    left = g.join(keys, "n").withColumn("cell", F.explode(F.array(cell(F.col("d")) - 1, cell(F.col("d")), cell(F.col("d")) + 1)))
+    right = s.join(keys.withColumnRenamed("n", "sn"), "sn").withColumn("cell", cell(F.col("sd")))
+    pairs = left.where("key is not null").join(right.where("key is not null"), ["category", "cell", "key"]).drop("key")
+    every = lambda x: x.drop("key").distinct()
+    # names too short or too repetitive for keys meet all others
+    odd = every(left.where("key is null")).join(every(right), ["category", "cell"]).unionByName(every(left.where("key is not null")).join(every(right.where("key is null")), ["category", "cell"]))
+    near = pairs.unionByName(odd).where(F.abs(F.datediff("d", "sd")) <= days).select("group_id", "set_id", "n", "sn").distinct()
+    return near.withColumn("score", edit_ratio(F.col("n"), F.col("sn"))).where(F.col("score") >= least).select("group_id", "set_id", "score")
+
+
 def match_sets(groups: DataFrame, sets: DataFrame, least: float = 0.88, days: int = 45, margin: float = 0.02) -> DataFrame:
     """(group_id, method, set_id): exact name, then abbreviation, then similar name near in date; more than one at a tier
     is ambiguous and ends the search. Both sides have category, id, name, code, day."""
@@ -62,10 +95,7 @@ def match_sets(groups: DataFrame, sets: DataFrame, least: float = 0.88, days: in
         g.join(s, (g["category"] == s["category"]) & (F.col("n") == F.col("sn"))).select("group_id", "set_id", F.lit(1).alias("tier"), F.lit(1.0).alias("score")),
         g.join(s, (g["category"] == s["category"]) & (F.col("c") == F.col("sc"))).select("group_id", "set_id", F.lit(2).alias("tier"), F.lit(1.0).alias("score")),
     ]
-    # similar names are compared only within a category and a cell of days
-    cell = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / days)
-    near = g.withColumn("cell", F.explode(F.array(cell(F.col("d")) - 1, cell(F.col("d")), cell(F.col("d")) + 1))).join(s.withColumn("cell", cell(F.col("sd"))), ["category", "cell"]).where(F.abs(F.datediff("d", "sd")) <= days)
-    tiers.append(near.withColumn("score", edit_ratio(F.col("n"), F.col("sn"))).where(F.col("score") >= least).select("group_id", "set_id", F.lit(3).alias("tier"), "score"))
+    tiers.append(near_names(g, s, least, days).select("group_id", "set_id", F.lit(3).alias("tier"), "score"))
     every = tiers[0].union(tiers[1]).union(tiers[2])
     w = Window.partitionBy("group_id")
     first = every.withColumn("first", F.min("tier").over(w)).where("tier = first").withColumn("best", F.max("score").over(w)).where(F.col("score") >= F.col("best") - margin)
