@@ -45,7 +45,7 @@ PATTERN_RULES: tuple[PatternRule, ...] = (
     PatternRule(r"://([^/?#]*[.-])?bets[.-]", ("bets",), "block"),
     PatternRule(r"://([^/?#]*[.-])?porn[.-]", ("porn",), "block"),
     PatternRule(r"://([^/?#]*[.-])?xxx[.-]", ("xxx",), "block"),
-    PatternRule(r"://[^?#]*/wp-login\.php", ("wp", "login", "php"), "block"),
+    PatternRule(r"://[^?#]*/wp-login\.php", ("wp", "login"), "block"),
     PatternRule(r"://[^?#]*/(cart|checkout)/[^?#]*\?session=", ("session",), "block"),
 )
 

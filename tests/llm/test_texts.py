@@ -183,6 +183,12 @@ def test_index_runs_few_rules_and_misses_none(spark):
     assert {i: v for i, (v, _) in got.items()} == want and got[2][1] == 0 and got[3][1] == 0
 
 
+def test_a_rule_without_an_end_does_not_depend_on_other_urls(spark):
+    urls = ["http://a.net/wp-login.php7", "http://a.net/wp-login.phpx", *[f"http://b.net/wp-login/{i}" for i in range(5)]]  # php is the rarest token
+    df = frame(spark, list(enumerate(urls)), "page_id long, url string")
+    assert {x["page_id"] for x in url_filter.filter_urls(df).collect() if x["verdict"] == "block"} == {0, 1}
+
+
 def test_pack_against_brute_force():
     r = random.Random(8)
     for _ in range(200):
