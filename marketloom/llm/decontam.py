@@ -18,7 +18,6 @@ none. Repeated rows each get a row. Items that share an item_id count once. A nu
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import keyed_texts, map_arrow, slices, utf8
+from marketloom.llm.common import bounded, keyed_texts, map_arrow, only, slices, utf8
 
 WINDOW, RAREST, BLOCK_BYTES = 10, 2, 16_000_000
 
@@ -132,6 +131,8 @@ def block_hits(docs: DataFrame, named: list[tuple[str, list[bytes]]], window: in
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("item", "shift")).alias("aligned"))
     )
+    # alignments are few beside texts: counted, and sent to the texts where they are; otherwise both are shuffled
+    aligned = bounded(aligned, F.size("aligned"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -164,12 +165,14 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
         yield [x for x in sorted(found) if x[1]]
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, starts, ends (word ranges that windows cover, apart and in order), items."""
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST, block_bytes: int = BLOCK_BYTES, keys: bool = False) -> DataFrame:
+    """doc_id, n_words, starts, ends (word ranges that windows cover, apart and in order), items; with `keys` also k1 and
+    k2, which name a document by id and text."""
+    gone = () if keys else ("k1", "k2")
     docs = keyed_texts(documents)
     parts = [block_hits(docs, block, window, rarest) for block in item_blocks(benchmark, block_bytes)]
     if len(parts) == 1:
-        return parts[0].drop("k1", "k2")
+        return parts[0].drop(*gone)
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
@@ -186,14 +189,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
             ).otherwise(F.concat(acc, F.array(x))),
         ),
     )
-    return merged.select("doc_id", "n_words", F.col("runs.starts").alias("starts"), F.col("runs.ends").alias("ends"), "items", F.explode(F.sequence(F.lit(1), (F.col("rows") / len(parts)).cast("int"))).alias("copy")).drop("copy")
+    return merged.select("doc_id", "k1", "k2", "n_words", F.col("runs.starts").alias("starts"), F.col("runs.ends").alias("ends"), "items", F.explode(F.sequence(F.lit(1), (F.col("rows") / len(parts)).cast("int"))).alias("copy")).drop("copy", *gone)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that hold no benchmark window. Rows that repeat a doc_id share its verdict."""
-    hit = contamination(documents, benchmark, window).where(F.size("starts") > 0).select(F.col("doc_id").alias("__hit")).distinct()
-    return documents.join(hit, documents["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
-
-
-def sha256_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    """The documents that hold no benchmark window, judged by doc_id and text together. An empty table of items keeps all."""
+    hit = contamination(documents, benchmark, window, keys=True).where(F.size("starts") > 0).select(F.col("doc_id").alias("__id"), F.col("k2").alias("__key")).distinct()
+    return only(documents, bounded(hit), how="left_anti")

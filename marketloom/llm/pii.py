@@ -332,7 +332,3 @@ def find(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
 
     spans = "array<struct<kind:string,start:int,end:int>>"
     return map_arrow(kept, run, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + f", base {spans}, spans {spans}")
-
-
-def base_digest(spans: list[Span]) -> str:
-    return hashlib.sha256(listed(spans).encode()).hexdigest()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, map_arrow, slices, utf8
+from marketloom.llm.common import content_key, cut, map_arrow, only, slices, utf8
 from marketloom.llm.graph import components
 
 BLOCKS, DISTANCE, WORDS, CHUNK = 7, 4, 4, 20_000
@@ -154,20 +154,26 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, c
     return map_arrow(dealt, run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE, blocks: int = BLOCKS, words: int = WORDS, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, fp long, component_id: the smallest doc_id reachable over links, itself included."""
-    ids = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    docs = cut(fingerprints(ids, words=words))
-    classes = docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+def labelled(df: DataFrame, text: str, doc_id: str, distance: int, blocks: int, words: int, chunk: int) -> DataFrame:
+    """doc_id, key (content key), fp, first: (no id, doc_id, key) of the component's first document."""
+    ids = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), content_key(F.col(text)).alias("key"))
+    docs = cut(fingerprints(ids, keep=("doc_id", "key"), words=words))
+    classes = docs.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
     found = components(near_links(docs, distance, blocks, chunk)).withColumnRenamed("node", "fp")
     # only linked fingerprints have a component; the others are alone
-    named = found.join(classes, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    linked = found.join(named, "component").select("fp", "component_id")
-    reps = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return docs.join(reps, "fp").select("doc_id", "fp", "component_id")
+    named = found.join(classes, "fp").groupBy("component").agg(F.min("first").alias("least"))
+    linked = found.join(named, "component").select("fp", "least")
+    reps = classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    return docs.join(reps, "fp").select("doc_id", "key", "fp", "first")
+
+
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE, blocks: int = BLOCKS, words: int = WORDS, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, fp long, component_id: the smallest doc_id reachable over links, itself included."""
+    return labelled(df, text, doc_id, distance, blocks, words, chunk).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
-def keep_one(df: DataFrame, **options) -> DataFrame:
-    """The rows of df whose document is its component's smallest doc_id. df has doc_id and text."""
-    found = near_duplicates(df, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return df.join(found, df["doc_id"].eqNullSafe(found["__kept"]), "left_semi")
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE, blocks: int = BLOCKS, words: int = WORDS, chunk: int = CHUNK) -> DataFrame:
+    """The rows of df whose document, by doc_id and text together, is the first of its component: least doc_id, null
+    last, then least hash of the text. Rows that repeat it are the same document and stay with it."""
+    first = labelled(df, text, doc_id, distance, blocks, words, chunk).select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")).distinct()
+    return only(df, first, text, doc_id)

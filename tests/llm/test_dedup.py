@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.llm import exact_dedup, graph, simhash, suffix_dedup
+from marketloom.llm import exact_dedup, graph, near_copies, simhash, suffix_dedup
 
 SCHEMA = "doc_id long, text string, fp string, component_id int"
 
@@ -153,3 +153,28 @@ def test_merged_transforms_equal_one_sort():
         for block, i, j in zip(*suffix_dedup.repeats(strings, 8, shard), strict=True):
             got.setdefault(int(block), set()).add((int(i), int(j)))
         assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+REPEATED_IDS = [(1, "alpha beta gamma"), (None, "alpha beta gamma"), (None, "zeta eta theta"), (5, "alpha beta gamma"), (5, "iota kappa"), (7, "iota  kappa"), (7, "lambda mu"), (7, "lambda mu")]
+
+
+@pytest.mark.parametrize("keep", [exact_dedup.keep_first, simhash.keep_one, near_copies.keep_one])
+def test_null_and_repeated_ids_of_different_texts(spark, keep):
+    extra = frame(spark, [(*x, "c", 0) for x in REPEATED_IDS], SCHEMA)
+    got = sorted((str(x["doc_id"]), x["text"]) for x in keep(extra).collect())
+    assert got == sorted([("1", "alpha beta gamma"), ("None", "zeta eta theta"), ("5", "iota kappa"), ("7", "lambda mu"), ("7", "lambda mu")])
+    assert keep(extra).columns == extra.columns
+    assert keep(extra.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("keep", [exact_dedup.keep_first, near_copies.keep_one])
+def test_one_of_two_spellings_under_one_id(spark, keep):
+    got = keep(frame(spark, [(3, "a b"), (3, "a  b"), (4, "a b")])).collect()
+    assert [x["doc_id"] for x in got] == [3]
+
+
+def test_very_long_texts(spark):
+    long = "word " * 400_000
+    rows = [(2, long), (1, long.replace(" ", "\n")), (3, long + "end")]
+    assert {(x["doc_id"], x["keep_id"]) for x in exact_dedup.exact_groups(frame(spark, rows)).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert [x["doc_id"] for x in simhash.keep_one(frame(spark, rows)).collect()] == [1]

@@ -39,3 +39,26 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert decontam.WINDOW == 10
+
+
+STAGE_ROWS = [(1, None), (2, ""), (None, "tok1 tok2 tok3 tok4 tok5 tok6"), (None, "another text of several words"), (9, "another text of several words"), (9, "tok9 tok8"), (9, "tok9 tok8"), (11, "word " * 300_000)]
+
+
+def test_stages_on_nulls_repeats_and_long_texts(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h string, k1 int, __key string"
+    docs = spark.createDataFrame([(*x, None, None, None, "x", 1, "y") for x in STAGE_ROWS], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.where("false"), str(tmp_path))
+        out = stage(spark, docs, str(tmp_path))
+        assert none.count() == 0
+        if name == "bpe":
+            assert out.count() == len(STAGE_ROWS)
+            continue
+        assert out.columns == docs.columns
+        got = sorted((str(x["doc_id"]), len(x["text"] or "")) for x in out.collect())
+        want = [("1", 0), ("2", 0), ("None", 29), ("None", 29), ("9", 29), ("9", 9), ("9", 9), ("11", 1_500_000)]
+        if name.endswith("dedup"):
+            want = [x for x in want if x != ("2", 0)]
+            want.remove(("None", 29))
+        assert got == sorted(want), name
