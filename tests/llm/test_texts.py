@@ -1,7 +1,10 @@
 import base64
 import html
+import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import public_tokenizers
@@ -278,3 +281,76 @@ def test_toxicity_edge_rows(spark):
     assert toxicity.judged(docs, lab.where(F.lit(False))).count() == 5
     assert toxicity.not_toxic(docs, lab.where(F.lit(False))).columns == docs.columns
     assert toxicity.judged(docs.where(F.lit(False)), lab).count() == 0
+
+
+def naive_content(lines, sigma=1.0):
+    """Smoothing and two-means by their definitions, without arrays."""
+    ratio = [0.0 if x.furniture else len(x.text) / max(1, x.tags) for x in lines]
+    reach = max(1, int(3 * sigma))
+    weights = {d: math.exp(-0.5 * (d / sigma) ** 2) for d in range(-reach, reach + 1)}
+    at = lambda i: ratio[min(max(i, 0), len(ratio) - 1)]
+    smooth = [math.log1p(sum(w * at(i + d) for d, w in weights.items()) / sum(weights.values())) for i in range(len(ratio))]
+    lo, hi = min(smooth), max(smooth)
+    while True:
+        cut = (lo + hi) / 2
+        low, high = [x for x in smooth if x <= cut], [x for x in smooth if x > cut]
+        if not low or not high or (sum(low) / len(low), sum(high) / len(high)) == (lo, hi):
+            break
+        lo, hi = sum(low) / len(low), sum(high) / len(high)
+    return [s >= cut - 1e-9 and not x.furniture for s, x in zip(smooth, lines, strict=True)]
+
+
+def small_page(r):
+    word = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    link = lambda: f"<li><a href='#'>{word(1)}</a></li>"
+    menu = "<ul>" + "".join(link() for _ in range(r.randint(1, 6))) + "</ul>"
+    body = "".join(f"<p>{word(r.randint(5, 60))}</p>" for _ in range(r.randint(1, 8)))
+    around = r.choice(["<article><h1>T</h1>{}</article>", "<div><h1>T</h1>{}</div>", "<main>{}</main>", "{}"])
+    return menu + around.format(body) + r.choice(["", menu, "<footer>f</footer>", "<div class='ad'>buy</div>", f"<article>{word(1)}</article>"])
+
+
+def test_content_lines_equal_brute_force():
+    r = random.Random(8)
+    for _ in range(300):
+        lines = html_text.lines_of(small_page(r))
+        assert html_text.content_lines(lines)[0] == naive_content(lines)
+
+
+def test_ratios_decide_between_marked_elements():
+    teaser = "<article><a href='/a'>next</a></article>"
+    page = f"<body><div>{teaser * 4}</div><article><h1>T</h1><p>{PROSE}</p><p>short</p><p>{PROSE}</p></article><div>{teaser * 4}</div></body>"
+    assert html_text.main_text(page).split("\n") == ["T", PROSE, "short", PROSE]
+    # a mark that holds little of the content does not win over an unmarked body of text
+    page = f"<body><article><p>old</p></article><div id='x'><h1>T</h1>{'<p>' + PROSE + '</p>' * 1}<p>{PROSE}</p><p>{PROSE}</p></div></body>"
+    assert html_text.main_text(page).split("\n") == ["T", PROSE, PROSE, PROSE]
+
+
+@pytest.mark.parametrize("head", ["<head><title>t</title>", "<head><title>t</title><body>", "<title>t</title>", "<head><meta charset=x><style>p{}</style>"])
+def test_head_without_end(head):
+    assert html_text.main_text(f"<html>{head}<article><p>{PROSE}</p></article>") == PROSE
+
+
+def test_malformed_pages_never_fail():
+    r = random.Random(17)
+    bits = ["<![foo bar]>", "<![CDATA[x]]>", "<!", "<!-- a", "-->", "<!-->", "<?php ", "?>", "</", "</>", "<", ">", "&#x;", "&#99999999;", "&amp", "<p", "<li>", "</ul>", "<table><tr><td>", "<script>", "</script>", "<a href=\"", "'", "<head>", "</head>", "<body>", "<article>", "</article>", "<form>", "<div class='ad'>", "<svg>", "\0", "퟿", "text text text", "<!DOCTYPE", "]]>", "<textarea>", "<option>", "<dt>", "<x-y>"]
+    for _ in range(10_000):
+        assert isinstance(html_text.main_text("".join(r.choice(bits) for _ in range(r.randint(1, 25)))), str)
+    assert html_text.main_text(f"<![foo bar]><article><p>{PROSE}</p></article>") == PROSE
+
+
+def test_long_unclosed_pages_take_bounded_time_and_memory():
+    for bit in ("<li>x", "<div>a", "<p><span>b", "<div class=ad>z", "<!-- x>", "<![foo", "<table><tr><td>q", "<p>" + "w " * 200):
+        page = "<article>" + bit * (250_000 // len(bit))
+        before = time.process_time()
+        tracemalloc.start()
+        html_text.main_text(page)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6, bit
+        assert time.process_time() - before < 30, bit  # traced runs are several times slower; a square would take hours
+
+
+def test_html_of_an_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", f"<article>{PROSE}</article>", "text?", 5), (2, "v", None, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    assert {x["page_id"]: x["text"] for x in html_text.extract(df).collect()} == {1: PROSE, 2: ""}
+    assert html_text.extract(df.where("false")).count() == 0
