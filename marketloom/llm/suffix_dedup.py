@@ -9,7 +9,9 @@ smaller doc_id, or an earlier start in the same document. Matches never cross do
 2. Candidates. A window whose anchor hash occurs once in all texts cannot repeat. Anchors are dealt out by hash,
    and only those seen twice go back to their documents. This drops text that is provably unique, nothing else.
 3. Segments of repeated anchors are dealt out by hash. Byte-identical segments of an anchor collapse to
-   the earliest one (the others are covered whole), so copies cost one string.
+   the earliest one (the others are covered whole), so copies cost one string. An anchor with very many places is not
+   left to one task: its distinct segments are cut again, by the least-hash gram of almost the window's length in each
+   window, and dealt out by that gram. Equal windows still meet, and each gram leaves only a few bytes to differ.
 4. Merging. The strings of a unit are cut into shards; each shard's suffixes are sorted once, which gives its
    Burrows-Wheeler transform, and the transforms are merged by iterative interleave refinement: the
    interleave starts as shard after shard and each round deals it out by the transforms' symbols, stably, which orders it by one
@@ -29,19 +31,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import NULL_ID, map_arrow, slices, utf8
+from marketloom.llm.common import cut, map_arrow, slices, utf8
 
 LENGTH, GRAM = 100, 32
-#: Packets that a task's anchors and ranges are dealt into; partitions share them out.
-BUCKETS, DOC_BUCKETS = 4096, 2048
+#: Anchors and ranges are dealt out in packets by bucket; a task works bucket by bucket. There are so many, or one for
+#: so many bytes of text, so that a bucket does not grow with the input.
+LEAST_BUCKETS, BUCKET_BYTES = 2048, 64_000_000
+#: Places that make an anchor hot, and hot anchors at most: beyond, the number of places rises, so that the list that tasks get
+#: of them has a fixed bound.
+HOT_PLACES, HOT_ANCHORS = 50_000, 2_000_000
+#: Bytes by which a hot anchor's grams are shorter than the window.
+HOT_SLACK = 4
 #: Bytes of one shard's strings, and of the strings merged at a time.
 SHARD_BYTES, UNIT_BYTES = 128_000, 1_000_000
-#: Documents whose packets a task builds, and whose equal parts it collapses, at a time.
-PACK_ROWS, SEGMENT_ROWS = 4096, 2048
+#: Bytes of texts whose packets a task builds, and whose equal parts it collapses, at a time; records it holds before it sends.
+PACK_BYTES, SEGMENT_BYTES, SEND_RECORDS = 16_000_000, 8_000_000, 1_000_000
 
 _RANDOM = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -51,8 +58,18 @@ WITNESS = 0xFFFFFFFF
 ANCHOR = np.dtype([("h", "<u8"), ("k1", "<i8"), ("k2", "<u4"), ("at", "<u4")])
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each place on, by doubling."""
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A 64-bit hash of the `gram` bytes (GRAM or more) from each place on: by doubling, then from overlapping parts."""
+    if gram > GRAM:
+        own, n = gram_hashes(data), len(data) - gram + 1
+        h = np.full(n, gram, np.uint64)
+        for at in (*range(0, gram - GRAM, GRAM), gram - GRAM):
+            h *= _ODD[1]
+            h += own[at : at + n]
+        h ^= h >> np.uint64(31)
+        h *= _ODD[2]
+        h ^= h >> np.uint64(29)
+        return h
     h = _RANDOM[data]
     for step, odd in zip((1, 2, 4, 8, 16), _ODD, strict=True):
         tail = h[step:]
@@ -64,7 +81,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def segments_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments_of(data: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, anchor place, first window start, last window start) of each segment.
 
     data holds documents one after another, ends their ends; windows stay inside a document.
@@ -72,10 +89,10 @@ def segments_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nda
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none.astype(np.uint64), none, none, none
-    h = gram_hashes(data)
+    h = gram_hashes(data, gram)
     v = h & np.uint64(0xFFFFFFFF00000000)
     v |= np.arange(len(h), dtype=np.uint64)
-    width, reach = length - GRAM + 1, 1
+    width, reach = length - gram + 1, 1
     while reach * 2 <= width:
         v = np.minimum(v[:-reach], v[reach:])
         reach *= 2
@@ -100,8 +117,10 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(documents: DataFrame) -> DataFrame:
+    """k1, k2 name a document; a null doc_id's k1 is a hash above all ids."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k1"), F.crc32(text).alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    unnamed = F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62))
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("k1"), F.crc32(text).alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
 def packets(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -111,7 +130,25 @@ def packets(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, lis
         yield int(bucket[rows[0]]), [c[rows] for c in columns]
 
 
-def anchors(docs: DataFrame, length: int) -> DataFrame:
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The rows of each bucket, as lists of the columns' values; rows come in order of their bucket."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != now:
+                if held:
+                    yield held
+                now, held = row[0], []
+            held.append(row)
+    if held:
+        yield held
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    return df.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """(bucket, packet, done): anchor records by hash; and, done, places of anchors that a task saw twice, by document.
 
     A hash is sent once from each chunk of documents however often it occurs there, so a passage that a third of all documents
@@ -132,10 +169,11 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
             for c in PLACE.names:
                 places[c] = every[c][here]
             witness = every[here & ~same[:-1]].copy()
-            witness["k1"], witness["k2"], witness["at"] = 0, 0, WITNESS
+            witness["k1"], witness["at"] = 0, WITNESS
+            witness["k2"] = np.diff(np.append(np.flatnonzero((here & ~same[:-1])[here]), len(places)))  # how many
             told = np.concatenate((every[~here], witness))
-            own = [(b, rows, False) for b, (rows,) in packets((told["h"] % BUCKETS).astype(np.int32), told)]
-            own += [(b, rows, True) for b, (rows,) in packets(document_bucket(places), places)]
+            own = [(b, rows, False) for b, (rows,) in packets((told["h"] % np.uint64(buckets)).astype(np.int32), told)]
+            own += [(b, rows, True) for b, (rows,) in packets(document_bucket(places, buckets), places)]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int32()), pa.array([blob_of(x[1]) for x in own], pa.binary()), pa.array([x[2] for x in own])], names=["bucket", "packet", "done"])
 
         for part in slices(batches, 64):
@@ -148,8 +186,8 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
             own["h"], own["at"] = h, at - begin[doc] if len(h) else at
             own["k1"], own["k2"] = part.column(0).to_numpy()[doc], part.column(1).to_numpy()[doc]
             found.append(own)
-            held += len(texts)
-            if held >= PACK_ROWS:
+            held += len(data)
+            if held >= PACK_BYTES:
                 yield pack()
                 found, held = [], 0
         if found:
@@ -164,26 +202,23 @@ RANGE = np.dtype([("a", "<u4"), ("b", "<u4")])
 
 
 def blob_of(rows: np.ndarray) -> bytes:
-    """The records column by column, which compresses better than row by row."""
-    return b"".join(rows[c].tobytes() for c in rows.dtype.names)
+    """The records' first bytes, then their second bytes, and so on, which compresses better than record by record."""
+    return np.ascontiguousarray(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T).tobytes()
 
 
 def unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
-    n = len(blob) // kind.itemsize
-    out, place = np.empty(n, kind), 0
-    for c in kind.names:
-        out[c] = np.frombuffer(blob, kind[c], n, place)
-        place += n * kind[c].itemsize
-    return out
+    planes = np.frombuffer(blob, np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-def document_bucket(rows: np.ndarray) -> np.ndarray:
-    return (((rows["k1"].astype(np.uint64) * _ODD[0] >> np.uint64(40)) ^ rows["k2"]) % np.uint64(DOC_BUCKETS)).astype(np.int32)
+def document_bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (rows["k1"].astype(np.uint64) * _ODD[0] >> np.uint64(32)) ^ rows["k2"]
+    return (mixed % np.uint64(buckets)).astype(np.int32)
 
 
-def by_documents(rows: np.ndarray) -> pa.RecordBatch:
+def by_documents(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
     """(bucket, packet): records packed by a hash of their document."""
-    found = list(packets(document_bucket(rows), rows))
+    found = list(packets(document_bucket(rows, buckets), rows))
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([blob_of(r) for _, (r,) in found], pa.binary())], names=["bucket", "packet"])
 
 
@@ -191,52 +226,73 @@ def gathered(packed: DataFrame, kind: np.dtype, values: list[str]) -> DataFrame:
     """(k1, k2, packet): one row for each document, with all its records' values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [unpacked(x, kind) for batch in batches for x in batch.column(1).to_pylist()]
-        if not found:
-            return
-        every = np.concatenate(found)
-        del found
-        every = every[np.lexsort((every["k2"], every["k1"]))]
-        first = np.concatenate(([0], np.flatnonzero((np.diff(every["k1"]) != 0) | (np.diff(every["k2"].astype(np.int64)) != 0)) + 1))
-        plain = np.ascontiguousarray(np.stack([every[v] for v in values], axis=1))
-        for start in range(0, len(first), 2048):
-            own = first[start : start + 2048]
-            ends = np.append(first[start + 1 : start + 1 + len(own)], len(every))[: len(own)]
-            blobs = [plain[a:b].tobytes() for a, b in zip(own.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(every["k1"][own], pa.int64()), pa.array(every["k2"][own].astype(np.int64), pa.int64()), pa.array(blobs, pa.binary())], names=["k1", "k2", "packet"])
-
-    return map_arrow(packed.repartition("bucket"), run, "k1 long, k2 long, packet binary")
-
-
-def repeated_anchors(dealt: DataFrame) -> DataFrame:
-    """(bucket, packet): places of anchors whose hash is seen at two places or more, by document."""
+        for rows in by_bucket(batches):
+            every = np.concatenate([unpacked(x[1], kind) for x in rows])
+            every = every[np.lexsort((every["k2"], every["k1"]))]
+            first = np.concatenate(([0], np.flatnonzero((np.diff(every["k1"]) != 0) | (np.diff(every["k2"].astype(np.int64)) != 0)) + 1))
+            plain = np.ascontiguousarray(np.stack([every[v] for v in values], axis=1))
+            for start in range(0, len(first), 2048):
+                own = first[start : start + 2048]
+                ends = np.append(first[start + 1 : start + 1 + len(own)], len(every))[: len(own)]
+                blobs = [plain[a:b].tobytes() for a, b in zip(own.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(every["k1"][own], pa.int64()), pa.array(every["k2"][own].astype(np.int64), pa.int64()), pa.array(blobs, pa.binary())], names=["k1", "k2", "packet"])
+
+    return map_arrow(dealt(packed), run, "k1 long, k2 long, packet binary")
+
+
+def repeated_anchors(found: DataFrame, buckets: int, hot_places: int) -> DataFrame:
+    """(bucket, packet): places of anchors whose hash is seen at two places or more, by document; under bucket -1, the
+    hashes with hot_places or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for batch in batches:
-            done = batch.column(2).to_numpy(zero_copy_only=False)
-            found += [unpacked(x, ANCHOR) for x, d in zip(batch.column(1).to_pylist(), done, strict=True) if not d]
-            if done.any():
-                yield batch.filter(batch.column(2)).select(["bucket", "packet"])
-        if not found:
-            return
-        every = np.concatenate(found)
-        del found
-        order = np.argsort(every["h"], kind="stable")
-        h = every["h"][order]
-        same = np.zeros(len(h) + 1, bool)
-        same[1:-1] = h[1:] == h[:-1]
-        keep = order[same[:-1] | same[1:]]
-        keep = keep[every["at"][keep] != WITNESS]
-        places = np.empty(len(keep), PLACE)
-        for c in PLACE.names:
-            places[c] = every[c][keep]
-        yield by_documents(places)
-
-    return map_arrow(dealt.repartition("bucket"), run, "bucket int, packet binary")
-
-
-def candidate_segments(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
+        kept, held = [], 0
+        for rows in by_bucket(batches):
+            done = [x for x in rows if x[2]]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int32()), pa.array([x[1] for x in done], pa.binary())], names=["bucket", "packet"])
+            if len(done) == len(rows):
+                continue
+            every = np.concatenate([unpacked(x[1], ANCHOR) for x in rows if not x[2]])
+            every = every[np.argsort(every["h"], kind="stable")]
+            same = np.zeros(len(every) + 1, bool)
+            same[1:-1] = every["h"][1:] == every["h"][:-1]
+            told = every["at"] == WITNESS
+            first = np.flatnonzero(~same[:-1])
+            hot = every["h"][first[np.add.reduceat(np.where(told, every["k2"], 1).astype(np.int64), first) >= hot_places]]
+            if len(hot):
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([hot.tobytes()], pa.binary())], names=["bucket", "packet"])
+            keep = every[(same[:-1] | same[1:]) & ~told]
+            places = np.empty(len(keep), PLACE)
+            for c in PLACE.names:
+                places[c] = keep[c]
+            kept.append(places)
+            held += len(places)
+            if held >= SEND_RECORDS:
+                yield by_documents(np.concatenate(kept), buckets)
+                kept, held = [], 0
+        if held:
+            yield by_documents(np.concatenate(kept), buckets)
+
+    return map_arrow(dealt(found), run, "bucket int, packet binary")
+
+
+def cut_again(every: np.ndarray, strings: list[bytes], hot: np.ndarray, length: int) -> tuple[np.ndarray, list[bytes]]:
+    """The segments, those of hot anchors cut by the least of the longer grams of each window."""
+    live = np.isin(every["h"], hot)
+    if not live.any():
+        return every, strings
+    at = np.flatnonzero(live)
+    data, ends = joined([strings[i] for i in at])
+    begin = np.concatenate(([0], ends[:-1]))
+    h, place, first, last = segments_of(data, ends, length, length - HOT_SLACK)
+    owner = np.searchsorted(ends, place, side="right")
+    parts = every[at[owner]].copy()
+    parts["h"], parts["start"], parts["size"] = h, parts["start"] + (first - begin[owner]), last - first + length
+    whole, rest = data.tobytes(), np.flatnonzero(~live)
+    return np.concatenate((every[rest], parts)), [strings[i] for i in rest] + [whole[a:b] for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
+
+
+def candidate_segments(docs: DataFrame, repeated: DataFrame, length: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """(bucket, heads, bytes, done): distinct segments of repeated anchors by hash; and, done, ranges that an equal segment
     of the same chunk covers, by document."""
 
@@ -256,10 +312,11 @@ def candidate_segments(docs: DataFrame, repeated: DataFrame, length: int) -> Dat
                 if first.setdefault(bodies[i], i) != i:
                     covered.append(i)
             stay = np.fromiter(first.values(), np.int64, len(first))
-            strings = np.array([*first, b""], dtype=object)[:-1]
-            own = [(b, rows.tobytes(), b"".join(s), False) for b, (rows, s) in packets((every["h"][stay] % BUCKETS).astype(np.int32), every[stay], strings)]
+            own_heads, own_strings = cut_again(every[stay], list(first), hot, length)
+            strings = np.array([*own_strings, b""], dtype=object)[:-1]
+            own = [(b, blob_of(rows), b"".join(s), False) for b, (rows, s) in packets((own_heads["h"] % np.uint64(buckets)).astype(np.int32), own_heads, strings)]
             ranges = whole_cover(every[covered])
-            own += [(b, blob_of(rows), b"", True) for b, (rows,) in packets(document_bucket(ranges), ranges)]
+            own += [(b, blob_of(rows), b"", True) for b, (rows,) in packets(document_bucket(ranges, buckets), ranges)]
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.bool_())
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], t) for k, t in enumerate(kinds)], names=["bucket", "heads", "bytes", "done"])
 
@@ -279,8 +336,8 @@ def candidate_segments(docs: DataFrame, repeated: DataFrame, length: int) -> Dat
                 heads.append(own)
                 whole = data.tobytes()
                 bodies += [whole[a:b] for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
-            held += len(texts)
-            if held >= SEGMENT_ROWS and heads:
+            held += len(data)
+            if held >= SEGMENT_BYTES and heads:
                 yield pack()
                 heads, bodies, held = [], [], 0
         if heads:
@@ -381,10 +438,10 @@ def repeats(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -
     return block, np.concatenate(owners)[place], np.concatenate(offsets)[place]
 
 
-def covered_ranges(segments: DataFrame, length: int, shard_bytes: int, unit_bytes: int) -> DataFrame:
+def covered_ranges(segments: DataFrame, length: int, shard_bytes: int, unit_bytes: int, buckets: int) -> DataFrame:
     """(bucket, packet): covered ranges, by document."""
 
-    def unit(heads: np.ndarray, strings: list[bytes]) -> Iterator[np.ndarray]:
+    def unit(heads: np.ndarray, strings: list[bytes]) -> np.ndarray:
         block, owner, offset = repeats(strings, length, shard_bytes)
         own = heads[owner]
         start = own["start"].astype(np.int64) + offset
@@ -393,65 +450,68 @@ def covered_ranges(segments: DataFrame, length: int, shard_bytes: int, unit_byte
         hit = order[later]
         out = np.empty(len(hit), COVER)
         out["k1"], out["k2"], out["a"], out["b"] = own["k1"][hit], own["k2"][hit], start[hit], start[hit] + length
-        yield merged_ranges(out)
+        return merged_ranges(out)
+
+    def distinct(heads: np.ndarray, strings: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
+        """For each anchor: the earliest of each of its strings, where there are two or more; and copies that are covered whole."""
+        order = np.lexsort((heads["start"], heads["k2"], heads["k1"], heads["h"]))
+        first: dict[bytes, int] = {}
+        copies: list[int] = []
+        anchor = before = None
+        identity = (order.tolist(), *(heads[c][order].tolist() for c in ("h", "k1", "k2", "start")))
+        for i, h, *me in zip(*identity, strict=True):
+            if h != anchor:
+                yield (list(first.values()) if len(first) > 1 else []), copies
+                first, copies, anchor = {}, [], h
+            if strings[i] not in first:
+                first[strings[i]] = i
+            elif me != before:  # not a repeated row
+                copies.append(i)
+            before = me
+        yield (list(first.values()) if len(first) > 1 else []), copies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, strings = [], []
-        for batch in batches:
-            done = batch.column(3)
-            if pc.any(done).as_py():
-                ready = batch.filter(done)
-                yield pa.RecordBatch.from_arrays([ready.column(0), ready.column(1)], names=["bucket", "packet"])
-            batch = batch.filter(pc.invert(done))
-            for head, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = np.frombuffer(head, SEGMENT)
-                cuts = np.concatenate(([0], np.cumsum(own["size"].astype(np.int64))))
-                heads.append(own)
-                strings += [body[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        if not heads:
-            return
-        every = np.concatenate(heads)
-        del heads
-        order = np.lexsort((every["start"], every["k2"], every["k1"], every["h"]))
-        covers, kept, held, anchor = [], [], 0, None
-        distinct: dict[bytes, int] = {}
-
-        def close() -> None:
-            nonlocal held
-            if len(distinct) > 1:  # one string alone repeats nothing that is not covered already
-                kept.extend(distinct.values())
-                held += sum(map(len, distinct))
-            distinct.clear()
+        covers: list[np.ndarray] = []
+        own_heads: list[np.ndarray] = []
+        own_strings: list[bytes] = []
+        held = 0
 
-        def emit() -> Iterator[np.ndarray]:
+        def merge() -> None:
             nonlocal held
-            if kept:
-                yield from unit(every[kept], [strings[i] for i in kept])
-            kept.clear()
+            if own_strings:
+                covers.append(unit(np.concatenate(own_heads), own_strings))
+            own_heads.clear()
+            own_strings.clear()
             held = 0
 
-        whole: list[int] = []
-        before = None
-        identity = (order.tolist(), *(every[c][order].tolist() for c in ("h", "k1", "k2", "start")))
-        for i, h, *me in zip(*identity, strict=True):
-            if h != anchor:
-                close()
-                anchor = h
+        for rows in by_bucket(batches):
+            done = [x for x in rows if x[3]]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int32()), pa.array([x[1] for x in done], pa.binary())], names=["bucket", "packet"])
+            if len(done) == len(rows):
+                continue
+            heads = np.concatenate([unpacked(x[1], SEGMENT) for x in rows if not x[3]])
+            body = b"".join(x[2] for x in rows if not x[3])
+            cuts = np.concatenate(([0], np.cumsum(heads["size"].astype(np.int64)))).tolist()
+            strings = [body[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            del body, rows
+            for kept, copies in distinct(heads, strings):
+                if kept:
+                    own_heads.append(heads[kept])
+                    own_strings += [strings[i] for i in kept]
+                    held += sum(len(strings[i]) for i in kept)
+                if copies:
+                    covers.append(whole_cover(heads[copies]))
                 if held >= unit_bytes:
-                    covers += emit()
-            if strings[i] not in distinct:
-                distinct[strings[i]] = i
-            elif me != before:  # not a repeated row
-                whole.append(i)
-            before = me
-        close()
-        covers += emit()
-        if whole:
-            covers.append(whole_cover(every[whole]))
+                    merge()
+            if sum(map(len, covers)) >= SEND_RECORDS:
+                yield by_documents(merged_ranges(np.concatenate(covers)), buckets)
+                covers = []
+        merge()
         if covers:
-            yield by_documents(merged_ranges(np.concatenate(covers)))
+            yield by_documents(merged_ranges(np.concatenate(covers)), buckets)
 
-    return map_arrow(segments.repartition("bucket"), run, "bucket int, packet binary")
+    return map_arrow(dealt(segments), run, "bucket int, packet binary")
 
 
 def merged_ranges(ranges: np.ndarray) -> np.ndarray:
@@ -492,14 +552,22 @@ def removal(text: bytes, packet: bytes | None) -> tuple[int, int, bytes]:
     return removed, len(spans), b"".join([*kept, text[place:]])
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, unit_bytes: int = UNIT_BYTES, with_text: bool = True) -> DataFrame:
+def remove_repeats(
+    documents: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, unit_bytes: int = UNIT_BYTES, with_text: bool = True, least_buckets: int = LEAST_BUCKETS, hot_places: int = HOT_PLACES
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary: removal may cut a character)
-    unless with_text is False. length is at least 32."""
+    unless with_text is False. length is at least 64."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     docs = keyed(documents)
-    segments = candidate_segments(docs, repeated_anchors(anchors(docs, length)), length)
-    ranges = gathered(covered_ranges(segments, length, shard_bytes, unit_bytes), COVER, ["a", "b"])
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(least_buckets, -(-total // BUCKET_BYTES))
+    # there are fewer places than bytes, so no more than HOT_ANCHORS hashes can be hot
+    hot_places = max(hot_places, -(-total // HOT_ANCHORS))
+    repeated = cut(repeated_anchors(anchors(docs, length, buckets), buckets, hot_places))
+    hot = np.array(sorted(h for r in repeated.where("bucket < 0").select("packet").collect() for h in np.frombuffer(r[0], np.uint64).tolist()), np.uint64)
+    segments = candidate_segments(docs, repeated.where("bucket >= 0"), length, buckets, hot)
+    ranges = gathered(covered_ranges(segments, length, shard_bytes, unit_bytes, buckets), COVER, ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,41 @@ def test_suffix_dedup_equals_brute_force(spark, shard, unit):
     assert got == brute_removal(docs, 100)
 
 
+@pytest.mark.parametrize("hot", [2, 20, 10**6])
+def test_suffix_dedup_of_one_line_in_many_contexts(spark, hot):
+    """A line that all documents hold between different words: no task gets all of its contexts."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randint(2, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    line = " all rights are reserved by the owners of it "
+    shared = [text(40) for _ in range(5)]
+    docs = [(i, text(30) + line + (r.choice(shared) if i % 3 == 0 else text(30)) + line + text(5)) for i in range(150)]
+    got = {x[0]: tuple(x[1:]) for x in suffix_dedup.remove_repeats(frame(spark, docs), hot_places=hot, unit_bytes=20_000, shard_bytes=5_000, with_text=False).collect()}
+    assert got == brute_removal(docs, 100)
+
+
+def test_hot_anchor_is_split(spark):
+    r = random.Random(14)
+    line = "this one line stands in every page of it"
+    docs = [(i, "".join(r.choice("abcdefghij ") for _ in range(80)) + line + "".join(r.choice("abcdefghij ") for _ in range(80))) for i in range(10_000)]
+    keyed = suffix_dedup.keyed(frame(spark, docs))
+    repeated = suffix_dedup.repeated_anchors(suffix_dedup.anchors(keyed, 100, 2048), 2048, 1000).cache()
+    hot = np.array([h for x in repeated.where("bucket < 0").collect() for h in np.frombuffer(x["packet"], np.uint64).tolist()], np.uint64)
+    assert 0 < len(hot) <= 9
+    size = lambda hot: suffix_dedup.candidate_segments(keyed, repeated.where("bucket >= 0"), 100, 2048, hot).groupBy("bucket").agg(F.sum(F.length("bytes")).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    whole, parts = size(hot[:0]), size(hot)
+    assert whole["most"] > whole["all"] / 20
+    assert parts["most"] < parts["all"] / 200
+
+
+def test_suffix_many_documents_without_id(spark):
+    r = random.Random(15)
+    texts = ["".join(r.choice("abcdefgh") for _ in range(300)) for _ in range(40)]
+    rows = [(None, t) for t in texts] + [(7, texts[0]), (7, texts[1] + "x"), (8, texts[1])]
+    got = sorted((x["doc_id"] or 0, x["n_bytes"], x["n_removed"]) for x in suffix_dedup.remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted([(0, 300, 300)] * 2 + [(0, 300, 0)] * 38 + [(7, 300, 0), (7, 301, 0), (8, 300, 300)])
+
+
 def test_suffix_edge_rows(spark):
     long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(3000))
     rows = [(1, long), (1, long), (2, "q" + long), (None, long), (3, None), (4, "short")]
