@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.scalars import shard_of
+from marketloom.functions.scalars import array_median, shard_of
 
 SERIES = ["series"]
 
@@ -39,45 +39,55 @@ def point_in_time_many(obs: DataFrame, origins: DataFrame, keys: list[str] = SER
 
 
 def outlier_status(obs: DataFrame, keys: list[str] = SERIES, min_history: int = 7, z: float = 8.0, zero_mad: float = 1.0986122886681098, window_days: int = 90) -> DataFrame:
-    """obs with status accepted or outlier, judged by the log prices of the window before each point.
+    """obs with status accepted or outlier, judged by log prices against a fixed history.
 
-    History is the series' earlier points of `window_days`, known when the point was available. Point and history are joined by the series
-    and by cells of the window's length, so a point meets two cells and not the whole series.
+    A point's history is, of the series' points observed in the `window_days` before it, the newest revision of each that was
+    known when the point was available; where obs has a column status, accepted ones only. One range window over the
+    series: one shuffle, no join; a window's points are one array.
     """
-    cell = F.floor(F.unix_timestamp("observed_at") / (86400 * window_days))
-    left = obs.withColumn("__cell", F.explode(F.array(cell, cell - 1)))
-    right = obs.select(*keys, F.col("observed_at").alias("__o"), F.col("available_at").alias("__a"), F.log("price").alias("__x"), cell.alias("__cell"))
-    near = (F.col("__o") < F.col("observed_at")) & (F.col("__o") >= F.col("observed_at") - F.make_dt_interval(F.lit(window_days))) & (F.col("__a") <= F.col("available_at"))
-    pairs = left.join(right, [*keys, "__cell"]).where(near).select("id", "__x")
-    history = pairs.groupBy("id").agg(F.count("*").alias("n"), F.percentile("__x", 0.5).alias("centre"), F.collect_list("__x").alias("xs"))
-    spread = history.select("id", "n", "centre", F.explode("xs").alias("x")).groupBy("id").agg(F.first("n").alias("n"), F.first("centre").alias("centre"), F.percentile(F.abs(F.col("x") - F.col("centre")), 0.5).alias("mad"))
-    off = F.abs(F.log("price") - F.col("centre"))
-    far = F.when(F.col("mad") == 0, off > zero_mad).otherwise(off / (1.4826 * F.col("mad")) > z)
-    return obs.join(spread, "id", "left").withColumn("status", F.when((F.coalesce("n", F.lit(0)) >= min_history) & far, "outlier").otherwise("accepted")).drop("n", "centre", "mad")
+    span = window_days * 86_400_000_000
+    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col("observed_at").cast("timestamp"))).rangeBetween(-span, -1)
+    point = F.struct(F.col("observed_at").alias("o"), F.col("available_at").alias("a"), F.col("id").alias("i"), F.log("price").alias("x"))
+    listed = F.collect_list(F.when(F.col("status") == "accepted", point) if "status" in obs.columns else point).over(w)
+    known = F.array_sort(F.filter("__all", lambda p: p["a"] <= F.col("available_at")))
+    newest = F.filter("__known", lambda p, k: (k == F.size("__known") - 1) | (F.get("__known", k + 1)["o"] != p["o"]))
+    judged = obs.withColumn("__all", listed).withColumn("__known", known).withColumn("__x", F.transform(newest, lambda p: p["x"]))
+    judged = judged.withColumn("__c", array_median(F.col("__x"))).withColumn("__m", array_median(F.transform("__x", lambda x: F.abs(x - F.col("__c")))))
+    off = F.abs(F.log("price") - F.col("__c"))
+    far = F.when(F.col("__m") == 0, off > zero_mad).otherwise(off / (1.4826 * F.col("__m")) > z)
+    return judged.withColumn("status", F.when((F.size("__x") >= min_history) & far, "outlier").otherwise("accepted")).drop("__all", "__known", "__x", "__c", "__m")
+
+
+def gate(points: pd.DataFrame, known: list[tuple], min_history: int, z: float, zero_mad: float, window_days: int) -> tuple[list[str], list[tuple]]:
+    """Status of each point, which come in the order in which they became available, and the accepted points then known.
+
+    known and points are (observed_at, available_at, id, log price); only accepted points enter it, and of a point's
+    revisions the newest that was available counts.
+    """
+    import numpy as np
+
+    status, span = [], pd.Timedelta(days=window_days)
+    accepted = list(known)
+    for o, a, i, price in zip(points["observed_at"], points["available_at"], points["id"], points["price"], strict=True):
+        newest = {p[0]: p[3] for p in sorted(p for p in accepted if o - span <= p[0] < o and p[1] <= a)}
+        x, past, out = float(np.log(price)), np.array(list(newest.values())), False
+        if len(past) >= min_history:
+            centre = np.median(past)
+            mad = np.median(np.abs(past - centre))
+            out = abs(x - centre) > zero_mad if mad == 0 else abs(x - centre) / (1.4826 * mad) > z
+        status.append("outlier" if out else "accepted")
+        if not out:
+            accepted.append((o, a, i, x))
+    return status, accepted
 
 
 def outlier_status_sequential(obs: DataFrame, keys: list[str] = SERIES, min_history: int = 7, z: float = 8.0, zero_mad: float = 1.0986122886681098, window_days: int = 90) -> DataFrame:
-    """As outlier_status, but only accepted points enter later points' history: an ordered recursion within a series,
-    so each series is one pandas group, bounded by the points of a series."""
-    import numpy as np
+    """As outlier_status, but a point enters later points' history only if it was accepted itself: an ordered recursion within a
+    series, so each series is one pandas group, bounded by the points of a series."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["observed_at", "available_at", "id"])
-        accepted: list[tuple[pd.Timestamp, float]] = []
-        status = []
-        for at, price in zip(pdf["observed_at"], pdf["price"], strict=True):
-            accepted = [a for a in accepted if a[0] >= at - pd.Timedelta(days=window_days)]
-            x = np.log(price)
-            past = np.array([a[1] for a in accepted if a[0] < at])
-            out = False
-            if len(past) >= min_history:
-                centre = np.median(past)
-                mad = np.median(np.abs(past - centre))
-                out = abs(x - centre) > zero_mad if mad == 0 else abs(x - centre) / (1.4826 * mad) > z
-            status.append("outlier" if out else "accepted")
-            if not out:
-                accepted.append((at, x))
-        return pdf.assign(status=status)[[*keys, "id", "status"]]
+        pdf = pdf.sort_values(["available_at", "observed_at", "id"])
+        return pdf.assign(status=gate(pdf, [], min_history, z, zero_mad, window_days)[0])[[*keys, "id", "status"]]
 
     types = dict(obs.dtypes)
     judged = obs.select(*keys, "id", "observed_at", "available_at", "price").groupBy(*keys).applyInPandas(one, ", ".join(f"`{c}` {types[c]}" for c in [*keys, "id"]) + ", status string")

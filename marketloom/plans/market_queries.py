@@ -119,14 +119,24 @@ def point_in_time_many(spark: SparkSession, d: str) -> DataFrame:
     return rounded(p.groupBy("origin", "series").agg(F.count("*").alias("points"), F.avg("price").alias("mean_price")), 8)
 
 
-@query(f"""WITH {b.OBS}, h AS (SELECT a.id, a.price, x.price AS hp FROM obs a JOIN obs x ON a.series = x.series AND x.observed_at < a.observed_at AND x.observed_at >= a.observed_at - INTERVAL 7 DAY AND x.available_at <= a.available_at),
+@query(f"""WITH {b.OBS}, h AS (SELECT a.id, a.price, x.price AS hp FROM obs a JOIN obs x ON a.series = x.series AND x.observed_at < a.observed_at AND x.observed_at >= a.observed_at - INTERVAL 7 DAY AND x.available_at <= a.available_at
+  QUALIFY row_number() OVER (PARTITION BY a.id, x.observed_at ORDER BY x.available_at DESC, x.id DESC) = 1),
 m AS (SELECT id, count(*) AS n, quantile_cont(ln(hp), 0.5) AS c, mad(ln(hp)) AS mad FROM h GROUP BY id)
 SELECT obs.id, CASE WHEN coalesce(n, 0) >= 7 AND CASE WHEN mad = 0 THEN abs(ln(price) - c) > ln(3) ELSE abs(ln(price) - c) / (1.4826 * mad) > 3 END THEN 'outlier' ELSE 'accepted' END AS status FROM obs LEFT JOIN m ON obs.id = m.id""")
 def outlier_status(spark: SparkSession, d: str) -> DataFrame:
     return pit.outlier_status(b.observations(spark, d), z=3.0, window_days=7).select("id", "status")
 
 
-@query()
+@query(f"""WITH RECURSIVE {b.OBS}, s AS (SELECT *, ln(price) AS x, row_number() OVER (PARTITION BY series ORDER BY available_at, observed_at, id) AS i FROM obs),
+r AS (SELECT DISTINCT series, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(o TIMESTAMP, a TIMESTAMP, k BIGINT, x DOUBLE)[]) AS acc, CAST(0 AS BIGINT) AS id, false AS far FROM s
+UNION ALL SELECT series, i, CASE WHEN bad THEN acc ELSE list_append(acc, {{'o': observed_at, 'a': available_at, 'k': id, 'x': x}}) END, id, bad FROM (
+  SELECT *, len(h) >= 7 AND CASE WHEN mad = 0 THEN abs(x - c) > ln(3) ELSE abs(x - c) / (1.4826 * mad) > 3 END AS bad FROM (
+    SELECT *, list_aggregate(list_transform(h, lambda v: abs(v.x - c)), 'median') AS mad FROM (
+      SELECT *, list_aggregate(list_transform(h, lambda v: v.x), 'median') AS c FROM (
+        SELECT * REPLACE (list_filter(h, lambda v: len(list_filter(h, lambda u: u.o = v.o AND (u.a > v.a OR (u.a = v.a AND u.k > v.k)))) = 0) AS h) FROM (
+          SELECT s.series, s.i, s.id, s.x, s.observed_at, s.available_at, r.acc, list_filter(r.acc, lambda v: v.o < s.observed_at AND v.o >= s.observed_at - INTERVAL 7 DAY AND v.a <= s.available_at) AS h FROM r JOIN s ON s.series = r.series AND s.i = r.i + 1)))))
+)
+SELECT id, CASE WHEN far THEN 'outlier' ELSE 'accepted' END AS status FROM r WHERE i > 0""")
 def outlier_status_sequential(spark: SparkSession, d: str) -> DataFrame:
     return pit.outlier_status_sequential(b.observations(spark, d), z=3.0, window_days=7).select("id", "status")
 
@@ -331,9 +341,9 @@ _STEPS = f"{_PAN}, steps AS (SELECT *, ln(price / lag(price) OVER w) / (t - lag(
 KEYS = ["category", "grp", "product"]
 
 
-@query(f"WITH {_STEPS} SELECT product, CAST(t AS BIGINT) AS t, round(r, 6) + 0.0 AS r FROM steps WHERE t % 5 = 0")
+@query(f"WITH {_STEPS} SELECT product, CAST(t AS BIGINT) AS t, round(r, 6) + 0.0 AS r FROM steps")
 def step_returns(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(windows.step_returns(b.week_panel(spark, d), KEYS).where("t % 5 = 0").select("product", "t", "r"))
+    return rounded(windows.step_returns(b.week_panel(spark, d), KEYS).select("product", "t", "r"))
 
 
 @query(f"WITH {_PAN}, l AS (SELECT *, ln(price) AS y FROM panel) SELECT product, CAST(t AS BIGINT) AS t, round(CASE WHEN count(y) OVER w >= 2 THEN quantile_cont(y, 0.5) OVER w - y END, 6) + 0.0 AS reversion FROM l WINDOW w AS (PARTITION BY category, grp, product ORDER BY t RANGE BETWEEN 12 PRECEDING AND CURRENT ROW)")

@@ -133,14 +133,14 @@ def match_rates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resolve.match_rates(ext.join(cat, ["game", "name"], "left"), ["game"]))
 
 
-@query("""WITH e AS (SELECT o_custkey % 500 AS ext_id, o_orderpriority AS a, o_orderstatus AS s FROM orders WHERE o_orderkey % 20 = 0) SELECT ext_id, count(*) AS copies, CASE WHEN count(DISTINCT a || '|' || s) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'repeated' ELSE 'single' END AS state FROM e GROUP BY 1""")
+@query("""WITH e AS (SELECT o_custkey % 500 AS ext_id, o_orderpriority AS a, o_orderstatus AS s FROM orders) SELECT ext_id, count(*) AS copies, CASE WHEN count(DISTINCT a || '|' || s) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'repeated' ELSE 'single' END AS state FROM e GROUP BY 1""")
 def mapping_batch(spark: SparkSession, d: str) -> DataFrame:
-    o = b.table(spark, d, "orders").where("o_orderkey % 20 = 0").select((F.col("o_custkey") % 500).alias("ext_id"), F.col("o_orderpriority").alias("a"), F.col("o_orderstatus").alias("s"))
+    o = b.table(spark, d, "orders").select((F.col("o_custkey") % 500).alias("ext_id"), F.col("o_orderpriority").alias("a"), F.col("o_orderstatus").alias("s"))
     return resolve.mapping_batch(o, ["a", "s"])
 
 
-_GS = """g AS (SELECT c_nationkey % 3 AS category, c_custkey AS id, c_name AS name, 'c' || (c_custkey % 300) AS code, DATE '2020-01-01' + CAST(c_custkey % 200 AS INTEGER) AS day FROM customer WHERE c_custkey <= 600),
-s AS (SELECT c_nationkey % 3 AS category, c_custkey + 5000 AS id, CASE WHEN c_custkey % 4 = 0 THEN c_name WHEN c_custkey % 4 = 1 THEN c_name || 'x' ELSE 'nothing ' || c_custkey END AS name, CASE WHEN c_custkey % 4 = 2 THEN 'c' || (c_custkey % 300) ELSE 'z' || c_custkey END AS code, DATE '2020-01-05' + CAST(c_custkey % 200 AS INTEGER) AS day FROM customer WHERE c_custkey <= 600)"""
+_GS = """g AS (SELECT c_nationkey % 3 AS category, c_custkey AS id, c_name AS name, 'c' || (c_custkey % 300) AS code, DATE '2020-01-01' + CAST(c_custkey % 200 AS INTEGER) AS day FROM customer),
+s AS (SELECT c_nationkey % 3 AS category, c_custkey + 5000 AS id, CASE WHEN c_custkey % 4 = 0 THEN c_name WHEN c_custkey % 4 = 1 THEN c_name || 'x' ELSE 'nothing ' || c_custkey END AS name, CASE WHEN c_custkey % 4 = 2 THEN 'c' || (c_custkey % 300) ELSE 'z' || c_custkey END AS code, DATE '2020-01-05' + CAST(c_custkey % 200 AS INTEGER) AS day FROM customer)"""
 
 
 @query(f"""WITH {_GS}, nm AS (SELECT g.id AS gid, s.id AS sid, 1 AS tier, 1.0 AS score FROM g JOIN s ON g.category = s.category AND lower(g.name) = lower(s.name) UNION ALL SELECT g.id, s.id, 2, 1.0 FROM g JOIN s ON g.category = s.category AND g.code = s.code
@@ -149,7 +149,7 @@ f AS (SELECT *, min(tier) OVER (PARTITION BY gid) AS ft FROM nm), h AS (SELECT *
 SELECT g.id AS group_id, CASE WHEN tier IS NULL THEN 'none' WHEN n > 1 THEN 'ambiguous' WHEN tier = 1 THEN 'name' WHEN tier = 2 THEN 'code' ELSE 'similar' END AS method, CASE WHEN n = 1 THEN sid END AS set_id FROM g LEFT JOIN r ON g.id = gid""")
 def match_sets(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
-    c = b.table(spark, d, "customer").where("c_custkey <= 600")
+    c = b.table(spark, d, "customer")
     g = c.select((F.col("c_nationkey") % 3).alias("category"), k.alias("id"), F.col("c_name").alias("name"), F.concat(F.lit("c"), (k % 300).cast("string")).alias("code"), F.date_add(F.lit("2020-01-01").cast("date"), (k % 200).cast("int")).alias("day"))
     name = F.when(k % 4 == 0, F.col("c_name")).when(k % 4 == 1, F.concat("c_name", F.lit("x"))).otherwise(F.concat(F.lit("nothing "), k.cast("string")))
     s = c.select((F.col("c_nationkey") % 3).alias("category"), (k + 5000).alias("id"), name.alias("name"), F.when(k % 4 == 2, F.concat(F.lit("c"), (k % 300).cast("string"))).otherwise(F.concat(F.lit("z"), k.cast("string"))).alias("code"), F.date_add(F.lit("2020-01-05").cast("date"), (k % 200).cast("int")).alias("day"))

@@ -198,10 +198,13 @@ def pick_cover(spark: SparkSession, d: str) -> DataFrame:
     return ranking.pick_cover(p, "brand", "name", "id")
 
 
-@query(f"""WITH n AS (SELECT p_partkey AS id, {_QN("p_name")} AS name FROM part) SELECT id, CASE WHEN name = 'red' THEN 4.0 WHEN starts_with(name, 'red') THEN 3.0 ELSE 2.0 END AS score FROM n WHERE contains(name, 'red')""")
+@query(f"""WITH n AS (SELECT p_partkey AS id, {_QN("p_name")} AS name, 'red widgets' AS q FROM part), g AS (SELECT *, string_split(name, ' ') AS ta, string_split(q, ' ') AS tb, {_grams("name")} AS ga, {_grams("q")} AS gb FROM n),
+j AS (SELECT *, len(list_intersect(list_distinct(ta), tb)) / len(list_distinct(list_concat(ta, tb))) AS jac, 2 * len(list_intersect(ga, gb)) / (len(ga) + len(gb)) AS dice FROM g),
+s AS (SELECT id, CASE WHEN name = q THEN 4 WHEN starts_with(name, q) THEN 3 WHEN contains(name, q) THEN 2 ELSE greatest(jac, 0.55 * jac + 0.45 * dice) END AS score FROM j)
+SELECT id, round(score, 6) + 0.0 AS score FROM s WHERE score >= 0.35""")
 def filter_sets(spark: SparkSession, d: str) -> DataFrame:
     p = b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return ranking.filter_sets(p, "red").where("score >= 2").select("id", "score")
+    return rounded(ranking.filter_sets(p, "red widgets").select("id", "score"))
 
 
 @query("""SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) AS stored_on FROM orders WHERE DATE '2002-01-01' - CAST(o_orderdate AS DATE) <= 2000 ORDER BY 2 DESC, 1 LIMIT 250""")

@@ -36,9 +36,9 @@ def support_tier_projection(spark: SparkSession, d: str) -> DataFrame:
     return serve.support_tier_projection(p, {"price": 2, "name": 4}).drop("tier")
 
 
-@query("""WITH s AS (SELECT l_orderkey AS comparison, CAST(l_linenumber AS BIGINT) AS slot, min(l_partkey) AS k FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2) SELECT comparison, slot, s.k, p_retailprice AS price, round(p_retailprice - first(p_retailprice) OVER (PARTITION BY comparison ORDER BY slot, s.k), 4) + 0.0 AS price_difference FROM s LEFT JOIN part ON s.k = p_partkey""")
+@query("""WITH s AS (SELECT l_orderkey AS comparison, CAST(l_linenumber AS BIGINT) AS slot, min(l_partkey) AS k FROM lineitem GROUP BY 1, 2) SELECT comparison, slot, s.k, p_retailprice AS price, round(p_retailprice - first(p_retailprice) OVER (PARTITION BY comparison ORDER BY slot, s.k), 4) + 0.0 AS price_difference FROM s LEFT JOIN part ON s.k = p_partkey""")
 def comparison(spark: SparkSession, d: str) -> DataFrame:
-    s = b.table(spark, d, "lineitem").where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("comparison"), F.col("l_linenumber").cast("long").alias("slot")).agg(F.min("l_partkey").alias("k"))
+    s = b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("comparison"), F.col("l_linenumber").cast("long").alias("slot")).agg(F.min("l_partkey").alias("k"))
     p = b.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("price"))
     return rounded(serve.comparison(s, p, "k", ["price"]), 4)
 
@@ -49,16 +49,16 @@ def published_scorecards(spark: SparkSession, d: str) -> DataFrame:
     return serve.published_scorecards(c, ["model", "cohort"]).drop("tier")
 
 
-@query("""WITH a AS (SELECT event_id AS id, user_id AS owner, user_id % 40 AS key, ts AS happened, event_id % 3 = 0 AS read FROM events), w AS (SELECT c_custkey AS key, c_mktsegment AS label FROM customer WHERE c_custkey < 30) SELECT id, label, row_number() OVER (PARTITION BY owner ORDER BY happened DESC, id) AS place FROM a LEFT JOIN w ON a.key = w.key WHERE NOT read""")
+@query("""WITH a AS (SELECT event_id AS id, user_id AS owner, user_id % 40 AS key, ts AS happened, event_id % 3 = 0 AS read FROM events), w AS (SELECT c_custkey AS key, c_mktsegment AS label FROM customer) SELECT id, label, row_number() OVER (PARTITION BY owner ORDER BY happened DESC, id) AS place FROM a LEFT JOIN w ON a.key = w.key WHERE NOT read""")
 def alert_list(spark: SparkSession, d: str) -> DataFrame:
     a = b.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("owner"), (F.col("user_id") % 40).alias("key"), F.col("ts").alias("at"), (F.col("event_id") % 3 == 0).alias("read"), F.lit(False).alias("muted"))
-    w = b.table(spark, d, "customer").where("c_custkey < 30").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("label"))
+    w = b.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("label"))
     return rounded(serve.alert_list(a, w, "unread").select("id", "label", "place"))
 
 
-@query(f"""WITH {b.HOLDINGS} SELECT owner, id, row_number() OVER (PARTITION BY owner ORDER BY market_price * quantity DESC NULLS LAST, id) AS place FROM holdings WHERE owner % 10 = 0""")
+@query(f"""WITH {b.HOLDINGS} SELECT owner, id, row_number() OVER (PARTITION BY owner ORDER BY market_price * quantity DESC NULLS LAST, id) AS place FROM holdings""")
 def sort_holdings(spark: SparkSession, d: str) -> DataFrame:
-    h = b.holdings(spark, d).where("owner % 10 = 0").withColumn("value", F.col("market_price") * F.col("quantity"))
+    h = b.holdings(spark, d).withColumn("value", F.col("market_price") * F.col("quantity"))
     return rounded(serve.sort_holdings(h, "owner", "value").select("owner", "id", "place"))
 
 

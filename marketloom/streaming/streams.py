@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from marketloom.operators.demand import KINDS
+from marketloom.operators.pit import gate
 
 
 def dedupe_demand(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
@@ -40,31 +41,23 @@ def sliding_velocity(stream: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 class OutlierGate(StatefulProcessor):
-    """Accepts or rejects each price of a series by the log prices accepted before it, within a window of days."""
+    """Accepts or rejects each price of a series by the log prices accepted before it, within a window of days.
+
+    State is the series' accepted points of the last two windows, so a point that comes up to a window late is judged as in a batch.
+    """
 
     def __init__(self, min_history: int = 7, z: float = 8.0, zero_mad: float = 1.0986122886681098, window_days: int = 90) -> None:
-        self.min_history, self.z, self.zero_mad, self.window_days = min_history, z, zero_mad, window_days
+        self.policy = (min_history, z, zero_mad, window_days)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getListState("accepted", "at timestamp, x double")
+        self.accepted = handle.getListState("accepted", "observed timestamp, available timestamp, id long, x double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        import numpy as np
-
-        known = [(pd.Timestamp(at), x) for at, x in self.accepted.get()] if self.accepted.exists() else []
-        pdf = pd.concat(list(rows)).sort_values(["observed_at", "available_at", "id"])
-        status = []
-        for at, price in zip(pdf["observed_at"], pdf["price"], strict=True):
-            known = [a for a in known if a[0] >= at - pd.Timedelta(days=self.window_days)]
-            x, past, out = np.log(price), np.array([a[1] for a in known if a[0] < at]), False
-            if len(past) >= self.min_history:
-                centre = np.median(past)
-                mad = np.median(np.abs(past - centre))
-                out = abs(x - centre) > self.zero_mad if mad == 0 else abs(x - centre) / (1.4826 * mad) > self.z
-            status.append("outlier" if out else "accepted")
-            if not out:
-                known.append((at, float(x)))
-        self.accepted.put([(a.to_pydatetime(), x) for a, x in known])
+        known = [(pd.Timestamp(o), pd.Timestamp(a), i, x) for o, a, i, x in self.accepted.get()] if self.accepted.exists() else []
+        pdf = pd.concat(list(rows)).sort_values(["available_at", "observed_at", "id"])
+        status, known = gate(pdf, known, *self.policy)
+        newest = max((p[0] for p in known), default=None)
+        self.accepted.put([(o.to_pydatetime(), a.to_pydatetime(), int(i), float(x)) for o, a, i, x in known if o >= newest - pd.Timedelta(days=2 * self.policy[3])])
         yield pd.DataFrame({"series": pdf["series"], "id": pdf["id"], "status": status})
 
     def close(self) -> None:

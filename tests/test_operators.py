@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,37 @@ def test_bootstrap_is_reproducible(spark):
 def test_wrong_retention_is_refused(spark):
     with pytest.raises(ValueError):
         merge.prune(spark.range(1), "id", F.current_date(), 7)
+
+
+def brute_gate(rows, sequential, days=90, least=7):
+    """Status by id of (series, observed, available, price, id) rows, one at a time, by the rule's words."""
+    import statistics
+
+    status = {}
+    for s, o, a, price, i in sorted(rows, key=lambda r: (r[2], r[1], r[4])):
+        newest = {}
+        for t, p, q, x, k in sorted(rows, key=lambda r: (r[2], r[4])):
+            if t == s and p < o and p >= o - dt.timedelta(days=days) and q <= a and (not sequential or status.get(k) == "accepted"):
+                newest[p] = math.log(x)
+        past, out = list(newest.values()), False
+        if len(past) >= least:
+            centre = statistics.median(past)
+            mad = statistics.median(abs(x - centre) for x in past)
+            off = abs(math.log(price) - centre)
+            out = off > math.log(3) if mad == 0 else off / (1.4826 * mad) > 8
+        status[i] = "outlier" if out else "accepted"
+    return status
+
+
+@pytest.mark.parametrize("gate, sequential", [(pit.outlier_status, False), (pit.outlier_status_sequential, True)])
+def test_outlier_gate_with_revisions_and_late_points(spark, gate, sequential):
+    r = random.Random(3)
+    rows = []
+    for i in range(400):
+        day = dt.datetime(2024, 1, 1) + dt.timedelta(days=r.randrange(150))
+        price = 500.0 if r.random() < 0.1 else 10.0 + r.choice([0, 0, 0.5, 1])
+        rows.append((i % 3, day, day + dt.timedelta(days=r.choice([0, 0, 1, 20])), price, i))
+    obs = spark.createDataFrame(rows, "series long, observed_at timestamp, available_at timestamp, price double, id long")
+    want = brute_gate(rows, sequential)
+    assert "outlier" in want.values()
+    assert {x["id"]: x["status"] for x in gate(obs).select("id", "status").collect()} == want
