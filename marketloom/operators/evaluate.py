@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.scalars import shard_of
+from marketloom.operators.stats import join_same, quantile_of_large
 
 LEVELS = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
 
@@ -23,17 +23,15 @@ def _direction(threshold: float) -> Column:
 
 
 def evaluate_cases(cases: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One aggregate for each group: errors, direction, lift, Brier score, pinball losses, coverage and widths."""
+    """Errors, direction, lift, Brier score, pinball losses, coverage and widths of each group: one aggregate, and two medians."""
     p, r = F.col("predicted"), F.col("realized")
     log_error, base_error = F.abs(F.log(p / r)), F.abs(F.log(F.col("baseline") / r))
     pinball = {f"pinball_{q}": F.avg(F.greatest(a * (r - F.col(q)), (a - 1) * (r - F.col(q)))) for q, a in LEVELS.items()}
     inside = lambda lo, hi: F.avg(r.between(F.col(lo), F.col(hi)).cast("double"))
-    return cases.groupBy(*by).agg(
+    scores = cases.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg(log_error).alias("mae_log"),
-        F.percentile(F.abs(p - r) / r, 0.5).alias("median_ape"),
         F.avg(2 * F.abs(p - r) / (p + r)).alias("smape"),
-        F.percentile(F.abs(p - r), 0.5).alias("median_error"),
         _direction(0).alias("direction"),
         _direction(0.10).alias("direction_10"),
         _direction(0.25).alias("direction_25"),
@@ -45,6 +43,9 @@ def evaluate_cases(cases: DataFrame, by: Sequence[str]) -> DataFrame:
         F.avg(F.col("q75") - F.col("q25")).alias("width_50"),
         F.avg(F.col("q90") - F.col("q10")).alias("width_80"),
     )
+    for name, error in (("median_ape", F.abs(p - r) / r), ("median_error", F.abs(p - r))):
+        scores = join_same(scores, quantile_of_large(cases, by, error, {name: 0.5}), by)
+    return scores
 
 
 def calibration_error(cases: DataFrame, by: Sequence[str], p: str, y: Column, bins: int = 10) -> DataFrame:
@@ -104,26 +105,141 @@ def shard_mod(text: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long"), n)
 
 
-def scorecard_gate(summary: DataFrame, min_cases: int = 30, min_lift: float = 0.02, coverage: tuple[float, float] = (0.72, 0.88), max_brier: float = 0.25) -> DataFrame:
-    """summary (n, lift, coverage_80, brier) with reasons and recommendation."""
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.col("n") < min_cases, "insufficient_cases"),
-            F.when(F.coalesce("lift", F.lit(-1.0)) < min_lift, "baseline_lift"),
-            F.when(~F.coalesce(F.col("coverage_80").between(*coverage), F.lit(False)), "interval_coverage"),
-            F.when(F.coalesce("brier", F.lit(1.0)) > max_brier, "brier_score"),
-        )
+#: The baselines that a model must beat.
+REQUIRED_BASELINES = ("no_change", "damped_momentum", "market_index", "lifecycle_cohort", "structural_convergence")
+
+
+def scorecard_gate(
+    summary: DataFrame, required: Sequence[str] = REQUIRED_BASELINES, min_cases: int = 30, min_lift: float = 0.02, coverage: tuple[float, float] = (0.72, 0.88), max_brier: float = 0.25
+) -> DataFrame:
+    """summary (n, lift, coverage_80, brier and a column lift_<name> for each required baseline but no_change) with reasons and
+    recommendation. lift is over no_change; a baseline without a column, or with a null lift, is missing."""
+    own = lambda name: F.col("lift") if name == "no_change" else F.col(f"lift_{name}") if f"lift_{name}" in summary.columns else F.lit(None).cast("double")
+    anyone = lambda tests: F.coalesce(F.greatest(*[t.cast("int") for t in tests], F.lit(0)), F.lit(0)) == 1
+    # fixed values: the codes of reasons, in the order in which they are listed
+    rules = {
+        "missing_required_baselines": anyone([own(b).isNull() for b in required]),
+        "insufficient_evaluation_cases": F.col("n") < min_cases,
+        "missing_baseline_comparison": F.col("lift").isNull(),
+        "baseline_lift_below_threshold": F.col("lift") < min_lift,
+        "challenger_baseline_lift_below_threshold": anyone([F.coalesce(own(b) < min_lift, F.lit(False)) for b in required if b != "no_change"]),
+        "missing_interval_coverage": F.col("coverage_80").isNull(),
+        "interval_coverage_outside_band": ~F.col("coverage_80").between(*coverage),
+        "missing_probability_score": F.col("brier").isNull(),
+        "brier_score_above_threshold": F.col("brier") > max_brier,
+    }
+    out = summary.withColumn("reasons", F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), code) for code, t in rules.items()])))
+    lacking = F.exists("reasons", lambda r: r.startswith("missing_") | r.startswith("insufficient_"))
+    return out.withColumn("recommendation", F.when(F.size("reasons") == 0, "eligible_for_operator_review").when(lacking, "insufficient").otherwise("reject"))
+
+
+def scorecard_membership(evaluations: DataFrame) -> DataFrame:
+    """evaluations (prediction_status, evaluation_status) with membership and reasons: scored research predictions are included,
+    quarantined ones excluded, unscorable targets set aside; any other state is other."""
+    research = F.col("prediction_status") == "research_only"
+    member = (
+        F.when(F.col("prediction_status") == "quarantined", "excluded")
+        .when(research & (F.col("evaluation_status") == "scored"), "included")
+        .when(research & (F.col("evaluation_status") == "unscorable"), "unscorable")
+        .otherwise("other")
     )
-    out = summary.withColumn("reasons", reasons)
-    return out.withColumn("recommendation", F.when(F.array_contains("reasons", "insufficient_cases"), "insufficient").when(F.size("reasons") > 0, "reject").otherwise("eligible"))
+    reason = F.when(F.col("prediction_status") == "quarantined", "quarantined_prediction_excluded").when(F.col("evaluation_status") == "unscorable", "unscorable_target_excluded")
+    return evaluations.withColumns({"membership": member, "reasons": F.array_compact(F.array(reason))})
 
 
-def held_out_set_gate(cases: DataFrame, least: int = 20, floor: float = -0.005, share: float = 0.8, least_sets: int = 3) -> DataFrame:
-    """Per category: mean lift of each group with enough cases, their mean, the share above the floor, and pass."""
-    e, b = F.abs(F.log(F.col("predicted") / F.col("realized"))), F.abs(F.log(F.col("baseline") / F.col("realized")))
-    sets = cases.groupBy("category", "grp").agg(F.count("*").alias("n"), (F.avg(b) - F.avg(e)).alias("lift")).where(F.col("n") >= least)
-    out = sets.groupBy("category").agg(F.count("*").alias("sets"), F.avg("lift").alias("macro_lift"), F.avg((F.col("lift") >= floor).cast("double")).alias("share"))
-    return out.withColumn("passed", (F.col("sets") >= least_sets) & (F.col("share") >= share) & (F.col("macro_lift") > 0))
+def membership_counts(members: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, matured, included, excluded, unscorable, adds_up): the three parts must make up all that matured."""
+    parts = ("included", "excluded", "unscorable")
+    out = members.groupBy(*by).agg(F.count("*").alias("matured"), *[F.count_if(F.col("membership") == p).alias(p) for p in parts])
+    return out.withColumn("adds_up", F.col("matured") == F.col("included") + F.col("excluded") + F.col("unscorable"))
+
+
+def block_set_bootstrap(cells: DataFrame, by: Sequence[str], seed: str, samples: int = 400, level: float = 0.90) -> DataFrame:
+    """(by, lower): lower bound of the mean cell over samples of whole origins and whole groups.
+
+    cells (by, origin, grp, cell) has one row for each block and set. A draw is a hash, so any engine draws the same; a sample weighs a
+    cell by how often its origin and its group were drawn. The bound is the value at rank floor(p (n - 1)).
+    """
+    by = list(by)
+
+    def draws(axis: str) -> DataFrame:
+        w = Window.partitionBy(*by)
+        keys = cells.select(*by, axis).distinct().select(*by, axis, F.row_number().over(w.orderBy(axis)).alias("i"), F.count("*").over(w).alias("n"))
+        drawn = keys.select(*by, "i", "n", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("s"))
+        place = 1 + shard_mod(F.concat_ws("|", F.lit(seed), F.lit(axis), F.col("s").cast("string"), F.col("i").cast("string")), F.col("n"))
+        counts = drawn.select(*by, "s", place.cast("int").alias("i")).groupBy(*by, "s", "i").agg(F.count("*").alias(f"m_{axis}"))
+        return counts.join(keys.drop("n"), [*by, "i"]).select(*by, "s", axis, f"m_{axis}")
+
+    j = cells.join(draws("origin"), [*by, "origin"]).join(draws("grp"), [*by, "grp", "s"])
+    weight = F.col("m_origin") * F.col("m_grp")
+    means = j.groupBy(*by, "s").agg((F.sum(weight * F.col("cell")) / F.sum(weight)).alias("mean"))
+    w = Window.partitionBy(*by)
+    ranked = means.select(*by, "mean", (F.row_number().over(w.orderBy("mean")) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    return ranked.where(F.col("r") == F.floor((1 - level) / 2 * (F.col("n") - 1))).select(*by, F.col("mean").alias("lower"))
+
+
+COVERAGE_RANGE = (0.75, 0.88)
+
+
+def held_out_set_gate(
+    cases: DataFrame,
+    by: Sequence[str] = ("category", "cohort", "horizon"),
+    seed: str = "held-out-sets",
+    min_blocks: int = 3,
+    min_variants: int = 20,
+    min_sets: int = 3,
+    no_harm: float = -0.005,
+    no_harm_share: float = 0.8,
+    coverage: tuple[float, float] = COVERAGE_RANGE,
+    coverage_cases: int = 500,
+) -> DataFrame:
+    """(by, blocks, sets, macro_lift, no_harm_share, lower, reasons, passed, tier) of cases.
+
+    Actual and predicted returns are taken relative to their median at each origin, so a set is not credited with the market's move;
+    a case's lift is |actual| - |actual - predicted|. Sets count with `min_variants` variants or more. The bootstrap is over blocks and sets; coverage is
+    tested for each volatility and age bucket with `coverage_cases` cases. Only the cohort standard can pass.
+    cases: by, origin, grp, product, current, realized, predicted, q10, q90, volatility_bucket, age_bucket.
+    """
+    by = list(by)
+    returns = cases.withColumns({"__a": F.log(F.col("realized") / F.col("current")), "__p": F.log(F.col("predicted") / F.col("current"))})
+    centred = returns
+    for c in ("__a", "__p"):
+        centred = join_same(centred, quantile_of_large(returns, [*by, "origin"], c, {f"{c}c": 0.5}), [*by, "origin"])
+    a, p = F.col("__a") - F.col("__ac"), F.col("__p") - F.col("__pc")
+    lifts = centred.select(*by, "origin", "grp", "product", (F.abs(a) - F.abs(a - p)).alias("__lift"))
+    own = lifts.groupBy(*by, "grp", "product").agg(F.sum("__lift").alias("s"), F.count("*").alias("c"))
+    sets = own.groupBy(*by, "grp").agg(F.count("*").alias("variants"), (F.sum("s") / F.sum("c")).alias("lift")).where(F.col("variants") >= min_variants)
+    whole = cases.groupBy(*by).agg(F.count_distinct("origin").alias("blocks"))
+    macro = sets.groupBy(*by).agg(F.count("*").alias("sets"), F.avg("lift").alias("macro_lift"), F.avg((F.col("lift") >= no_harm).cast("double")).alias("no_harm_share"))
+    cells = lifts.join(sets.select(*by, "grp"), [*by, "grp"], "left_semi").groupBy(*by, "origin", "grp").agg(F.avg("__lift").alias("cell"))
+    covered = F.col("realized").between(F.col("q10"), F.col("q90")).cast("double")
+    buckets = cases.groupBy(*by, "volatility_bucket", "age_bucket").agg(F.count("*").alias("n"), F.avg(covered).alias("share")).where(F.col("n") >= coverage_cases)
+    outside = buckets.where(~F.col("share").between(*coverage)).groupBy(*by).agg(F.count("*").alias("cells_outside"))
+    out = join_same(join_same(join_same(whole, macro, by), block_set_bootstrap(cells, by, seed), by), outside, by)
+    out = out.withColumns({"sets": F.coalesce("sets", F.lit(0).cast("long")), "cells_outside": F.coalesce("cells_outside", F.lit(0).cast("long"))})
+    rules = {
+        "too_few_scored_blocks": F.col("blocks") < min_blocks,
+        "too_few_eligible_sets": F.col("sets") < min_sets,
+        "macro_lift_not_positive": ~F.coalesce(F.col("macro_lift") > 0, F.lit(False)),
+        "sets_harmed": ~F.coalesce(F.col("no_harm_share") >= no_harm_share, F.lit(False)),
+        "bootstrap_lower_bound_not_positive": ~F.coalesce(F.col("lower") > 0, F.lit(False)),
+        "bucket_coverage_outside_range": F.col("cells_outside") > 0,
+        "not_the_standard_cohort": F.col("cohort") != "standard" if "cohort" in by else F.lit(False),
+    }
+    out = out.withColumn("reasons", F.array_compact(F.array(*[F.when(t, code) for code, t in rules.items()])))
+    passed = F.size("reasons") == 0
+    return out.withColumns({"passed": passed, "tier": F.when(passed, "category-validated").otherwise("range-only")})
+
+
+def gate_category(cases: DataFrame, weights: DataFrame, by: Sequence[str] = ("category", "cohort", "horizon"), baselines: Sequence[str] = ("momentum",), **gate: object) -> DataFrame:
+    """(by, n, lift, coverage_80, macro_lift, reasons, tier): evaluation and held-out sets together. A pass whose index weight is 0 (weights: category,
+    horizon, a) is only validated relative to the market."""
+    own = cohort_horizon_eval(cases, by, baselines).withColumnRenamed("reasons", "__r")
+    both = join_same(own, held_out_set_gate(cases, by, **gate).select(*by, "macro_lift", F.col("reasons").alias("__s")), list(by))
+    both = join_same(both, weights.select("category", "horizon", "a"), ["category", "horizon"])
+    both = both.withColumn("reasons", F.concat("__r", "__s"))
+    tier = F.when(F.size("reasons") > 0, "range-only").when(F.col("a") == 0, "relative-validated").otherwise("category-validated")
+    return both.select(*by, "n", "lift", "coverage_80", "macro_lift", "reasons", tier.alias("tier"))
 
 
 def realized_price(obs: DataFrame, maturities: DataFrame, keys: list[str], window_days: int = 7) -> DataFrame:
@@ -146,27 +262,61 @@ def target_window_audit(obs: DataFrame, keys: list[str], start: Column, end: Col
     return own.select(*keys, F.size("d").alias("observed"), expected.alias("expected"), (F.size("d") / expected).alias("coverage"), F.array_max(gaps).alias("largest_gap"))
 
 
-def component_weights(cases: DataFrame, grid: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, a, b, mae): the grid's best pair of weights for index move and reversion, the least pair of equals.
+#: The grid of weights for index move, reversion and drift.
+COMMON_GRID, REVERSION_GRID, DRIFT_GRID = (0.0, 0.25, 0.5, 1.0), (0.0, 0.1, 0.25, 0.5), (-0.25, 0.0, 0.25)
 
-    The grid is a stated few rows; sums are by (by, a, b), never by case and weight beyond the aggregate.
-    """
-    j = cases.join(F.broadcast(grid))
-    error = F.abs(F.col("anchor") + F.col("a") * F.col("index_delta") + F.col("b") * F.col("reversion") - F.col("actual"))
-    scored = j.groupBy(*by, "a", "b").agg(F.avg(error).alias("mae"))
-    return scored.groupBy(*by).agg(F.min_by(F.struct("a", "b", "mae"), F.struct("mae", "a", "b")).alias("w")).select(*by, "w.a", "w.b", "w.mae")
 
+def earlier_origins(cases: DataFrame, by: Sequence[str], train: float = 0.6, holdout: int = 6) -> DataFrame:
+    """(by, origin, part): the first round(n train) distinct origins of each group are fit, the others holdout; at least `holdout`
+    of them are held out as far as there are so many. The ranks are over distinct origins only."""
+    w = Window.partitionBy(*by)
+    o = cases.select(*by, "origin").distinct().select(*by, "origin", F.row_number().over(w.orderBy("origin")).alias("r"), F.count("*").over(w).alias("n"))
+    fit = F.greatest(F.lit(0), F.least(F.bround(F.col("n") * train), F.col("n") - F.least(F.lit(holdout), F.col("n"))))
+    return o.select(*by, "origin", F.when(F.col("r") <= fit, "fit").otherwise("holdout").alias("part"))
 
-def cohort_horizon_eval(cases: DataFrame, by: Sequence[str], mover: float = 0.04879016416943205) -> DataFrame:
-    """(by, n, mae, mae_no_change, mae_movers): movers are cases whose price moved by `mover` in log terms."""
-    e = F.abs(F.log(F.col("predicted") / F.col("realized")))
+
+def component_weights(cases: DataFrame, by: Sequence[str] = ("category", "horizon"), train: float = 0.6, holdout: int = 6) -> DataFrame:
+    """(by, a, c, b, lift, n): the first best of the grid's weights for index move a, reversion c and drift b by mean
+    lift over no change, on standard cases of the earlier origins only; (1, 0, 1) and a null lift where there are none.
+
+    cases: by, origin, cohort, steps, anchor, index_delta, reversion, drift, actual. All points of the grid are sums of one aggregate, so
+    no case is repeated for the grid.
+    """
+    by = list(by)
+    parts = earlier_origins(cases, by, train, holdout).where("part = 'fit'").select(*by, "origin")
+    fit = cases.where("cohort = 'standard'").join(F.broadcast(parts), [*by, "origin"], "left_semi")
+    grid = [(a, c, b) for a in COMMON_GRID for c in REVERSION_GRID for b in DRIFT_GRID]
+    off = lambda a, c, b: F.abs(F.col("actual") - F.col("anchor") - a * F.col("index_delta") - c * F.col("reversion") - b * F.col("drift") * F.col("steps"))
+    sums = fit.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("actual") - F.col("anchor"))).alias("__no"), *[F.avg(off(*g)).alias(f"__g{k}") for k, g in enumerate(grid)])
+    points = F.array(*[F.struct((F.col("__no") - F.col(f"__g{k}")).alias("lift"), F.lit(-k).alias("k"), F.lit(a).alias("a"), F.lit(c).alias("c"), F.lit(b).alias("b")) for k, (a, c, b) in enumerate(grid)])
+    best = sums.select(*by, "n", F.array_max(points).alias("w")).select(*by, "n", "w.a", "w.c", "w.b", "w.lift")
+    out = join_same(cases.select(*by).distinct(), best, by)
+    return out.select(*by, F.coalesce("a", F.lit(1.0)).alias("a"), F.coalesce("c", F.lit(0.0)).alias("c"), F.coalesce("b", F.lit(1.0)).alias("b"), "lift", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def cohort_horizon_eval(cases: DataFrame, by: Sequence[str], baselines: Sequence[str] = ("momentum",), mover: float = 0.04879016416943205, coverage: tuple[float, float] = COVERAGE_RANGE) -> DataFrame:
+    """(by, n, mae, mae_no_change, lift, movers, direction_movers, coverage_80, pinball_q50, pinball_no_change, mae_<baseline>..., reasons, passed).
+
+    Movers are cases whose price moved by `mover` in log terms. A positive lift and the coverage decide; direction and pinball loss are shown only.
+    """
+    e, still = F.abs(F.log(F.col("predicted") / F.col("realized"))), F.abs(F.log(F.col("current") / F.col("realized")))
     moved = F.abs(F.log(F.col("realized") / F.col("current"))) >= mover
-    return cases.groupBy(*by).agg(F.count("*").alias("n"), F.avg(e).alias("mae"), F.avg(F.abs(F.log(F.col("baseline") / F.col("realized")))).alias("mae_no_change"), F.avg(F.when(moved, e)).alias("mae_movers"))
+    right = ((F.col("predicted") >= F.col("current")) == (F.col("realized") >= F.col("current"))).cast("double")
+    out = cases.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.avg(e).alias("mae"),
+        F.avg(still).alias("mae_no_change"),
+        F.count_if(moved).alias("movers"),
+        F.avg(F.when(moved, right)).alias("direction_movers"),
+        F.avg(F.col("realized").between(F.col("q10"), F.col("q90")).cast("double")).alias("coverage_80"),
+        *[F.avg(F.abs(F.log(F.col(b) / F.col("realized")))).alias(f"mae_{b}") for b in baselines],
+    )
+    out = out.withColumns({"lift": F.col("mae_no_change") - F.col("mae"), "pinball_q50": F.col("mae") / 2, "pinball_no_change": F.col("mae_no_change") / 2})
+    rules = {"lift_not_positive": ~(F.col("lift") > 0), "coverage_outside_range": ~F.col("coverage_80").between(*coverage)}
+    out = out.withColumn("reasons", F.array_compact(F.array(*[F.when(t, code) for code, t in rules.items()])))
+    return out.withColumn("passed", F.size("reasons") == 0)
 
 
 def count_distinct_breadth(cases: DataFrame, columns: dict[str, str]) -> DataFrame:
     """One row: how many distinct values each column has."""
     return cases.agg(*[F.count_distinct(c).alias(n) for n, c in columns.items()])
-
-
-__all__ = ["baseline_lifts", "calibration_error", "cluster_bootstrap", "cohort_horizon_eval", "component_weights", "count_distinct_breadth", "evaluate_cases", "held_out_set_gate", "realized_price", "scorecard_gate", "shard_of", "strongest_challenger", "target_window_audit", "two_way_bootstrap"]

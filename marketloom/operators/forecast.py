@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.scalars import array_median, clamp, horizon_steps
-from marketloom.operators.index import cohort_return
-from marketloom.operators.stats import mad_volatility, tercile_bucket  # noqa: F401  mad_volatility: daily form, re-exported
+from marketloom.functions.scalars import array_median, clamp
+from marketloom.operators.stats import join_same, quantile_of_large, tercile_bucket
 
 CAP = 0.70
 QUANTILES = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
@@ -73,10 +72,15 @@ def hedonic_anchor(own: Column, hedonic: Column, n: Column, least: int = 8, n0:
     return F.when((n >= least) | hedonic.isNull(), own).otherwise(own + shift)
 
 
-def conformal_offsets(residuals: DataFrame, keys: list[str], value: str = "standardized") -> DataFrame:
-    """(keys, q10..q90, pool): quantiles of standardised residuals; the middle is 0 and each side stays on its side."""
-    side = lambda q, p: F.lit(0.0) if p == 0.5 else F.least(F.lit(0.0), F.percentile(value, p)) if p < 0.5 else F.greatest(F.lit(0.0), F.percentile(value, p))
-    return residuals.groupBy(*keys).agg(*[side(q, p).alias(q) for q, p in QUANTILES.items()], F.count(value).alias("pool"))
+def conformal_offsets(residuals: DataFrame, keys: list[str], value: str = "standardized", least: int = 1) -> DataFrame:
+    """(keys, q10..q90, pool): quantiles of standardised residuals; the middle is 0 and each side stays on its side.
+
+    A pool of fewer than `least` residuals takes the default (q - 1/2) 2.
+    """
+    found = join_same(residuals.groupBy(*keys).agg(F.count(value).alias("pool")), quantile_of_large(residuals, keys, value, QUANTILES), keys)
+    enough = F.col("pool") >= least
+    side = lambda q, p: F.lit(0.0) if p == 0.5 else F.when(~enough | F.col(q).isNull(), (p - 0.5) * 2).otherwise(F.least(F.lit(0.0), F.col(q)) if p < 0.5 else F.greatest(F.lit(0.0), F.col(q)))
+    return found.select(*keys, *[side(q, p).alias(q) for q, p in QUANTILES.items()], "pool")
 
 
 def trajectory_forecast(panel: DataFrame, keys: list[str], index: DataFrame, horizons: tuple[int, ...] = (30, 60, 90), step_days: int = 91, drift_weight: float = 1.0, reversion_weight: float = 0.1) -> DataFrame:
@@ -134,17 +138,36 @@ def range_only_band(df: DataFrame) -> DataFrame:
     return df.withColumns({"lo": F.col("price") * F.exp(-radius), "hi": F.col("price") * F.exp(radius)})
 
 
-def serve_tiers(forecasts: DataFrame, eligibility: DataFrame) -> DataFrame:
-    """forecasts with serve: the category's tier, lowered or withheld by ordered rules."""
-    j = forecasts.join(eligibility, ["category", "horizon"], "left")
-    serve = (
-        F.when(F.col("eligible").isNull() | ~F.col("eligible"), "withheld_category")
-        .when(F.col("tier") == "insufficient-history", "withheld_history")
-        .when(F.col("q50") <= 0, "withheld_price")
-        .when(F.col("tier") == "low-history", "range_only")
-        .otherwise("full")
-    )
-    return j.withColumn("serve", serve)
+#: Tiers that claim a direction, kinds that never may, and how far under its list price a sealed product may be served.
+DIRECTIONAL_TIERS, UNDIRECTED_KINDS, LIST_PRICE_FLOOR = ("category-validated", "relative-validated"), ("sealed", "unknown"), 0.8
+
+
+def serve_tiers(packets: DataFrame, eligibility: DataFrame, list_prices: DataFrame) -> DataFrame:
+    """packets with served (the tier, or null), withheld (the reason, or null), downgraded and served_q50.
+
+    packets: category, product, confidence, kind (null is unknown), saturated, price, horizon, q50. eligibility: category, confidence, horizon, tier for what
+    may be served. list_prices: product, list_price, in_print. In order: a saturated anchor withholds; then no eligibility; cold starts
+    are attribute-reference, other cohorts than standard range-only; sealed and unknown products lose a directional tier; a
+    sealed product in print is withheld under the floor of its list price, and never lifted.
+    """
+    kind = F.coalesce("kind", F.lit("unknown"))
+    j = packets.join(eligibility.select("category", "confidence", "horizon", F.col("tier").alias("__tier"), F.lit(True).alias("__may")), ["category", "confidence", "horizon"], "left")
+    j = j.join(list_prices.select("product", F.col("list_price").alias("__list"), F.col("in_print").alias("__print")), "product", "left")
+    known = F.col("__tier").isin(*DIRECTIONAL_TIERS, "range-only", "attribute-reference")
+    earned = F.when(F.col("confidence") == "cold-start", "attribute-reference").when(F.col("confidence") != "standard", "range-only").when(known, F.col("__tier")).otherwise("range-only")
+    j = j.withColumn("__earned", earned).withColumn("downgraded", kind.isin(*UNDIRECTED_KINDS) & F.col("__earned").isin(*DIRECTIONAL_TIERS))
+    j = j.withColumn("__served", F.when(F.col("downgraded"), "range-only").otherwise(F.col("__earned")))
+    j = j.withColumn("served_q50", F.when(F.col("__served") == "range-only", F.coalesce("price", "q50")).otherwise(F.col("q50")))
+    low = (kind == "sealed") & F.coalesce("__print", F.lit(False)) & (F.col("served_q50") < LIST_PRICE_FLOOR * F.col("__list"))
+    withheld = F.when(F.coalesce("saturated", F.lit(False)), "anchor_clamp_saturated").when(F.col("__may").isNull(), "no_eligible_cohort").when(low, "below_list_price_floor")
+    j = j.withColumn("withheld", withheld)
+    return j.withColumns({"served": F.when(F.col("withheld").isNull(), F.col("__served")), "downgraded": F.coalesce(F.col("downgraded") & (F.coalesce("withheld", F.lit("")).isin("", "below_list_price_floor")), F.lit(False))}).drop("__tier", "__may", "__list", "__print", "__earned", "__served")
+
+
+def serve_counters(served: DataFrame, by: list[str]) -> DataFrame:
+    """(by, name, n): how many rows were served by tier, withheld by reason, and downgraded by kind."""
+    names = F.array_compact(F.array(F.concat(F.lit("served:"), "served"), F.concat(F.lit("withheld:"), "withheld"), F.when(F.col("downgraded"), F.concat(F.lit("downgraded:"), F.coalesce("kind", F.lit("unknown"))))))
+    return served.select(*by, F.explode(names).alias("name")).groupBy(*by, "name").agg(F.count("*").alias("n"))
 
 
 def volatility_cone(points: DataFrame, keys: list[str], day: str, price: str, horizon_days: int, drift_half_life: float = 180.0, variance_half_life: float = 60.0) -> DataFrame:
@@ -171,6 +194,3 @@ def walk_forward_origins(first: int, last: int, horizon: int, most: int = 5) ->
         return []
     n = min(most, end - first + 1)
     return sorted({first + round(i * (end - first) / max(1, n - 1)) for i in range(n)})
-
-
-__all__ = ["baselines", "cohort_return", "confidence_tier", "conformal_offsets", "damped_delta", "damped_trend", "group_delta", "hedonic_anchor", "horizon_steps", "origin_blocks", "range_only_band", "serve_tiers", "theta_drift", "trajectory_forecast", "volatility_cone", "walk_forward_origins"]

@@ -11,9 +11,10 @@ from marketloom.functions.scalars import array_median, clamp, fold_of, freshness
 from marketloom.operators.market import Z
 from marketloom.operators.pit import point_in_time_many
 from marketloom.operators.regress import coefficients, predicted
-from marketloom.operators.stats import gram_matrix, model_weights
+from marketloom.operators.stats import gram_matrix, model_weights, quantile_of_large
 
 DAY = 86400.0
+QUANTILES = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
 
 
 def trend_snapshot(obs: DataFrame, origins: DataFrame, keys: list[str], max_lag_days: float = 3.0, floor: float = 1e-6, least: int = 7, least_quality: float = 0.5) -> DataFrame:
@@ -110,7 +111,8 @@ def ensemble_forecast(features: DataFrame, cells: DataFrame, keys: list[str], mo
         return one
 
     resid = split.where("part = 'calibration'").join(weights, ["at", "horizon"]).withColumn("e", F.col("realized_return") - mixed())
-    cal = resid.groupBy("at", "horizon").agg(F.count("*").alias("n"), *[F.percentile("e", p).alias(f"e_{q}") for q, p in (("q10", 0.1), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q90", 0.9))])
+    at = ["at", "horizon"]
+    cal = resid.groupBy(*at).agg(F.count("*").alias("n")).join(quantile_of_large(resid, at, "e", {f"e_{q}": p for q, p in QUANTILES.items()}), at)
     fitted = features.join(weights.withColumnRenamed("at", "origin"), ["origin", "horizon"], "left").join(cal.withColumnRenamed("at", "origin"), ["origin", "horizon"], "left")
     usable = F.coalesce((F.col("n") >= least) & (F.col("e_q90") > F.col("e_q10")), F.lit(False))
     centre = mixed() + F.coalesce("e_q50", F.lit(0.0))
@@ -177,7 +179,7 @@ def structural_gap(rows: DataFrame, group: str, x: Sequence[str], y: str, folds:
     train = F.broadcast(by).join(F.broadcast(nxt), "fold").join(F.broadcast(total)).select("fold", *[(F.col(f"t_{c}") - F.col(c) - F.col(f"n_{c}")).alias(c) for c in sums])
     beta = coefficients(train, ["fold"], len(x) + 1, ridge)
     calibrate = f.withColumn("fold", F.pmod(F.col("fold") - 1, F.lit(folds)).cast("int")).join(F.broadcast(beta), "fold").withColumn("e", F.col(y) - predicted(x))
-    band = calibrate.groupBy("fold").agg(F.percentile("e", 0.1).alias("e10"), F.percentile("e", 0.9).alias("e90"))
+    band = quantile_of_large(calibrate, ["fold"], "e", {"e10": 0.1, "e90": 0.9})
     out = f.join(F.broadcast(beta), "fold").join(F.broadcast(band), "fold").withColumn("fair", predicted(x))
     out = out.withColumns({"lo": F.col("fair") + F.col("e10"), "hi": F.col("fair") + F.col("e90")}).drop("beta", "e10", "e90")
     return out.withColumn("position", F.when(F.col(y) < F.col("lo"), "below").when(F.col(y) > F.col("hi"), "above").otherwise("within"))

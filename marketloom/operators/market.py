@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import clamp, normal_cdf
+from marketloom.operators.stats import join_same, quantile_of_large
 
 HORIZONS = (7, 30, 90, 180, 365)
 BAND_HORIZONS = (30, 90, 180, 365)
@@ -115,10 +116,10 @@ def set_metrics(metrics: DataFrame, groups: DataFrame, keys: list[str]) -> DataF
     rolled = metrics.groupBy(*keys).agg(
         F.count("*").alias("series_count"),
         F.count("current_price").alias("priced_series_count"),
-        F.percentile("return_30d", 0.5).alias("median_return_30d"),
         F.avg(F.when(F.col("return_30d").isNotNull(), (F.col("return_30d") > 0).cast("double"))).alias("breadth_30d"),
-        F.percentile("volatility_30d", 0.5).alias("median_volatility_30d"),
     )
+    for value in ("return_30d", "volatility_30d"):
+        rolled = join_same(rolled, quantile_of_large(metrics, keys, value, {f"median_{value}": 0.5}), keys)
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("series_count", "priced_series_count")}
     return groups.select(*keys).distinct().join(rolled, keys, "left").withColumns(zero)
 

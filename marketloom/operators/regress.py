@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import fold_of
-from marketloom.operators.stats import gram_matrix
+from marketloom.operators.stats import gram_matrix, quantile_of_large
 
 
 def solved(xx: np.ndarray, xy: np.ndarray, ridge: float, tries: int = 6) -> np.ndarray:
@@ -76,7 +76,7 @@ def robust_fair_value(df: DataFrame, key: str, x: Sequence[str], y: str, rounds:
     for _ in range(rounds):
         beta = coefficients(gram_matrix(rows, [key], x, y, "w"), [key], len(x) + 1, ridge)
         fitted = df.join(beta, key).withColumn("fair", predicted(x)).withColumn("e", F.col(y) - F.col("fair"))
-        spread = fitted.groupBy(key).agg((1.4826 * F.percentile(F.abs("e"), 0.5)).alias("s"))
+        spread = quantile_of_large(fitted, [key], F.abs("e"), {"s": 0.5}).withColumn("s", 1.4826 * F.col("s"))
         fitted = fitted.join(spread, key)
         u = F.abs(F.col("e")) / F.greatest("s", F.lit(1e-9))
         rows = fitted.withColumn("w", F.when(u <= huber, 1.0).otherwise(huber / u))

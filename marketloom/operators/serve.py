@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import product_format, product_kind, set_family, text_similarity
 from marketloom.operators import evaluate, forecast, lab
-from marketloom.operators.stats import leave_one_out_quantile
+from marketloom.operators.stats import join_same, leave_one_out_quantile, quantile_of_large
 
 
 def series_forecast_lookup(items: DataFrame, packets: DataFrame, value: str) -> DataFrame:
@@ -122,14 +122,6 @@ def cold_start_forecast(catalog: DataFrame, priced: DataFrame, hedonic: DataFram
     return new.select("product", "category", *[F.exp(F.col("hedonic_log") + F.col(f"w.{q}") * F.col("w.mad") * widen).alias(q) for q in qs])
 
 
-def gate_category(cases: DataFrame) -> DataFrame:
-    """(category, tier): category-validated where scorecard and held-out sets pass, relative-validated where only the sets do, else range-only."""
-    card = evaluate.scorecard_gate(evaluate.evaluate_cases(cases, ["category"])).select("category", (F.col("recommendation") == "eligible").alias("card"))
-    sets = evaluate.held_out_set_gate(cases).select("category", F.col("passed").alias("sets"))
-    tier = F.when(F.col("card") & F.col("sets"), "category-validated").when(F.coalesce("sets", F.lit(False)), "relative-validated").otherwise("range-only")
-    return card.join(sets, "category", "left").select("category", tier.alias("tier"))
-
-
 def retrospective_walk_forward(obs: DataFrame, origins: DataFrame, keys: list[str], horizons: Sequence[int], as_of: Column, damping: float = 0.25, window_days: int = 7) -> DataFrame:
     """(horizon, scorecard columns): snapshots at each origin, damped-momentum bands, realised prices, scores."""
     snaps = lab.trend_snapshot(obs, origins, keys)
@@ -138,7 +130,7 @@ def retrospective_walk_forward(obs: DataFrame, origins: DataFrame, keys: list[st
     move = F.least(F.lit(0.7), F.greatest(F.lit(-0.7), F.coalesce("slope_90d", F.lit(0.0)) * F.col("horizon") * damping))
     sigma = F.greatest(F.lit(0.05), F.coalesce("volatility_90d", F.lit(0.0)) * F.sqrt("horizon"))
     cases = cells.select("horizon", F.col("current_price").alias("current"), "realized", (F.col("current_price") * F.exp(move)).alias("predicted"), F.col("current_price").alias("baseline"), F.lit(0.5).alias("probability_up"), *[(F.col("current_price") * F.exp(move + z * sigma)).alias(q) for q, z in lab.Z.items()])
-    return evaluate.scorecard_gate(evaluate.evaluate_cases(cases, ["horizon"]))
+    return evaluate.scorecard_gate(evaluate.evaluate_cases(cases, ["horizon"]), required=("no_change",))
 
 
 def after_cost_scorecard(cases: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -149,8 +141,8 @@ def after_cost_scorecard(cases: DataFrame, by: Sequence[str]) -> DataFrame:
         F.avg(F.pow(F.col("probability") - y.cast("double"), 2)).alias("brier"),
         F.count_if(F.col("selected")).alias("selected"),
         F.avg(F.when(F.col("selected"), y.cast("double"))).alias("positive_rate"),
-        F.percentile(F.when(F.col("selected"), F.col("roi")), 0.5).alias("median_roi"),
     )
+    base = join_same(base, quantile_of_large(cases, by, F.when(F.col("selected"), F.col("roi")), {"median_roi": 0.5}), by)
     return base.join(evaluate.calibration_error(cases, by, "probability", y), list(by))
 
 
@@ -182,13 +174,13 @@ def shadow_walk_forward(cells: DataFrame, keys: list[str], models: Sequence[str]
     f = lab.ensemble_forecast(cells, cells, keys, models).select(*keys, "origin", "horizon", *forecast.QUANTILES, "probability_up")
     scored = cells.where("cell = 'scored'").select(*keys, "origin", "horizon", F.col("current_price").alias("current"), "realized")
     cases = f.join(scored, [*keys, "origin", "horizon"]).withColumns({"predicted": F.col("q50"), "baseline": F.col("current")})
-    return evaluate.scorecard_gate(evaluate.evaluate_cases(cases, ["horizon"]))
+    return evaluate.scorecard_gate(evaluate.evaluate_cases(cases, ["horizon"]), required=("no_change",))
 
 
 def private_trend_and_baseline(obs: DataFrame, origins: DataFrame, keys: list[str], horizons: Sequence[int]) -> DataFrame:
     """(origin, keys, horizon, baseline, log_return, price): each snapshot's baselines at each horizon."""
     s = lab.trend_snapshot(obs, origins, keys).select("origin", *keys, F.col("current_price").alias("price"), F.coalesce("slope_90d", F.lit(0.0)).alias("slope"))
-    market = s.groupBy("origin").agg(F.percentile("slope", 0.5).alias("market_slope"))
+    market = quantile_of_large(s, ["origin"], "slope", {"market_slope": 0.5})
     s = s.join(F.broadcast(market), "origin").withColumns({"cohort": F.lit(0.0), "structural": F.col("price")})
     out = None
     for h in horizons:

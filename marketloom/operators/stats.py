@@ -70,6 +70,42 @@ def empirical_quantile(df: DataFrame, keys: list[str], value: str, probs: Sequen
     return df.groupBy(*keys).agg(*[F.percentile(value, p).alias(f"q{round(p * 100):02d}") for p in probs])
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """left with right's other columns where all keys are the same, null with null."""
+    own = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    if not keys:
+        return left.crossJoin(F.broadcast(own))  # right has one row
+    same = [left[k].eqNullSafe(own[f"__k_{k}"]) for k in keys]
+    return left.join(own, same, how).drop(*[f"__k_{k}" for k in keys])
+
+
+def quantile_of_large(df: DataFrame, keys: Sequence[str], value: Column | str, quantiles: dict[str, float], steps: int = 1024) -> DataFrame:
+    """(keys, one column for each quantile): linear interpolation at p (n - 1), for groups that are too large for one task.
+
+    Values are counted by narrow cells, `steps` to a factor of e, which combines before the shuffle. The counts tell in which cells the
+    wanted ranks fall; only those cells' rows are ranked, and not even these where all values of a cell are equal. Nulls and NaN are left out.
+    """
+    keys = list(keys)
+    v = F.col(value) if isinstance(value, str) else value
+    rows = df.select(*keys, v.cast("double").alias("__v")).where("__v is not null and not isnan(__v)")
+    # grows with the value, and keeps the order of values of both signs
+    rows = rows.withColumn("__cell", F.floor(F.asinh(F.col("__v") * 1e6) * steps))
+    cells = rows.groupBy(*keys, "__cell").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    w = Window.partitionBy(*keys)
+    placed = cells.withColumn("__n", F.sum("__c").over(w)).withColumn("__b", F.sum("__c").over(w.orderBy("__cell")) - F.col("__c"))
+    at = {q: p * (F.col("__n") - 1) for q, p in quantiles.items()}
+    ranks = F.array_distinct(F.array(*[r.cast("long") for x in at.values() for r in (F.floor(x), F.ceil(x))]))
+    wanted = placed.withColumn("__ranks", F.filter(ranks, lambda r: (r >= F.col("__b")) & (r < F.col("__b") + F.col("__c")))).where(F.size("__ranks") > 0)
+    even = wanted.where("__lo = __hi").select(*keys, "__n", F.explode("__ranks").alias("__r"), F.col("__lo").alias("__v"))
+    split = wanted.where("__lo < __hi").select(*keys, "__cell", "__n", "__b", "__ranks")
+    met = join_same(rows, split, [*keys, "__cell"], "inner")
+    ranked = met.withColumn("__r", F.col("__b") + F.row_number().over(Window.partitionBy(*keys, "__cell").orderBy("__v")) - 1)
+    found = even.unionByName(ranked.where(F.array_contains("__ranks", F.col("__r"))).select(*keys, "__n", "__r", "__v"))
+    pick = lambda r: F.max(F.when(F.col("__r") == r.cast("long"), F.col("__v")))
+    out = found.groupBy(*keys).agg(*[x for q, a in at.items() for x in (pick(F.floor(a)).alias(f"__a_{q}"), pick(F.ceil(a)).alias(f"__b_{q}"))], F.first("__n").alias("__n"))
+    return out.select(*keys, *[(F.col(f"__a_{q}") + (F.col(f"__b_{q}") - F.col(f"__a_{q}")) * (p * (F.col("__n") - 1) - F.floor(p * (F.col("__n") - 1)))).alias(q) for q, p in quantiles.items()])
+
+
 def lower_percentile(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
     """The value at rank floor(p (n - 1)), no interpolation."""
     w = Window.partitionBy(*keys)
@@ -80,34 +116,35 @@ def lower_percentile(df: DataFrame, keys: list[str], value: str, p: float) -> Da
 def leave_one_out_quantile(df: DataFrame, keys: list[str], key: str, value: str, p: float = 0.5) -> DataFrame:
     """(keys, key, others): the quantile of each group without the row itself, by shifted ranks, not by a self-join of rows.
 
-    Without the row of rank r, the i-th of the others is rank i for i < r, else i + 1.
+    Without the row of rank r, the i-th of the others is rank i for i < r, else i + 1. So only three neighbouring values of a group
+    are ever needed, which the same window picks: one shuffle.
     """
     w = Window.partitionBy(*keys)
     ranked = df.select(*keys, key, value, (F.row_number().over(w.orderBy(value, key)) - 1).cast("long").alias("r"), F.count("*").over(w).alias("n"))
     at = p * (F.col("n") - 2)
-    shift = lambda i: (i + F.when(i >= F.col("r"), 1).otherwise(0)).cast("long")
-    want = ranked.where("n > 1").select(*keys, key, shift(F.floor(at)).alias("lo"), shift(F.ceil(at)).alias("hi"), (at - F.floor(at)).alias("f"))
-    order = ranked.select(*keys, F.col("r"), F.col(value).alias("v"))
-    found = want.join(order.withColumnsRenamed({"r": "lo", "v": "a"}), [*keys, "lo"]).join(order.withColumnsRenamed({"r": "hi", "v": "b"}), [*keys, "hi"])
-    return found.select(*keys, key, (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("others"))
+    lo, hi = F.floor(at).cast("long"), F.ceil(at).cast("long")
+    one = lambda k: F.max(F.when(F.col("r") == k, F.col(value))).over(w)
+    near = ranked.withColumns({"v0": one(lo), "v1": one(lo + 1), "v2": one(lo + 2)})
+    kept = lambda i: F.when(i < F.col("r"), F.when(i == lo, F.col("v0")).otherwise(F.col("v1"))).otherwise(F.when(i == lo, F.col("v1")).otherwise(F.col("v2")))
+    return near.where("n > 1").select(*keys, key, (kept(lo) + (kept(hi) - kept(lo)) * (at - lo)).alias("others"))
 
 
 def tercile_bucket(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    cuts = empirical_quantile(df, keys, value, (1 / 3, 2 / 3))
+    cuts = quantile_of_large(df, keys, value, {"q33": 1 / 3, "q67": 2 / 3})
     label = F.when(F.col(value).isNull(), "unknown").when(F.col(value) <= F.col("q33"), "low").when(F.col(value) <= F.col("q67"), "mid").otherwise("high")
-    return df.join(cuts, keys, "left").withColumn("bucket", label).drop("q33", "q67")
+    return join_same(df, cuts, keys).withColumn("bucket", label).drop("q33", "q67")
 
 
 def robust_scale(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """df with scaled: (value - median) / (interquartile range / 1.349)."""
-    q = empirical_quantile(df, keys, value, (0.25, 0.5, 0.75))
+    q = quantile_of_large(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     spread = (F.col("q75") - F.col("q25")) / 1.349
-    return df.join(q, keys).withColumn("scaled", F.when(spread > 0, (F.col(value) - F.col("q50")) / spread)).drop("q25", "q50", "q75")
+    return join_same(df, q, keys).withColumn("scaled", F.when(spread > 0, (F.col(value) - F.col("q50")) / spread)).drop("q25", "q50", "q75")
 
 
 def target_encoding(df: DataFrame, level: str, target: str, smoothing: float = 10.0, least_rows: int = 3) -> DataFrame:
     """(level, encoding): smoothed mean of the target minus its global median."""
-    g = df.agg(F.percentile(target, 0.5).alias("g"))
+    g = quantile_of_large(df, [], target, {"g": 0.5})
     sums = df.groupBy(level).agg(F.sum(target).alias("s"), F.count(target).alias("n")).where(F.col("n") >= least_rows)
     return sums.join(F.broadcast(g)).select(level, ((F.col("s") + smoothing * F.col("g")) / (F.col("n") + smoothing) - F.col("g")).alias("encoding"))
 

@@ -162,3 +162,20 @@ CASES = f"""{PANEL}, steps AS (SELECT *, ln(price / lag(price) OVER w) / (t - la
 c0 AS (SELECT category, grp, product, t AS origin, price AS current, realized, price * exp(0.5 * least(0.7, greatest(-0.7, coalesce(r, 0)))) AS predicted, price AS baseline, price * exp(least(0.7, greatest(-0.7, coalesce(r, 0)))) AS momentum,
   least(0.99, greatest(0.01, 0.5 + 0.3 * least(0.7, greatest(-0.7, coalesce(r, 0))))) AS probability_up FROM steps WHERE realized IS NOT NULL),
 cases AS (SELECT *, predicted * exp(-1.281551565545 * 0.2) AS q10, predicted * exp(-0.674489750196 * 0.2) AS q25, predicted AS q50, predicted * exp(0.674489750196 * 0.2) AS q75, predicted * exp(1.281551565545 * 0.2) AS q90 FROM c0)"""
+
+
+def gate_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The cases with cohort, horizon and buckets, as the gates take them."""
+    k = F.col("product")
+    return cases(spark, d).withColumns(
+        {
+            "horizon": F.lit(90),
+            "cohort": F.when(k % 7 == 0, "low-history").otherwise("standard"),
+            "volatility_bucket": F.when(k % 3 == 0, "low").otherwise("high"),
+            "age_bucket": F.when(k % 2 == 0, "new").otherwise("old"),
+        }
+    )
+
+
+GATE_CASES = f"""{CASES}, gc AS (SELECT *, 90 AS horizon, CASE WHEN product % 7 = 0 THEN 'low-history' ELSE 'standard' END AS cohort, CASE WHEN product % 3 = 0 THEN 'low' ELSE 'high' END AS volatility_bucket,
+  CASE WHEN product % 2 = 0 THEN 'new' ELSE 'old' END AS age_bucket FROM cases)"""

@@ -164,8 +164,3 @@ def unresolved_counter(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {b.CASES} SELECT count(DISTINCT product) AS variants, count(DISTINCT grp) AS sets, count(DISTINCT origin) AS origins FROM cases")
 def count_distinct_breadth(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.count_distinct_breadth(b.cases(spark, d), {"variants": "product", "sets": "grp", "origins": "origin"})
-
-
-@query(f"""WITH {b.CASES} SELECT category, count(*) AS n, round(avg(abs(ln(predicted / realized))), 6) + 0.0 AS mae, round(avg(abs(ln(baseline / realized))), 6) + 0.0 AS mae_no_change, round(avg(abs(ln(predicted / realized))) FILTER (WHERE abs(ln(realized / current)) >= ln(1.05)), 6) + 0.0 AS mae_movers FROM cases GROUP BY 1""")
-def cohort_horizon_eval(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.cohort_horizon_eval(b.cases(spark, d), ["category"]))

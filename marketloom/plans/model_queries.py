@@ -82,13 +82,35 @@ def volatility_cone(spark: SparkSession, d: str) -> DataFrame:
     return v.select("category", "grp", (F.round("drift", 6) + 0.0).alias("drift"), (F.round("sigma", 6) + 0.0).alias("sigma"), (F.round("lo", 4) + 0.0).alias("lo"))
 
 
-@query("""WITH f AS (SELECT p_partkey AS id, p_type AS category, CASE WHEN p_size < 5 THEN 'insufficient-history' WHEN p_size < 15 THEN 'low-history' ELSE 'standard' END AS tier, CASE WHEN p_partkey % 50 = 0 THEN 0 ELSE p_retailprice END AS q50 FROM part)
-SELECT id, CASE WHEN category NOT IN ('ECONOMY', 'LARGE', 'SMALL') THEN 'withheld_category' WHEN tier = 'insufficient-history' THEN 'withheld_history' WHEN q50 <= 0 THEN 'withheld_price' WHEN tier = 'low-history' THEN 'range_only' ELSE 'full' END AS serve FROM f""")
+_PACKETS = """pk AS (SELECT p_partkey AS product, p_type AS category, CASE WHEN p_size < 3 THEN 'insufficient-history' WHEN p_size < 10 THEN 'low-history' WHEN p_size = 50 THEN 'cold-start' ELSE 'standard' END AS confidence,
+  CASE p_partkey % 4 WHEN 0 THEN 'sealed' WHEN 1 THEN NULL ELSE 'single' END AS kind, p_partkey % 41 = 0 AS saturated, p_retailprice AS price, h AS horizon, p_retailprice * (0.6 + (p_partkey % 50) / 50.0) AS q50 FROM part, (SELECT unnest([30, 90]) AS h)),
+el AS (SELECT DISTINCT category, confidence, horizon, CASE WHEN horizon = 30 THEN 'category-validated' WHEN category = 'SMALL' THEN 'relative-validated' ELSE 'odd' END AS tier FROM pk WHERE NOT (category = 'LARGE' AND horizon = 90) AND confidence <> 'insufficient-history'),
+sv AS (SELECT pk.*, coalesce(kind, 'unknown') AS kd, el.category IS NOT NULL AS may, CASE WHEN pk.confidence = 'cold-start' THEN 'attribute-reference' WHEN pk.confidence <> 'standard' THEN 'range-only' WHEN tier IN ('category-validated', 'relative-validated') THEN tier ELSE 'range-only' END AS earned
+  FROM pk LEFT JOIN el ON pk.category = el.category AND pk.confidence = el.confidence AND pk.horizon = el.horizon),
+sd AS (SELECT *, kd IN ('sealed', 'unknown') AND earned IN ('category-validated', 'relative-validated') AS down FROM sv), se AS (SELECT *, CASE WHEN down THEN 'range-only' ELSE earned END AS tier2 FROM sd),
+sf AS (SELECT *, CASE WHEN tier2 = 'range-only' THEN price ELSE q50 END AS served_q50 FROM se),
+sg AS (SELECT *, CASE WHEN saturated THEN 'anchor_clamp_saturated' WHEN NOT may THEN 'no_eligible_cohort' WHEN kd = 'sealed' AND product % 8 = 0 AND served_q50 < 0.8 * 1500 THEN 'below_list_price_floor' END AS withheld FROM sf)"""
+
+
+def _served(spark: SparkSession, d: str) -> DataFrame:
+    k, size, p = F.col("p_partkey"), F.col("p_size"), b.table(spark, d, "part")
+    confidence = F.when(size < 3, "insufficient-history").when(size < 10, "low-history").when(size == 50, "cold-start").otherwise("standard")
+    pk = p.select(k.alias("product"), F.col("p_type").alias("category"), confidence.alias("confidence"), F.when(k % 4 == 0, "sealed").when(k % 4 > 1, "single").alias("kind"), (k % 41 == 0).alias("saturated"), F.col("p_retailprice").alias("price"), F.explode(F.array(F.lit(30), F.lit(90))).alias("horizon"))
+    pk = pk.withColumn("q50", F.col("price") * (0.6 + (F.col("product") % 50) / 50.0))
+    el = pk.select("category", "confidence", "horizon").distinct().where("not (category = 'LARGE' and horizon = 90) and confidence <> 'insufficient-history'")
+    el = el.withColumn("tier", F.when(F.col("horizon") == 30, "category-validated").when(F.col("category") == "SMALL", "relative-validated").otherwise("odd"))
+    return forecast.serve_tiers(pk, el, p.select(k.alias("product"), F.lit(1500.0).alias("list_price"), (k % 8 == 0).alias("in_print")))
+
+
+@query(f"""WITH {_PACKETS} SELECT product, horizon, CASE WHEN withheld IS NULL THEN tier2 END AS served, withheld, down AND coalesce(withheld, 'below_list_price_floor') = 'below_list_price_floor' AS downgraded, round(served_q50, 4) + 0.0 AS served_q50 FROM sg""")
 def serve_tiers(spark: SparkSession, d: str) -> DataFrame:
-    size, k = F.col("p_size"), F.col("p_partkey")
-    f = b.table(spark, d, "part").select(k.alias("id"), F.col("p_type").alias("category"), F.lit(30).alias("horizon"), F.when(size < 5, "insufficient-history").when(size < 15, "low-history").otherwise("standard").alias("tier"), F.when(k % 50 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("q50"))
-    e = f.select("category").distinct().where("category in ('ECONOMY', 'LARGE', 'SMALL')").select("category", F.lit(30).alias("horizon"), F.lit(True).alias("eligible"))
-    return forecast.serve_tiers(f, e).select("id", "serve")
+    return rounded(_served(spark, d).select("product", "horizon", "served", "withheld", "downgraded", "served_q50"), 4)
+
+
+@query(f"""WITH {_PACKETS}, nm AS (SELECT category, 'served:' || tier2 AS name FROM sg WHERE withheld IS NULL UNION ALL SELECT category, 'withheld:' || withheld FROM sg WHERE withheld IS NOT NULL UNION ALL SELECT category, 'downgraded:' || kd FROM sg WHERE down AND coalesce(withheld, 'below_list_price_floor') = 'below_list_price_floor')
+SELECT category, name, count(*) AS n FROM nm GROUP BY 1, 2""")
+def serve_counters(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.serve_counters(_served(spark, d), ["category"])
 
 
 def _pin(q: str, a: float) -> str:
@@ -147,17 +169,67 @@ def two_way_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.two_way_bootstrap(cells, "plan"))
 
 
-@query(f"""WITH {b.CASES}, e AS (SELECT category, count(*) AS n, 1 - avg(abs(ln(predicted / realized))) / avg(abs(ln(baseline / realized))) AS lift, avg(pow(probability_up - (realized > current)::INT, 2)) AS brier, avg((realized BETWEEN q10 AND q90)::INT) AS cov FROM cases GROUP BY 1),
-r AS (SELECT category, n < 30 AS a, lift < 0.02 AS b, NOT (cov BETWEEN 0.72 AND 0.88) AS c, brier > 0.25 AS d FROM e) SELECT category, array_to_string(list_filter([CASE WHEN a THEN 'insufficient_cases' END, CASE WHEN b THEN 'baseline_lift' END, CASE WHEN c THEN 'interval_coverage' END, CASE WHEN d THEN 'brier_score' END], lambda x: x IS NOT NULL), ',') AS reasons,
-CASE WHEN a THEN 'insufficient' WHEN b OR c OR d THEN 'reject' ELSE 'eligible' END AS recommendation FROM r""")
+@query(f"""WITH {b.CASES}, e AS (SELECT category, count(*) AS n, 1 - avg(abs(ln(predicted / realized))) / avg(abs(ln(baseline / realized))) AS lift, 1 - avg(abs(ln(predicted / realized))) / avg(abs(ln(momentum / realized))) AS challenger, avg(pow(probability_up - (realized > current)::INT, 2)) AS brier, avg((realized BETWEEN q10 AND q90)::INT) AS cov FROM cases GROUP BY 1),
+r AS (SELECT category, n < 30 AS a, lift < 0.02 AS b, challenger < 0.02 AS m, NOT (cov BETWEEN 0.72 AND 0.88) AS c, brier > 0.25 AS d FROM e) SELECT category, array_to_string(list_filter([CASE WHEN a THEN 'insufficient_evaluation_cases' END, CASE WHEN b THEN 'baseline_lift_below_threshold' END, CASE WHEN m THEN 'challenger_baseline_lift_below_threshold' END, CASE WHEN c THEN 'interval_coverage_outside_band' END, CASE WHEN d THEN 'brier_score_above_threshold' END], lambda x: x IS NOT NULL), ',') AS reasons,
+CASE WHEN a THEN 'insufficient' WHEN b OR m OR c OR d THEN 'reject' ELSE 'eligible_for_operator_review' END AS recommendation FROM r""")
 def scorecard_gate(spark: SparkSession, d: str) -> DataFrame:
-    g = evaluate.scorecard_gate(evaluate.evaluate_cases(b.cases(spark, d), ["category"]))
+    c = b.cases(spark, d)
+    error = lambda name: F.avg(F.abs(F.log(F.col(name) / F.col("realized"))))
+    challenger = c.groupBy("category").agg((1 - error("predicted") / error("momentum")).alias("lift_momentum"))
+    g = evaluate.scorecard_gate(evaluate.evaluate_cases(c, ["category"]).join(challenger, "category"), required=("no_change", "momentum"))
     return g.select("category", F.array_join("reasons", ",").alias("reasons"), "recommendation")
 
 
-@query(f"""WITH {b.CASES}, s AS (SELECT category, grp, avg(abs(ln(baseline / realized))) - avg(abs(ln(predicted / realized))) AS lift FROM cases GROUP BY 1, 2 HAVING count(*) >= 20) SELECT category, count(*) AS sets, round(avg(lift), 6) + 0.0 AS macro_lift, round(avg((lift >= -0.005)::INT), 6) + 0.0 AS share, count(*) >= 3 AND avg((lift >= -0.005)::INT) >= 0.8 AND avg(lift) > 0 AS passed FROM s GROUP BY 1""")
+@query("""WITH e AS (SELECT o_orderkey AS id, o_orderpriority AS card, CASE WHEN o_orderkey % 9 = 0 THEN 'quarantined' ELSE 'research_only' END AS p, CASE WHEN o_orderstatus = 'F' THEN 'unscorable' ELSE 'scored' END AS e FROM orders)
+SELECT card, count(*) AS matured, count(*) FILTER (WHERE p = 'research_only' AND e = 'scored') AS included, count(*) FILTER (WHERE p = 'quarantined') AS excluded, count(*) FILTER (WHERE p = 'research_only' AND e = 'unscorable') AS unscorable, true AS adds_up FROM e GROUP BY 1""")
+def scorecard_membership(spark: SparkSession, d: str) -> DataFrame:
+    e = b.table(spark, d, "orders").select(F.col("o_orderpriority").alias("card"), F.when(F.col("o_orderkey") % 9 == 0, "quarantined").otherwise("research_only").alias("prediction_status"), F.when(F.col("o_orderstatus") == "F", "unscorable").otherwise("scored").alias("evaluation_status"))
+    return evaluate.membership_counts(evaluate.scorecard_membership(e), ["card"])
+
+
+_BY = ("category", "cohort", "horizon")
+
+
+def _drawn(axis: str) -> str:
+    return f"""k_{axis} AS (SELECT category, cohort, k, row_number() OVER (PARTITION BY category, cohort ORDER BY k) AS i, count(*) OVER (PARTITION BY category, cohort) AS n FROM (SELECT DISTINCT category, cohort, {axis} AS k FROM cell)),
+m_{axis} AS (SELECT d.category, d.cohort, s, k, count(*) AS m FROM (SELECT category, cohort, s, 1 + ('0x' || sha256('held-out-sets|{axis}|' || s || '|' || i)[1:8])::BIGINT % n AS j FROM k_{axis}, generate_series(1, 400) g(s)) d
+  JOIN k_{axis} ON k_{axis}.i = d.j AND k_{axis}.category = d.category AND k_{axis}.cohort = d.cohort GROUP BY 1, 2, 3, 4)"""
+
+
+HELD_OUT = f"""{b.GATE_CASES}, rr AS (SELECT *, ln(realized / current) AS a, ln(predicted / current) AS p FROM gc), mc AS (SELECT category, cohort, origin, quantile_cont(a, 0.5) AS ac, quantile_cont(p, 0.5) AS pc FROM rr GROUP BY 1, 2, 3),
+lf AS (SELECT rr.category, rr.cohort, rr.origin, grp, product, abs(a - ac) - abs((a - ac) - (p - pc)) AS lift FROM rr JOIN mc ON rr.category = mc.category AND rr.cohort = mc.cohort AND rr.origin = mc.origin),
+st AS (SELECT category, cohort, grp, avg(lift) AS lift FROM lf GROUP BY 1, 2, 3 HAVING count(DISTINCT product) >= 4), cell AS (SELECT category, cohort, origin, grp, avg(lift) AS cell FROM lf SEMI JOIN st USING (category, cohort, grp) GROUP BY 1, 2, 3, 4),
+{_drawn("origin")}, {_drawn("grp")}, sm AS (SELECT c.category, c.cohort, o.s, sum(o.m * g.m * cell) / sum(o.m * g.m) AS mean FROM cell c JOIN m_origin o ON o.k = c.origin AND o.category = c.category AND o.cohort = c.cohort JOIN m_grp g ON g.k = c.grp AND g.category = c.category AND g.cohort = c.cohort AND g.s = o.s GROUP BY 1, 2, 3),
+lo AS (SELECT category, cohort, mean AS lower FROM (SELECT *, row_number() OVER (PARTITION BY category, cohort ORDER BY mean) - 1 AS r, count(*) OVER (PARTITION BY category, cohort) AS n FROM sm) WHERE r = floor(0.05 * (n - 1))),
+bl AS (SELECT category, cohort, count(DISTINCT origin) AS blocks FROM gc GROUP BY 1, 2), ma AS (SELECT category, cohort, count(*) AS sets, avg(lift) AS macro_lift, avg((lift >= -0.005)::INT) AS share FROM st GROUP BY 1, 2),
+bk AS (SELECT category, cohort, count(*) AS outside FROM (SELECT category, cohort, volatility_bucket, age_bucket, avg((realized BETWEEN q10 AND q90)::INT) AS s FROM gc GROUP BY 1, 2, 3, 4 HAVING count(*) >= 500) WHERE NOT (s BETWEEN 0.75 AND 0.88) GROUP BY 1, 2),
+ho AS (SELECT bl.category, bl.cohort, blocks, coalesce(sets, 0) AS sets, macro_lift, share, lower, list_filter([CASE WHEN blocks < 3 THEN 'too_few_scored_blocks' END, CASE WHEN coalesce(sets, 0) < 3 THEN 'too_few_eligible_sets' END, CASE WHEN NOT coalesce(macro_lift > 0, false) THEN 'macro_lift_not_positive' END,
+  CASE WHEN NOT coalesce(share >= 0.8, false) THEN 'sets_harmed' END, CASE WHEN NOT coalesce(lower > 0, false) THEN 'bootstrap_lower_bound_not_positive' END, CASE WHEN coalesce(outside, 0) > 0 THEN 'bucket_coverage_outside_range' END, CASE WHEN bl.cohort <> 'standard' THEN 'not_the_standard_cohort' END], lambda x: x IS NOT NULL) AS reasons
+  FROM bl LEFT JOIN ma ON ma.category = bl.category AND ma.cohort = bl.cohort LEFT JOIN lo ON lo.category = bl.category AND lo.cohort = bl.cohort LEFT JOIN bk ON bk.category = bl.category AND bk.cohort = bl.cohort)"""
+
+
+@query(f"""WITH {HELD_OUT} SELECT category, cohort, blocks, sets, round(macro_lift, 6) + 0.0 AS macro_lift, round(share, 6) + 0.0 AS no_harm_share, round(lower, 6) + 0.0 AS lower, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS passed FROM ho""")
 def held_out_set_gate(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.held_out_set_gate(b.cases(spark, d)))
+    g = evaluate.held_out_set_gate(b.gate_cases(spark, d), _BY, min_variants=4)
+    return rounded(g.select("category", "cohort", "blocks", "sets", "macro_lift", "no_harm_share", "lower", F.array_join("reasons", ",").alias("reasons"), "passed"))
+
+
+_CHE = """ch AS (SELECT category, cohort, count(*) AS n, avg(abs(ln(predicted / realized))) AS mae, avg(abs(ln(current / realized))) AS mae0, count(*) FILTER (WHERE abs(ln(realized / current)) >= ln(1.05)) AS movers, avg(((predicted >= current) = (realized >= current))::INT) FILTER (WHERE abs(ln(realized / current)) >= ln(1.05)) AS direction,
+avg((realized BETWEEN q10 AND q90)::INT) AS cov, avg(abs(ln(momentum / realized))) AS mm FROM gc GROUP BY 1, 2), cr AS (SELECT *, list_filter([CASE WHEN NOT mae0 - mae > 0 THEN 'lift_not_positive' END, CASE WHEN NOT cov BETWEEN 0.75 AND 0.88 THEN 'coverage_outside_range' END], lambda x: x IS NOT NULL) AS reasons FROM ch)"""
+
+
+@query(f"""WITH {b.GATE_CASES}, {_CHE} SELECT category, cohort, n, round(mae, 6) + 0.0 AS mae, round(mae0, 6) + 0.0 AS mae_no_change, movers, round(direction, 6) + 0.0 AS direction_movers, round(cov, 6) + 0.0 AS coverage_80, round(mm, 6) + 0.0 AS mae_momentum, round(mae0 - mae, 6) + 0.0 AS lift, round(mae / 2, 6) + 0.0 AS pinball_q50, round(mae0 / 2, 6) + 0.0 AS pinball_no_change, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS passed FROM cr""")
+def cohort_horizon_eval(spark: SparkSession, d: str) -> DataFrame:
+    e = evaluate.cohort_horizon_eval(b.gate_cases(spark, d), ["category", "cohort"])
+    return rounded(e.withColumn("reasons", F.array_join("reasons", ",")))
+
+
+@query(f"""WITH {HELD_OUT}, {_CHE}, al AS (SELECT cr.category, cr.cohort, n, mae0 - mae AS lift, cov, macro_lift, list_concat(cr.reasons, ho.reasons) AS reasons FROM cr JOIN ho ON cr.category = ho.category AND cr.cohort = ho.cohort)
+SELECT category, cohort, n, round(lift, 6) + 0.0 AS lift, round(cov, 6) + 0.0 AS coverage_80, round(macro_lift, 6) + 0.0 AS macro_lift, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) > 0 THEN 'range-only' WHEN length(category) > 5 THEN 'relative-validated' ELSE 'category-validated' END AS tier FROM al""")
+def gate_category(spark: SparkSession, d: str) -> DataFrame:
+    w = b.table(spark, d, "part").select(F.col("p_type").alias("category")).distinct().select("category", F.lit(90).alias("horizon"), F.when(F.length("category") > 5, 0.0).otherwise(0.5).alias("a"))
+    g = evaluate.gate_category(b.gate_cases(spark, d), w, _BY, min_variants=4)
+    return rounded(g.select("category", "cohort", "n", "lift", "coverage_80", "macro_lift", F.array_join("reasons", ",").alias("reasons"), "tier"))
 
 
 _MAT = "mat AS (SELECT DISTINCT series, m AS matures FROM obs, (SELECT unnest([DATE '2024-01-14', DATE '2024-01-28']) AS m))"
@@ -178,13 +250,16 @@ def target_window_audit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.target_window_audit(o, ["series"], F.lit("2024-01-05").cast("date"), F.lit("2024-01-25").cast("date")))
 
 
-@query(f"""WITH {b.CASES}, g AS (SELECT a, z AS b FROM (SELECT unnest([0.0, 0.5, 1.0]) AS a), (SELECT unnest([0.0, 0.25, 0.5]) AS z)), s AS (SELECT category, a, b, avg(abs(ln(current) + a * ln(momentum / current) + b * ln(predicted / current) - ln(realized))) AS mae FROM cases, g GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY mae, a, b) AS rn FROM s) SELECT category, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, round(mae, 6) + 0.0 AS mae FROM r WHERE rn = 1""")
+@query(f"""WITH {b.GATE_CASES}, o AS (SELECT category, origin, row_number() OVER (PARTITION BY category ORDER BY origin) AS r, count(*) OVER (PARTITION BY category) AS n FROM (SELECT DISTINCT category, origin FROM gc)),
+ft AS (SELECT category, origin FROM o WHERE r <= greatest(0, least(round_even(n * 0.6, 0), n - least(6, n)))), fc AS (SELECT gc.category, ln(current) AS y, ln(momentum / current) AS i, ln(predicted / current) AS v, probability_up - 0.5 AS t, ln(realized) AS z FROM gc SEMI JOIN ft USING (category, origin) WHERE cohort = 'standard'),
+g AS (SELECT a, c, d, row_number() OVER (ORDER BY ia, ic, id) AS k FROM (SELECT unnest([0.0, 0.25, 0.5, 1.0]) AS a, unnest([1, 2, 3, 4]) AS ia), (SELECT unnest([0.0, 0.1, 0.25, 0.5]) AS c, unnest([1, 2, 3, 4]) AS ic), (SELECT unnest([-0.25, 0.0, 0.25]) AS d, unnest([1, 2, 3]) AS id)),
+s AS (SELECT category, k, any_value(a) AS a, any_value(c) AS c, any_value(d) AS d, count(*) AS n, avg(abs(z - y)) - avg(abs(z - y - a * i - c * v - d * t * 13)) AS lift FROM fc, g GROUP BY 1, 2)
+SELECT category, CAST(a AS DOUBLE) AS a, CAST(c AS DOUBLE) AS c, CAST(d AS DOUBLE) AS b, round(lift, 6) + 0.0 AS lift, n FROM s QUALIFY row_number() OVER (PARTITION BY category ORDER BY lift DESC, k) = 1""")
 def component_weights(spark: SparkSession, d: str) -> DataFrame:
-    c = b.cases(spark, d).select("category", F.log("current").alias("anchor"), F.log(F.col("momentum") / F.col("current")).alias("index_delta"), F.log(F.col("predicted") / F.col("current")).alias("reversion"), F.log("realized").alias("actual"))
-    one = spark.range(1)
-    grid = one.select(F.explode(F.array(*[F.lit(x) for x in (0.0, 0.5, 1.0)])).alias("a")).select("a", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5)])).alias("b"))
-    return rounded(evaluate.component_weights(c, grid, ["category"]))
+    c = b.gate_cases(spark, d).select(
+        "category", "horizon", "origin", "cohort", F.log("current").alias("anchor"), F.log(F.col("momentum") / F.col("current")).alias("index_delta"), F.log(F.col("predicted") / F.col("current")).alias("reversion"), (F.col("probability_up") - 0.5).alias("drift"), F.lit(13).alias("steps"), F.log("realized").alias("actual")
+    )
+    return rounded(evaluate.component_weights(c).drop("horizon"))
 
 
 @query("""SELECT p_type AS type, count(*) AS n, round(sum(1), 4) + 0.0 AS xx_0_0, round(sum(p_size), 4) + 0.0 AS xx_0_1, round(sum(ln(p_retailprice)), 4) + 0.0 AS xx_0_2, round(sum(p_size * p_size), 4) + 0.0 AS xx_1_1, round(sum(p_size * ln(p_retailprice)), 4) + 0.0 AS xx_1_2, round(sum(ln(p_retailprice) * ln(p_retailprice)), 4) + 0.0 AS xx_2_2,

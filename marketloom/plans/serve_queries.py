@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from marketloom.operators import pit, resolve, serve
 from marketloom.plans import bindings as b
 from marketloom.plans.market_queries import rounded
-from marketloom.plans.model_queries import EVAL
 from marketloom.plans.registry import query
 
 
@@ -96,13 +95,6 @@ def cold_start_forecast(spark: SparkSession, d: str) -> DataFrame:
     return rounded(serve.cold_start_forecast(cat, priced, hed, off).select("product", "q10", "q90"), 4)
 
 
-@query(f"""WITH {b.CASES}, ev AS ({EVAL}), c AS (SELECT category, n >= 30 AND lift >= 0.02 AND coverage_80 BETWEEN 0.72 AND 0.88 AND brier <= 0.25 AS card FROM ev),
-s AS (SELECT category, grp, avg(abs(ln(baseline / realized))) - avg(abs(ln(predicted / realized))) AS lift FROM cases GROUP BY 1, 2 HAVING count(*) >= 20), h AS (SELECT category, count(*) >= 3 AND avg((lift >= -0.005)::INT) >= 0.8 AND avg(lift) > 0 AS sets FROM s GROUP BY 1)
-SELECT c.category, CASE WHEN card AND sets THEN 'category-validated' WHEN coalesce(sets, false) THEN 'relative-validated' ELSE 'range-only' END AS tier FROM c LEFT JOIN h ON c.category = h.category""")
-def gate_category(spark: SparkSession, d: str) -> DataFrame:
-    return serve.gate_category(b.cases(spark, d))
-
-
 @query()
 def retrospective_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     days = F.explode(F.array(*[F.lit(f"2024-01-{x} 00:00:00").cast("timestamp") for x in ("12", "19")]))
