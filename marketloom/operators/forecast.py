@@ -187,10 +187,13 @@ def volatility_cone(points: DataFrame, keys: list[str], day: str, price: str, ho
     return g.withColumns({"lo": F.col("price") * F.exp(move - half), "hi": F.col("price") * F.exp(move + half)})
 
 
-def walk_forward_origins(first: int, last: int, horizon: int, most: int = 5) -> list[int]:
-    """Up to `most` evenly spaced origins whose horizon ends by `last`."""
+def walk_forward_origins(first: int, last: int, horizon: int, most: int = 5, apart: bool = False) -> list[int]:
+    """Origins whose horizon ends by `last`: up to `most` evenly spaced ones from `first` on (calibration), or, with `apart`, every
+    first + k horizon, so that no two horizons overlap (evaluation)."""
     end = last - horizon
     if end < first:
         return []
+    if apart:
+        return list(range(first, end + 1, horizon))
     n = min(most, end - first + 1)
     return sorted({first + round(i * (end - first) / max(1, n - 1)) for i in range(n)})

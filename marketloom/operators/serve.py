@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.scalars import product_format, product_kind, set_family, text_similarity
+from marketloom.functions.scalars import market_identity, natural_key, product_format, product_kind, query_norm, set_family, text_similarity
 from marketloom.operators import evaluate, forecast, lab
 from marketloom.operators.stats import join_same, leave_one_out_quantile, quantile_of_large
 
@@ -68,6 +68,56 @@ def sort_holdings(h: DataFrame, owner: str, order: str) -> DataFrame:
     return h.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(by, "id")))
 
 
+#: Days that each nominal horizon really spans, and the tiers of evidence.
+ACTUAL_DAYS = {30: 28, 60: 63, 90: 91}
+EVIDENCE = ("category-validated", "relative-validated", "range-only", "attribute-reference")
+
+
+def ordered_quantile_guard(bands: DataFrame) -> DataFrame:
+    """bands (q10..q90, horizon, horizon_days_actual, tier) with rejected: why a band is not shown, or null. Nothing is repaired."""
+    qs = ("q10", "q25", "q50", "q75", "q90")
+    wrong = F.lit(False)
+    for q in qs:
+        wrong = wrong | F.coalesce(~(F.col(q) >= 0) | F.isnan(q) | (F.col(q) == float("inf")), F.lit(True))
+    crossing = F.lit(False)
+    for a, b in zip(qs, qs[1:], strict=False):
+        crossing = crossing | (F.col(b) < F.col(a))
+    expected = F.try_element_at(F.create_map(*[F.lit(x) for kv in ACTUAL_DAYS.items() for x in kv]), F.col("horizon").cast("int"))
+    days = F.col("horizon_days_actual")
+    rejected = (
+        F.when(wrong, "quantile_missing_or_negative")
+        .when(F.col("q50") <= 0, "median_not_positive")
+        .when(crossing, "quantiles_cross")
+        .when((F.coalesce("tier", F.lit("")) != "") & ~F.col("tier").isin(*EVIDENCE), "unknown_tier")
+        .when(days <= 0, "days_not_positive")
+        .when(days != expected, "days_differ_from_horizon")
+    )
+    return bands.withColumn("rejected", rejected)
+
+
+def list_sets(sets: DataFrame, owner: str, query: str = "", category: str = "all", sort: str = "recent-desc") -> DataFrame:
+    """sets (owner, set_name, game, category, latest_updated, printings, priced, value) that fit, with their place for the owner by recent-desc, alpha, printings-desc or
+    value-desc; sets without a priced holding come last by value."""
+    text = query_norm(F.concat_ws(" ", "set_name", "game", "category"))
+    q = " ".join(query.lower().split())
+    fits = text.contains(q) if q else F.lit(True)
+    if category != "all":
+        fits = fits & (market_identity(F.col("category")) == category)
+    name = [natural_key(F.col("set_name")), F.col("game")]
+    by = {
+        "alpha": name,
+        "printings-desc": [F.desc("printings"), *name],
+        "value-desc": [(F.col("priced") == 0), F.desc("value"), *name],
+    }.get(sort, [F.desc("latest_updated"), *name])
+    return sets.where(fits).withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(*by)))
+
+
+def union_codes(*codes: Column) -> Column:
+    """The distinct codes of several arrays, sorted; null arrays count as empty."""
+    empty = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(c, empty) for c in codes]))))
+
+
 def watch_dedupe(watch: DataFrame, holdings: DataFrame, keys: list[str]) -> DataFrame:
     """Watch entries that no holding stands for."""
     return watch.join(holdings.select(*keys), keys, "left_anti")

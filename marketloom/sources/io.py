@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,8 +13,31 @@ from marketloom.functions.scalars import first_available_price, series_hash, tup
 
 PRICES = ("lowPrice", "midPrice", "highPrice", "marketPrice", "directLowPrice")
 MEMBER = "success boolean, results array<struct<productId:long,subTypeName:string," + ",".join(f"{p}:decimal(16,4)" for p in PRICES) + ">>"
-#: .../<date>/<category>/<group>/prices
-PATH = r"/(\d{4}-\d{2}-\d{2})/(\d+)/(\d+)/[^/]+$"
+#: .../<date>/<category>/<group>/prices, also as <name>=<value>
+PATH = r"/(?:\w+=)?(\d{4}-\d{2}-\d{2})/(?:\w+=)?(\d+)/(?:\w+=)?(\d+)/[^/]+$"
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; on one machine, if none is named, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = checkpoints.get() if checkpoints.isDefined() else None
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="marketloom-")
+    return f"{named}/work-{uuid.uuid4().hex}"
+
+
+def write_price_archive(df: DataFrame, path: str) -> None:
+    """One JSON document for each (archive_date, category_id, group_id) of rows with product_id, subtype_name and prices: what
+    read_price_archive reads."""
+    keys = ["archive_date", "category_id", "group_id"]
+    prices = [F.col(p).cast("decimal(16,4)").alias(p) if p in df.columns else F.lit(None).cast("decimal(16,4)").alias(p) for p in PRICES]
+    each = F.struct(F.col("product_id").alias("productId"), F.col("subtype_name").alias("subTypeName"), *prices)
+    docs = df.groupBy(*keys).agg(F.to_json(F.struct(F.lit(True).alias("success"), F.array_sort(F.collect_list(each)).alias("results"))).alias("value"))
+    docs.repartition(*keys).write.partitionBy(*keys).text(path)
 
 
 def _members(spark: SparkSession, path: str) -> DataFrame:
@@ -117,10 +142,23 @@ def publish_grouped_documents(df: DataFrame, keys: list[str], order: list[str],
     return docs.select(*keys, "part", "parts_total", "rows", "bytes", (F.col("bytes") > max_bytes).alias("oversized"), body.alias("body"))
 
 
-def publish_manifest(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: parts, rows, bytes and a hash over the parts' hashes."""
+def publish_manifest(docs: DataFrame, keys: list[str], expected: DataFrame | None = None) -> DataFrame:
+    """Per group: status, parts, rows, bytes and a hash over the parts' hashes.
+
+    `expected` (keys) names all groups that there are: those without documents are excluded, with no part. Otherwise all are published.
+    """
     parts = F.array_sort(F.collect_list(F.struct("part", F.sha2("body", 256).alias("h"))))
-    return docs.groupBy(*keys).agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.transform(parts, lambda x: x["h"]), "\n"), 256).alias("content_sha256"))
+    own = docs.groupBy(*keys).agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.transform(parts, lambda x: x["h"]), "\n"), 256).alias("content_sha256"))
+    if expected is not None:
+        zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("parts", "rows", "bytes")}
+        own = expected.select(*keys).distinct().join(own, keys, "left").withColumns(zero)
+    return own.withColumn("status", F.when(F.col("parts") > 0, "published").otherwise("excluded"))
+
+
+def manifest_totals(manifest: DataFrame, category: str) -> DataFrame:
+    """Per category: groups published and excluded, parts, rows and bytes."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("published", "excluded")]
+    return manifest.groupBy(category).agg(*counts, *[F.sum(c).alias(c) for c in ("parts", "rows", "bytes")])
 
 
 def safe_cells(df: DataFrame) -> DataFrame:
@@ -160,6 +198,16 @@ def normalize_group(df: DataFrame) -> DataFrame:
     return df.select(F.col("groupId").alias("group_id"), F.substring(F.trim("name"), 1, 200).alias("name"), F.upper(F.trim("abbreviation")).alias("abbreviation"), F.to_date(F.substring("publishedOn", 1, 10)).alias("published_on"), F.coalesce("isSupplemental", F.lit(False)).alias("is_supplemental"))
 
 
+def normalize_category(df: DataFrame) -> DataFrame:
+    """Catalog categories (categoryId, name, displayName, popularity, isScannable) with trimmed names, a card flag and a semantic hash;
+    rows without an id are dropped, of repeated ids the newest by modifiedOn stays."""
+    one = df.where("categoryId is not null").groupBy("categoryId").agg(F.max_by(F.struct("name", "displayName", "popularity"), "modifiedOn").alias("w"))
+    name, label = F.substring(F.trim("w.name"), 1, 200), F.substring(F.trim(F.coalesce("w.displayName", "w.name")), 1, 200)
+    out = one.select(F.col("categoryId").cast("int").alias("category_id"), name.alias("name"), label.alias("display_name"), F.coalesce("w.popularity", F.lit(0)).alias("popularity"))
+    out = out.withColumn("is_card", classify_card_category(F.col("display_name"), F.col("name")))
+    return out.withColumn("semantic_sha256", F.sha2(F.concat_ws("\x1f", "name", "display_name"), 256))
+
+
 def classify_card_category(label: Column, name: Column) -> Column:
     low = F.lower(F.coalesce(label, F.lit("")))
     n = F.lower(F.coalesce(name, F.lit("")))
@@ -195,6 +243,9 @@ def read_state_table(spark: SparkSession, url: str, table: str, column: str, low
     return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(parts), **options).load()
 
 
-def catalog_snapshot(tables: dict[str, DataFrame], keys: dict[str, str]) -> dict[str, DataFrame]:
-    """For each table one row: rows and an order-free hash, so that two reads can be told to be of one state."""
-    return {n: df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("content"), F.count_distinct(keys[n]).alias("keys")) for n, df in tables.items()}
+def catalog_snapshot(tables: dict[str, DataFrame], keys: dict[str, str], eligible: dict[str, Column] | None = None) -> dict[str, DataFrame]:
+    """For each table one row: rows, distinct keys and an order-free hash, so that two reads can be told to be of one state; with
+    rules (reason to the condition under which a row is not eligible, reason names starting with the table's), how many rows each rule excludes."""
+    rules = eligible or {}
+    count = lambda n: [F.count_if(F.coalesce(c, F.lit(True))).alias(r.split(":", 1)[1]) for r, c in rules.items() if r.split(":", 1)[0] == n]
+    return {n: df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("content"), F.count_distinct(keys[n]).alias("keys"), *count(n)) for n, df in tables.items()}

@@ -5,6 +5,7 @@ Each takes a streaming frame with columns as in the batch form and returns one;
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from marketloom.operators.demand import KINDS
+from marketloom.operators.merge import apply_if_newer
 from marketloom.operators.pit import gate
 
 
@@ -35,9 +37,9 @@ def weekly_demand(stream: DataFrame, threshold: int = 20, delay: str = "1 day")
 
 
 def sliding_velocity(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Events of each kind in the last seven days, moved on by a day."""
+    """Events and distinct users (exactly, as a set) of each variant in the last seven days, moved on by a day."""
     w = stream.withWatermark("at", delay).groupBy(F.window("at", "7 days", "1 day"), "variant")
-    return w.agg(F.count("*").alias("events"), F.approx_count_distinct("user").alias("users")).select(F.col("window.end").alias("until"), "variant", "events", "users")
+    return w.agg(F.count("*").alias("events"), F.size(F.collect_set("user")).alias("users")).select(F.to_date("window.end").alias("until"), "variant", "events", "users")
 
 
 class OutlierGate(StatefulProcessor):
@@ -106,9 +108,9 @@ def alert_stream(stream: DataFrame, move: float = 0.10) -> DataFrame:
     return stream.select("key", "at", "price", "currency", "target").groupBy("key").transformWithStateInPandas(AlertState(move), "key long, at timestamp, alert string", "Append", "None")
 
 
-def first_seen_stream(stream: DataFrame, delay: str = "30 days") -> DataFrame:
-    """The first row of each id within the watermark's reach."""
-    return stream.withWatermark("available_at", delay).dropDuplicatesWithinWatermark(["id"])
+def first_seen_stream(stream: DataFrame) -> DataFrame:
+    """The first row of each id that ever came: keyed state without a timeout, one entry for each id."""
+    return stream.dropDuplicates(["id"])
 
 
 def upsert_sink(spark: SparkSession, path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
@@ -127,6 +129,50 @@ def upsert_sink(spark: SparkSession, path: str, keys: list[str]) -> Callable[[Da
     return write
 
 
+def retention_sink(spark: SparkSession, path: str, day: str, keep_days: int) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends rows by day and drops what is older than `keep_days` before the newest day.
+
+    A batch's rows go to day=<day>/batch=<id>, so a batch that is run again replaces its own. Expired days are dropped as whole folders
+    and late rows of such days are not written. At least 30 days are kept.
+    """
+    if keep_days < 30:
+        raise ValueError("at least 30 days must be kept")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        own = batch.withColumn("__day", F.to_date(day)).where("__day is not null")
+        newest = own.agg(F.max("__day").alias("d")).first()["d"]
+        there = {datetime.date.fromisoformat(x.getPath().getName()[len("__day=") :]): x.getPath() for x in fs.listStatus(folder)} if fs.exists(folder) else {}
+        if newest is None and not there:
+            return
+        oldest = max([*there, *([newest] if newest else [])]) - datetime.timedelta(days=keep_days)
+        rows = own.where(F.col("__day") > F.lit(oldest)).withColumn("__batch", F.lit(batch_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__day", "__batch").parquet(path)
+        for d, old in there.items():
+            if d <= oldest:
+                fs.delete(old, True)
+
+    return write
+
+
+def ordered_sink(spark: SparkSession, path: str, keys: list[str], stamp: str) -> Callable[[DataFrame, int], None]:
+    """As upsert_sink, but of each key only rows with a later stamp than the table's are applied, the newest of a batch: an
+    arrival out of order is not applied."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rest = [c for c in batch.columns if c not in keys]
+        own = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), stamp).alias("w")).select(*keys, *[F.col(f"w.{c}").alias(c) for c in rest])
+        if batch_id > 0:
+            old = spark.read.parquet(f"{path}/v={batch_id - 1}")
+            newer = apply_if_newer(old, own, keys, stamp)
+            own = old.join(newer.select(*keys), keys, "left_anti").unionByName(newer)
+        own.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+
+    return write
+
+
 def archive_stream(spark: SparkSession, path: str, schema: str, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Run `handle` on every file that has come since the last run, then stop."""
     q = spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -90,3 +90,30 @@ def test_pageviews(spark):
     items = [{"article": "A", "timestamp": f"202401{d:02d}00", "views": v} for d, v in ((1, 5), (2, -1), (3, 7), (3, 8), (9, 1))] + [{"article": "B", "timestamp": "2024010100", "views": 3}]
     df = spark.createDataFrame([(json.dumps({"items": items}),)], "body string")
     assert [(r["day"].day, r["views"]) for r in io.parse_pageviews(df, "A", "2024-01-01", "2024-01-05").collect()] == [(1, 5)]
+
+
+def test_archive_written_and_read(spark, tmp_path):
+    df = spark.createDataFrame([(dt.date(2024, 1, 1), 3, 10, 1, "Normal", 1.5, 1.0), (dt.date(2024, 1, 1), 3, 11, 2, "Foil", None, 2.0)], "archive_date date, category_id int, group_id int, product_id long, subtype_name string, marketPrice double, lowPrice double")
+    io.write_price_archive(df, str(tmp_path / "a"))
+    rows = {r["product_id"]: (r["group_id"], r["subtype_name"], float(r["best"]["price"]), r["best"]["field"]) for r in io.read_price_archive(spark, str(tmp_path / "a"), [3]).collect()}
+    assert rows == {1: (10, "Normal", 1.5, "market"), 2: (11, "Foil", 2.0, "low")}
+
+
+def test_manifest_names_excluded_groups(spark):
+    df = spark.createDataFrame([("c", 1, "x"), ("c", 1, "y")], "category string, grp int, v string")
+    docs = io.publish_grouped_documents(df, ["category", "grp"], ["v"], ["v"])
+    manifest = io.publish_manifest(docs, ["category", "grp"], spark.createDataFrame([("c", 1), ("c", 2), ("d", 3)], "category string, grp int"))
+    assert {r["grp"]: (r["status"], r["rows"]) for r in manifest.collect()} == {1: ("published", 2), 2: ("excluded", 0), 3: ("excluded", 0)}
+    assert {r["category"]: (r["published"], r["excluded"], r["rows"]) for r in io.manifest_totals(manifest, "category").collect()} == {"c": (1, 1, 2), "d": (0, 1, 0)}
+
+
+def test_table_over_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    try:
+        spark.sparkContext._jvm.java.lang.Class.forName(driver["driver"])
+    except Exception:  # noqa: BLE001  no such database on the class path
+        pytest.skip("Derby is not there")
+    spark.range(100).selectExpr("id", "id * 2 as v").write.format("jdbc").options(url=url, dbtable="t", **driver).save()
+    got = io.read_state_table(spark, url, "t", "id", 0, 100, parts=4, **driver)
+    assert got.rdd.getNumPartitions() == 4 and got.agg({"v": "sum"}).first()[0] == 9900

@@ -89,3 +89,48 @@ def test_archive_stream_handles_new_files_once(spark, tmp_path):
     for _ in range(2):
         streams.archive_stream(spark, str(tmp_path / "in"), "id long", lambda df, i: seen.append(df.count()), str(tmp_path / "cp"))
     assert sum(seen) == 3
+
+
+def test_first_seen_never_forgets(spark, tmp_path):
+    rows = [(1, dt.datetime(2024, 1, 1))], [(2, dt.datetime(2024, 6, 1))], [(1, dt.datetime(2025, 1, 1)), (3, dt.datetime(2025, 1, 1))]
+    for part in rows:
+        spark.createDataFrame(part, "id long, available_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.first_seen_stream(spark.readStream.schema("id long, available_at timestamp").parquet(str(tmp_path / "in")))
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def test_retention_drops_whole_days_and_can_be_run_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = streams.retention_sink(spark, path, "at", 30)
+    frame = lambda *days: spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(days=d), d) for d in days], "at timestamp, k int")
+    kept = lambda: sorted(r["k"] for r in spark.read.parquet(path).collect())
+    write(frame(0, 1, 29), 0)
+    write(frame(0, 1, 29), 0)
+    assert kept() == [0, 1, 29]
+    write(frame(31, 40, 2), 1)  # day 2 is too old by now
+    assert kept() == [29, 31, 40]
+    write(frame().where("false"), 2)
+    assert kept() == [29, 31, 40]
+    with pytest.raises(ValueError, match="30 days"):
+        streams.retention_sink(spark, path, "at", 7)
+
+
+def test_ordered_sink_does_not_apply_older_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = streams.ordered_sink(spark, path, ["k"], "stamp")
+    frame = lambda *r: spark.createDataFrame(list(r), "k long, stamp int, v string")
+    write(frame((1, 5, "a"), (1, 7, "b"), (2, 1, "c")), 0)
+    for _ in range(2):
+        write(frame((1, 6, "old"), (2, 3, "d"), (3, 1, "e")), 1)
+    assert {(r["k"], r["v"]) for r in spark.read.parquet(f"{path}/v=1").collect()} == {(1, "b"), (2, "d"), (3, "e")}
+
+
+def test_sliding_velocity_counts_users_exactly(spark, tmp_path):
+    e = ledger(spark)
+    got = {(r["until"], r["variant"]): (r["events"], r["users"]) for r in run(spark, e, str(tmp_path), streams.sliding_velocity, "complete").collect()}
+    want = {}
+    for r in e.collect():
+        for d in range(1, 8):
+            want.setdefault(((r["at"] + dt.timedelta(days=d)).date(), r["variant"]), []).append(r["user"])
+    assert got == {k: (len(v), len(set(v))) for k, v in want.items()}
