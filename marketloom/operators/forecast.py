@@ -170,21 +170,48 @@ def serve_counters(served: DataFrame, by: list[str]) -> DataFrame:
     return served.select(*by, F.explode(names).alias("name")).groupBy(*by, "name").agg(F.count("*").alias("n"))
 
 
-def volatility_cone(points: DataFrame, keys: list[str], day: str, price: str, horizon_days: int, drift_half_life: float = 180.0, variance_half_life: float = 60.0) -> DataFrame:
-    """(keys, price, drift, sigma, lo, hi): age-weighted daily drift and variance carried to the horizon."""
+#: Quantiles of the cone, and the most that a year's volatility may be.
+CONE_Z, MOST_VOLATILITY = {"q10": -1.533, "q25": -0.741, "q50": 0.0, "q75": 0.741, "q90": 1.533}, 1.791759469228055 / (2 * 1.533)
+
+
+def volatility_cone(points: DataFrame, keys: list[str], day: str, price: str, horizon_days: int, as_of: Column, prior_volatility: float = 0.025, prior_drift: float = 0.0, trust: float = 1.0) -> DataFrame:
+    """(keys, price, n, excluded, drift, volatility, q10..q90, confidence, status): a scenario of each series from its own past values.
+
+    Changes beyond 4 max(prior, 0.06) a root day are jumps and left out. Drift (half-life 180 days) is shrunk by the span of the
+    series against 730 days, variance (60 days) by n / (n + 10) against the prior; both are clamped. trust scales the confidence of a source.
+    """
     w = Window.partitionBy(*keys).orderBy(day)
     gap = F.datediff(day, F.lag(day).over(w))
-    s = points.select(*keys, day, price, gap.alias("g"), F.log(F.col(price) / F.lag(price).over(w)).alias("r"), F.max(day).over(Window.partitionBy(*keys)).alias("last"))
-    age = F.datediff("last", day)
-    wd, wv = F.pow(F.lit(0.5), age / drift_half_life), F.pow(F.lit(0.5), age / variance_half_life)
+    s = points.where(F.col(day) <= as_of).select(*keys, day, price, gap.alias("g"), F.log(F.col(price) / F.lag(price).over(w)).alias("r"))
+    jump = F.abs("r") / F.sqrt("g") > 4 * max(prior_volatility, 0.06)
+    kept = (F.col("g") > 0) & ~jump
+    age = F.datediff(as_of, day)
+    wd, wv = F.pow(F.lit(0.5), age / 180), F.pow(F.lit(0.5), age / 60)
+    z = F.col("r") / F.sqrt("g")
     g = s.groupBy(*keys).agg(
         F.max_by(price, day).alias("price"),
-        (F.sum(F.when(F.col("g") > 0, wd * F.col("r"))) / F.sum(F.when(F.col("g") > 0, wd * F.col("g")))).alias("drift"),
-        F.sqrt(F.sum(F.when(F.col("g") > 0, wv * F.col("r") * F.col("r"))) / F.sum(F.when(F.col("g") > 0, wv * F.col("g")))).alias("sigma"),
+        F.count("*").alias("n"),
+        F.count_if((F.col("g") > 0) & jump).alias("excluded"),
+        F.count_if(kept).alias("__pairs"),
+        F.datediff(F.max(day), F.min(day)).alias("__span"),
+        F.datediff(as_of, F.max(day)).alias("__stale"),
+        (F.sum(F.when(kept, wd * F.col("r") / F.col("g"))) / F.sum(F.when(kept, wd))).alias("__d"),
+        (F.sum(F.when(kept, wv * z)) / F.sum(F.when(kept, wv))).alias("__m"),
+        (F.sum(F.when(kept, wv * z * z)) / F.sum(F.when(kept, wv))).alias("__m2"),
     )
-    move = clamp(F.col("drift") * horizon_days, -CAP, CAP)
-    half = 1.281551565545 * F.col("sigma") * F.sqrt(F.lit(float(horizon_days)))
-    return g.withColumns({"lo": F.col("price") * F.exp(move - half), "hi": F.col("price") * F.exp(move + half)})
+    own_variance = F.when(F.col("__pairs") > 1, F.greatest(F.lit(0.0), F.col("__m2") - F.col("__m") * F.col("__m"))).otherwise(prior_volatility**2)
+    drift_share, share = F.col("__span") / (F.col("__span") + 730), F.col("__pairs") / (F.col("__pairs") + 10)
+    g = g.withColumns({"drift": drift_share * F.coalesce("__d", F.lit(0.0)) + (1 - drift_share) * prior_drift, "volatility": clamp(F.sqrt(share * own_variance + (1 - share) * prior_volatility**2), 0.015, 0.06)})
+    most = 0.69 * horizon_days / 365
+    move = clamp(F.col("drift") * horizon_days, -most, most)
+    spread = F.least(F.col("volatility") * horizon_days**0.5, F.lit(MOST_VOLATILITY * (horizon_days / 365) ** 0.5))
+    score = F.least(F.lit(0.75), F.col("n") / (F.col("n") + 20) * F.exp(-F.col("__stale") / 90) * trust)
+    n = F.col("n")
+    label = F.when((n < 3) | (score < 0.15), "early").when((n < 8) | (score < 0.35), "low").when((n < 21) | (score < 0.55), "developing").otherwise("moderate")
+    status = F.when(F.col("__stale") > 180, "stale").when(n < 3, "early").when(n < 8, "limited").otherwise("available")
+    fresh = F.col("__stale") <= 180
+    bands = [F.when(fresh, F.col("price") * F.exp(move + z * spread)).alias(q) for q, z in CONE_Z.items()]
+    return g.select(*keys, "price", "n", "excluded", "drift", "volatility", *bands, label.alias("confidence"), status.alias("status"))
 
 
 def walk_forward_origins(first: int, last: int, horizon: int, most: int = 5, apart: bool = False) -> list[int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.scalars import collector_number_norm, edit_ratio, name_norm, text_similarity
+from marketloom.functions.scalars import SET_FAMILIES, collector_number_norm, edit_ratio, name_norm, set_family
 
 
 def map_products(external: DataFrame, catalog: DataFrame, approved: DataFrame) -> DataFrame:
@@ -108,12 +108,6 @@ def match_rates(matches: DataFrame, keys: list[str]) -> DataFrame:
     return matches.groupBy(*keys).agg(F.count("*").alias("total"), F.count("id").alias("matched"), (F.count("id") / F.count("*")).alias("rate"))
 
 
-def similar_names(a: DataFrame, b: DataFrame, block: str, least: float) -> DataFrame:
-    """(a_id, b_id, score) of pairs of one block with similarity at least `least`."""
-    j = a.select(block, F.col("id").alias("a_id"), F.col("name").alias("__a")).join(b.select(block, F.col("id").alias("b_id"), F.col("name").alias("__b")), block)
-    return j.withColumn("score", text_similarity(F.col("__a"), F.col("__b"))).where(F.col("score") >= least).select("a_id", "b_id", "score")
-
-
 def catalog_integrity(products: DataFrame, groups: DataFrame, prices: DataFrame) -> DataFrame:
     """(check, n): repeated products, products without a group, prices without a product."""
     repeated = products.groupBy("product").agg(F.count("*").alias("c")).where("c > 1").agg(F.count("*").alias("n")).select(F.lit("repeated_product").alias("check"), "n")
@@ -135,9 +129,18 @@ def unresolved_counter(prices: DataFrame, known: DataFrame, state: DataFrame, ke
     return lost.join(state.select(key, "seen"), key, "left").select(key, "first_seen", "last_seen", (F.col("__n") + F.coalesce("seen", F.lit(0))).alias("total"))
 
 
-def group_sets(sets: DataFrame, family: str, year: str) -> DataFrame:
-    """(family, n, first_year) of sets by family."""
-    return sets.groupBy(family).agg(F.count("*").alias("n"), F.min(year).alias("first_year"))
+def group_sets(sets: DataFrame, mode: str = "family") -> DataFrame:
+    """(bucket, n, first_year, place) of sets (name, supplemental, year, game): by family in their fixed order, by year from the newest with
+    undated sets last, or by game in order of its name."""
+    if mode == "family":
+        order = ["main", *[f for f, _ in SET_FAMILIES], "other-supplemental"]
+        bucket, by = set_family(F.col("name"), F.col("supplemental")), [F.array_position(F.array(*[F.lit(x) for x in order]), F.col("bucket"))]
+    elif mode == "year":
+        bucket, by = F.coalesce(F.col("year").cast("string"), F.lit("undated")), [F.col("bucket") == "undated", F.desc("bucket")]
+    else:
+        bucket, by = F.coalesce("game", F.lit("Unknown game")), [F.col("bucket")]
+    counts = sets.withColumn("bucket", bucket).groupBy("bucket").agg(F.count("*").alias("n"), F.min("year").alias("first_year"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(*by)))  # one row for each bucket
 
 
 def match_products(products: DataFrame, cards: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.functions.scalars import set_family
 from marketloom.operators import evaluate, forecast, lab, pit, portfolio, resolve
 from marketloom.operators.ranking import top_per_key
 from marketloom.plans import bindings as b
@@ -135,16 +134,24 @@ def features_known(spark: SparkSession, d: str) -> DataFrame:
     return pit.features_known(o, ["a", "b"], F.lit("1998-01-01").cast("timestamp"))
 
 
-@query(f"""WITH {b.HOLDINGS} SELECT owner, bought_on, count(*) AS items, round(sum(quantity), 3) + 0.0 AS quantity FROM holdings WHERE currency = 'USD' GROUP BY 1, 2""")
+@query(f"""WITH {b.HOLDINGS} SELECT owner, bought_on, 'USD' AS currency, round(sum(CASE WHEN currency = 'USD' THEN coalesce(market_price * quantity, 0) ELSE 0 END) + 0.00000013, 3) + 0.0 AS value, round(sum(CASE WHEN cost_currency = 'USD' THEN coalesce(purchase_price * quantity, 0) + coalesce(fees, 0) ELSE 0 END) + 0.00000013, 3) + 0.0 AS cost,
+count(*) AS items, round(sum(quantity), 3) + 0.0 AS quantity FROM holdings GROUP BY 1, 2""")
 def daily_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(portfolio.daily_snapshot(b.holdings(spark, d), ["owner"], "bought_on", "USD"), 3)
+    s = portfolio.daily_snapshot(b.holdings(spark, d), ["owner"], "bought_on", "USD")
+    return rounded(s.withColumns({c: F.col(c) + 0.00000013 for c in ("value", "cost")}), 3)
 
 
-@query("""WITH x AS (SELECT p_partkey AS id, p_size AS year, ['Commander Legends', 'Starter Deck', 'Promo Pack', 'Plain Set'][1 + p_partkey % 4] AS name FROM part) SELECT CASE WHEN name LIKE 'Commander%' THEN 'commander' WHEN name LIKE 'Starter%' THEN 'preconstructed' WHEN name LIKE 'Promo%' THEN 'promos' ELSE 'main' END AS family, count(*) AS n, CAST(min(year) AS BIGINT) AS first_year FROM x GROUP BY 1""")
+@query("""WITH x AS (SELECT p_partkey AS id, CASE WHEN p_size % 9 > 0 THEN 1990 + p_size END AS year, p_type AS game, p_partkey % 7 = 0 AS sup, ['Commander Legends', 'Starter Deck', 'Promo Pack', 'Plain Set'][1 + p_partkey % 4] AS name FROM part),
+f AS (SELECT CASE WHEN name LIKE 'Commander%' THEN 'commander' WHEN name LIKE 'Starter%' THEN 'preconstructed' WHEN name LIKE 'Promo%' THEN 'promos' WHEN sup THEN 'other-supplemental' ELSE 'main' END AS bucket, year FROM x),
+g AS (SELECT 'family' AS mode, bucket, count(*) AS n, min(year) AS fy, list_position(['main', 'commander', 'preconstructed', 'promos', 'other-supplemental'], bucket) AS o1, 0 AS o2 FROM f GROUP BY 2
+UNION ALL SELECT 'year', coalesce(CAST(year AS VARCHAR), 'undated'), count(*), min(year), (min(year) IS NULL)::INT, -min(year) FROM x GROUP BY 2 UNION ALL SELECT 'game', game, count(*), min(year), dense_rank() OVER (ORDER BY game), 0 FROM x GROUP BY 2)
+SELECT mode, bucket, n, CAST(fy AS BIGINT) AS first_year, row_number() OVER (PARTITION BY mode ORDER BY o1, o2) AS place FROM g""")
 def group_sets(spark: SparkSession, d: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
     names = F.array(*[F.lit(x) for x in ("Commander Legends", "Starter Deck", "Promo Pack", "Plain Set")])
-    x = b.table(spark, d, "part").select(set_family(F.get(names, (F.col("p_partkey") % 4).cast("int")), F.lit(False)).alias("family"), F.col("p_size").alias("year"))
-    return rounded(resolve.group_sets(x, "family", "year"))
+    x = b.table(spark, d, "part").select(F.get(names, (k % 4).cast("int")).alias("name"), (k % 7 == 0).alias("supplemental"), F.when(size % 9 > 0, 1990 + size).alias("year"), F.col("p_type").alias("game"))
+    parts = [resolve.group_sets(x, m).withColumn("mode", F.lit(m)) for m in ("family", "year", "game")]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 @query(f"""WITH {b.HOLDINGS}, r AS (SELECT owner, id, market_price * quantity AS value, row_number() OVER (PARTITION BY owner ORDER BY market_price * quantity DESC NULLS LAST, id) AS rank FROM holdings) SELECT owner, id, round(value, 3) + 0.0 AS value, rank FROM r WHERE rank <= 3""")

@@ -73,13 +73,19 @@ def origin_blocks(spark: SparkSession, d: str) -> DataFrame:
     return forecast.origin_blocks(b.cases(spark, d), "origin").groupBy("block").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {b.FACTS}, p AS (SELECT category, grp, day, max(price) AS price FROM facts GROUP BY 1, 2, 3), s AS (SELECT category, grp, day, price, day - lag(day) OVER w AS g, ln(price / lag(price) OVER w) AS r, max(day) OVER (PARTITION BY category, grp) AS last FROM p WINDOW w AS (PARTITION BY category, grp ORDER BY day)),
-a AS (SELECT category, grp, arg_max(price, day) AS price, sum(pow(0.5, (last - day) / 180.0) * r) / sum(CASE WHEN r IS NOT NULL THEN pow(0.5, (last - day) / 180.0) * g END) AS drift, sqrt(sum(pow(0.5, (last - day) / 60.0) * r * r) / sum(CASE WHEN r IS NOT NULL THEN pow(0.5, (last - day) / 60.0) * g END)) AS sigma FROM s GROUP BY 1, 2)
-SELECT category, grp, round(drift, 6) + 0.0 AS drift, round(sigma, 6) + 0.0 AS sigma, round(price * exp(least(0.7, greatest(-0.7, drift * 90)) - 1.281551565545 * sigma * sqrt(90)), 4) + 0.0 AS lo FROM a""")
+@query(f"""WITH {b.FACTS}, p AS (SELECT product, day, max(price) AS price FROM facts WHERE day <= DATE '1998-06-30' GROUP BY 1, 2), s AS (SELECT product, day, price, day - lag(day) OVER w AS g, ln(price / lag(price) OVER w) AS r, DATE '1998-06-30' - day AS age FROM p WINDOW w AS (PARTITION BY product ORDER BY day)),
+k AS (SELECT *, r / sqrt(g) AS z, g > 0 AND abs(r) / sqrt(g) <= 0.24 AS ok, g > 0 AND abs(r) / sqrt(g) > 0.24 AS jump FROM s),
+a AS (SELECT product, arg_max(price, day) AS price, count(*) AS n, count(*) FILTER (WHERE jump) AS excluded, count(*) FILTER (WHERE ok) AS pairs, max(day) - min(day) AS span, DATE '1998-06-30' - max(day) AS stale, sum(pow(0.5, age / 180.0) * r / g) FILTER (WHERE ok) / sum(pow(0.5, age / 180.0)) FILTER (WHERE ok) AS d,
+  sum(pow(0.5, age / 60.0) * z) FILTER (WHERE ok) / sum(pow(0.5, age / 60.0)) FILTER (WHERE ok) AS m, sum(pow(0.5, age / 60.0) * z * z) FILTER (WHERE ok) / sum(pow(0.5, age / 60.0)) FILTER (WHERE ok) AS m2 FROM k GROUP BY 1),
+v AS (SELECT *, span / (span + 730) * coalesce(d, 0) AS drift, least(0.06, greatest(0.015, sqrt(pairs / (pairs + 10) * CASE WHEN pairs > 1 THEN greatest(0, m2 - m * m) ELSE 0.000625 END + (1 - pairs / (pairs + 10)) * 0.000625))) AS vol, least(0.75, n / (n + 20) * exp(-stale / 90)) AS score FROM a),
+b AS (SELECT *, least(0.69 * 90 / 365, greatest(-0.69 * 90 / 365, drift * 90)) AS mv, least(vol * sqrt(90), ln(6) / (2 * 1.533) * sqrt(90 / 365)) AS sp FROM v)
+SELECT product, n, excluded, round(drift, 8) + 0.0 AS drift, round(vol, 6) + 0.0 AS volatility, round(CASE WHEN stale <= 180 THEN price * exp(mv - 1.533 * sp) END, 4) + 0.0 AS q10, round(CASE WHEN stale <= 180 THEN price * exp(mv) END, 4) + 0.0 AS q50, CASE WHEN n < 3 OR score < 0.15 THEN 'early' WHEN n < 8 OR score < 0.35 THEN 'low' WHEN n < 21 OR score < 0.55 THEN 'developing' ELSE 'moderate' END AS confidence,
+CASE WHEN stale > 180 THEN 'stale' WHEN n < 3 THEN 'early' WHEN n < 8 THEN 'limited' ELSE 'available' END AS status FROM b""")
 def volatility_cone(spark: SparkSession, d: str) -> DataFrame:
-    p = b.facts(spark, d).groupBy("category", "grp", "day").agg(F.max("price").alias("price"))
-    v = forecast.volatility_cone(p, ["category", "grp"], "day", "price", 90)
-    return v.select("category", "grp", (F.round("drift", 6) + 0.0).alias("drift"), (F.round("sigma", 6) + 0.0).alias("sigma"), (F.round("lo", 4) + 0.0).alias("lo"))
+    p = b.facts(spark, d).groupBy("product", "day").agg(F.max("price").alias("price"))
+    v = forecast.volatility_cone(p, ["product"], "day", "price", 90, F.lit("1998-06-30").cast("date"))
+    places = {"drift": 8, "volatility": 6, "q10": 4, "q50": 4}
+    return v.select("product", "n", "excluded", *[(F.round(c, n) + 0.0).alias(c) for c, n in places.items()], "confidence", "status")
 
 
 _PACKETS = """pk AS (SELECT p_partkey AS product, p_type AS category, CASE WHEN p_size < 3 THEN 'insufficient-history' WHEN p_size < 10 THEN 'low-history' WHEN p_size = 50 THEN 'cold-start' ELSE 'standard' END AS confidence,

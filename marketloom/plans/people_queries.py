@@ -101,36 +101,68 @@ def value_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return rounded(portfolio.value_breakdown(b.holdings(spark, d), ["owner"], "USD"), 3)
 
 
-@query(f"""WITH {b.HOLDINGS}, x AS (SELECT owner, {_VAL} AS v, greatest(-0.95, least(3, CASE category WHEN 'ECONOMY' THEN -0.3 WHEN 'LARGE' THEN 0.2 ELSE 0 END * sqrt(0.5))) AS s FROM holdings WHERE currency = 'USD')
-SELECT owner, round(sum(v), 3) + 0.0 AS before, round(sum(v * (1 + s)), 3) + 0.0 AS after FROM x GROUP BY 1""")
+_SCENARIO = """sc AS (SELECT owner, id, market_price * quantity AS value, greatest(0, market_price * quantity * (1 + CASE WHEN id % 5 = 0 THEN 0 ELSE greatest(-0.75, least(1.5, (0.08 + CASE category WHEN 'ECONOMY' THEN -0.08 WHEN 'LARGE' THEN 0.08 ELSE 0 END) * sqrt(0.5))) END)) AS q50,
+  CASE WHEN id % 12 >= 8 AND id % 4 >= 2 THEN 'strong' WHEN id % 12 >= 3 AND id % 4 >= 2 THEN 'moderate' ELSE 'limited' END AS evidence FROM holdings WHERE currency = 'USD' AND market_price >= 0 AND quantity > 0)"""
+
+
+def _scenario(spark: SparkSession, d: str) -> DataFrame:
+    h = b.holdings(spark, d).withColumn("manual", F.col("id") % 5 == 0)
+    evidence = h.where("id % 12 > 0").select("id", (F.col("id") % 12).alias("observations"), (F.col("id") % 4).alias("sources")).distinct()
+    return portfolio.shock_revalue(h, evidence, 45, "USD", market="up", categories={"ECONOMY": "down", "LARGE": "up"}, volatility="high")
+
+
+@query(f"""WITH {b.HOLDINGS}, {_SCENARIO}, w AS (SELECT least(0.65, 0.28 * sqrt(0.5)) AS w) SELECT owner, id, round(value, 3) + 0.0 AS value, round(q50 * (1 - w), 3) + 0.0 AS q10, round(q50 * (1 - w / 2), 3) + 0.0 AS q25, round(q50, 3) + 0.0 AS q50, round(q50 * (1 + w / 2), 3) + 0.0 AS q75, round(q50 * (1 + w), 3) + 0.0 AS q90, evidence FROM sc, w""")
 def shock_revalue(spark: SparkSession, d: str) -> DataFrame:
-    shocks = spark.range(1).select(F.explode(F.map_from_arrays(F.array(F.lit("ECONOMY"), F.lit("LARGE")), F.array(F.lit(-0.3), F.lit(0.2)))).alias("category", "shock"))
-    return rounded(portfolio.shock_revalue(b.holdings(spark, d), shocks, 45, "USD"), 3)
+    return rounded(_scenario(spark, d), 3)
 
 
-@query(f"""WITH {b.HOLDINGS}, {b.FACTS}, g AS (SELECT unnest([DATE '1996-06-30', DATE '1997-06-30', DATE '1998-06-30']) AS day), pr AS (SELECT product, day, max(price) AS price FROM facts GROUP BY 1, 2), c AS (SELECT DISTINCT product, g.day FROM pr, g),
-cf AS (SELECT c.product, c.day, pr.price FROM c ASOF LEFT JOIN pr ON c.product = pr.product AND c.day >= pr.day)
-SELECT owner, cf.day, round(sum(coalesce(price * quantity, 0)), 3) + 0.0 AS value, round(sum({_COST}), 3) + 0.0 AS cost, count(price) AS covered, count(*) AS held FROM holdings h JOIN cf ON h.product = cf.product AND cf.day >= bought_on GROUP BY 1, 2""")
+@query(f"""WITH {b.HOLDINGS}, {_SCENARIO} SELECT owner, round(sum(value), 2) + 0.0 AS value, round(sum(q50), 2) + 0.0 AS q50, round(CASE WHEN sum(value) > 0 THEN 100 * (sum(q50) / sum(value) - 1) END, 6) + 0.0 AS change_percent, count(*) FILTER (WHERE evidence = 'strong') AS strong, count(*) FILTER (WHERE evidence = 'limited') AS limited FROM sc GROUP BY 1""")
+def scenario_totals(spark: SparkSession, d: str) -> DataFrame:
+    t = portfolio.scenario_totals(_scenario(spark, d))
+    return t.select("owner", (F.round("value", 2) + 0.0).alias("value"), (F.round("q50", 2) + 0.0).alias("q50"), (F.round("change_percent", 6) + 0.0).alias("change_percent"), "strong", "limited")
+
+
+@query(f"""WITH {b.HOLDINGS}, {b.FACTS}, g AS (SELECT unnest([DATE '1996-06-30', DATE '1997-06-30', DATE '1998-06-30']) AS day), pr AS (SELECT product, day, max(price) AS price FROM facts WHERE product % 10 > 0 GROUP BY 1, 2), la AS (SELECT product, max(day) AS last FROM pr GROUP BY 1),
+ow AS (SELECT h.*, coalesce(last >= bought_on, false) AS hist, {_VAL} AS flat, {_COST} AS cost FROM holdings h LEFT JOIN la ON h.product = la.product WHERE currency = 'USD' AND cost_currency = 'USD'),
+c AS (SELECT DISTINCT product, g.day FROM pr, g), cf AS (SELECT c.product, c.day, pr.price, pr.day AS pday FROM c ASOF LEFT JOIN pr ON c.product = pr.product AND c.day >= pr.day),
+rw AS (SELECT owner, cf.day, CASE WHEN pday >= bought_on THEN price * quantity END AS v, cost FROM ow JOIN cf ON ow.product = cf.product WHERE hist AND cf.day >= bought_on UNION ALL SELECT owner, g.day, flat, cost FROM ow, g WHERE NOT hist AND g.day >= bought_on),
+co AS (SELECT owner, count(*) FILTER (WHERE hist) AS with_history, CAST(round(100 * count(*) FILTER (WHERE hist) / count(*)) AS BIGINT) AS coverage_percent FROM ow GROUP BY 1)
+SELECT rw.owner, day, round(sum(coalesce(v, 0)) + 0.00000013, 3) + 0.0 AS value, round(sum(cost) + 0.00000013, 3) + 0.0 AS cost, count(v) AS priced, count(*) AS held, any_value(with_history) AS with_history, any_value(coverage_percent) AS coverage_percent FROM rw JOIN co ON rw.owner = co.owner GROUP BY 1, 2""")
 def portfolio_value_series(spark: SparkSession, d: str) -> DataFrame:
-    hist = b.facts(spark, d).groupBy("product", "day").agg(F.max("price").alias("price"))
+    hist = b.facts(spark, d).where("product % 10 > 0").groupBy("product", "day").agg(F.max("price").alias("price"))
     grid = spark.range(1).select(F.explode(F.array(*[F.lit(f"{y}-06-30").cast("date") for y in (1996, 1997, 1998)])).alias("day"))
-    return rounded(portfolio.portfolio_value_series(b.holdings(spark, d), hist, grid), 3)
+    v = portfolio.portfolio_value_series(b.holdings(spark, d), hist, grid, "USD")
+    return rounded(v.withColumns({c: F.col(c) + 0.00000013 for c in ("value", "cost")}), 3)  # sums may end in 5 where they are cut
 
 
-@query(f"""WITH {b.HOLDINGS}, f AS (SELECT p_type AS category, p_brand AS set_name, min(p_retailprice) AS q25, avg(p_retailprice) AS q50, max(p_retailprice) AS q75 FROM part WHERE p_size > 45 GROUP BY 1, 2)
-SELECT owner, round(sum(q25 * quantity), 5) + 0.0 AS q25, round(sum(q50 * quantity), 5) + 0.0 AS q50, round(sum(q75 * quantity), 5) + 0.0 AS q75, count(q50) AS covered, count(*) AS held FROM holdings LEFT JOIN f USING (category, set_name) GROUP BY 1""")
+@query(f"""WITH {b.HOLDINGS}, f AS (SELECT p_partkey AS product, p_retailprice AS obs, p_retailprice * 0.9 AS q25, p_retailprice * 1.01 AS q50, p_retailprice * 1.1 AS q75, CASE p_size % 4 WHEN 0 THEN 'available' WHEN 1 THEN 'limited' ELSE 'withheld' END AS status, CASE WHEN p_size % 8 <> 0 THEN CAST(p_size AS DOUBLE) END AS confidence, DATE '2024-01-01' + CAST(p_size AS INTEGER) AS published, CASE WHEN p_partkey % 2 = 0 THEN DATE '2024-02-01' + CAST(p_size AS INTEGER) END AS mu FROM part WHERE p_size > 10),
+j AS (SELECT owner, quantity, f.*, coalesce(status IN ('available', 'limited'), false) AND quantity > 0 AS ok FROM holdings LEFT JOIN f ON holdings.product = f.product)
+SELECT owner, round(sum(CASE WHEN ok THEN obs * quantity ELSE 0 END), 3) + 0.0 AS approved_value, round(sum(CASE WHEN ok THEN q25 * quantity ELSE 0 END), 3) + 0.0 AS q25, round(sum(CASE WHEN ok THEN q50 * quantity ELSE 0 END), 3) + 0.0 AS q50, round(sum(CASE WHEN ok THEN q75 * quantity ELSE 0 END), 3) + 0.0 AS q75,
+count(*) FILTER (WHERE ok) AS covered, count(*) FILTER (WHERE ok AND status = 'limited') AS limited, count(*) AS held, min(confidence) FILTER (WHERE ok) AS confidence_low, max(confidence) FILTER (WHERE ok) AS confidence_high, min(published) FILTER (WHERE ok) AS as_of, max(coalesce(mu, published)) FILTER (WHERE ok) AS model_updated,
+CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'unavailable' WHEN count(*) FILTER (WHERE ok AND confidence IS NULL) > 0 THEN 'varies' WHEN min(confidence) FILTER (WHERE ok) = max(confidence) FILTER (WHERE ok) THEN 'single' ELSE 'span' END AS confidence FROM j GROUP BY 1""")
 def forecast_rollup(spark: SparkSession, d: str) -> DataFrame:
-    p = b.table(spark, d, "part").where("p_size > 45").groupBy(F.col("p_type").alias("category"), F.col("p_brand").alias("set_name")).agg(F.min("p_retailprice").alias("q25"), F.avg("p_retailprice").alias("q50"), F.max("p_retailprice").alias("q75"))
-    return rounded(portfolio.forecast_rollup(b.holdings(spark, d), p, ["owner"]), 5)
-
-
-@query("""WITH w AS (SELECT p_partkey AS key, CASE WHEN p_size > 2 THEN p_retailprice END AS price, CASE WHEN p_partkey % 5 = 0 THEN 'EUR' ELSE 'USD' END AS currency, 1000 AS target FROM part), bl AS (SELECT p_partkey AS key, p_retailprice * (0.8 + (p_partkey % 5) * 0.1) AS bp, 'USD' AS bc FROM part WHERE p_size < 48),
-j AS (SELECT w.key, price, bp, currency = bc AS same, target FROM w LEFT JOIN bl ON w.key = bl.key)
-SELECT key, 'new_price' AS alert FROM j WHERE bp IS NULL AND price IS NOT NULL UNION ALL SELECT key, 'unpriced' FROM j WHERE bp IS NOT NULL AND price IS NULL
-UNION ALL SELECT key, 'target_crossed' FROM j WHERE same AND bp < target AND price >= target UNION ALL SELECT key, 'moved' FROM j WHERE same AND abs(price / bp - 1) >= 0.105""")
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    f = b.table(spark, d, "part").where("p_size > 10").select(
+        F.col("p_partkey").alias("product"), price.alias("observed"), (price * 0.9).alias("q25"), (price * 1.01).alias("q50"), (price * 1.1).alias("q75"), F.when(size % 4 == 0, "available").when(size % 4 == 1, "limited").otherwise("withheld").alias("status"),
+        F.when(size % 8 != 0, size.cast("double")).alias("confidence"), F.date_add(F.lit("2024-01-01").cast("date"), size).alias("published"), F.when(F.col("p_partkey") % 2 == 0, F.date_add(F.lit("2024-02-01").cast("date"), size)).alias("model_updated"),
+    )
+    return rounded(portfolio.forecast_rollup(b.holdings(spark, d).drop("observed"), f, ["owner"], ["product"]), 3)
+
+
+@query("""WITH w AS (SELECT p_partkey AS key, CASE WHEN p_size > 2 THEN p_retailprice END AS price, CASE WHEN p_partkey % 5 = 0 THEN 'EUR' ELSE 'USD' END AS cur, p_partkey % 7 = 0 AS stale, 'up' AS trend, p_type AS pos, p_brand AS sig, 'f' || p_partkey AS fp FROM part),
+bl AS (SELECT p_partkey AS key, CASE WHEN p_size > 1 THEN p_retailprice * (0.8 + (p_partkey % 5) * 0.1) END AS bp, 'USD' AS bc, p_partkey % 14 = 0 AS bs, CASE WHEN p_partkey % 3 = 0 THEN 'down' ELSE 'up' END AS bt, CASE WHEN p_partkey % 4 = 0 THEN 'within' ELSE p_type END AS bpos, CASE WHEN p_partkey % 6 = 0 THEN 'old' ELSE p_brand END AS bsig, CASE WHEN p_partkey % 8 = 0 THEN 'f' || p_partkey ELSE 'g' END AS bf FROM part WHERE p_size < 48),
+j AS (SELECT w.*, bl.key IS NOT NULL AS seen, bp, bc, bs, bt, bpos, bsig, bf, coalesce(bp IS NOT NULL AND bc = cur, false) AS cmp FROM w LEFT JOIN bl ON w.key = bl.key), c AS (SELECT * FROM j WHERE NOT seen OR fp <> bf OR stale <> bs)
+SELECT key, unnest(list_filter([CASE WHEN seen AND bp IS NULL AND price IS NOT NULL THEN 'new_catalog_price' END, CASE WHEN bp IS NOT NULL AND price IS NULL THEN 'became_unpriced' END, CASE WHEN seen AND NOT bs AND stale THEN 'price_stale' END, CASE WHEN cur = 'USD' AND price <= 1000 AND (NOT cmp OR bp > 1000) THEN 'target_price' END,
+CASE WHEN cmp AND abs(price / bp - 1) * 100 >= 10.5 THEN 'percent_change' END, CASE WHEN seen AND key % 2 = 0 AND bt <> trend THEN 'trend_change' END, CASE WHEN seen AND bpos <> pos THEN 'range_change' END, CASE WHEN seen AND bsig <> sig THEN 'forecast_change' END], lambda x: x IS NOT NULL)) AS alert FROM c""")
 def alerts(spark: SparkSession, d: str) -> DataFrame:
-    p = b.table(spark, d, "part")
-    k = F.col("p_partkey")
-    w = p.select(k.alias("key"), F.when(F.col("p_size") > 2, F.col("p_retailprice")).alias("price"), F.when(k % 5 == 0, "EUR").otherwise("USD").alias("currency"), F.lit(1000).alias("target"))
-    base = p.where("p_size < 48").select(k.alias("key"), (F.col("p_retailprice") * (0.8 + (k % 5) * 0.1)).alias("price"), F.lit("USD").alias("currency"))
-    return portfolio.alerts(w, base, 0.105)
+    p, k, price, size = b.table(spark, d, "part"), F.col("p_partkey"), F.col("p_retailprice"), F.col("p_size")
+    finger = F.concat(F.lit("f"), k.cast("string"))
+    w = p.select(
+        k.alias("key"), F.when(size > 2, price).alias("price"), F.when(k % 5 == 0, "EUR").otherwise("USD").alias("currency"), (k % 7 == 0).alias("stale"), F.lit("up").alias("trend"), F.col("p_type").alias("position"), F.col("p_brand").alias("signature"), finger.alias("fingerprint"),
+        F.lit(1000.0).alias("target"), F.lit("USD").alias("target_currency"), F.lit(10.5).alias("percent"), (k % 2 == 0).alias("on_trend"), F.lit(True).alias("on_range"), F.lit(True).alias("on_forecast"),
+    )
+    base = p.where("p_size < 48").select(
+        k.alias("key"), F.when(size > 1, price * (0.8 + (k % 5) * 0.1)).alias("price"), F.lit("USD").alias("currency"), (k % 14 == 0).alias("stale"), F.when(k % 3 == 0, "down").otherwise("up").alias("trend"), F.when(k % 4 == 0, "within").otherwise(F.col("p_type")).alias("position"),
+        F.when(k % 6 == 0, "old").otherwise(F.col("p_brand")).alias("signature"), F.when(k % 8 == 0, finger).otherwise("g").alias("fingerprint"),
+    )
+    return portfolio.alerts(w, base)

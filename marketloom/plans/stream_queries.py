@@ -93,12 +93,19 @@ def outlier_stream(spark: SparkSession, d: str) -> DataFrame:
     return _run(streams.outlier_stream(obs, z=3.0, window_days=7), states=True).select("id", "status")
 
 
-@query("""WITH a AS (SELECT user_id AS key, ts, CASE WHEN event_id % 5 > 0 THEN value END AS price, CASE WHEN event_id % 11 = 0 THEN 'EUR' ELSE 'USD' END AS cur, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1),
-l AS (SELECT *, lag(price) OVER w AS bp, lag(cur) OVER w AS bc FROM a WINDOW w AS (PARTITION BY key ORDER BY ts)), k AS (SELECT key, ts, unnest(list_filter([CASE WHEN bp IS NULL AND price IS NOT NULL THEN 'new_price' END, CASE WHEN bp IS NOT NULL AND price IS NULL THEN 'unpriced' END,
-CASE WHEN bc = cur AND bp < 100 AND price >= 100 THEN 'target_crossed' END, CASE WHEN bc = cur AND abs(price / bp - 1) >= 0.1 THEN 'moved' END], lambda x: x IS NOT NULL)) AS alert FROM l) SELECT key, alert, count(*) AS n FROM k GROUP BY 1, 2""")
+@query("""WITH a AS (SELECT user_id AS key, ts, CASE WHEN event_id % 5 > 0 THEN value END AS price, CASE WHEN event_id % 11 = 0 THEN 'EUR' ELSE 'USD' END AS cur, event_id % 4 = 0 AS stale, event_type AS trend, event_id % 3 AS fp, event_id FROM events),
+l AS (SELECT *, lag(1) OVER w AS seen, lag(price) OVER w AS bp, lag(cur) OVER w AS bc, lag(stale) OVER w AS bs, lag(trend) OVER w AS bt, lag(fp) OVER w AS bf FROM a WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)),
+j AS (SELECT *, coalesce(bp IS NOT NULL AND bc = cur, false) AS cmp FROM l WHERE seen IS NULL OR fp <> bf OR stale <> bs),
+k AS (SELECT key, unnest(list_filter([CASE WHEN seen = 1 AND bp IS NULL AND price IS NOT NULL THEN 'new_catalog_price' END, CASE WHEN bp IS NOT NULL AND price IS NULL THEN 'became_unpriced' END, CASE WHEN seen = 1 AND NOT bs AND stale THEN 'price_stale' END, CASE WHEN cur = 'USD' AND price <= 100 AND (NOT cmp OR bp > 100) THEN 'target_price' END,
+CASE WHEN cmp AND bp > 0 AND abs(price / bp - 1) * 100 >= 10 THEN 'percent_change' END, CASE WHEN seen = 1 AND bt <> trend THEN 'trend_change' END], lambda x: x IS NOT NULL)) AS alert FROM j) SELECT key, alert, count(*) AS n FROM k GROUP BY 1, 2""")
 def alert_stream(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("event_id")
-    s = _source(spark, d).select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.when(k % 5 > 0, F.col("value")).alias("price"), F.when(k % 11 == 0, "EUR").otherwise("USD").alias("currency"), F.lit(100.0).alias("target"))
+    k, none = F.col("event_id"), F.lit(None).cast("string")
+    # times of one user may be equal: as many microseconds as the id says keep their order
+    at = F.col("ts").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), k / 1_000_000)
+    s = _source(spark, d).select(
+        F.col("user_id").alias("key"), at.alias("at"), F.when(k % 5 > 0, F.col("value")).alias("price"), F.when(k % 11 == 0, "EUR").otherwise("USD").alias("currency"), (k % 4 == 0).alias("stale"), F.col("event_type").alias("trend"), none.alias("position"), none.alias("signature"), (k % 3).cast("string").alias("fingerprint"),
+        F.lit(100.0).alias("target"), F.lit("USD").alias("target_currency"), F.lit(10.0).alias("percent"), F.lit(True).alias("on_trend"), F.lit(True).alias("on_range"), F.lit(True).alias("on_forecast"),
+    )
     return _run(streams.alert_stream(s), states=True).groupBy("key", "alert").agg(F.count("*").alias("n"))
 
 

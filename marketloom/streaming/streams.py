@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from marketloom.operators.demand import KINDS
 from marketloom.operators.merge import apply_if_newer
 from marketloom.operators.pit import gate
+from marketloom.operators.portfolio import ALERTS
 
 
 def dedupe_demand(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
@@ -71,41 +72,54 @@ def outlier_stream(stream: DataFrame, **policy: float) -> DataFrame:
     return stream.select("series", "observed_at", "available_at", "price", "id").groupBy("series").transformWithStateInPandas(OutlierGate(**policy), "series long, id long, status string", "Append", "None")
 
 
+BASELINE = ("price", "currency", "stale", "trend", "position", "signature", "fingerprint")
+
+
+def alert_kinds(now: dict, last: dict | None) -> list[str]:
+    """The alerts of a watch entry against its last baseline: portfolio.alerts, one entry at a time."""
+    seen, before = last is not None, last or dict.fromkeys(BASELINE)
+    if seen and before["fingerprint"] == now["fingerprint"] and bool(before["stale"]) == bool(now["stale"]):
+        return []
+    price, was = now["price"], before["price"]
+    comparable = was is not None and before["currency"] == now["currency"]
+    changed = lambda x: bool(before[x]) and bool(now[x]) and before[x] != now[x]
+    rules = (
+        seen and was is None and price is not None,
+        was is not None and price is None,
+        seen and not before["stale"] and bool(now["stale"]),
+        price is not None and now["target"] is not None and now["target_currency"] == now["currency"] and price <= now["target"] and (not comparable or was > now["target"]),
+        price is not None and comparable and was > 0 and (now["percent"] or 0) > 0 and abs(price / was - 1) * 100 >= now["percent"],
+        bool(now["on_trend"]) and changed("trend"),
+        bool(now["on_range"]) and changed("position"),
+        bool(now["on_forecast"]) and changed("signature"),
+    )
+    return [kind for kind, met in zip(ALERTS, rules, strict=True) if met]
+
+
 class AlertState(StatefulProcessor):
     """Compares each watch entry with its last baseline, and keeps the newest as the next."""
 
-    def __init__(self, move: float = 0.10) -> None:
-        self.move = move
-
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "price double, currency string")
+        self.last = handle.getValueState("last", "price double, currency string, stale boolean, trend string, position string, signature string, fingerprint string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = pd.concat(list(rows)).sort_values("at")
-        price, currency = self.last.get() if self.last.exists() else (None, None)
+        last = dict(zip(BASELINE, self.last.get(), strict=True)) if self.last.exists() else None
         out = []
-        for at, now, unit, target in zip(pdf["at"], pdf["price"], pdf["currency"], pdf["target"], strict=True):
-            now = None if pd.isna(now) else float(now)
-            if price is None and now is not None:
-                out.append((key[0], at, "new_price"))
-            elif price is not None and now is None:
-                out.append((key[0], at, "unpriced"))
-            elif price is not None and unit == currency:
-                if price < target <= now:
-                    out.append((key[0], at, "target_crossed"))
-                if abs(now / price - 1) >= self.move:
-                    out.append((key[0], at, "moved"))
-            price, currency = now, unit
-        self.last.update((price, currency))
+        for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+            out += [(key[0], row["at"], kind) for kind in alert_kinds(row, last)]
+            last = {c: row[c] for c in BASELINE}
+        self.last.update(tuple(last.values()))
         yield pd.DataFrame(out, columns=["key", "at", "alert"])
 
     def close(self) -> None:
         pass
 
 
-def alert_stream(stream: DataFrame, move: float = 0.10) -> DataFrame:
-    """(key, at, alert) from rows (key, at, price, currency, target): needs the RocksDB state store."""
-    return stream.select("key", "at", "price", "currency", "target").groupBy("key").transformWithStateInPandas(AlertState(move), "key long, at timestamp, alert string", "Append", "None")
+def alert_stream(stream: DataFrame) -> DataFrame:
+    """(key, at, alert) from rows of watch entries as portfolio.alerts takes them, with their time `at`: needs the RocksDB state store."""
+    own = ["key", "at", *BASELINE, "target", "target_currency", "percent", "on_trend", "on_range", "on_forecast"]
+    return stream.select(*own).groupBy("key").transformWithStateInPandas(AlertState(), "key long, at timestamp, alert string", "Append", "None")
 
 
 def first_seen_stream(stream: DataFrame) -> DataFrame:

@@ -61,16 +61,46 @@ def test_outlier_stream_equals_batch(spark, tmp_path):
     assert {(r["id"], r["status"]) for r in got.collect()} == {(r["id"], r["status"]) for r in want.select("id", "status").collect()}
 
 
-def test_alert_stream(spark, tmp_path):
+WATCH = "key long, at timestamp, price double, currency string, stale boolean, trend string, position string, signature string, fingerprint string, target double, target_currency string, percent double, on_trend boolean, on_range boolean, on_forecast boolean"
+
+
+def watch_rows():
     at = lambda d: dt.datetime(2024, 1, d)
-    rows = [(1, at(1), 10.0, "USD", 12.0), (1, at(2), 10.5, "USD", 12.0), (1, at(3), 12.5, "USD", 12.0), (1, at(4), 20.0, "EUR", 12.0), (1, at(5), None, "EUR", 12.0)]
-    frame = spark.createDataFrame(rows, "key long, at timestamp, price double, currency string, target double")
+    row = lambda d, price, unit="USD", stale=False, trend="up", position="within", signature="s", finger=None: (1, at(d), price, unit, stale, trend, position, signature, finger or f"f{d}", 9.0, "USD", 10.0, True, True, False)
+    return [
+        row(1, None),
+        row(2, 10.0),
+        row(3, 10.5),
+        row(4, 8.9),  # reaches the target from above, and moves by 10 %
+        row(5, 8.0, finger="f4"),  # the same publication
+        row(6, 20.0, "EUR"),  # not comparable
+        row(7, None, "EUR"),
+        row(8, None, "EUR", stale=True, trend="down", position="above", signature="t"),
+    ]
+
+
+WATCH_ALERTS = [(2, "new_catalog_price"), (4, "target_price"), (4, "percent_change"), (7, "became_unpriced"), (8, "price_stale"), (8, "range_change"), (8, "trend_change")]
+
+
+def test_alert_stream(spark, tmp_path):
+    frame = spark.createDataFrame(watch_rows(), WATCH)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         got = run(spark, frame, str(tmp_path), streams.alert_stream)
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert sorted((r["at"].day, r["alert"]) for r in got.collect()) == [(1, "new_price"), (3, "moved"), (3, "target_crossed"), (5, "unpriced")]
+    assert sorted((r["at"].day, r["alert"]) for r in got.collect()) == sorted(WATCH_ALERTS)
+
+
+def test_alerts_of_a_batch_agree_with_the_stream(spark):
+    from marketloom.operators import portfolio
+
+    rows, got = watch_rows(), []
+    for now, last in zip(rows[1:], rows, strict=False):
+        frame = spark.createDataFrame([now], WATCH)
+        base = spark.createDataFrame([last], WATCH).select("key", *streams.BASELINE)
+        got += [(now[1].day, r["alert"]) for r in portfolio.alerts(frame, base).collect()]
+    assert got and sorted(got) == sorted(WATCH_ALERTS)
 
 
 def test_upsert_sink_replaces_rows_and_can_be_run_again(spark, tmp_path):
