@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import array_median, clamp
-from marketloom.operators.stats import join_same, quantile_of_large, tercile_bucket
+from marketloom.operators.index import cohort_return
+from marketloom.operators.stats import join_same, quantile_of_large, tercile_bucket, trimmed_mean_of_large
+from marketloom.sources.io import settled
 
 CAP = 0.70
 QUANTILES = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
@@ -83,43 +87,94 @@ def conformal_offsets(residuals: DataFrame, keys: list[str], value: str = "stand
     return found.select(*keys, *[side(q, p).alias(q) for q, p in QUANTILES.items()], "pool")
 
 
-def trajectory_forecast(panel: DataFrame, keys: list[str], index: DataFrame, horizons: tuple[int, ...] = (30, 60, 90), step_days: int = 91, drift_weight: float = 1.0, reversion_weight: float = 0.1) -> DataFrame:
-    """(keys, horizon, tier, q10..q90): anchor, index move, reversion and shrunk drift, with split-conformal bands.
-
-    panel: category, grp, product, t, price; index: the result of index_levels. Residuals of the same rule one step back
-    calibrate the bands by (category, volatility bucket).
+def index_context(index: DataFrame, horizons: Sequence[int], curve: DataFrame | None = None, released: DataFrame | None = None) -> DataFrame:
+    """(category, grp, t, level, deltas): for each group and date of index_levels, market + category + group level, and for each horizon (in steps) the
+    damped move of all three from there on. A group's own move is blended with its cohort's by n / (n + 12): curve (age, curve) and
+    released (category, grp, released), if given. Rows are groups by dates, never series."""
+    levels = index.select(F.col("level").alias("of"), "category", "grp", "t", "idx")
+    trend = damped_trend(levels, ["of", "category", "grp"], "t", "idx").select("of", "category", "grp", "t", "trend")
+    both = join_same(levels, trend, ["of", "category", "grp", "t"])
+    part = lambda level, keys, x: both.where(F.col("of") == level).select(*keys, F.col("idx").alias(f"__i{x}"), F.coalesce("trend", F.lit(0.0)).alias(f"__d{x}"))
+    g = part("group", ["category", "grp", "t"], "g").join(part("category", ["category", "t"], "c"), ["category", "t"]).join(part("market", ["t"], "m"), "t")
+    g = g.withColumn("__n", F.col("t") - F.min("t").over(Window.partitionBy("category", "grp")))
+    if curve is not None and released is not None:
+        g = g.join(released.select("category", "grp", (F.col("released")).alias("__released")), ["category", "grp"], "left").withColumn("age", F.col("t") - F.col("__released"))
+        for k, h in enumerate(horizons):
+            ages = cohort_return(curve, g.where("age >= 0").select("age").distinct(), h).select("age", F.col("cohort_return").alias(f"__c{k}"))
+            g = g.join(ages, "age", "left")
+
+    def delta(k: int, h: int) -> Column:
+        own, w = damped_delta(F.col("__dg"), F.lit(h)), F.col("__n") / (F.col("__n") + 12.0)
+        cohort = clamp(F.coalesce(f"__c{k}", F.lit(0.0)), -CAP, CAP) if curve is not None and released is not None else F.lit(0.0)
+        return damped_delta(F.col("__dm"), F.lit(h)) + damped_delta(F.col("__dc"), F.lit(h)) + w * own + (1 - w) * cohort
+
+    return g.select("category", "grp", "t", (F.col("__im") + F.col("__ic") + F.col("__ig")).alias("level"), F.array(*[delta(k, h) for k, h in enumerate(horizons)]).alias("deltas"))
+
+
+def trajectory_forecast(
+    panel: DataFrame,
+    keys: list[str],
+    index: DataFrame,
+    horizons: Sequence[int] = (4, 9, 13),
+    step_days: int = 7,
+    weights: dict[int, tuple[float, float, float]] | None = None,
+    min_origin: int = 15,
+    lookback: int = 13,
+    curve: DataFrame | None = None,
+    released: DataFrame | None = None,
+) -> DataFrame:
+    """(keys, horizon, tier, q10..q90) of every series from its last known price; horizons are in steps.
+
+    panel: category, grp, product, t, price; index: the result of index_levels. A price less the three index levels is the series' own
+    part: its steps are smoothed and shrunk to a drift, its trailing median less its value is the reversion. The middle is price + a index move + c
+    reversion + b drift h, with weights (a, c, b) by horizon. Bands are quantiles of residuals of the same rule at up to five earlier
+    origins (what it then knew against what came), in units of the series' spread, pooled by category, spread tercile and horizon.
+
+    A series is brought together once; smoothing, drift, reversion and spread are windows over its dates.
     """
-    trend = damped_trend(index.where("level = 'group'"), ["category", "grp"], "t", "idx")
-    last_trend = trend.groupBy("category", "grp").agg(F.max_by("trend", "t").alias("trend"))
-    # a series has as many points as the panel has dates: one array for each holds all that its own forecast needs
-    series = panel.where("price > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", F.log("price").alias("y"), "price"))).alias("p"))
-    series = series.withColumns({"r": F.expr("zip_with(slice(p, 2, greatest(size(p) - 1, 0)), slice(p, 1, greatest(size(p) - 1, 0)), (b, a) -> (b.y - a.y) / (b.t - a.t))"), "x": F.try_element_at("p", F.lit(-1))})
-    series = series.withColumns({"n": F.size("r"), "c": array_median(F.col("r")), "near": F.expr("transform(filter(p, z -> z.t > x.t - 13), z -> z.y)")})
-    smoothed = F.aggregate(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), F.get("r", F.lit(0)), lambda acc, x: ALPHA * x + (1 - ALPHA) * acc)
-    base = series.select(
-        *keys,
-        "n",
-        F.col("x.price").alias("price"),
-        F.col("x.t").alias("last_t"),
-        "r",
-        (1.4826 * array_median(F.transform("r", lambda v: F.abs(v - F.col("c"))))).alias("mad"),
-        F.when(F.col("n") > 0, smoothed * F.col("n") / (F.col("n") + 8.0)).alias("drift"),
-        F.when(F.size("near") >= 2, array_median(F.col("near")) - F.col("x.y")).alias("reversion"),
-    )
-    base = tercile_bucket(base, ["category"], "mad")
-    # residual of each known step against the series' own drift, in units of its spread
-    scaled = F.transform("r", lambda v: (v - drift_weight * F.col("drift")) / F.greatest(F.col("mad"), F.lit(MAD_FLOOR)))
-    resid = base.select("category", "bucket", F.explode(scaled).alias("standardized"))
-    offsets = conformal_offsets(resid, ["category", "bucket"]).withColumnsRenamed({q: f"o_{q}" for q in QUANTILES})
-    base = base.drop("r").join(last_trend, ["category", "grp"], "left")
-    newest = panel.agg(F.max("t").alias("newest"))
-    j = base.join(offsets, ["category", "bucket"], "left").join(F.broadcast(newest))
-    j = j.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("steps", F.col("horizon") / step_days)
-    move = F.coalesce(damped_delta(F.col("trend"), F.col("steps")), F.lit(0.0)) + reversion_weight * F.coalesce("reversion", F.lit(0.0)) + drift_weight * F.coalesce("drift", F.lit(0.0)) * F.col("steps")
-    spread = F.greatest(F.coalesce("mad", F.lit(MAD_FLOOR)), F.lit(MAD_FLOOR)) * F.sqrt("steps")
+    horizons = list(horizons)
+    context = settled(index_context(settled(index), horizons, curve, released))
+    ends = panel.where("price > 0").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    if ends["lo"] is None:
+        return panel.select(*keys, *[F.lit(None).cast(t).alias(n) for n, t in (("horizon", "int"), ("tier", "string"), *((q, "double") for q in QUANTILES))]).where("false")
+    w, whole = Window.partitionBy(*keys).orderBy("t"), Window.partitionBy(*keys)
+    running, near = w.rowsBetween(Window.unboundedPreceding, 0), w.rangeBetween(-(lookback - 1), 0)
+    x = panel.where("price > 0").join(context, ["category", "grp", "t"]).select(*keys, "t", F.log("price").alias("y"), (F.log("price") - F.col("level")).alias("own"), "deltas")
+    x = x.withColumn("r", (F.col("own") - F.lag("own").over(w)) / (F.col("t") - F.lag("t").over(w)))
+    x = x.withColumn("i", F.count("r").over(running))
+    # exponential smoothing as a running sum: level(i) / q^i = level(i - 1) / q^(i - 1) + alpha r(i) / q^i, q = 1 - alpha; fine for some 2,000 dates
+    q = 1 - ALPHA
+    x = x.withColumn("ses", F.pow(F.lit(q), "i") * F.sum(F.when(F.col("i") == 1, F.col("r") / q).otherwise(ALPHA * F.col("r") / F.pow(F.lit(q), "i"))).over(running))
+    x = x.withColumns({"n": F.count("r").over(whole), "last": F.max("t").over(whole), "centre": F.percentile("r", 0.5).over(whole), "near": F.when(F.count("own").over(near) >= 2, F.percentile("own", 0.5).over(near) - F.col("own")).otherwise(0.0)})
+    x = x.withColumn("mad", F.when(F.col("n") >= 2, 1.4826 * F.percentile(F.abs(F.col("r") - F.col("centre")), 0.5).over(whole)))
+    drift = F.when(F.col("i") > 0, F.col("ses") * F.col("i") / (F.col("i") + 8.0)).otherwise(0.0)
+    origins = {h: walk_forward_origins(ends["lo"] + min_origin, ends["hi"], h) for h in horizons}
+
+    def step(k: int, h: int) -> Column:
+        """The middle from here on, by what is known here; and, at an origin, what came of it in units of the spread."""
+        a, c, b = (weights or {}).get(h, (1.0, 0.0, 1.0))
+        middle = F.col("y") + a * F.get("deltas", F.lit(k)) + c * F.col("near") + b * h * drift
+        came = F.max("y").over(w.rangeBetween(h, h))
+        known = F.col("t").isin(origins[h]) if origins[h] else F.lit(False)
+        return F.struct(F.lit(h).alias("horizon"), middle.alias("y"), F.when(known, (came - middle) / F.greatest("mad", F.lit(MAD_FLOOR))).alias("standardized"))
+
+    wanted = sorted({o for own in origins.values() for o in own})
+    x = x.withColumn("steps", F.array(*[step(k, h) for k, h in enumerate(horizons)]))
+    # the only pass over the points: one shuffle by series, all windows on its order; what follows works on a few rows of each series
+    kept = settled(x.where((F.col("t") == F.col("last")) | F.col("t").isin(wanted) if wanted else F.col("t") == F.col("last")).select(*keys, "t", "last", "mad", "n", "steps"))
+    pool_keys = ["category", "bucket", "horizon"]
+    found = kept.where("t = last").select(*keys, "mad", "n", "last", F.col("steps").alias("middles"))
+    labels = tercile_bucket(found.select(*keys, "mad"), ["category"], "mad").select(*keys, "bucket")
+    pooled = join_same(kept.where("mad is not null").select(*keys, F.explode("steps").alias("x")).where("x.standardized is not null"), labels, keys).select("category", "bucket", "x.horizon", "x.standardized")
+    found = tercile_bucket(found, ["category"], "mad")
+    offsets = conformal_offsets(pooled, pool_keys).withColumnsRenamed({q: f"__{q}" for q in QUANTILES})
+    fallback = trimmed_mean_of_large(found, ["category"], "mad", name="__fallback").select("category", F.greatest("__fallback", F.lit(MAD_FLOOR)).alias("__fallback"))
+    out = join_same(found.select(*keys, "bucket", "mad", "n", "last", F.explode("middles").alias("m")).select(*keys, "bucket", "mad", "n", "last", "m.horizon", "m.y"), offsets, pool_keys)
+    out = join_same(out, fallback, ["category"])
+    width = F.when(F.col("mad") >= MAD_FLOOR, F.col("mad")).otherwise(F.coalesce("__fallback", F.lit(MAD_FLOOR)))
     default = {q: (p - 0.5) * 2 for q, p in QUANTILES.items()}
-    tier = confidence_tier(F.col("mad"), F.col("n"), (F.col("newest") - F.col("last_t")) * step_days / 7.0)
-    return j.select(*keys, "horizon", tier.alias("tier"), *[(F.col("price") * F.exp(move + F.coalesce(f"o_{q}", F.lit(default[q])) * spread)).alias(q) for q in QUANTILES])
+    tier = confidence_tier(F.col("mad"), F.col("n"), (F.lit(ends["hi"]) - F.col("last")) * step_days / 7.0)
+    return out.select(*keys, "horizon", tier.alias("tier"), *[F.exp(F.col("y") + F.coalesce(f"__{q}", F.lit(default[q])) * width).alias(q) for q in QUANTILES])
 
 
 def origin_blocks(df: DataFrame, at: str, train: float = 0.6, embargo: int = 1) -> DataFrame:

@@ -11,6 +11,7 @@ from marketloom.operators.windows import step_returns
 from marketloom.plans import bindings as b
 from marketloom.plans.market_queries import INDEX, KEYS, rounded
 from marketloom.plans.registry import query
+from marketloom.sources.io import settled
 
 
 @query("""WITH x AS (SELECT p_partkey AS id, p_retailprice AS price, (p_size - 25) / 500.0 AS slope, 0.001 AS market, (p_partkey % 7 - 3) / 5.0 AS cohort, p_retailprice * (1 + (p_size - 25) / 50.0) AS st FROM part),
@@ -58,8 +59,8 @@ def hedonic_anchor(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def trajectory_forecast(spark: SparkSession, d: str) -> DataFrame:
-    panel = b.week_panel(spark, d)
-    return rounded(forecast.trajectory_forecast(panel, KEYS, index_levels(panel, KEYS)), 4)
+    panel = settled(b.week_panel(spark, d))
+    return rounded(forecast.trajectory_forecast(panel, KEYS, index_levels(panel, KEYS), horizons=(1, 2, 3), step_days=91, weights={2: (0.5, 0.1, 0.25)}), 4)
 
 
 @query(f"WITH {b.CASES}, r AS (SELECT product, origin, current AS price, greatest(abs(ln(q10 / current)), abs(ln(q90 / current))) AS rad FROM cases) SELECT product, CAST(origin AS BIGINT) AS origin, round(price * exp(-rad), 4) + 0.0 AS lo, round(price * exp(rad), 4) + 0.0 AS hi FROM r")

@@ -30,6 +30,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{named}/work-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The frame, written once as Parquet in a work folder and read from there: for what several later parts use."""
+    folder = work_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def write_price_archive(df: DataFrame, path: str) -> None:
     """One JSON document for each (archive_date, category_id, group_id) of rows with product_id, subtype_name and prices: what
     read_price_archive reads."""
