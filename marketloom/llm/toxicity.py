@@ -192,8 +192,10 @@ def judged(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def not_toxic(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents below the threshold, with all their columns."""
+    """The documents below the threshold, with all their columns; all of them where the labels teach nothing."""
     model = train(documents, labels.where(~held_out(F.col("doc_id"))), **options)
+    if not model.weights:
+        return documents
     names = documents.columns
     if len(set(names)) < len(names):
         raise ValueError("documents has two columns of one name")

@@ -6,6 +6,8 @@ URL's tokens fetch the rules filed under them, and only those run their expressi
 (`org/`, `example.org/es/`) fit a host and its subdomains by path prefix, the longest wins and
 overrules patterns. Where neither speaks, the verdict is allow.
 
+Rules may come from a filter list of many thousands of lines (list_rules); the few of PATTERN_RULES are the default.
+
 Null and empty URLs, and URLs without `://`, have empty host and path, fit no host rule and are judged by
 patterns alone. Repeated rows are judged independently.
 """
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import map_arrow, slices, strings
@@ -29,22 +31,42 @@ class PatternRule(NamedTuple):
     verdict: str
 
 
-def label_rule(label: str, verdict: str = "block") -> PatternRule:
-    """A rule on a host label, such as casino-win, or on its head, such as casino-."""
-    return PatternRule(rf"://([^/?#]*\.)?{re.escape(label)}\.", tuple(re.findall("[a-z0-9]+", label)), verdict)
+def word_rule(word: str, verdict: str = "block") -> PatternRule:
+    """A rule on a whole word in a host's labels."""
+    return PatternRule(rf"://([^/?#]*[.-])?{re.escape(word)}[.-]", (word,), verdict)
+
+
+def list_rule(line: str) -> PatternRule | None:
+    """One line of a filter list: `||host^` for a host and its subdomains, `|` for the URL's start or end, `^` for a separator, `*` for
+    anything, `@@` before a rule that allows; comments (!), headers and options ($) are not rules. None if the line is no rule or has
+    no literal token to be filed under.
+
+    A token is needed only where nothing can extend it: both its neighbours in the rule are separators or the rule's anchors.
+    """
+    text = line.strip().lower()
+    if not text or text[0] in "![" or "$" in text or "##" in text:
+        return None
+    verdict, text = ("allow", text[2:]) if text.startswith("@@") else ("block", text)
+    head, text = (r"://([^/?#]*\.)?", text[2:]) if text.startswith("||") else ("^", text[1:]) if text.startswith("|") else ("", text)
+    tail, text = ("$", text[:-1]) if text.endswith("|") else ("", text)
+    parts = {"*": ".*", "^": r"(?:[^a-z0-9_.%-]|$)"}
+    pattern = head + "".join(parts.get(c, re.escape(c)) for c in text) + tail
+    open_ended = ("" if head else "*") + text + ("" if tail else "*")
+    tokens = [m.group() for m in re.finditer("[a-z0-9]+", open_ended) if open_ended[m.start() - 1 : m.start()] != "*" and open_ended[m.end() : m.end() + 1] != "*"]
+    return PatternRule(pattern, tuple(tokens), verdict) if tokens else None
+
+
+def list_rules(spark: SparkSession, path: str, most: int = 200_000) -> tuple[PatternRule, ...]:
+    """The rules of a filter list in a file that Spark can read. Rules are sent to every task, so a list of over `most` lines is refused."""
+    lines = [r["value"] for r in spark.read.text(path).limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValueError(f"more than {most} rules")
+    return tuple(dict.fromkeys(r for r in map(list_rule, lines) if r))
 
 
-#: Kinds of host and path that a corpus leaves out.
+#: Kinds of host and path that a corpus leaves out, where no filter list is given.
 PATTERN_RULES: tuple[PatternRule, ...] = (
-    label_rule("adult-x"),
-    label_rule("casino-win"),
-    label_rule("free-bets"),
-    label_rule("spam-farm"),
-    PatternRule(r"://([^/?#]*[.-])?casino[.-]", ("casino",), "block"),
-    PatternRule(r"://([^/?#]*[.-])?adult[.-]", ("adult",), "block"),
-    PatternRule(r"://([^/?#]*[.-])?bets[.-]", ("bets",), "block"),
-    PatternRule(r"://([^/?#]*[.-])?porn[.-]", ("porn",), "block"),
-    PatternRule(r"://([^/?#]*[.-])?xxx[.-]", ("xxx",), "block"),
+    *(word_rule(w) for w in ("adult", "bets", "casino", "porn", "spam", "xxx")),
     PatternRule(r"://[^?#]*/wp-login\.php", ("wp", "login"), "block"),
     PatternRule(r"://[^?#]*/(cart|checkout)/[^?#]*\?session=", ("session",), "block"),
 )

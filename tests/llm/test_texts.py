@@ -1,6 +1,7 @@
 import base64
 import html
 import math
+import os
 import random
 import re
 import time
@@ -354,3 +355,70 @@ def test_html_of_an_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", f"<article>{PROSE}</article>", "text?", 5), (2, "v", None, None, None)], "page_id long, url string, html string, text string, n_chars int")
     assert {x["page_id"]: x["text"] for x in html_text.extract(df).collect()} == {1: PROSE, 2: ""}
     assert html_text.extract(df.where("false")).count() == 0
+
+
+def test_filter_without_lessons_keeps_all(spark):
+    docs = frame(spark, [(1, "some text"), (2, "other text"), (3, None)])
+    for labels in ([], [(1, 1, 1), (2, 1, 1)], [(1, 1, 0)]):
+        assert toxicity.not_toxic(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 3
+
+
+def ranks():
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
+
+
+def test_vocabulary_has_the_ranks_of_the_rank_file():
+    codec = bpe.codec(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    assert all(codec.bytes_of[rank] == token for token, rank in ranks().items())
+
+
+def test_ids_equal_tiktoken_on_all_documents(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no documents")
+    tokenizer = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(), special_tokens={})
+    docs = spark.read.parquet(path)
+    got = {x["doc_id"]: x["ids"] for x in bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).select("doc_id", "ids").collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    assert all(got[x["doc_id"]] == tokenizer.encode_ordinary(x["text"] or "") for x in rows)
+
+
+def test_offsets_cover_the_text(spark):
+    x = bpe.encode(frame(spark, [(1, "naïve 日本語 🙂 end")]), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, with_offsets=True).first()
+    assert len(x["starts"]) == len(x["ids"]) and x["starts"][0] == 0 and x["ends"][-1] == len("naïve 日本語 🙂 end")
+    assert all(a < b for a, b in zip(x["starts"], x["ends"], strict=True))
+
+
+LIST = ["! comment", "[Adblock]", "||ads.example^", "@@||ads.example/allowed/^", "/banner/*/img^", "|http://plain.", "||track-*.net^", "end.gif|", "&adslot=", "||x.org^$third-party", "##.ad", "*"]
+
+
+def test_lines_of_a_filter_list():
+    rules = {x: url_filter.list_rule(x) for x in LIST}
+    assert [x for x, r in rules.items() if r is None] == ["! comment", "[Adblock]", "||x.org^$third-party", "##.ad", "*"]
+    hit = lambda line, url: bool(re.search(rules[line].pattern, url))
+    assert hit("||ads.example^", "https://www.ads.example/x") and hit("||ads.example^", "http://ads.example") and not hit("||ads.example^", "http://bads.example/") and not hit("||ads.example^", "http://ads.example.org/")
+    assert rules["@@||ads.example/allowed/^"].verdict == "allow"
+    assert hit("/banner/*/img^", "http://a/banner/big/img?x") and not hit("/banner/*/img^", "http://a/banner/imgs")
+    assert hit("end.gif|", "http://a/end.gif") and not hit("end.gif|", "http://a/end.gif?x")
+    # a token that could go on in the URL is not one to be filed under
+    assert rules["||track-*.net^"].tokens == ("track", "net") and rules["&adslot="].tokens == ("adslot",) and rules["end.gif|"].tokens == ("gif",)
+
+
+def test_thousands_of_rules_equal_running_each(spark, tmp_path):
+    r = random.Random(31)
+    words = [f"w{i}x" for i in range(400)]
+    lines = [r.choice(["||{a}.{b}^", "/{a}/{b}/", "@@||{a}.{b}^", "-{a}.js^", "||{a}-*.{b}/", "/{a}/*?{b}="]).format(a=r.choice(words), b=r.choice(words)) for _ in range(3000)]
+    (tmp_path / "list.txt").write_text("\n".join(["! list", *lines]))
+    rules = url_filter.list_rules(spark, str(tmp_path / "list.txt"))
+    assert len(rules) > 2500
+    urls = [(i, f"http{r.choice(['', 's'])}://{r.choice(words)}{r.choice(['.', '-'])}{r.choice(words)}.{r.choice(words)}/{r.choice(words)}/{r.choice(words)}{r.choice(['', '.js', '/?' + r.choice(words) + '=1'])}") for i in range(200)]
+    urls += [(600, None), (601, ""), (602, "http://" + "a" * 10_000 + "/w1x/w2x/")] + urls[:5]
+    out = url_filter.judge(frame(spark, urls, "page_id long, url string"), rules=rules).collect()
+    assert len(out) == len(urls)
+    for x in out:
+        said = {rule.verdict for rule in rules if re.search(rule.pattern, (x["url"] or "").lower())}
+        assert x["pattern_verdict"] == ("block" if "block" in said else "allow" if said else None)
+    assert sum(x["fetched"] for x in out) / len(out) < 60
+    assert url_filter.filter_urls(frame(spark, [], "page_id long, url string"), rules).count() == 0
