@@ -27,12 +27,12 @@ def index_levels(panel: DataFrame, keys: list[str], fraction: float = 0.1) -> Da
     """(level, category, grp, t, step, idx): cumulative market return, a category's excess over it, a group's over its category.
 
     A level has a row for each t at which any price was seen; without returns it carries its value, and a group starts at 0
-    when first seen. The steps are written once, as four aggregates read them. What follows the trimmed means works on dates
-    and groups only, never on series; those small tables are written too, because several levels use them.
+    when first seen. The steps are written once, as four aggregates read them; these share their exchanges. What follows the
+    trimmed means works on dates and groups only, never on series.
     """
     steps = settled(step_returns(panel, keys).select("category", "grp", "t", "r"))
-    market, category, group = (settled(x) for x in level_returns(steps, fraction))
-    seen = settled(steps.groupBy("category", "grp", "t").agg(F.count("*").alias("n")))
+    market, category, group = level_returns(steps, fraction)
+    seen = steps.groupBy("category", "grp", "t").agg(F.count("*").alias("n"))
     # bounded by the dates of the panel
     grid = F.broadcast(seen.select("t").distinct())
     none = F.lit(None).cast("string")
