@@ -115,7 +115,7 @@ def scorecard_gate(
     """summary (n, lift, coverage_80, brier and a column lift_<name> for each required baseline but no_change) with reasons and
     recommendation. lift is over no_change; a baseline without a column, or with a null lift, is missing."""
     own = lambda name: F.col("lift") if name == "no_change" else F.col(f"lift_{name}") if f"lift_{name}" in summary.columns else F.lit(None).cast("double")
-    anyone = lambda tests: F.coalesce(F.greatest(*[t.cast("int") for t in tests], F.lit(0)), F.lit(0)) == 1
+    anyone = lambda tests: F.exists(F.array(F.lit(False), *tests), lambda t: t)
     # fixed values: the codes of reasons, in the order in which they are listed
     rules = {
         "missing_required_baselines": anyone([own(b).isNull() for b in required]),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.scalars import market_identity, natural_key, product_format, product_kind, query_norm, set_family, text_similarity
 from marketloom.operators import evaluate, forecast, lab
 from marketloom.operators.stats import join_same, leave_one_out_quantile, quantile_of_large
+from marketloom.sources.io import settled
 
 
 def series_forecast_lookup(items: DataFrame, packets: DataFrame, value: str) -> DataFrame:
@@ -180,7 +181,8 @@ def retrospective_walk_forward(obs: DataFrame, origins: DataFrame, keys: list[st
     move = F.least(F.lit(0.7), F.greatest(F.lit(-0.7), F.coalesce("slope_90d", F.lit(0.0)) * F.col("horizon") * damping))
     sigma = F.greatest(F.lit(0.05), F.coalesce("volatility_90d", F.lit(0.0)) * F.sqrt("horizon"))
     cases = cells.select("horizon", F.col("current_price").alias("current"), "realized", (F.col("current_price") * F.exp(move)).alias("predicted"), F.col("current_price").alias("baseline"), F.lit(0.5).alias("probability_up"), *[(F.col("current_price") * F.exp(move + z * sigma)).alias(q) for q, z in lab.Z.items()])
-    return evaluate.scorecard_gate(evaluate.evaluate_cases(cases, ["horizon"]), required=("no_change",))
+    # the scores read the cases several times
+    return evaluate.scorecard_gate(evaluate.evaluate_cases(settled(cases), ["horizon"]), required=("no_change",))
 
 
 def after_cost_scorecard(cases: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -224,7 +226,8 @@ def shadow_walk_forward(cells: DataFrame, keys: list[str], models: Sequence[str]
     f = lab.ensemble_forecast(cells, cells, keys, models).select(*keys, "origin", "horizon", *forecast.QUANTILES, "probability_up")
     scored = cells.where("cell = 'scored'").select(*keys, "origin", "horizon", F.col("current_price").alias("current"), "realized")
     cases = f.join(scored, [*keys, "origin", "horizon"]).withColumns({"predicted": F.col("q50"), "baseline": F.col("current")})
-    return evaluate.scorecard_gate(evaluate.evaluate_cases(cases, ["horizon"]), required=("no_change",))
+    # the scores read the cases several times
+    return evaluate.scorecard_gate(evaluate.evaluate_cases(settled(cases), ["horizon"]), required=("no_change",))
 
 
 def private_trend_and_baseline(obs: DataFrame, origins: DataFrame, keys: list[str], horizons: Sequence[int]) -> DataFrame:
