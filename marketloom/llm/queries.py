@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, decontam, exact_dedup, html_text, pii, sharding, simhash, suffix_dedup, toxicity, url_filter
+from marketloom.llm import bpe, conversation, decontam, exact_dedup, html_text, lexical, pii, sharding, simhash, suffix_dedup, token_counts, toxicity, url_filter
 from marketloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +63,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(conversation.damaged(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_simhash, op3_html_text, op4_exact_dedup, op5_toxicity, op6_url_filter, op7_sharding, op8_suffix_dedup, op9_decontamination, op10_bpe)}
+    numbered = (op1_pii, op2_simhash, op3_html_text, op4_exact_dedup, op5_toxicity, op6_url_filter, op7_sharding, op8_suffix_dedup, op9_decontamination)
+    return {f.__name__: f for f in (*numbered, op10_bpe, op11_conversations, op12_lexical, op13_token_counts)}
 
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
@@ -108,5 +124,20 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.do
 """
 
 
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sized AS (SELECT doc_id, row_number() OVER () AS doc, len(w) AS n, w FROM d WHERE len(w) > 0),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words FROM sized),
+i AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS} AS w FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(w) AS term FROM i) GROUP BY item_id, term),
+held AS (SELECT doc_id, doc, n, term, count(*) AS tf FROM (SELECT doc_id, doc, n, unnest(w) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, doc, n, term),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * max(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, corpus GROUP BY term),
+impact AS (SELECT doc_id, doc, held.term, weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_words))) AS v FROM held JOIN weight ON held.term = weight.term, corpus),
+scored AS (SELECT item_id, doc, max(doc_id) AS doc_id, CAST(sum(times * v) AS BIGINT) AS score FROM asked JOIN impact ON asked.term = impact.term GROUP BY item_id, doc)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": op6_sql(), "op9_decontamination": OP9_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": op6_sql(), "op9_decontamination": OP9_SQL, "op12_lexical": OP12_SQL}
