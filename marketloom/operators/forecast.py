@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.scalars import array_median, clamp
 from marketloom.operators.index import cohort_return
 from marketloom.operators.stats import join_same, quantile_of_large, tercile_bucket, trimmed_mean_of_large
+from marketloom.operators.windows import smoothed
 from marketloom.sources.io import settled
 
 CAP = 0.70
@@ -70,12 +71,21 @@ def confidence_tier(mad: Column, n: Column, weeks_stale: Column, least: int = 8,
     return F.when(mad.isNull(), "insufficient-history").when(n < least, "low-history").when(weeks_stale > stale, "low-history").otherwise("standard")
 
 
-def hedonic_anchor(own: Column, hedonic: Column, n: Column, least: int = 8, n0: float = 8.0, most: float = 1.0986122886681098) -> Column:
+#: How far (as a log) the anchor may move from the own price, and how much wider a cold start's band is.
+MOST_SHIFT, COLD_WIDEN = 1.0986122886681098, 1.75
+
+
+def hedonic_anchor(own: Column, hedonic: Column, n: Column, least: int = 8, n0: float = 8.0, most: float = MOST_SHIFT) -> Column:
     """The own log price, moved towards the hedonic one where history is short."""
     shift = clamp((1 - n / (n + n0)) * (hedonic - own), -most, most)
     return F.when((n >= least) | hedonic.isNull(), own).otherwise(own + shift)
 
 
+def anchor_saturated(own: Column, hedonic: Column, n: Column, least: int = 8, n0: float = 8.0, most: float = MOST_SHIFT) -> Column:
+    """Whether hedonic_anchor wanted to move further than it may."""
+    return F.coalesce((n < least) & (F.abs((1 - n / (n + n0)) * (hedonic - own)) > most), F.lit(False))
+
+
 def conformal_offsets(residuals: DataFrame, keys: list[str], value: str = "standardized", least: int = 1) -> DataFrame:
     """(keys, q10..q90, pool): quantiles of standardised residuals; the middle is 0 and each side stays on its side.
 
@@ -87,15 +97,20 @@ def conformal_offsets(residuals: DataFrame, keys: list[str], value: str = "stand
     return found.select(*keys, *[side(q, p).alias(q) for q, p in QUANTILES.items()], "pool")
 
 
-def index_context(index: DataFrame, horizons: Sequence[int], curve: DataFrame | None = None, released: DataFrame | None = None) -> DataFrame:
+def index_context(index: DataFrame, horizons: Sequence[int], curve: DataFrame | None = None, released: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
     """(category, grp, t, level, deltas): for each group and date of index_levels, market + category + group level, and for each horizon (in steps) the
     damped move of all three from there on. A group's own move is blended with its cohort's by n / (n + 12): curve (age, curve) and
-    released (category, grp, released), if given. Rows are groups by dates, never series."""
+    released (category, grp, released), if given. Groups of `more` (category, grp) without a level have a row at the last date, with no move of their own.
+    Rows are groups by dates, never series."""
     levels = index.select(F.col("level").alias("of"), "category", "grp", "t", "idx")
     trend = damped_trend(levels, ["of", "category", "grp"], "t", "idx").select("of", "category", "grp", "t", "trend")
     both = join_same(levels, trend, ["of", "category", "grp", "t"])
     part = lambda level, keys, x: both.where(F.col("of") == level).select(*keys, F.col("idx").alias(f"__i{x}"), F.coalesce("trend", F.lit(0.0)).alias(f"__d{x}"))
-    g = part("group", ["category", "grp", "t"], "g").join(part("category", ["category", "t"], "c"), ["category", "t"]).join(part("market", ["t"], "m"), "t")
+    g = part("group", ["category", "grp", "t"], "g")
+    if more is not None:
+        unseen = more.select("category", "grp").distinct().join(g.select("category", "grp").distinct(), ["category", "grp"], "left_anti")
+        g = g.unionByName(unseen.join(F.broadcast(levels.agg(F.max("t").alias("t")))).withColumns({"__ig": F.lit(0.0), "__dg": F.lit(0.0)}))
+    g = g.join(part("category", ["category", "t"], "c"), ["category", "t"]).join(part("market", ["t"], "m"), "t")
     g = g.withColumn("__n", F.col("t") - F.min("t").over(Window.partitionBy("category", "grp")))
     if curve is not None and released is not None:
         g = g.join(released.select("category", "grp", (F.col("released")).alias("__released")), ["category", "grp"], "left").withColumn("age", F.col("t") - F.col("__released"))
@@ -111,6 +126,10 @@ def index_context(index: DataFrame, horizons: Sequence[int], curve: DataFrame |
     return g.select("category", "grp", "t", (F.col("__im") + F.col("__ic") + F.col("__ig")).alias("level"), F.array(*[delta(k, h) for k, h in enumerate(horizons)]).alias("deltas"))
 
 
+#: What a forecast row carries besides its keys and quantiles.
+PACKET = {"horizon": "int", "tier": "string", "bucket": "string", "n": "bigint", "origin": "int", "price": "double", "anchor": "double", "saturated": "boolean"}
+
+
 def trajectory_forecast(
     panel: DataFrame,
     keys: list[str],
@@ -122,32 +141,38 @@ def trajectory_forecast(
     lookback: int = 13,
     curve: DataFrame | None = None,
     released: DataFrame | None = None,
+    hedonic: DataFrame | None = None,
 ) -> DataFrame:
-    """(keys, horizon, tier, q10..q90) of every series from its last known price; horizons are in steps.
+    """(keys, horizon, tier, bucket, n, origin, price, anchor, saturated, q10..q90) of every series from its last known price; horizons are in steps.
 
     panel: category, grp, product, t, price; index: the result of index_levels. A price less the three index levels is the series' own
-    part: its steps are smoothed and shrunk to a drift, its trailing median less its value is the reversion. The middle is price + a index move + c
+    part: its steps are smoothed and shrunk to a drift, its trailing median less its value is the reversion. The middle is anchor + a index move + c
     reversion + b drift h, with weights (a, c, b) by horizon. Bands are quantiles of residuals of the same rule at up to five earlier
     origins (what it then knew against what came), in units of the series' spread, pooled by category, spread tercile and horizon.
 
+    hedonic: keys and hedonic_log. The anchor of a series with little history is moved towards it (anchor, and saturated where it
+    wanted to move further than it may). Keys that were never priced are cold starts: they stand at the hedonic price on the
+    last date, without drift or reversion, in the widest band of their category (spread times the typical spread of its bucket), widened. A key of a category
+    without index has no row. An empty panel gives none; a null hedonic_log counts as none.
+
     A series is brought together once; smoothing, drift, reversion and spread are windows over its dates.
     """
     horizons = list(horizons)
-    context = settled(index_context(settled(index), horizons, curve, released))
-    ends = panel.where("price > 0").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    if hedonic is not None:
+        hedonic = hedonic.where("hedonic_log is not null").select(*keys, "hedonic_log")
+    context = settled(index_context(settled(index), horizons, curve, released, hedonic))
+    priced = panel.where("price > 0")
+    ends = priced.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
     if ends["lo"] is None:
-        return panel.select(*keys, *[F.lit(None).cast(t).alias(n) for n, t in (("horizon", "int"), ("tier", "string"), *((q, "double") for q in QUANTILES))]).where("false")
+        return panel.select(*keys, *[F.lit(None).cast(t).alias(n) for n, t in (*PACKET.items(), *((q, "double") for q in QUANTILES))]).where("false")
     w, whole = Window.partitionBy(*keys).orderBy("t"), Window.partitionBy(*keys)
-    running, near = w.rowsBetween(Window.unboundedPreceding, 0), w.rangeBetween(-(lookback - 1), 0)
-    x = panel.where("price > 0").join(context, ["category", "grp", "t"]).select(*keys, "t", F.log("price").alias("y"), (F.log("price") - F.col("level")).alias("own"), "deltas")
+    near = w.rangeBetween(-(lookback - 1), 0)
+    x = priced.join(context, ["category", "grp", "t"]).select(*keys, "t", F.log("price").alias("y"), (F.log("price") - F.col("level")).alias("own"), "deltas")
     x = x.withColumn("r", (F.col("own") - F.lag("own").over(w)) / (F.col("t") - F.lag("t").over(w)))
-    x = x.withColumn("i", F.count("r").over(running))
-    # exponential smoothing as a running sum: level(i) / q^i = level(i - 1) / q^(i - 1) + alpha r(i) / q^i, q = 1 - alpha; fine for some 2,000 dates
-    q = 1 - ALPHA
-    x = x.withColumn("ses", F.pow(F.lit(q), "i") * F.sum(F.when(F.col("i") == 1, F.col("r") / q).otherwise(ALPHA * F.col("r") / F.pow(F.lit(q), "i"))).over(running))
+    x = smoothed(x, keys, "t", "r", ALPHA, "ses")
     x = x.withColumns({"n": F.count("r").over(whole), "last": F.max("t").over(whole), "centre": F.percentile("r", 0.5).over(whole), "near": F.when(F.count("own").over(near) >= 2, F.percentile("own", 0.5).over(near) - F.col("own")).otherwise(0.0)})
     x = x.withColumn("mad", F.when(F.col("n") >= 2, 1.4826 * F.percentile(F.abs(F.col("r") - F.col("centre")), 0.5).over(whole)))
-    drift = F.when(F.col("i") > 0, F.col("ses") * F.col("i") / (F.col("i") + 8.0)).otherwise(0.0)
+    drift = F.when(F.col("ses_n") > 0, F.col("ses") * F.col("ses_n") / (F.col("ses_n") + 8.0)).otherwise(0.0)
     origins = {h: walk_forward_origins(ends["lo"] + min_origin, ends["hi"], h) for h in horizons}
 
     def step(k: int, h: int) -> Column:
@@ -161,20 +186,59 @@ def trajectory_forecast(
     wanted = sorted({o for own in origins.values() for o in own})
     x = x.withColumn("steps", F.array(*[step(k, h) for k, h in enumerate(horizons)]))
     # the only pass over the points: one shuffle by series, all windows on its order; what follows works on a few rows of each series
-    kept = settled(x.where((F.col("t") == F.col("last")) | F.col("t").isin(wanted) if wanted else F.col("t") == F.col("last")).select(*keys, "t", "last", "mad", "n", "steps"))
+    kept = settled(x.where((F.col("t") == F.col("last")) | F.col("t").isin(wanted) if wanted else F.col("t") == F.col("last")).select(*keys, "t", "last", "y", "mad", "n", "steps"))
     pool_keys = ["category", "bucket", "horizon"]
-    found = kept.where("t = last").select(*keys, "mad", "n", "last", F.col("steps").alias("middles"))
-    labels = tercile_bucket(found.select(*keys, "mad"), ["category"], "mad").select(*keys, "bucket")
-    pooled = join_same(kept.where("mad is not null").select(*keys, F.explode("steps").alias("x")).where("x.standardized is not null"), labels, keys).select("category", "bucket", "x.horizon", "x.standardized")
-    found = tercile_bucket(found, ["category"], "mad")
-    offsets = conformal_offsets(pooled, pool_keys).withColumnsRenamed({q: f"__{q}" for q in QUANTILES})
+    found = settled(tercile_bucket(kept.where("t = last").select(*keys, "y", "mad", "n", "last", F.col("steps").alias("middles")), ["category"], "mad"))
+    pooled = join_same(kept.where("mad is not null").select(*keys, F.explode("steps").alias("x")).where("x.standardized is not null"), found.select(*keys, "bucket"), keys).select("category", "bucket", "x.horizon", "x.standardized")
+    offsets = conformal_offsets(pooled, pool_keys)
+    if hedonic is not None:
+        offsets = settled(offsets)
     fallback = trimmed_mean_of_large(found, ["category"], "mad", name="__fallback").select("category", F.greatest("__fallback", F.lit(MAD_FLOOR)).alias("__fallback"))
-    out = join_same(found.select(*keys, "bucket", "mad", "n", "last", F.explode("middles").alias("m")).select(*keys, "bucket", "mad", "n", "last", "m.horizon", "m.y"), offsets, pool_keys)
+    out = found.select(*keys, "bucket", "mad", "n", "last", F.col("y").alias("own"), F.explode("middles").alias("m")).select(*keys, "bucket", "mad", "n", "last", "own", "m.horizon", "m.y")
+    out = join_same(out, offsets.withColumnsRenamed({q: f"__{q}" for q in QUANTILES}), pool_keys)
     out = join_same(out, fallback, ["category"])
     width = F.when(F.col("mad") >= MAD_FLOOR, F.col("mad")).otherwise(F.coalesce("__fallback", F.lit(MAD_FLOOR)))
     default = {q: (p - 0.5) * 2 for q, p in QUANTILES.items()}
     tier = confidence_tier(F.col("mad"), F.col("n"), (F.lit(ends["hi"]) - F.col("last")) * step_days / 7.0)
-    return out.select(*keys, "horizon", tier.alias("tier"), *[F.exp(F.col("y") + F.coalesce(f"__{q}", F.lit(default[q])) * width).alias(q) for q in QUANTILES])
+    own = F.col("own")
+    if hedonic is not None:
+        out = join_same(out, hedonic, keys)
+        anchor, saturated = hedonic_anchor(own, F.col("hedonic_log"), F.col("n")), anchor_saturated(own, F.col("hedonic_log"), F.col("n"))
+    else:
+        anchor, saturated = own, F.lit(False)
+    facts = {"horizon": F.col("horizon"), "tier": tier, "bucket": F.col("bucket"), "n": F.col("n"), "origin": F.col("last"), "price": F.exp(own), "anchor": F.exp(anchor), "saturated": saturated}
+    served = out.select(*keys, *[facts[c].cast(t).alias(c) for c, t in PACKET.items()], *[F.exp(F.col("y") + (anchor - own) + F.coalesce(f"__{q}", F.lit(default[q])) * width).alias(q) for q in QUANTILES])
+    if hedonic is None:
+        return served
+    cold = hedonic.join(found.select(*keys), keys, "left_anti")
+    return served.unionByName(_cold_starts(cold, keys, horizons, weights or {}, context.where(F.col("t") == ends["hi"]), found, offsets, fallback, ends["hi"]))
+
+
+def _cold_starts(cold: DataFrame, keys: list[str], horizons: list[int], weights: dict[int, tuple[float, float, float]], context: DataFrame, found: DataFrame, offsets: DataFrame, fallback: DataFrame, last: int) -> DataFrame:
+    """Rows of keys that were never priced: the hedonic price moved with the index, in the widest band of the category."""
+    typical = quantile_of_large(found, ["category", "bucket"], "mad", {"__typical": 0.5}).withColumn("__typical", F.greatest("__typical", F.lit(MAD_FLOOR)))
+    spread = F.greatest(*QUANTILES) - F.least(*QUANTILES)
+    pools = join_same(join_same(offsets, typical, ["category", "bucket"]), fallback, ["category"]).withColumn("__scale", F.coalesce("__typical", "__fallback", F.lit(MAD_FLOOR)))
+    widest = pools.groupBy("category", "horizon").agg(F.max_by(F.struct(*[F.col(q).alias(f"__{q}") for q in QUANTILES], "__scale"), F.struct(spread * F.col("__scale"), "bucket")).alias("__w"))
+    moves = F.explode(F.arrays_zip(F.array(*[F.lit(h) for h in horizons]).alias("h"), F.col("deltas").alias("d")))
+    rows = cold.join(context.select("category", "grp", "deltas"), ["category", "grp"]).select(*keys, "hedonic_log", moves.alias("m")).select(*keys, "hedonic_log", F.col("m.h").alias("horizon"), F.col("m.d").alias("move"))
+    rows = join_same(join_same(rows, widest, ["category", "horizon"]), fallback, ["category"])
+    a = F.lit(1.0)
+    for h, (share, _, _) in weights.items():
+        a = F.when(F.col("horizon") == h, share).otherwise(a)
+    scale = F.coalesce("__w.__scale", "__fallback", F.lit(MAD_FLOOR)) * COLD_WIDEN
+    facts = {"horizon": F.col("horizon"), "tier": F.lit("cold-start"), "bucket": F.lit("unknown"), "n": F.lit(0), "origin": F.lit(last), "price": F.lit(None), "anchor": F.exp("hedonic_log"), "saturated": F.lit(False)}
+    band = {q: F.coalesce(f"__w.__{q}", F.lit((p - 0.5) * 2)) for q, p in QUANTILES.items()}
+    return rows.select(*keys, *[facts[c].cast(t).alias(c) for c, t in PACKET.items()], *[F.exp(F.col("hedonic_log") + a * F.col("move") + band[q] * scale).alias(q) for q in QUANTILES])
+
+
+def forecast_packets(forecasts: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each series of trajectory_forecast: its facts, `horizons` (horizon, q10..q90, in order) and `path`, which has the anchor at the
+    origin and the middle at each horizon and nothing in between."""
+    by_series = [c for c in PACKET if c != "horizon"]
+    g = forecasts.groupBy(*keys, *by_series).agg(F.array_sort(F.collect_list(F.struct("horizon", *QUANTILES))).alias("horizons"))
+    first = F.array(F.struct(F.col("origin").alias("t"), F.col("anchor").alias("price")))
+    return g.withColumn("path", F.concat(first, F.transform("horizons", lambda x: F.struct((F.col("origin") + x["horizon"]).alias("t"), x["q50"].alias("price")))))
 
 
 def origin_blocks(df: DataFrame, at: str, train: float = 0.6, embargo: int = 1) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,26 @@ def cumulative(df: DataFrame, keys: list[str], t: str, value: str, name: str) ->
     return df.withColumn(name, F.sum(F.coalesce(value, F.lit(0.0))).over(w))
 
 
+def smoothed(df: DataFrame, keys: list[str], t: str, value: str, alpha: float, name: str = "smoothed") -> DataFrame:
+    """df with the exponential smoothing of each series' values that are not null, from the first one on, and `<name>_n`, how many they are so far.
+
+    A series is cut into runs whose weights span eight powers of ten. A run is a pair (decay, level) and pairs compose: the level here is
+    the run's own part plus decay times the level before the run, which the three runs before give to 24 powers of ten.
+    So it holds for any length, in windows over the series' rows.
+    """
+    q, n = 1.0 - alpha, f"{name}_n"
+    run = max(1, math.floor(8 * math.log(10) / -math.log(q)))
+    series = Window.partitionBy(*keys)
+    x = df.withColumn(n, F.count(value).over(series.orderBy(t).rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("__run", F.floor((F.col(n) - 1) / run)).withColumn("__p", F.col(n) - 1 - F.col("__run") * run)
+    weight = F.when(F.col(n) == 1, 1.0).otherwise(alpha) * F.pow(F.lit(1 / q), "__p")
+    inside = Window.partitionBy(*keys, "__run").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("__own", F.pow(F.lit(q), "__p") * F.sum(weight * F.col(value)).over(inside))
+    end = F.when(F.col("__p") == run - 1, F.col("__own"))
+    before = [F.coalesce(F.max(end).over(series.orderBy("__run").rangeBetween(-k, -k)), F.lit(0.0)) * q ** (run * (k - 1)) for k in (1, 2, 3)]
+    return x.withColumn(name, F.col("__own") + F.pow(F.lit(q), F.col("__p") + 1) * (before[0] + before[1] + before[2])).drop("__run", "__p", "__own")
+
+
 def level_reversion(df: DataFrame, keys: list[str], t: str, value: str, k: int = 13, least: int = 2) -> DataFrame:
     """df with reversion: median of the trailing k steps minus the present value."""
     w = Window.partitionBy(*keys).orderBy(t).rangeBetween(-(k - 1), 0)

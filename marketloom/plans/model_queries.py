@@ -57,10 +57,80 @@ def hedonic_anchor(spark: SparkSession, d: str) -> DataFrame:
     return rounded(b.table(spark, d, "part").select(k.alias("id"), tier.alias("tier"), forecast.hedonic_anchor(F.log("p_retailprice"), F.lit(5.0), n).alias("anchor")))
 
 
-@query()
+#: The panel without series of part sizes above 47, and only early prices of sizes under 5: cold starts and short histories.
+_THINNED = INDEX.replace(b.PANEL, b.PANEL.replace("panel AS (", "whole AS (") + ", panel AS (SELECT whole.* FROM whole JOIN part ON product = p_partkey WHERE price > 0 AND p_size <= 47 AND (p_size >= 5 OR t <= -6))")
+_HORIZONS, _WEIGHTS = (1, 2, 3), {2: (0.5, 0.1, 0.25)}
+_BY_HORIZON = lambda i: f"CASE h.h {' '.join(f'WHEN {h} THEN {w[i]}' for h, w in _WEIGHTS.items())} ELSE {(1.0, 0.0, 1.0)[i]} END"
+_QS = list(forecast.QUANTILES)
+
+_TRAJECTORY = f"""WITH RECURSIVE {_THINNED}, ends AS (SELECT min(t) AS lo, max(t) AS hi FROM panel),
+hed AS (SELECT p_type AS category, p_brand AS grp, p_partkey AS product, ln(p_retailprice * (0.2 + p_size / 20.0)) AS hl FROM part),
+s AS (SELECT coalesce(category, '') AS ca, coalesce(grp, '') AS gr, level AS lv, t, idx AS y, row_number() OVER (PARTITION BY level, category, grp ORDER BY t) AS i FROM idx),
+dt AS (SELECT a.lv, a.ca, a.gr, a.i, a.t, a.y AS level, z.y - a.y AS trend FROM s a JOIN s z ON a.lv = z.lv AND a.ca = z.ca AND a.gr = z.gr AND a.i = 1 AND z.i = 2
+  UNION ALL SELECT s.lv, s.ca, s.gr, s.i, s.t, 0.3 * s.y + 0.7 * (dt.level + 0.85 * dt.trend), 0.1 * (0.3 * s.y + 0.7 * (dt.level + 0.85 * dt.trend) - dt.level) + 0.9 * 0.85 * dt.trend FROM dt JOIN s ON s.lv = dt.lv AND s.ca = dt.ca AND s.gr = dt.gr AND s.i = dt.i + 1),
+tr AS (SELECT s.lv, s.ca, s.gr, s.t, s.y, coalesce(dt.trend, 0) AS trend FROM s LEFT JOIN dt ON s.lv = dt.lv AND s.ca = dt.ca AND s.gr = dt.gr AND s.t = dt.t),
+gs AS (SELECT ca, gr, t, y, trend, t - min(t) OVER (PARTITION BY ca, gr) AS n FROM tr WHERE lv = 'group'
+  UNION ALL SELECT u.category, u.grp, hi, 0, 0, 0 FROM (SELECT DISTINCT category, grp FROM hed) u CROSS JOIN ends WHERE NOT EXISTS (SELECT 1 FROM tr WHERE lv = 'group' AND ca = u.category AND gr = u.grp)),
+ctx AS (SELECT g.ca AS category, g.gr AS grp, g.t, g.y + c.y + m.y AS level, g.trend AS dg, c.trend AS dc, m.trend AS dm, g.n / (g.n + 12.0) AS share FROM gs g JOIN tr c ON c.lv = 'category' AND c.ca = g.ca AND c.t = g.t JOIN tr m ON m.lv = 'market' AND m.t = g.t),
+h AS (SELECT unnest({list(_HORIZONS)}) AS h),
+mv AS (SELECT category, grp, t, h, (dm + dc + share * dg) * 0.85 * (1 - pow(0.85, h)) / 0.15 AS move FROM ctx CROSS JOIN h),
+pt AS (SELECT panel.category, panel.grp, product, panel.t, ln(price) AS y, ln(price) - level AS own FROM panel JOIN ctx ON panel.category = ctx.category AND panel.grp = ctx.grp AND panel.t = ctx.t),
+rr AS (SELECT *, (own - lag(own) OVER w) / (t - lag(t) OVER w) AS r, CASE WHEN count(own) OVER z >= 2 THEN quantile_cont(own, 0.5) OVER z - own ELSE 0 END AS near FROM pt
+  WINDOW w AS (PARTITION BY category, grp, product ORDER BY t), z AS (PARTITION BY category, grp, product ORDER BY t RANGE BETWEEN 12 PRECEDING AND CURRENT ROW)),
+ri AS (SELECT *, count(r) OVER (PARTITION BY category, grp, product ORDER BY t) AS i, count(r) OVER (PARTITION BY category, grp, product) AS n, max(t) OVER (PARTITION BY category, grp, product) AS last FROM rr),
+sm AS (SELECT category, grp, product, i, r AS l FROM ri WHERE i = 1 AND r IS NOT NULL UNION ALL SELECT ri.category, ri.grp, ri.product, ri.i, 0.3 * ri.r + 0.7 * sm.l FROM sm JOIN ri ON ri.product = sm.product AND ri.grp = sm.grp AND ri.category = sm.category AND ri.i = sm.i + 1),
+md AS (SELECT category, grp, product, 1.4826 * quantile_cont(abs(r - c), 0.5) AS mad FROM (SELECT category, grp, product, r, n, quantile_cont(r, 0.5) OVER (PARTITION BY category, grp, product) AS c FROM ri WHERE r IS NOT NULL) WHERE n >= 2 GROUP BY 1, 2, 3),
+pf AS (SELECT ri.*, mad, coalesce(l * ri.i / (ri.i + 8.0), 0) AS drift FROM ri LEFT JOIN sm ON sm.product = ri.product AND sm.grp = ri.grp AND sm.category = ri.category AND sm.i = ri.i LEFT JOIN md ON md.product = ri.product AND md.grp = ri.grp AND md.category = ri.category),
+mid AS (SELECT pf.*, h.h, pf.y + {_BY_HORIZON(0)} * move + {_BY_HORIZON(1)} * near + {_BY_HORIZON(2)} * h.h * drift AS mid FROM pf CROSS JOIN h JOIN mv ON mv.category = pf.category AND mv.grp = pf.grp AND mv.t = pf.t AND mv.h = h.h),
+og AS (SELECT DISTINCT h, first + CASE WHEN x - floor(x) = 0.5 THEN 2 * round(x / 2) ELSE round(x) END AS t FROM (SELECT h, first, k * (fin - first) / greatest(1, least(5, fin - first + 1) - 1.0) AS x, least(5, fin - first + 1) AS m, k FROM (SELECT h, lo + 15 AS first, hi - h AS fin FROM ends CROSS JOIN h) CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS k)) WHERE k < m),
+cuts AS (SELECT category, quantile_cont(mad, 1.0 / 3) AS q33, quantile_cont(mad, 2.0 / 3) AS q67 FROM md GROUP BY 1),
+bk AS (SELECT DISTINCT pf.category, pf.grp, pf.product, mad, CASE WHEN mad IS NULL THEN 'unknown' WHEN mad <= q33 THEN 'low' WHEN mad <= q67 THEN 'mid' ELSE 'high' END AS bucket FROM pf LEFT JOIN cuts ON cuts.category = pf.category),
+po AS (SELECT mid.category, bucket, mid.h, (z.y - mid.mid) / greatest(mid.mad, 0.0001) AS e FROM mid JOIN og ON og.h = mid.h AND og.t = mid.t JOIN pt z ON z.category = mid.category AND z.grp = mid.grp AND z.product = mid.product AND z.t = mid.t + mid.h JOIN bk ON bk.category = mid.category AND bk.grp = mid.grp AND bk.product = mid.product WHERE mid.mad IS NOT NULL),
+ofs AS (SELECT category, bucket, h, least(0, quantile_cont(e, 0.1)) AS q10, least(0, quantile_cont(e, 0.25)) AS q25, 0.0 AS q50, greatest(0, quantile_cont(e, 0.75)) AS q75, greatest(0, quantile_cont(e, 0.9)) AS q90 FROM po GROUP BY 1, 2, 3),
+fb AS (SELECT category, greatest(0.0001, avg(mad) FILTER (WHERE i > floor(n * 0.1) AND i <= n - floor(n * 0.1))) AS fb FROM (SELECT category, mad, row_number() OVER (PARTITION BY category ORDER BY mad) AS i, count(*) OVER (PARTITION BY category) AS n FROM md) GROUP BY 1),
+ty AS (SELECT category, bucket, greatest(0.0001, quantile_cont(mad, 0.5)) AS ty FROM bk WHERE mad IS NOT NULL GROUP BY 1, 2),
+wd AS (SELECT * FROM (SELECT ofs.*, coalesce(ty, fb) AS scale, row_number() OVER (PARTITION BY ofs.category, ofs.h ORDER BY (q90 - q10) * coalesce(ty, fb) DESC, ofs.bucket DESC) AS k FROM ofs LEFT JOIN ty ON ty.category = ofs.category AND ty.bucket = ofs.bucket LEFT JOIN fb ON fb.category = ofs.category) WHERE k = 1),
+an AS (SELECT mid.*, bucket, hl, CASE WHEN n >= 8 OR hl IS NULL THEN mid.y ELSE mid.y + greatest(-ln(3), least(ln(3), (1 - n / (n + 8.0)) * (hl - mid.y))) END AS anchor, coalesce(n < 8 AND abs((1 - n / (n + 8.0)) * (hl - mid.y)) > ln(3), false) AS saturated
+  FROM mid JOIN bk ON bk.category = mid.category AND bk.grp = mid.grp AND bk.product = mid.product LEFT JOIN hed ON hed.product = mid.product WHERE mid.t = mid.last),
+served AS (SELECT an.product, an.h AS horizon, CASE WHEN an.mad IS NULL THEN 'insufficient-history' WHEN n < 8 OR (hi - last) * 91 / 7.0 > 8 THEN 'low-history' ELSE 'standard' END AS tier, an.bucket, an.n, last AS origin, exp(an.y) AS price, exp(anchor) AS anchor, saturated,
+  {", ".join(f"exp(mid + anchor - an.y + coalesce(ofs.{q}, {(p - 0.5) * 2}) * CASE WHEN an.mad >= 0.0001 THEN an.mad ELSE coalesce(fb, 0.0001) END) AS {q}" for q, p in forecast.QUANTILES.items())}
+  FROM an CROSS JOIN ends LEFT JOIN ofs ON ofs.category = an.category AND ofs.bucket = an.bucket AND ofs.h = an.h LEFT JOIN fb ON fb.category = an.category
+  UNION ALL SELECT hed.product, mv.h, 'cold-start', 'unknown', 0, hi, NULL, exp(hl), false, {", ".join(f"exp(hl + {_BY_HORIZON(0).replace('h.h', 'mv.h')} * move + coalesce(wd.{q}, {(p - 0.5) * 2}) * coalesce(wd.scale, fb, 0.0001) * 1.75)" for q, p in forecast.QUANTILES.items())}
+  FROM hed CROSS JOIN ends JOIN mv ON mv.category = hed.category AND mv.grp = hed.grp AND mv.t = hi LEFT JOIN wd ON wd.category = hed.category AND wd.h = mv.h LEFT JOIN fb ON fb.category = hed.category WHERE NOT EXISTS (SELECT 1 FROM pt WHERE pt.product = hed.product))"""
+
+
+def _trajectory(spark: SparkSession, d: str) -> DataFrame:
+    part = b.table(spark, d, "part")
+    size = F.col("p_size")
+    thin = b.week_panel(spark, d).join(part.select(F.col("p_partkey").alias("product"), "p_size"), "product").where("p_size <= 47 and (p_size >= 5 or t <= -6)")
+    panel = settled(thin.select("category", "grp", "product", "t", "price"))
+    hedonic = part.select(F.col("p_type").alias("category"), F.col("p_brand").alias("grp"), F.col("p_partkey").alias("product"), F.log(F.col("p_retailprice") * (0.2 + size / 20.0)).alias("hedonic_log"))
+    return forecast.trajectory_forecast(panel, KEYS, index_levels(panel, KEYS), horizons=_HORIZONS, step_days=91, weights=_WEIGHTS, hedonic=hedonic)
+
+
+@query(f"{_TRAJECTORY} SELECT product, horizon, tier, bucket, n, CAST(origin AS BIGINT) AS origin, round(price, 7) + 0.0 AS price, round(anchor, 7) + 0.0 AS anchor, saturated, {', '.join(f'round({q}, 4) + 0.0 AS {q}' for q in _QS)} FROM served")
 def trajectory_forecast(spark: SparkSession, d: str) -> DataFrame:
-    panel = settled(b.week_panel(spark, d))
-    return rounded(forecast.trajectory_forecast(panel, KEYS, index_levels(panel, KEYS), horizons=(1, 2, 3), step_days=91, weights={2: (0.5, 0.1, 0.25)}), 4)
+    f = _trajectory(spark, d).drop("category", "grp")
+    return rounded(f.withColumns({q: F.round(q, 4) + 0.0 for q in _QS}), 7)
+
+
+@query(f"""{_TRAJECTORY} SELECT product, tier, CAST(min(origin) AS BIGINT) AS origin, count(*) AS horizons, CAST(max(origin + horizon) AS BIGINT) AS path_end, round(max(anchor), 7) + 0.0 AS path_start_price, round(arg_max(q50, horizon), 4) + 0.0 AS path_end_price, round(arg_max(q90 - q10, horizon), 3) + 0.0 AS last_width FROM served GROUP BY 1, 2""")
+def forecast_packets(spark: SparkSession, d: str) -> DataFrame:
+    packets = forecast.forecast_packets(_trajectory(spark, d), KEYS)
+    start, end, band = F.get("path", F.lit(0)), F.try_element_at("path", F.lit(-1)), F.try_element_at("horizons", F.lit(-1))
+    return rounded(
+        packets.select(
+            "product",
+            "tier",
+            start["t"].alias("origin"),
+            F.size("horizons").alias("horizons"),
+            end["t"].alias("path_end"),
+            start["price"].alias("path_start_price"),
+            F.round(end["price"], 4).alias("path_end_price"),
+            F.round(band["q90"] - band["q10"], 3).alias("last_width"),
+        ),
+        7,
+    )
 
 
 @query(f"WITH {b.CASES}, r AS (SELECT product, origin, current AS price, greatest(abs(ln(q10 / current)), abs(ln(q90 / current))) AS rad FROM cases) SELECT product, CAST(origin AS BIGINT) AS origin, round(price * exp(-rad), 4) + 0.0 AS lo, round(price * exp(rad), 4) + 0.0 AS hi FROM r")

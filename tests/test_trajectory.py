@@ -5,7 +5,7 @@ import statistics
 import numpy as np
 import pytest
 
-from marketloom.operators import forecast
+from marketloom.operators import forecast, windows
 from marketloom.operators.index import index_levels
 
 PANEL = "category string, grp string, product long, t int, price double"
@@ -117,6 +117,59 @@ def test_equals_definition(spark, weights):
     assert {x["tier"] for x in got if x["product"] == 900} == {"insufficient-history"}
 
 
+@pytest.mark.parametrize("alpha", [0.3, 0.9, 0.02])
+def test_smoothing_equals_the_fold_at_any_length(spark, alpha):
+    r = random.Random(7)
+    rows, want = [], {}
+    for s, n in enumerate([1, 10, 51, 52, 1_990, 5_000, 20_000]):
+        level, known = None, 0
+        for t in range(n):
+            v = None if t % 11 == 3 or (s == 1 and t == 0) else r.gauss(0, 1)
+            rows.append((s, t, v))
+            if v is not None:
+                known += 1
+                level = v if level is None else alpha * v + (1 - alpha) * level
+            want[s, t] = (level, known)
+    got = windows.smoothed(spark.createDataFrame(rows, "s long, t int, v double"), ["s"], "t", "v", alpha).collect()
+    for x in got:
+        level, known = want[x["s"], x["t"]]
+        assert x["smoothed_n"] == known
+        if x["v"] is not None:
+            assert x["smoothed"] == pytest.approx(level, rel=1e-9, abs=1e-9)
+
+
+def test_long_series_have_finite_bands(spark):
+    """2,200 dates, which a running sum of r / 0.7^i does not survive."""
+    rows = panel_rows(6, 2_200, 9, missing=0.02)
+    got = forecast.trajectory_forecast(spark.createDataFrame(rows, PANEL), KEYS, index_levels(spark.createDataFrame(rows, PANEL), KEYS), (4,)).collect()
+    assert len(got) == 6 and all(0 < x["q10"] <= x["q25"] <= x["q50"] <= x["q75"] <= x["q90"] < math.inf for x in got)
+    assert {x["tier"] for x in got} == {"standard"}
+
+
+def test_anchor_cold_starts_and_packets(spark):
+    rows = panel_rows(24, 24, 5) + [("c0", "g0", 900, t, 7.0 + t % 2) for t in range(19, 24)]
+    panel = spark.createDataFrame(rows, PANEL)
+    index = index_levels(panel, KEYS)
+    hedonic = [("c0", "g0", 900, math.log(70.0)), ("c0", "g0", 901, math.log(9.0)), ("c0", "new", 902, math.log(3.0)), ("c9", "g0", 903, 1.0), ("c0", "g0", 0, 9.0), ("c0", "g0", 904, None)]
+    plain = {(x["product"], x["horizon"]): x for x in forecast.trajectory_forecast(panel, KEYS, index, (2, 4)).collect()}
+    rows = forecast.trajectory_forecast(panel, KEYS, index, (2, 4), hedonic=spark.createDataFrame(hedonic, "category string, grp string, product long, hedonic_log double"))
+    got = {(x["product"], x["horizon"]): x for x in rows.collect()}
+    assert set(got) == set(plain) | {(p, h) for p in (901, 902) for h in (2, 4)}
+    n = got[900, 2]["n"]
+    assert n == 4 and got[900, 2]["price"] == pytest.approx(8.0) and got[900, 2]["saturated"]
+    assert got[900, 2]["anchor"] == pytest.approx(24.0) and got[900, 2]["q50"] == pytest.approx(3 * plain[900, 2]["q50"])  # held at three times the own price
+    assert got[0, 2] == plain[0, 2] and not plain[0, 2]["saturated"]  # enough history: the hedonic price has no say
+    for p, price in ((901, 9.0), (902, 3.0)):
+        cold = got[p, 4]
+        assert cold["tier"] == "cold-start" and cold["price"] is None and cold["anchor"] == pytest.approx(price) and cold["origin"] == 23 and cold["n"] == 0
+        widest = max((x for k, x in plain.items() if k[1] == 4 and x["category"] == "c0"), key=lambda x: math.log(x["q90"] / x["q10"]))
+        assert math.log(cold["q90"] / cold["q10"]) > 0 and cold["q10"] < cold["q50"] < cold["q90"] and widest["bucket"] in ("mid", "high")
+    packets = {x["product"]: x for x in forecast.forecast_packets(rows, KEYS).collect()}
+    assert len(packets) * 2 == len(got)
+    assert [(x["t"], round(x["price"], 6)) for x in packets[901]["path"]] == [(23, 9.0), (25, round(got[901, 2]["q50"], 6)), (27, round(got[901, 4]["q50"], 6))]
+    assert [x["horizon"] for x in packets[900]["horizons"]] == [2, 4]
+
+
 def test_bands_cover_held_out_steps(spark):
     rows = panel_rows(600, 44, 8, missing=0.0, common=0.004)  # one date: a move of all series would be one draw, not 600
     panel = spark.createDataFrame([x for x in rows if x[3] < 40], PANEL)
