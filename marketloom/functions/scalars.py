@@ -119,13 +119,13 @@ def shard_of(key: Column, shards: int) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int")
 
 
-def fold_of(key: Column, folds: int) -> Column:
+def fold_of(key: Column, folds: int | Column) -> Column:
     """All 256 bits of SHA-256, modulo folds, digit by digit."""
     digits = F.split(F.sha2(key.cast("string"), 256), "")
     return F.aggregate(
         F.filter(digits, lambda d: d != ""),
         F.lit(0).cast("long"),
-        lambda acc, d: F.pmod(acc * 16 + F.conv(d, 16, 10).cast("long"), F.lit(folds).cast("long")),
+        lambda acc, d: F.pmod(acc * 16 + F.conv(d, 16, 10).cast("long"), (F.lit(folds) if isinstance(folds, int) else folds).cast("long")),
     ).cast("int")
 
 

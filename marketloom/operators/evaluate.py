@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.operators.stats import join_same, quantile_of_large
+from marketloom.operators.stats import join_same, quantile_of_large, quantiles_of_large
 
 LEVELS = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
 
@@ -43,9 +43,8 @@ def evaluate_cases(cases: DataFrame, by: Sequence[str]) -> DataFrame:
         F.avg(F.col("q75") - F.col("q25")).alias("width_50"),
         F.avg(F.col("q90") - F.col("q10")).alias("width_80"),
     )
-    for name, error in (("median_ape", F.abs(p - r) / r), ("median_error", F.abs(p - r))):
-        scores = join_same(scores, quantile_of_large(cases, by, error, {name: 0.5}), by)
-    return scores
+    medians = quantiles_of_large(cases, by, {"median_ape": (F.abs(p - r) / r, 0.5), "median_error": (F.abs(p - r), 0.5)})
+    return join_same(scores, medians, by)
 
 
 def calibration_error(cases: DataFrame, by: Sequence[str], p: str, y: Column, bins: int = 10) -> DataFrame:
@@ -66,25 +65,28 @@ def strongest_challenger(lifts: DataFrame) -> DataFrame:
     return lifts.agg(F.min_by("name", F.struct("lift", "name")).alias("name"), F.min("lift").alias("lift"))
 
 
-def cluster_bootstrap(cases: DataFrame, names: Sequence[str], cluster: str, seed: str, samples: int = 200, level: float = 0.95) -> DataFrame:
-    """(name, clusters, lower): lower bound of each lift over samples of whole clusters.
+def cluster_bootstrap(cases: DataFrame, names: Sequence[str], cluster: str, seed: str, samples: int = 200, level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
+    """(by, name, clusters, lower): lower bound of each lift over samples of whole clusters.
 
-    The draw of (sample, place) is a hash of seed, name, sample and place, so any engine draws the same. Clusters are summed
-    first; the samples work on those sums, not on cases.
+    The draw of (sample, place) is a hash of seed, the values of `by`, name, sample and place, so any engine draws the same. Clusters are summed
+    first; the samples work on those sums, not on cases. A case without a price for a name counts for the others only.
     """
-    long = cases.select(cluster, F.abs(F.log(F.col("predicted") / F.col("realized"))).alias("e"), F.col("realized"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("price")) for n in names])).alias("b"))
-    sums = long.groupBy("b.name", cluster).agg(F.sum("e").alias("e"), F.sum(F.abs(F.log(F.col("b.price") / F.col("realized")))).alias("be"))
-    w = Window.partitionBy("name")
-    numbered = sums.select("name", "e", "be", F.row_number().over(w.orderBy(cluster)).alias("i"), F.count("*").over(w).alias("n"))
+    by = list(by)
+    long = cases.select(*by, cluster, F.abs(F.log(F.col("predicted") / F.col("realized"))).alias("e"), F.col("realized"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("price")) for n in names])).alias("b"))
+    sums = long.where("b.price is not null").groupBy(*by, "b.name", cluster).agg(F.sum("e").alias("e"), F.sum(F.abs(F.log(F.col("b.price") / F.col("realized")))).alias("be"))
+    group = [*by, "name"]
+    w = Window.partitionBy(*group)
+    numbered = sums.select(*group, "e", "be", F.row_number().over(w.orderBy(cluster)).alias("i"), F.count("*").over(w).alias("n"))
     draws = (
-        numbered.select("name", "n").distinct()
+        numbered.select(*group, "n").distinct()
         .withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(samples))))
         .withColumn("d", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     )
-    hashed = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "name", F.col("s").cast("string"), F.col("d").cast("string")), 256), 1, 8), 16, 10).cast("long")
-    chosen = draws.select("name", "s", "n", (1 + F.pmod(hashed, F.col("n"))).cast("int").alias("i"))
-    lifts = chosen.join(numbered.select("name", "i", "e", "be"), ["name", "i"]).groupBy("name", "s", "n").agg(F.when(F.sum("be") > 0, 1 - F.sum("e") / F.sum("be")).alias("lift"))
-    return lifts.groupBy("name").agg(F.first("n").alias("clusters"), F.percentile("lift", (1 - level) / 2).alias("lower"))
+    key = F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in by], "name", F.col("s").cast("string"), F.col("d").cast("string"))
+    hashed = F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long")
+    chosen = draws.select(*group, "s", "n", (1 + F.pmod(hashed, F.col("n"))).cast("int").alias("i"))
+    lifts = chosen.join(numbered.select(*group, "i", "e", "be"), [*group, "i"]).groupBy(*group, "s", "n").agg(F.when(F.sum("be") > 0, 1 - F.sum("e") / F.sum("be")).alias("lift"))
+    return lifts.groupBy(*group).agg(F.first("n").alias("clusters"), F.percentile("lift", (1 - level) / 2).alias("lower"))
 
 
 def two_way_bootstrap(cells: DataFrame, seed: str, samples: int = 400, level: float = 0.90) -> DataFrame:

@@ -126,8 +126,8 @@ def ensemble_forecast(features: DataFrame, cells: DataFrame, keys: list[str], mo
     return out.withColumn("status", status)
 
 
-def watch_candidates(forecasts: DataFrame, costs: DataFrame, keys: list[str], least_probability: float = 0.70) -> DataFrame:
-    """forecasts with all-in cost, net returns and gates. costs: keys, price, tax, shipping, fee_rate, exit_fixed."""
+def watch_candidates(forecasts: DataFrame, costs: DataFrame, keys: list[str], least_probability: float = 0.70, extra: Sequence[str] = ()) -> DataFrame:
+    """forecasts with all-in cost, net returns and gates, and their columns `extra`. costs: keys, price, tax, shipping, fee_rate, exit_fixed."""
     j = forecasts.join(costs, keys)
     all_in = F.col("price") * (1 + F.col("tax")) + F.col("shipping")
     net = lambda q: (F.col(q) * (1 - F.col("fee_rate")) - F.col("exit_fixed")) / all_in - 1
@@ -135,7 +135,7 @@ def watch_candidates(forecasts: DataFrame, costs: DataFrame, keys: list[str], le
     sigma = F.log(F.col("q90") / F.col("q10")) / (2 * Z["q90"])
     positive = 1 - normal_cdf((F.log(even) - F.log("q50")) / sigma)
     reasons = F.array_compact(F.array(F.when(net("q25") <= 0, "conservative_net_return_not_positive"), F.when(positive < least_probability, "net_probability_below_threshold")))
-    out = j.select(*keys, all_in.alias("all_in"), even.alias("break_even"), net("q25").alias("conservative_roi"), net("q50").alias("median_roi"), positive.alias("probability_net_positive"), reasons.alias("reasons"))
+    out = j.select(*keys, *extra, all_in.alias("all_in"), even.alias("break_even"), net("q25").alias("conservative_roi"), net("q50").alias("median_roi"), positive.alias("probability_net_positive"), reasons.alias("reasons"))
     return out.withColumn("status", F.when(F.size("reasons") == 0, "watch_candidate").otherwise("not_selected"))
 
 

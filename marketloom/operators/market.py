@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import clamp, normal_cdf
-from marketloom.operators.stats import join_same, quantile_of_large
+from marketloom.operators.stats import join_same, quantiles_of_large
 
 HORIZONS = (7, 30, 90, 180, 365)
 BAND_HORIZONS = (30, 90, 180, 365)
@@ -118,8 +118,7 @@ def set_metrics(metrics: DataFrame, groups: DataFrame, keys: list[str]) -> DataF
         F.count("current_price").alias("priced_series_count"),
         F.avg(F.when(F.col("return_30d").isNotNull(), (F.col("return_30d") > 0).cast("double"))).alias("breadth_30d"),
     )
-    for value in ("return_30d", "volatility_30d"):
-        rolled = join_same(rolled, quantile_of_large(metrics, keys, value, {f"median_{value}": 0.5}), keys)
+    rolled = join_same(rolled, quantiles_of_large(metrics, keys, {f"median_{value}": (value, 0.5) for value in ("return_30d", "volatility_30d")}), keys)
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("series_count", "priced_series_count")}
     return groups.select(*keys).distinct().join(rolled, keys, "left").withColumns(zero)
 

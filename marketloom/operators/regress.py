@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import fold_of
 from marketloom.operators.stats import gram_matrix, quantile_of_large
+from marketloom.sources.io import bounded
 
 
 def solved(xx: np.ndarray, xy: np.ndarray, ridge: float, tries: int = 6) -> np.ndarray:
@@ -70,13 +71,16 @@ def hedonic_fit(df: DataFrame, key: str, group: str, x: Sequence[str], y: str, f
 
 
 def robust_fair_value(df: DataFrame, key: str, x: Sequence[str], y: str, rounds: int = 3, huber: float = 1.345, ridge: float = 1e-6) -> DataFrame:
-    """df with fair and position: a Huber regression by reweighting; each round is one aggregate of sums and one of the spread."""
+    """df with fair and position: a Huber regression by reweighting; each round is one aggregate of sums and one of the spread.
+
+    What a round hands on is a small frame of its own, a row for each key, so that no round's plan holds the one before it.
+    """
     names = df.columns
     rows = df.withColumn("w", F.lit(1.0))
     for _ in range(rounds):
-        beta = coefficients(gram_matrix(rows, [key], x, y, "w"), [key], len(x) + 1, ridge)
+        beta = bounded(coefficients(gram_matrix(rows, [key], x, y, "w"), [key], len(x) + 1, ridge))
         fitted = df.join(beta, key).withColumn("fair", predicted(x)).withColumn("e", F.col(y) - F.col("fair"))
-        spread = quantile_of_large(fitted, [key], F.abs("e"), {"s": 0.5}).withColumn("s", 1.4826 * F.col("s"))
+        spread = bounded(quantile_of_large(fitted, [key], F.abs("e"), {"s": 0.5}).withColumn("s", 1.4826 * F.col("s")))
         fitted = fitted.join(spread, key)
         u = F.abs(F.col("e")) / F.greatest("s", F.lit(1e-9))
         rows = fitted.withColumn("w", F.when(u <= huber, 1.0).otherwise(huber / u))

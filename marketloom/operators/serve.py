@@ -173,18 +173,6 @@ def cold_start_forecast(catalog: DataFrame, priced: DataFrame, hedonic: DataFram
     return new.select("product", "category", *[F.exp(F.col("hedonic_log") + F.col(f"w.{q}") * F.col("w.mad") * widen).alias(q) for q in qs])
 
 
-def retrospective_walk_forward(obs: DataFrame, origins: DataFrame, keys: list[str], horizons: Sequence[int], as_of: Column, damping: float = 0.25, window_days: int = 7) -> DataFrame:
-    """(horizon, scorecard columns): snapshots at each origin, damped-momentum bands, realised prices, scores."""
-    snaps = lab.trend_snapshot(obs, origins, keys)
-    due = snaps.select(*keys, F.explode(F.array(*[F.date_add(F.to_date("origin"), h) for h in horizons])).alias("matures")).distinct()
-    cells = lab.forecast_cells(snaps, evaluate.realized_price(obs, due, keys, window_days), keys, horizons, as_of).where("cell = 'scored'")
-    move = F.least(F.lit(0.7), F.greatest(F.lit(-0.7), F.coalesce("slope_90d", F.lit(0.0)) * F.col("horizon") * damping))
-    sigma = F.greatest(F.lit(0.05), F.coalesce("volatility_90d", F.lit(0.0)) * F.sqrt("horizon"))
-    cases = cells.select("horizon", F.col("current_price").alias("current"), "realized", (F.col("current_price") * F.exp(move)).alias("predicted"), F.col("current_price").alias("baseline"), F.lit(0.5).alias("probability_up"), *[(F.col("current_price") * F.exp(move + z * sigma)).alias(q) for q, z in lab.Z.items()])
-    # the scores read the cases several times
-    return evaluate.scorecard_gate(evaluate.evaluate_cases(settled(cases), ["horizon"]), required=("no_change",))
-
-
 def after_cost_scorecard(cases: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, n, brier, calibration_error, selected, positive_rate, median_roi) of cases with probability, roi and selected."""
     y = F.col("roi") > 0
@@ -221,15 +209,6 @@ def portfolio_cone(holdings: DataFrame, cones: DataFrame, keys: list[str], on: l
     return j.groupBy(*keys).agg(add("lo"), add("price"), add("hi"), F.count_if(ok).alias("covered"), F.count_if(~ok).alias("left_out"))
 
 
-def shadow_walk_forward(cells: DataFrame, keys: list[str], models: Sequence[str]) -> DataFrame:
-    """(horizon, scorecard columns): the ensemble at every origin, scored where its cell is, and gated."""
-    f = lab.ensemble_forecast(cells, cells, keys, models).select(*keys, "origin", "horizon", *forecast.QUANTILES, "probability_up")
-    scored = cells.where("cell = 'scored'").select(*keys, "origin", "horizon", F.col("current_price").alias("current"), "realized")
-    cases = f.join(scored, [*keys, "origin", "horizon"]).withColumns({"predicted": F.col("q50"), "baseline": F.col("current")})
-    # the scores read the cases several times
-    return evaluate.scorecard_gate(evaluate.evaluate_cases(settled(cases), ["horizon"]), required=("no_change",))
-
-
 def private_trend_and_baseline(obs: DataFrame, origins: DataFrame, keys: list[str], horizons: Sequence[int]) -> DataFrame:
     """(origin, keys, horizon, baseline, log_return, price): each snapshot's baselines at each horizon."""
     s = lab.trend_snapshot(obs, origins, keys).select("origin", *keys, F.col("current_price").alias("price"), F.coalesce("slope_90d", F.lit(0.0)).alias("slope"))

@@ -80,30 +80,47 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def quantile_of_large(df: DataFrame, keys: Sequence[str], value: Column | str, quantiles: dict[str, float], steps: int = 1024) -> DataFrame:
-    """(keys, one column for each quantile): linear interpolation at p (n - 1), for groups that are too large for one task.
+    """(keys, one column for each quantile): as quantiles_of_large, of one value."""
+    return quantiles_of_large(df, keys, {q: (value, p) for q, p in quantiles.items()}, steps)
 
-    Values are counted by narrow cells, `steps` to a factor of e, which combines before the shuffle. The counts tell in which cells the
-    wanted ranks fall; only those cells' rows are ranked, and not even these where all values of a cell are equal. Nulls and NaN are left out.
+
+def quantiles_of_large(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column | str, float]], steps: int = 1024) -> DataFrame:
+    """(keys, one column for each name of `wanted`): linear interpolation at p (n - 1), for groups that are too large for one task.
+
+    wanted has a value and p for each name; all values are counted in one pass. Values are counted by narrow cells, `steps` to a factor of e,
+    which combines before the shuffle. The counts tell in which cells the wanted ranks fall; only those cells' rows are ranked, and not even
+    these where all values of a cell are equal. Nulls and NaN are left out.
     """
-    keys = list(keys)
-    v = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*keys, v.cast("double").alias("__v")).where("__v is not null and not isnan(__v)")
+    keys, values, of = list(keys), [], {}
+    for name, (value, p) in wanted.items():
+        column = F.col(value) if isinstance(value, str) else value
+        text = str(column._jc.toString()) if hasattr(column, "_jc") else str(column)
+        if text not in [t for t, _ in values]:
+            values.append((text, column))
+        of[name] = ([t for t, _ in values].index(text), p)
+    if len(values) == 1:
+        rows = df.select(*keys, F.lit(0).alias("__of"), values[0][1].cast("double").alias("__v"))
+    else:
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), c.cast("double").alias("v")) for k, (_, c) in enumerate(values)]))
+        rows = df.select(*keys, each.alias("__x")).select(*keys, F.col("__x.of").alias("__of"), F.col("__x.v").alias("__v"))
+    rows = rows.where("__v is not null and not isnan(__v)")
     # grows with the value, and keeps the order of values of both signs
     rows = rows.withColumn("__cell", F.floor(F.asinh(F.col("__v") * 1e6) * steps))
-    cells = rows.groupBy(*keys, "__cell").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    w = Window.partitionBy(*keys)
+    group = [*keys, "__of"]
+    cells = rows.groupBy(*group, "__cell").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    w = Window.partitionBy(*group)
     placed = cells.withColumn("__n", F.sum("__c").over(w)).withColumn("__b", F.sum("__c").over(w.orderBy("__cell")) - F.col("__c"))
-    at = {q: p * (F.col("__n") - 1) for q, p in quantiles.items()}
-    ranks = F.array_distinct(F.array(*[r.cast("long") for x in at.values() for r in (F.floor(x), F.ceil(x))]))
-    wanted = placed.withColumn("__ranks", F.filter(ranks, lambda r: (r >= F.col("__b")) & (r < F.col("__b") + F.col("__c")))).where(F.size("__ranks") > 0)
-    even = wanted.where("__lo = __hi").select(*keys, "__n", F.explode("__ranks").alias("__r"), F.col("__lo").alias("__v"))
-    split = wanted.where("__lo < __hi").select(*keys, "__cell", "__n", "__b", "__ranks")
-    met = join_same(rows, split, [*keys, "__cell"], "inner")
-    ranked = met.withColumn("__r", F.col("__b") + F.row_number().over(Window.partitionBy(*keys, "__cell").orderBy("__v")) - 1)
-    found = even.unionByName(ranked.where(F.array_contains("__ranks", F.col("__r"))).select(*keys, "__n", "__r", "__v"))
-    pick = lambda r: F.max(F.when(F.col("__r") == r.cast("long"), F.col("__v")))
-    out = found.groupBy(*keys).agg(*[x for q, a in at.items() for x in (pick(F.floor(a)).alias(f"__a_{q}"), pick(F.ceil(a)).alias(f"__b_{q}"))], F.first("__n").alias("__n"))
-    return out.select(*keys, *[(F.col(f"__a_{q}") + (F.col(f"__b_{q}") - F.col(f"__a_{q}")) * (p * (F.col("__n") - 1) - F.floor(p * (F.col("__n") - 1)))).alias(q) for q, p in quantiles.items()])
+    at = {q: (F.col("__of") == k, p * (F.col("__n") - 1)) for q, (k, p) in of.items()}
+    ranks = F.array_distinct(F.array_compact(F.array(*[F.when(own, r.cast("long")) for own, x in at.values() for r in (F.floor(x), F.ceil(x))])))
+    needed = placed.withColumn("__ranks", F.filter(ranks, lambda r: (r >= F.col("__b")) & (r < F.col("__b") + F.col("__c")))).where(F.size("__ranks") > 0)
+    even = needed.where("__lo = __hi").select(*group, "__n", F.explode("__ranks").alias("__r"), F.col("__lo").alias("__v"))
+    split = needed.where("__lo < __hi").select(*group, "__cell", "__n", "__b", "__ranks")
+    met = join_same(rows, split, [*group, "__cell"], "inner")
+    ranked = met.withColumn("__r", F.col("__b") + F.row_number().over(Window.partitionBy(*group, "__cell").orderBy("__v")) - 1)
+    found = even.unionByName(ranked.where(F.array_contains("__ranks", F.col("__r"))).select(*group, "__n", "__r", "__v"))
+    pick = lambda own, r: F.max(F.when(own & (F.col("__r") == r.cast("long")), F.col("__v")))
+    out = found.groupBy(*keys).agg(*[x for q, (own, a) in at.items() for x in (pick(own, F.floor(a)).alias(f"__a_{q}"), pick(own, F.ceil(a)).alias(f"__b_{q}"), F.max(F.when(own, a - F.floor(a))).alias(f"__f_{q}"))])
+    return out.select(*keys, *[(F.col(f"__a_{q}") + (F.col(f"__b_{q}") - F.col(f"__a_{q}")) * F.col(f"__f_{q}")).alias(q) for q in at])
 
 
 def lower_percentile(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.operators import evaluate, forecast, regress, stats
+from marketloom.operators import evaluate, forecast, hedonic, regress, stats
 from marketloom.operators.index import index_levels
 from marketloom.operators.windows import step_returns
 from marketloom.plans import bindings as b
@@ -355,6 +355,70 @@ def hedonic_fit(spark: SparkSession, d: str) -> DataFrame:
     return h.select("type", "n", (F.round("rmse", 4) + 0.0).alias("rmse"), (F.round("r2", 3) + 0.0).alias("r2"))
 
 
+_LEVELS = """x AS (SELECT p_partkey AS id, p_type, p_brand, p_name AS name, string_split(p_name, ' ')[1] AS kind, p_size AS x, ln(p_retailprice) AS y, list_reduce(list_prepend(0::BIGINT, [('0x' || h)::BIGINT FOR h IN string_split(sha256(p_brand), '')]), lambda a, z: (a * 16 + z) % 5) AS fold FROM part),
+fits AS (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS fit),
+top AS (SELECT p_type, fit, name FROM (SELECT p_type, fit, name, row_number() OVER (PARTITION BY p_type, fit ORDER BY count(*) DESC, name) AS r FROM x CROSS JOIN fits WHERE fold <> fit GROUP BY 1, 2, 3) WHERE r <= 20),
+lx AS (SELECT x.*, fit, CASE WHEN top.name IS NULL THEN 'other' ELSE x.name END AS lev FROM x CROSS JOIN fits LEFT JOIN top USING (p_type, fit, name)),
+mn AS (SELECT p_type, fit, lev, avg(x) AS mx, avg(y) AS my FROM lx WHERE fold <> fit GROUP BY 1, 2, 3),
+sl AS (SELECT lx.p_type, lx.fit, sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS s FROM lx JOIN mn USING (p_type, fit, lev) WHERE fold <> fit GROUP BY 1, 2),
+oof AS (SELECT lx.*, my + s * (lx.x - mx) AS yhat FROM lx JOIN mn USING (p_type, fit, lev) JOIN sl USING (p_type, fit))"""
+
+
+def _attributes(spark: SparkSession, d: str) -> DataFrame:
+    return b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), "p_brand", F.col("p_name").alias("name"), F.split("p_name", " ").getItem(0).alias("kind"), F.col("p_size").alias("size"), F.log("p_retailprice").alias("y"))
+
+
+def _levels_model(spark: SparkSession, d: str) -> hedonic.HedonicModel:
+    return hedonic.hedonic_model(_attributes(spark, d), "type", "p_brand", ["name"], ["size"], "y", kind="kind")
+
+
+@query(f"""WITH {_LEVELS}, k AS (SELECT p_type, kind, avg(abs(y - yhat)) AS mae, count(*) AS c FROM oof WHERE fit = fold GROUP BY 1, 2), km AS (SELECT p_type, array_to_string(list(kind || ':' || c ORDER BY kind), ',') AS kinds, max(mae) AS worst_mae, sum(c * mae) / sum(c) AS mae FROM k GROUP BY 1)
+SELECT o.p_type AS type, count(*) AS n, count(*) AS covered, CAST(22 AS BIGINT) AS n_features, count(DISTINCT p_brand) AS n_groups, round(sqrt(avg(pow(y - yhat, 2))), 4) + 0.0 AS rmse, round(1 - avg(pow(y - yhat, 2)) / var_pop(y), 3) + 0.0 AS r2, any_value(kinds) AS kinds, round(any_value(worst_mae), 4) + 0.0 AS worst_mae, round(any_value(mae), 4) + 0.0 AS mae
+FROM oof o JOIN km ON km.p_type = o.p_type WHERE fit = fold GROUP BY 1""")
+def hedonic_levels(spark: SparkSession, d: str) -> DataFrame:
+    m = _levels_model(spark, d).metrics
+    kinds = F.array_join(F.transform(F.map_entries("covered_by_kind"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    entries = F.map_entries("mae_by_kind")
+    mae = F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["value"] * F.element_at("covered_by_kind", e["key"])) / F.col("covered")
+    return m.select("type", "n", "covered", F.col("n_features").cast("long").alias("n_features"), "n_groups", (F.round("rmse", 4) + 0.0).alias("rmse"), (F.round("r2", 3) + 0.0).alias("r2"), kinds.alias("kinds"), (F.round(F.array_max(F.map_values("mae_by_kind")), 4) + 0.0).alias("worst_mae"), (F.round(mae, 4) + 0.0).alias("mae"))
+
+
+@query(f"WITH {_LEVELS} SELECT id, round(yhat, 4) + 0.0 AS hedonic_log FROM oof WHERE fit = -1")
+def hedonic_predict(spark: SparkSession, d: str) -> DataFrame:
+    p = hedonic.hedonic_predict(_attributes(spark, d), _levels_model(spark, d).coefficients, "type", ["name"], ["size"])
+    return rounded(p.select("id", "hedonic_log"), 4)
+
+
+def _round_sql(k: int, last: str, rows: str) -> str:
+    """Round k of the weighted ridge with a constant, a number and its missing indicator, solved by hand: a number and its indicator never meet."""
+    return f"""s{k} AS (SELECT type, sum(w) AS s0, sum(w * z) AS sx, sum(w * m) AS sm, sum(w * z * z) + 2 AS xx, sum(w * m) + 2 AS mm, sum(w * y) AS sy, sum(w * z * y) AS xy, sum(w * m * y) AS my FROM {last} GROUP BY 1),
+a{k} AS (SELECT *, (sy - sx * xy / xx - sm * my / mm) / (s0 - sx * sx / xx - sm * sm / mm) AS a FROM s{k}), b{k} AS (SELECT type, a, (xy - sx * a) / xx AS b, (my - sm * a) / mm AS c FROM a{k}),
+e{k} AS (SELECT t.id, t.type, t.z, t.m, t.y, t.y - a - b * t.z - c * t.m AS e FROM {rows} t JOIN b{k} USING (type)), c{k} AS (SELECT type, quantile_cont(e, 0.5) AS ctr FROM e{k} GROUP BY 1), l{k} AS (SELECT type, 1.5 * greatest(1e-6, 1.4826 * quantile_cont(abs(e - ctr), 0.5)) AS lim FROM e{k} JOIN c{k} USING (type) GROUP BY 1),
+r{k} AS (SELECT e{k}.id, e{k}.type, z, m, y, CASE WHEN abs(e - ctr) <= lim THEN 1.0 ELSE lim / abs(e - ctr) END AS w FROM e{k} JOIN c{k} USING (type) JOIN l{k} USING (type))"""
+
+
+_FAIR = f"""p AS (SELECT p_partkey AS id, p_type AS type, DATE '1998-01-01' + CAST(p_partkey * 7 % 600 AS INTEGER) AS dt, CAST(p_size % 5 AS INTEGER) AS lagged, p_retailprice * (1 + p_partkey % 97 / 50.0) AS price, CASE WHEN p_partkey % 13 <> 0 THEN p_size END AS x, p_size % 11 / 10.0 AS quality FROM part),
+el AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY dt, id) AS r, count(*) OVER (PARTITION BY type) AS n FROM p WHERE dt < DATE '1999-06-01' AND dt + lagged <= DATE '1999-06-01'),
+bl AS (SELECT *, CASE WHEN r <= n - least(greatest(1, floor(n * 0.25)), n - 1) THEN 'train' ELSE 'calibrate' END AS block FROM el),
+sc AS (SELECT type, quantile_cont(x, 0.5) AS mid, greatest(1e-6, (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.349) AS sc, count(*) AS n_training FROM bl WHERE block = 'train' GROUP BY 1),
+al AS (SELECT p.*, coalesce((x - mid) / sc, 0) AS z, CASE WHEN x IS NULL THEN 1 ELSE 0 END AS m, ln(price) AS y, 1.0 AS w FROM p JOIN sc USING (type)), tn AS (SELECT al.id, al.type, al.z, al.m, al.y, al.w FROM al JOIN bl ON bl.id = al.id WHERE block = 'train'),
+{_round_sql(1, "tn", "tn")}, {_round_sql(2, "r1", "tn")}, {_round_sql(3, "r2", "tn")},
+cb AS (SELECT type, count(*) AS n_calibration, {", ".join(f"quantile_cont(y - a - b * z - c * m, {p}) AS {q}" for q, p in hedonic.QUANTILES.items())} FROM (SELECT al.type, al.y, al.z, al.m FROM al JOIN bl ON bl.id = al.id WHERE block = 'calibrate') JOIN b3 USING (type) GROUP BY 1),
+st AS (SELECT sc.type, n_training, n_calibration, CASE WHEN n_training < 40 OR n_calibration < 12 THEN 'quarantined' ELSE 'research_only' END AS status FROM sc JOIN cb USING (type)),
+es AS (SELECT al.id, al.type, price, quality, st.status, st.n_training, st.n_calibration, {", ".join(f"exp(a + b * z + c * m + {q}) AS {q}" for q in hedonic.QUANTILES)} FROM al JOIN b3 USING (type) JOIN cb USING (type) JOIN st USING (type))"""
+
+
+@query(f"""WITH {_FAIR} SELECT id, {", ".join(f"round({q}, 3) + 0.0 AS {q}" for q in hedonic.QUANTILES)}, CASE WHEN price < q25 THEN 'below_range' WHEN price > q75 THEN 'above_range' ELSE 'within_range' END AS position, status,
+round(CASE WHEN status = 'quarantined' THEN 0 ELSE least(79, 100 * quality * least(1, n_training / 80.0, n_calibration / 24.0)) END, 4) + 0.0 AS confidence FROM es""")
+def fair_value(spark: SparkSession, d: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    at = F.date_add(F.lit("1998-01-01").cast("date"), (k * 7 % 600).cast("int"))
+    p = b.table(spark, d, "part").select(k.alias("id"), F.col("p_type").alias("type"), at.alias("at"), F.date_add(at, size % 5).alias("available"), (F.col("p_retailprice") * (1 + k % 97 / 50.0)).alias("price"), F.when(k % 13 != 0, size).alias("x"), (size % 11 / 10.0).alias("quality"))
+    model = hedonic.fair_value(p, "type", "id", "at", "available", "price", F.lit("1999-06-01").cast("date"), ["x"], [])
+    out = hedonic.fair_estimates(p, model.models, "type", "price", "quality", ["x"], [])
+    return out.select("id", *[(F.round(q, 3) + 0.0).alias(q) for q in hedonic.QUANTILES], "position", "status", (F.round("confidence", 4) + 0.0).alias("confidence"))
+
+
 @query()
 def robust_fair_value(spark: SparkSession, d: str) -> DataFrame:
     p = b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.col("p_size").cast("double").alias("x"), F.log("p_retailprice").alias("y"))

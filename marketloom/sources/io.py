@@ -37,6 +37,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The frame, written once, and marked for a broadcast only if it was counted as at most `most` rows: for the small side of a join whose size
+    follows the data (groups, categories, dates)."""
+    own = settled(df)
+    return F.broadcast(own) if own.limit(most + 1).count() <= most else own
+
+
 def write_price_archive(df: DataFrame, path: str) -> None:
     """One JSON document for each (archive_date, category_id, group_id) of rows with product_id, subtype_name and prices: what
     read_price_archive reads."""
