@@ -11,7 +11,7 @@ from marketloom.functions.scalars import array_median, clamp
 from marketloom.operators.index import cohort_return
 from marketloom.operators.stats import join_same, quantile_of_large, tercile_bucket, trimmed_mean_of_large
 from marketloom.operators.windows import smoothed
-from marketloom.sources.io import settled
+from marketloom.sources.io import bounded, settled
 
 CAP = 0.70
 QUANTILES = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
@@ -251,6 +251,29 @@ def origin_blocks(df: DataFrame, at: str, train: float = 0.6, embargo: int = 1)
     return df.join(F.broadcast(ranked.select(at, block.alias("block"))), at)
 
 
+def origin_parts(df: DataFrame, by: Sequence[str], at: str, embargo_days: Column | int = 0, share: float = 0.25, parts: Sequence[str] = ("train", "validate", "calibrate")) -> DataFrame:
+    """df with part: whole origins in order, of each group the last floor(n share) of its n distinct ones the last part, as many before it the next, and so on.
+
+    A later part has one origin at least and leaves one to the first. An origin less than embargo_days before the next part is `embargo`, so that no label of one
+    part matures inside the next. A group of fewer origins than parts is all train. The ranks are over distinct origins only.
+    """
+    by, k = list(by), len(parts)
+    w = Window.partitionBy(*by)
+    o = df.where(F.col(at).isNotNull()).select(*by, at).distinct()
+    o = o.withColumns({"__r": F.row_number().over(w.orderBy(at)), "__n": F.count("*").over(w)})
+    each = F.least(F.greatest(F.lit(1), F.floor(F.col("__n") * share)), F.greatest(F.lit(1), F.floor((F.col("__n") - 1) / (k - 1))))
+    place = F.when((F.col("__n") < k) | (F.col("__r") <= F.col("__n") - each * (k - 1)), 0).otherwise(k - 1 - F.floor((F.col("__n") - F.col("__r")) / each)).cast("int")
+    o = o.withColumn("__p", place)
+    day = F.datediff(F.to_date(at), F.lit("1970-01-01")) if dict(df.dtypes)[at] in ("date", "timestamp") else F.col(at)
+    o = o.withColumn("__day", day)
+    # the first origin of the next part: the least of those beyond the rows of this part
+    o = o.withColumn("__next", F.min("__day").over(w.orderBy("__p").rangeBetween(1, 1)))
+    gap = F.lit(embargo_days) if isinstance(embargo_days, int) else embargo_days
+    near = F.coalesce((gap > 0) & (F.col("__day") >= F.col("__next") - gap), F.lit(False))
+    named = F.when(near, "embargo").otherwise(F.get(F.array(*[F.lit(x) for x in parts]), F.col("__p")))
+    return join_same(df, bounded(o.select(*by, at, named.alias("part"))), [*by, at])
+
+
 def range_only_band(df: DataFrame) -> DataFrame:
     """df with lo and hi: symmetric in log space about the price, as wide as the wider side."""
     radius = F.greatest(F.abs(F.log(F.col("q10") / F.col("price"))), F.abs(F.log(F.col("q90") / F.col("price"))))

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import array_median, clamp, fold_of, freshness_score, normal_cdf
+from marketloom.operators.forecast import origin_parts
 from marketloom.operators.market import Z
 from marketloom.operators.pit import point_in_time_many
 from marketloom.operators.regress import coefficients, predicted
 from marketloom.operators.stats import gram_matrix, model_weights, quantile_of_large
+from marketloom.sources.io import bounded
 
 DAY = 86400.0
 QUANTILES = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
@@ -26,7 +28,7 @@ def trend_snapshot(obs: DataFrame, origins: DataFrame, keys: list[str], max_lag_
     own = ["origin", *keys]
     known = point_in_time_many(obs, origins, keys)
     t = F.unix_micros("observed_at") / 1e6 / DAY
-    series = known.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), F.log("price").alias("y"), F.col("quality").alias("q")))).alias("p"))
+    series = known.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), F.log("price").alias("y"), F.col("quality").alias("q"), F.col("price").cast("double").alias("v")))).alias("p"))
     last = F.try_element_at("p", F.lit(-1))
     series = series.withColumn("last", last).withColumns({f"p{d}": F.expr(f"filter(p, x -> x.t >= last.t - {d})") for d in (30, 90, 180)})
 
@@ -49,7 +51,7 @@ def trend_snapshot(obs: DataFrame, origins: DataFrame, keys: list[str], max_lag_
     density = F.least(F.lit(1.0), F.expr("size(array_distinct(transform(p90, x -> floor(x.t))))") / (F.floor(F.col("last.t")) - F.floor(F.col("last.t") - 90) + 1))
     out = series.select(
         *own,
-        F.exp("last.y").alias("current_price"),
+        F.col("last.v").alias("current_price"),
         *[change(h).alias(f"return_{h}d") for h in (7, 30, 90, 180, 365)],
         F.col("s30").alias("slope_30d"),
         F.col("s90").alias("slope_90d"),
@@ -88,20 +90,19 @@ def coverage_contract(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     return cells.groupBy(*by).agg(F.count("*").alias("planned"), *[F.count_if(F.col("cell") == s).alias(s) for s in states])
 
 
-def ensemble_forecast(features: DataFrame, cells: DataFrame, keys: list[str], models: Sequence[str], validation: float = 0.5, least: int = 10, sigma_floor: float = 0.03, least_quality: float = 0.5, widen: float = 2.0) -> DataFrame:
+def ensemble_forecast(features: DataFrame, cells: DataFrame, keys: list[str], models: Sequence[str], share: float = 0.25, least: int = 10, sigma_floor: float = 0.03, least_quality: float = 0.5, widen: float = 2.0) -> DataFrame:
     """Quantiles for (origin, series, horizon) from a calibrated mixture of model columns (log returns).
 
-    A label may train an origin if it matured by then. Losses, weights and residual quantiles depend on (origin, horizon)
+    A label may train an origin if it matured by then. Losses are taken on one block of earlier origins and residual quantiles on a
+    later one, a horizon apart (origin_parts). Losses, weights and residual quantiles depend on (origin, horizon)
     only, so they are fitted once for each and joined to the rows; origins are few.
     """
-    origins = features.select(F.col("origin").alias("at"), "horizon").distinct()
+    origins = bounded(features.select(F.col("origin").alias("at"), "horizon").distinct())
     labels = cells.where("cell = 'scored'").select("horizon", F.col("origin").alias("from_origin"), "matures", "realized_return", *models)
-    eligible = labels.join(F.broadcast(origins), "horizon").where((F.col("from_origin") < F.col("at")) & (F.col("matures") <= F.to_date("at")))
-    w = Window.partitionBy("at", "horizon")
-    rank = F.percent_rank().over(w.orderBy("from_origin"))
-    split = eligible.withColumn("part", F.when(rank < validation, "validation").otherwise("calibration"))
+    eligible = labels.join(origins, "horizon").where((F.col("from_origin") < F.col("at")) & (F.col("matures") <= F.to_date("at")))
+    split = origin_parts(eligible, ["at", "horizon"], "from_origin", F.col("horizon"), share)
     long = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("x")) for m in models]))
-    losses = split.where("part = 'validation'").select("at", "horizon", "realized_return", long.alias("m")).groupBy("at", "horizon", "m.model").agg(F.avg(F.abs(F.col("m.x") - F.col("realized_return"))).alias("loss"))
+    losses = split.where("part = 'validate'").select("at", "horizon", "realized_return", long.alias("m")).groupBy("at", "horizon", "m.model").agg(F.avg(F.abs(F.col("m.x") - F.col("realized_return"))).alias("loss"))
     weights = model_weights(losses, ["at", "horizon"], "model", "loss").groupBy("at", "horizon").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "weight")))).alias("weights"))
 
     def mixed() -> Column:
@@ -110,7 +111,7 @@ def ensemble_forecast(features: DataFrame, cells: DataFrame, keys: list[str], mo
             one = one + F.coalesce(F.try_element_at("weights", F.lit(m)), F.lit(0.0)) * F.col(m)
         return one
 
-    resid = split.where("part = 'calibration'").join(weights, ["at", "horizon"]).withColumn("e", F.col("realized_return") - mixed())
+    resid = split.where("part = 'calibrate'").join(weights, ["at", "horizon"]).withColumn("e", F.col("realized_return") - mixed())
     at = ["at", "horizon"]
     cal = resid.groupBy(*at).agg(F.count("*").alias("n")).join(quantile_of_large(resid, at, "e", {f"e_{q}": p for q, p in QUANTILES.items()}), at)
     fitted = features.join(weights.withColumnRenamed("at", "origin"), ["origin", "horizon"], "left").join(cal.withColumnRenamed("at", "origin"), ["origin", "horizon"], "left")
@@ -126,8 +127,8 @@ def ensemble_forecast(features: DataFrame, cells: DataFrame, keys: list[str], mo
     return out.withColumn("status", status)
 
 
-def watch_candidates(forecasts: DataFrame, costs: DataFrame, keys: list[str], least_probability: float = 0.70, extra: Sequence[str] = ()) -> DataFrame:
-    """forecasts with all-in cost, net returns and gates, and their columns `extra`. costs: keys, price, tax, shipping, fee_rate, exit_fixed."""
+def watch_candidates(forecasts: DataFrame, costs: DataFrame, keys: list[str], least_probability: float = 0.70) -> DataFrame:
+    """forecasts with all-in cost, net returns and gates. costs: keys, price, tax, shipping, fee_rate, exit_fixed."""
     j = forecasts.join(costs, keys)
     all_in = F.col("price") * (1 + F.col("tax")) + F.col("shipping")
     net = lambda q: (F.col(q) * (1 - F.col("fee_rate")) - F.col("exit_fixed")) / all_in - 1
@@ -135,7 +136,7 @@ def watch_candidates(forecasts: DataFrame, costs: DataFrame, keys: list[str], le
     sigma = F.log(F.col("q90") / F.col("q10")) / (2 * Z["q90"])
     positive = 1 - normal_cdf((F.log(even) - F.log("q50")) / sigma)
     reasons = F.array_compact(F.array(F.when(net("q25") <= 0, "conservative_net_return_not_positive"), F.when(positive < least_probability, "net_probability_below_threshold")))
-    out = j.select(*keys, *extra, all_in.alias("all_in"), even.alias("break_even"), net("q25").alias("conservative_roi"), net("q50").alias("median_roi"), positive.alias("probability_net_positive"), reasons.alias("reasons"))
+    out = j.select(*keys, all_in.alias("all_in"), even.alias("break_even"), net("q25").alias("conservative_roi"), net("q50").alias("median_roi"), positive.alias("probability_net_positive"), reasons.alias("reasons"))
     return out.withColumn("status", F.when(F.size("reasons") == 0, "watch_candidate").otherwise("not_selected"))
 
 

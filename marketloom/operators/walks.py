@@ -141,7 +141,7 @@ def shadow_walk_forward(cells: DataFrame, keys: list[str], members: DataFrame |
     """(horizon, forecasts, quarantined, scores, lift_ and lower_ of five baselines, breadth, cost and pocket figures, reasons, recommendation).
 
     cells is the result of lab.forecast_cells. The five baselines are the models of the ensemble and, each by itself, what it must beat. Forecasts that are not
-    research_only are counted and not scored. costs (keys, price, tax, shipping, fee_rate, exit_fixed) prices the acquisition of a case; its candidates and
+    research_only are counted and not scored. costs (keys, origin, horizon, price, tax, shipping, fee_rate, exit_fixed) prices the acquisition of a case; its candidates and
     their return after costs are judged as well. Reasons that begin with insufficient, missing or incomplete make the report insufficient, others reject it.
     """
     by = ["horizon"]
@@ -155,8 +155,8 @@ def shadow_walk_forward(cells: DataFrame, keys: list[str], members: DataFrame |
     out = _scored(cases, counts, by, keys, seed, policy.samples, policy.level, policy.spacing_days, policy.cases)
     out = out.withColumnsRenamed({"reasons": "__card", "recommendation": "__said"})
     if costs is not None:
-        picked = lab.watch_candidates(cases.select(*at, *lab.QUANTILES), costs, keys, extra=["origin", "horizon"])
-        both = join_same(join_same(picked, cases.select(*at, "realized"), at, "inner"), costs.select(*keys, "fee_rate", "exit_fixed"), keys)
+        picked = lab.watch_candidates(cases.select(*at, *lab.QUANTILES), costs, at)
+        both = join_same(join_same(picked, cases.select(*at, "realized"), at, "inner"), costs.select(*at, "fee_rate", "exit_fixed"), at)
         roi = (F.col("realized") * (1 - F.col("fee_rate")) - F.col("exit_fixed")) / F.col("all_in") - 1
         outcomes = settled(both.select(*by, F.col("probability_net_positive").alias("probability"), roi.alias("roi"), "conservative_roi", (F.col("status") == "watch_candidate").alias("selected")))
         net = outcomes.groupBy(*by).agg(F.count("*").alias("cost_cases"), F.avg(F.pow(F.col("probability") - (F.col("roi") > 0).cast("double"), 2)).alias("cost_brier"))

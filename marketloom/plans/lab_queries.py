@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.operators import evaluate, forecast, lab, pit, portfolio, resolve
+from marketloom.operators import evaluate, lab, pit, portfolio, resolve
 from marketloom.operators.ranking import top_per_key
 from marketloom.plans import bindings as b
 from marketloom.plans.market_queries import rounded
@@ -32,33 +32,6 @@ def trend_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s)
 
 
-@query()
-def trend_states(spark: SparkSession, d: str) -> DataFrame:
-    return _snapshots(spark, d).groupBy("origin", "state").agg(F.count("*").alias("n"))
-
-
-def _cells(spark: SparkSession, d: str) -> DataFrame:
-    s = _snapshots(spark, d)
-    o = b.observations(spark, d)
-    due = s.select("series", F.explode(F.array(F.date_add(F.to_date("origin"), 3), F.date_add(F.to_date("origin"), 7))).alias("matures")).distinct()
-    real = evaluate.realized_price(o, due, ["series"], 3)
-    cells = lab.forecast_cells(s, real, ["series"], (3, 7), F.lit("2024-01-30").cast("date"))
-    damped = F.coalesce("slope_90d", F.lit(0.0)) * F.col("horizon") * 0.25
-    return cells.withColumns({"no_change": F.lit(0.0), "momentum": F.greatest(F.lit(-0.7), F.least(F.lit(0.7), damped)), "reversal": F.coalesce(-F.col("return_7d") * 0.2, F.lit(0.0))})
-
-
-@query()
-def forecast_dataset(spark: SparkSession, d: str) -> DataFrame:
-    return lab.coverage_contract(_cells(spark, d), ["origin", "horizon"])
-
-
-@query()
-def ensemble_forecast(spark: SparkSession, d: str) -> DataFrame:
-    c = _cells(spark, d)
-    f = lab.ensemble_forecast(c, c, ["series"], ["no_change", "momentum", "reversal"], least_quality=0.1)
-    return rounded(f.select("series", "origin", "horizon", *forecast.QUANTILES, "probability_up", "status", F.array_join("reasons", ",").alias("reasons")))
-
-
 _ND = "(1 / (1 + 0.3275911 * abs(x) / sqrt(2)))"
 
 

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from marketloom.plans import lab_queries, market_queries, merge_queries, model_queries, people_queries, rest_queries, scalar_queries, serve_queries, source_queries, stream_queries  # noqa: F401
+    from marketloom.plans import lab_queries, market_queries, merge_queries, model_queries, people_queries, rest_queries, scalar_queries, serve_queries, source_queries, stream_queries, walk_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -95,13 +95,6 @@ def cold_start_forecast(spark: SparkSession, d: str) -> DataFrame:
     return rounded(serve.cold_start_forecast(cat, priced, hed, off).select("product", "q10", "q90"), 4)
 
 
-@query()
-def retrospective_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    days = F.explode(F.array(*[F.lit(f"2024-01-{x} 00:00:00").cast("timestamp") for x in ("12", "19")]))
-    w = serve.retrospective_walk_forward(b.observations(spark, d), spark.range(1).select(days.alias("origin")), ["series"], (3, 7), F.lit("2024-01-30").cast("date"))
-    return rounded(w.select("horizon", "n", "mae_log", "lift", "coverage_80", "recommendation"))
-
-
 @query("""WITH p AS (SELECT p_partkey AS product, p_brand AS set_id, p_size AS num, p_name AS name FROM part), m AS (SELECT a.product, count(*) FILTER (WHERE a.num = z.num AND a.product % 3 <> 0) AS x, min(z.product) FILTER (WHERE a.num = z.num AND a.product % 3 <> 0) AS xi, count(*) FILTER (WHERE a.name = z.name) AS y, min(z.product) FILTER (WHERE a.name = z.name) AS yi FROM p a LEFT JOIN p z ON a.set_id = z.set_id AND z.product % 4 <> 0 GROUP BY 1)
 SELECT product, CASE WHEN x = 1 THEN 'number' WHEN x > 1 THEN 'ambiguous' WHEN y = 1 THEN 'name' WHEN y > 1 THEN 'ambiguous' ELSE 'none' END AS method, CASE WHEN x = 1 THEN xi WHEN x = 0 AND y = 1 THEN yi END AS card_id FROM m""")
 def match_products(spark: SparkSession, d: str) -> DataFrame:
@@ -146,13 +139,6 @@ def portfolio_cone(spark: SparkSession, d: str) -> DataFrame:
     return rounded(serve.portfolio_cone(b.holdings(spark, d), c, ["owner"], ["category", "set_name"], "USD").drop("price"), 4)
 
 
-@query()
-def shadow_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    from marketloom.plans.lab_queries import _cells
-
-    return rounded(serve.shadow_walk_forward(_cells(spark, d), ["series"], ["no_change", "momentum", "reversal"]).select("horizon", "n", "mae_log", "coverage_80", "recommendation"))
-
-
 @query()
 def private_trend_and_baseline(spark: SparkSession, d: str) -> DataFrame:
     days = F.explode(F.array(F.lit("2024-01-19 00:00:00").cast("timestamp")))
