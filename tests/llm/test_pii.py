@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,41 @@ def test_decode_is_the_best_segmentation():
         assert score == pytest.approx(best(begins, 0, len(tokens)))
 
 
+def test_bounds_change_no_result():
+    """Bounded segments of many texts against the plain search of each."""
+    f = pii.fitted()
+    r = random.Random(8)
+    texts = [text for text, _ in pii.generated(150, seed=5)]
+    alphabets = ["0123456789 -.()+", "12 a@.b,;é٣", "4 (1)-+", "a@b.c 1"]
+    texts += ["".join(r.choice(a) for _ in range(r.randint(0, 90))) for a in alphabets for _ in range(120)]
+    texts += ["12,34,56;" * 60, "a@" * 90, "+1 (212) 555-0123" * 5, "4111 1111 1111 1111 " * 4, "1" * 300, "1-" * 100, "7 " * 200]
+    for text in texts:
+        plain = [s for a, b in pii.islands(text) for s in f.decode(text, a, b)]
+        quick = pii.decode_islands(f, pii.bounds_of(f), [(text, a, b) for a, b in pii.islands(text)])
+        assert [s for own in quick for s in own] == plain, text
+    together = pii.decode_islands(f, pii.bounds_of(f), [(t, a, b) for t in texts for a, b in pii.islands(t)])
+    assert [s for own in together for s in own] == [s for t in texts for a, b in pii.islands(t) for s in f.decode(t, a, b)]
+
+
+def test_texts_full_of_numbers_are_quick():
+    """1 MB of numbers, separators and @ signs each: minutes by the plain search."""
+    f = pii.fitted()
+    r = random.Random(3)
+    for text in ("12,34,56;" * 110_000, "a@" * 500_000, " ".join(str(r.randint(0, 99_999)) for _ in range(180_000)), ";".join(f"{r.random():.3f}" for _ in range(160_000))):
+        began = time.perf_counter()
+        pii.all_spans(text, f)
+        assert time.perf_counter() - began < 30  # a few seconds alone; wide for a machine under load
+
+
+def test_kinds_of_phone_that_patterns_miss():
+    f = pii.fitted()
+    for phone in ("(415) 555-2671", "020 7946 0958", "06 12 34 56 78", "212-555-0199"):
+        text = f"call {phone} now"
+        assert ("phone", 5, 5 + len(phone)) in pii.all_spans(text, f), phone
+    for other in ("12 34 56 78", "2024-10-12 10:31:22", "1,204.55 and 99", "v1.2.3", "12,34,56,78,90", "ISBN 0"):
+        assert pii.all_spans(f"see {other} there", f) == [], other
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a@b.co", "x"), (3, "a@b.co", "x"), (3, "a@b.co", "x"), (4, "é" * 50_000 + " 10.0.0.1", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
