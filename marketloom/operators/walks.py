@@ -43,7 +43,7 @@ def with_baselines(cells: DataFrame, members: DataFrame | None, keys: list[str],
         "lifecycle_cohort": F.col("__cohort") * h,
         "structural_convergence": (F.col("__worth") - F.log("current_price")) * damping,
     }
-    return out.withColumns({name: clamp(r, -MOST_RETURN, MOST_RETURN) for name, r in returns.items()}).drop("__market", "__cohort", "__worth")
+    return out.withColumns({name: F.when(r.isNotNull(), clamp(r, -MOST_RETURN, MOST_RETURN)) for name, r in returns.items()}).drop("__market", "__cohort", "__worth")
 
 
 def probability_up(move: Column, sigma: Column) -> Column:
