@@ -75,6 +75,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not named and not sc.master.startswith("local"):
         raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marketloom-checkpoint-"))
+    own = sc._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get())
+    own.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(own)  # when the application ends
 
 
 def cut(df: DataFrame) -> DataFrame:

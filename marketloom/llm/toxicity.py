@@ -5,7 +5,7 @@ The weights are those of a logistic regression with two penalties: a ridge, and
 score when the identity terms of a labelled text are swapped for others of their kind. The second
 keeps the model from scoring the mention of a group. Labels are read from at most `MAX_TOXIC` toxic and `MAX_CLEAN`
 other rows, those of least hash, which bounds what the driver holds; rows are weighted back to the
-labels' own shares. Every text is then scored whole, with a dictionary of at most `MAX_FEATURES` weights.
+labels' own shares. Every text is then scored whole, with a dictionary of all features that tell the labels apart in these rows.
 
 Null and empty texts have no features and get the score of the intercept alone. Labels that are null, or whose doc_id is
 null or without a document, teach nothing; with no labels at all, or labels of one kind only, every score is the smoothed share of
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.common import cut, map_arrow, slices, strings
 
-MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 4_000, 8_000, 2_048
+MAX_TOXIC, MAX_CLEAN = 4_000, 8_000
 #: A feature is kept if it occurs in so many labelled texts, and tells the labels apart by so many standard errors, at least.
 LEAST_TEXTS, LEAST_STRENGTH = 4, 3.0
 PREFIXES = (4, 5, 6)
@@ -109,7 +109,6 @@ def train(
     labels: DataFrame,
     max_toxic: int = MAX_TOXIC,
     max_clean: int = MAX_CLEAN,
-    max_features: int = MAX_FEATURES,
     counterfactual: float = COUNTERFACTUAL,
     ridge: float = RIDGE,
     steps: int = STEPS,
@@ -128,7 +127,7 @@ def train(
     # the difference of log shares in standard errors: what chance would hardly give
     difference = F.abs(F.log((F.col("pos") + 0.5) / (sizes[1] + 1)) - F.log((F.col("neg") + 0.5) / (sizes[0] + 1)))
     strength = difference / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    chosen = [r["f"] for r in counts.where(strength >= LEAST_STRENGTH).orderBy(F.desc(strength), "f").limit(max_features).select("f").collect()]
+    chosen = [r["f"] for r in counts.where(strength >= LEAST_STRENGTH).orderBy(F.desc(strength), "f").select("f").collect()]
     column = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *SWAP]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

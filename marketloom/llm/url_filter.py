@@ -4,9 +4,11 @@ A pattern rule has a regular expression, a verdict and the literal tokens withou
 match. Each rule is filed under the one of its tokens that is rarest over all URLs of the table; a
 URL's tokens fetch the rules filed under them, and only those run their expressions. Host rules
 (`org/`, `example.org/es/`) fit a host and its subdomains by path prefix, the longest wins and
-overrules patterns. Where neither speaks, the verdict is allow.
+overrules patterns. Of patterns an important block goes before an allow, and an allow (an exception of a list) before a block. Where nothing
+speaks, the verdict is allow.
 
-Rules may come from a filter list of many thousands of lines (list_rules); the few of PATTERN_RULES are the default.
+Rules may come from a filter list of many thousands of lines (list_rules), which also says how many lines it left out and why; those of
+PATTERN_RULES, one for each word and place, are the default.
 
 Null and empty URLs, and URLs without `://`, have empty host and path, fit no host rule and are judged by
 patterns alone. Repeated rows are judged independently.
@@ -15,6 +17,7 @@ patterns alone. Repeated rows are judged independently.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,37 +39,73 @@ def word_rule(word: str, verdict: str = "block") -> PatternRule:
     return PatternRule(rf"://([^/?#]*[.-])?{re.escape(word)}[.-]", (word,), verdict)
 
 
-def list_rule(line: str) -> PatternRule | None:
+#: Options of a list's line that a page's own address can meet, and what they ask for.
+PAGE_OPTIONS = frozenset(("all", "doc", "document", "popup", "first-party", "1p", "~third-party", "~3p", "important"))
+
+
+def list_rule(line: str) -> PatternRule | str | None:
     """One line of a filter list: `||host^` for a host and its subdomains, `|` for the URL's start or end, `^` for a separator, `*` for
-    anything, `@@` before a rule that allows; comments (!), headers and options ($) are not rules. None if the line is no rule or has
-    no literal token to be filed under.
+    anything, `/.../` for a regular expression, `@@` before a rule that allows, options after `$`. None for a blank line, a comment (!) or a header; a
+    string says why a rule is left out.
 
-    A token is needed only where nothing can extend it: both its neighbours in the rule are separators or the rule's anchors.
+    Options that a page's own address can meet are read (`important` makes a block that exceptions do not lift); a rule for other kinds of
+    request, for third parties or for pages of certain sites never meets one. A token is needed only where nothing can extend it: both its
+    neighbours in the rule are separators or the rule's anchors.
     """
     text = line.strip().lower()
-    if not text or text[0] in "![" or "$" in text or "##" in text:
+    if not text or text[0] in "![":
         return None
+    if any(mark in text for mark in ("##", "#@#", "#?#", "#$#")):
+        return "element rule"
     verdict, text = ("allow", text[2:]) if text.startswith("@@") else ("block", text)
+    if len(text) > 1 and text[0] == "/" and text.rstrip("/") != text and text.count("/") == 2:
+        return "regular expression"
+    if "$" in text:
+        text, _, options = text.rpartition("$")
+        named = {o.strip() for o in options.split(",")}
+        if not named <= PAGE_OPTIONS:
+            return "option " + min(o.partition("=")[0] for o in named - PAGE_OPTIONS)
+        if "important" in named and verdict == "block":
+            verdict = "important"
     head, text = (r"://([^/?#]*\.)?", text[2:]) if text.startswith("||") else ("^", text[1:]) if text.startswith("|") else ("", text)
     tail, text = ("$", text[:-1]) if text.endswith("|") else ("", text)
     parts = {"*": ".*", "^": r"(?:[^a-z0-9_.%-]|$)"}
     pattern = head + "".join(parts.get(c, re.escape(c)) for c in text) + tail
     open_ended = ("" if head else "*") + text + ("" if tail else "*")
     tokens = [m.group() for m in re.finditer("[a-z0-9]+", open_ended) if open_ended[m.start() - 1 : m.start()] != "*" and open_ended[m.end() : m.end() + 1] != "*"]
-    return PatternRule(pattern, tuple(tokens), verdict) if tokens else None
+    return PatternRule(pattern, tuple(tokens), verdict) if tokens else "no literal token"
+
 
+class FilterList(NamedTuple):
+    rules: tuple[PatternRule, ...]
+    left_out: dict[str, int]  # lines by the reason for which they are not read
 
-def list_rules(spark: SparkSession, path: str, most: int = 200_000) -> tuple[PatternRule, ...]:
+
+def list_rules(spark: SparkSession, path: str, most: int = 200_000) -> FilterList:
     """The rules of a filter list in a file that Spark can read. Rules are sent to every task, so a list of over `most` lines is refused."""
     lines = [r["value"] for r in spark.read.text(path).limit(most + 1).collect()]
     if len(lines) > most:
         raise ValueError(f"more than {most} rules")
-    return tuple(dict.fromkeys(r for r in map(list_rule, lines) if r))
+    found = [list_rule(x) for x in lines]
+    return FilterList(tuple(dict.fromkeys(r for r in found if isinstance(r, PatternRule))), dict(Counter(r for r in found if isinstance(r, str))))
+
+
+#: Words of hosts and paths that a corpus leaves out, where no filter list is given.
+BLOCKED_WORDS = tuple(
+    (
+        "adult bets betting bingo cams camgirls casino casinos doorway escort escorts fetish gambling hentai jackpot keygen lottery nsfw nude nudes "
+        "phishing pills poker porn porno pornos roulette sexcam slots spam sportsbet torrents viagra warez webcams xxx"
+    ).split()
+)
+
+
+def path_rule(word: str, verdict: str = "block") -> PatternRule:
+    """A rule on a whole segment of a path."""
+    return PatternRule(rf"://[^?#]*/{re.escape(word)}([/?#]|$)", (word,), verdict)
 
 
-#: Kinds of host and path that a corpus leaves out, where no filter list is given.
 PATTERN_RULES: tuple[PatternRule, ...] = (
-    *(word_rule(w) for w in ("adult", "bets", "casino", "porn", "spam", "xxx")),
+    *(rule(w) for w in BLOCKED_WORDS for rule in (word_rule, path_rule)),
     PatternRule(r"://[^?#]*/wp-login\.php", ("wp", "login"), "block"),
     PatternRule(r"://[^?#]*/(cart|checkout)/[^?#]*\?session=", ("session",), "block"),
 )
@@ -117,8 +156,8 @@ def rule_index(rules: tuple[PatternRule, ...], counts: dict[str, int]) -> dict[s
 
 
 def judge(urls: DataFrame, keep: tuple[str, ...] = ("page_id",), rules: tuple[PatternRule, ...] = PATTERN_RULES) -> DataFrame:
-    """`keep`, url, pattern_verdict (block if a fetched block rule matches, allow if an allow rule
-    does, else null) and fetched (how many rules' expressions ran)."""
+    """`keep`, url, pattern_verdict (block if a fetched important rule matches, else allow if an allow rule
+    does, else block if a block rule does, else null) and fetched (how many rules' expressions ran)."""
     index = rule_index(rules, token_counts(urls, frozenset(t for r in rules for t in r.tokens)))
     kept = urls.select(*keep, F.col("url").cast("string").alias("url"))
 
@@ -132,7 +171,7 @@ def judge(urls: DataFrame, keep: tuple[str, ...] = ("page_id",), rules: tuple[Pa
                 low = url.translate(upper)
                 own = [x for t in set(tokens(low)) if t in filed for x in filed[t]]
                 said = {verdict for pattern, verdict in own if pattern.search(low)}
-                verdicts.append("block" if "block" in said else "allow" if said else None)
+                verdicts.append("block" if "important" in said else "allow" if "allow" in said else "block" if said else None)
                 fetched.append(len(own))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(verdicts, pa.string()), pa.array(fetched, pa.int32())], names=[*keep, "url", "pattern_verdict", "fetched"])
 

@@ -1,5 +1,8 @@
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -58,6 +61,34 @@ def test_links_equal_brute_force(spark, chunk):
     assert got == {i: want.get(i, i) for i, _ in rows}
 
 
+def exact_pairs(sets, least):
+    """All pairs of distinct sets at `least` or more, by a prefix filter: of two such sets the rarest parts share a shingle."""
+    count = Counter(x for s in sets for x in s)
+    ordered = [sorted(s, key=lambda x: (count[x], x)) for s in sets]
+    filed, found = {}, set()
+    for i, own in enumerate(ordered):
+        met = set()
+        for x in own[: len(own) - math.ceil(least * len(own)) + 1]:
+            met.update(filed.setdefault(x, []))
+            filed[x].append(i)
+        found |= {(j, i) for j in met if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
+    return found
+
+
+@pytest.mark.parametrize("sf, least_pairs", [("sf0.01", 5), ("sf0.1", 40)])
+def test_recall_on_given_documents(spark, sf, least_pairs):
+    """Every pair of distinct shingle sets at 0.8 or more is in one component."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for x in docs.collect():
+        sets.setdefault(near_copies.shingle_set((x["text"] or "").encode()).tobytes(), x["doc_id"])
+    ids, keys = list(sets.values()), [frozenset(np.frombuffer(k, "<u8").tolist()) for k in sets]
+    pairs = exact_pairs(keys, 0.8)
+    assert len(pairs) >= least_pairs
+    component = {x["doc_id"]: x["component_id"] for x in near_copies.near_duplicates(docs).collect()}
+    assert all(component[ids[a]] == component[ids[b]] for a, b in pairs)
+
+
 def test_edge_rows(spark):
     rows = [(5, None), (2, ""), (9, " \n"), (3, "one two three four five"), (1, "ONE two  three four five"), (1, "ONE two  three four five"), (None, "another text")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -35,7 +35,7 @@ def test_run(spark, tmp_path):
 def test_stages_keep_the_columns(spark, tmp_path):
     tables(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_dedup", "decontamination", "bpe"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "bpe"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert decontam.WINDOW == 10
