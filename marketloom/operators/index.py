@@ -5,42 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.operators.stats import trimmed_mean, trimmed_mean_of_large
+from marketloom.operators.stats import join_same, trimmed_mean
 from marketloom.operators.windows import step_returns
-from marketloom.sources.io import settled
+from marketloom.sources.io import bounded, settled
 
 
-def level_returns(steps: DataFrame, fraction: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Trimmed mean step returns of the market (t, m), each category (c) and each group (g) at each t.
+LEVELS = ("market", "category", "group")
 
-    A date of the market or of a large category is too much for one task, so these go by cells of the return.
+
+def level_means(steps: DataFrame, fraction: float = 0.1, cell: float = 1e-3) -> DataFrame:
+    """(level, category, grp, t, mean): trimmed mean step returns of the market, each category and each group at each t at which any price was seen.
+
+    A date of the market is too much for one task, so all three levels go by cells of the return in one aggregate, which combines before the shuffle. Cells inside
+    the kept ranks give their sums; the two of each date that a cut runs through are ranked row by row.
     """
-    r = steps.where("r is not null").select("category", "grp", "t", "r")
-    return (
-        trimmed_mean_of_large(r, ["t"], "r", fraction, "m").drop("n"),
-        trimmed_mean_of_large(r, ["category", "t"], "r", fraction, "c").drop("n"),
-        trimmed_mean(r, ["category", "grp", "t"], "r", fraction, "g").drop("n"),
-    )
+    none = F.lit(None).cast("string")
+    category, grp = F.col("category").cast("string"), F.col("grp").cast("string")
+    each = [F.struct(F.lit(0).alias("level"), none.alias("category"), none.alias("grp")), F.struct(F.lit(1).alias("level"), category.alias("category"), none.alias("grp")), F.struct(F.lit(2).alias("level"), category.alias("category"), grp.alias("grp"))]
+    rows = steps.select(F.explode(F.array(*each)).alias("k"), "t", F.col("r").cast("double").alias("r")).select("k.level", "k.category", "k.grp", "t", "r", F.floor(F.col("r") / cell).alias("cell"))
+    keys = ["level", "category", "grp", "t"]
+    cells = rows.groupBy(*keys, "cell").agg(F.count("r").alias("c"), F.sum("r").alias("s"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+    w = Window.partitionBy(*keys)
+    placed = cells.withColumns({"n": F.sum("c").over(w), "b": F.sum("c").over(w.orderBy("cell")) - F.col("c")}).withColumn("cut", F.floor(F.col("n") * fraction))
+    take = F.greatest(F.lit(0), F.least(F.col("b") + F.col("c"), F.col("n") - F.col("cut")) - F.greatest("b", "cut"))
+    # which cells are split is read twice: for the sums, and for the rows that are ranked
+    placed = settled(placed.withColumn("take", take).withColumn("split", (F.col("take") > 0) & (F.col("take") < F.col("c")) & (F.col("lo") < F.col("hi"))))
+    whole = placed.select(*keys, F.when(F.col("split"), 0.0).when(F.col("take") == F.col("c"), F.col("s")).otherwise(F.col("take") * F.col("lo")).alias("x"), (F.col("n") - 2 * F.col("cut")).alias("kept"))
+    cut_cells = placed.where("split").select(*keys, "cell", "b", "cut", "n")
+    ranked = join_same(rows.where("r is not null"), cut_cells, [*keys, "cell"], "inner").withColumn("i", F.col("b") + F.row_number().over(Window.partitionBy(*keys, "cell").orderBy("r")) - 1)
+    inside = ranked.where((F.col("i") >= F.col("cut")) & (F.col("i") < F.col("n") - F.col("cut"))).select(*keys, F.col("r").alias("x"), (F.col("n") - 2 * F.col("cut")).alias("kept"))
+    means = whole.unionByName(inside).groupBy(*keys).agg((F.sum("x") / F.max(F.when(F.col("kept") > 0, F.col("kept")))).alias("mean"))
+    return means.withColumn("level", F.get(F.array(*[F.lit(x) for x in LEVELS]), F.col("level")))
 
 
 def index_levels(panel: DataFrame, keys: list[str], fraction: float = 0.1) -> DataFrame:
     """(level, category, grp, t, step, idx): cumulative market return, a category's excess over it, a group's over its category.
 
     A level has a row for each t at which any price was seen; without returns it carries its value, and a group starts at 0
-    when first seen. The steps are written once, as four aggregates read them; these share their exchanges. What follows the
-    trimmed means works on dates and groups only, never on series.
+    when first seen. The trimmed means of all levels are written once; what follows works on dates and groups only, never on series.
     """
-    steps = settled(step_returns(panel, keys).select("category", "grp", "t", "r"))
-    market, category, group = level_returns(steps, fraction)
-    seen = steps.groupBy("category", "grp", "t").agg(F.count("*").alias("n"))
-    # bounded by the dates of the panel
-    grid = F.broadcast(seen.select("t").distinct())
+    means = bounded(level_means(step_returns(panel, keys).select("category", "grp", "t", "r"), fraction))
+    of = lambda level, name, *own: means.where(F.col("level") == level).select(*own, "t", F.col("mean").alias(name))
+    market, category, group = of("market", "m"), of("category", "c", "category"), of("group", "g", "category", "grp")
+    grid = market.select("t")  # the dates of the panel
     none = F.lit(None).cast("string")
-    rows_m = grid.join(market, "t", "left").select(F.lit("market").alias("level"), none.alias("category"), none.alias("grp"), "t", F.coalesce("m", F.lit(0.0)).alias("step"))
-    cats = seen.select("category").distinct().join(grid)
-    rows_c = cats.join(category, ["category", "t"], "left").join(market, "t", "left").select(F.lit("category").alias("level"), "category", none.alias("grp"), "t", F.when(F.col("c").isNotNull(), F.col("c") - F.coalesce("m", F.lit(0.0))).otherwise(0.0).alias("step"))
-    first = seen.groupBy("category", "grp").agg(F.min("t").alias("t0")).join(grid).where("t >= t0").drop("t0")
-    rows_g = first.join(group, ["category", "grp", "t"], "left").join(category, ["category", "t"], "left").select(F.lit("group").alias("level"), "category", "grp", "t", F.when(F.col("g").isNotNull(), F.col("g") - F.coalesce("c", F.lit(0.0))).otherwise(0.0).alias("step"))
+    rows_m = market.select(F.lit("market").alias("level"), none.alias("category"), none.alias("grp"), "t", F.coalesce("m", F.lit(0.0)).alias("step"))
+    cats = join_same(category.select("category").distinct().join(grid), category, ["category", "t"]).join(market, "t", "left")
+    rows_c = cats.select(F.lit("category").alias("level"), "category", none.alias("grp"), "t", F.when(F.col("c").isNotNull(), F.col("c") - F.coalesce("m", F.lit(0.0))).otherwise(0.0).alias("step"))
+    first = group.groupBy("category", "grp").agg(F.min("t").alias("t0")).join(grid).where("t >= t0").drop("t0")
+    groups = join_same(join_same(first, group, ["category", "grp", "t"]), category, ["category", "t"])
+    rows_g = groups.select(F.lit("group").alias("level"), "category", "grp", "t", F.when(F.col("g").isNotNull(), F.col("g") - F.coalesce("c", F.lit(0.0))).otherwise(0.0).alias("step"))
     w = Window.partitionBy("level", "category", "grp").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     return rows_m.union(rows_c).union(rows_g).withColumn("idx", F.sum("step").over(w))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import array_median, shard_of
+from marketloom.operators.stats import join_same
+from marketloom.sources.io import bounded, settled
 
 SERIES = ["series"]
 
@@ -152,6 +155,68 @@ def ordered_set_hash(df: DataFrame, keys: list[str], line: Column, buckets: int
     return hashed.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__h"))), lambda x: x["__h"]), "\n"), 256).alias("set_hash"))
 
 
+def merkle_root(df: DataFrame, keys: list[str], line: Column, leaf_lines: int = 4096) -> DataFrame:
+    """(keys, root, n): a hash of each group's lines as a set with repeats, whatever their order and partitioning.
+
+    Equal lines are counted first. A tree takes shape by the first hexadecimal digits of the lines' SHA-256, as many as leave some leaf_lines distinct lines to a
+    leaf; a leaf is the SHA-256 over its sorted `hash count` lines, a node that over its sixteen children. No task holds more than a leaf or sixteen hashes.
+    """
+    own = df.select(*keys, F.sha2(line, 256).alias("__h")).groupBy(*keys, "__h").agg(F.count("*").alias("__c"))
+    own = settled(own)
+    sizes = own.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum("__c").alias("n"))
+    depth = F.greatest(F.lit(0), F.ceil(F.log(F.col("__n") / leaf_lines) / math.log(16))).cast("int")
+    sizes = bounded(sizes.withColumn("__d", depth).drop("__n"))
+    deepest = sizes.agg(F.max("__d")).first()[0] or 0
+    leaves = join_same(own, sizes, keys).select(*keys, "__d", F.substring("__h", F.lit(1), F.col("__d")).alias("__p"), F.concat_ws(" ", "__h", F.col("__c").cast("string")).alias("__l"))
+    over = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    nodes = leaves.groupBy(*keys, "__d", "__p").agg(over("__l").alias("__x"))
+    for level in range(deepest, 0, -1):
+        up = F.when(F.length("__p") == level, F.substring("__p", 1, level - 1)).otherwise(F.col("__p"))
+        at = F.when(F.length("__p") == level, F.concat_ws(" ", "__p", "__x")).otherwise(F.col("__x"))
+        # a node that is not of this level goes up as it is
+        nodes = nodes.select(*keys, up.alias("__u"), at.alias("__x"), (F.length("__p") == level).alias("__own")).groupBy(*keys, "__u").agg(F.when(F.max("__own"), over("__x")).otherwise(F.max("__x")).alias("__x")).withColumnRenamed("__u", "__p")
+    return join_same(nodes.select(*keys, F.col("__x").alias("root")), sizes.select(*keys, "n"), keys)
+
+
+def import_hashes(obs: DataFrame, series: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """(set, root, n) of an import packet: `series` (its distinct keys), `observations` (record hashes) and `dataset` (series and record hash)."""
+    of = lambda *columns: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    record = F.sha2(of(*keys, "observed_at", "price"), 256)
+    parts = {"series": (series.select(*keys).distinct(), of(*keys)), "observations": (obs, record), "dataset": (obs, F.concat_ws("|", F.sha2(of(*keys), 256), record))}
+    out = None
+    for name, (frame, line) in parts.items():
+        one = merkle_root(frame, [], line).select(F.lit(name).alias("set"), "root", "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def mapping_chains(mappings: DataFrame, row_id: str, successor: str, identity: Sequence[str] = ()) -> DataFrame:
+    """(id, head, steps, problems): for every mapping the one in force at the end of its chain of successors, and what is wrong with it.
+
+    Problems, as sorted codes: `cycle` (no end is ever reached; head is null), `fork` (several successors; the least is followed), `merged` (several mappings
+    name its successor), `missing_successor` (named, but not there; the chain ends before it), `identity_changed` (the successor differs in an identity column).
+    Pointers are doubled in each round, so a chain of n versions takes some log2(n) joins; the rounds end when no pointer moves, or when what still moves
+    can only be cycles. A null id is no mapping.
+    """
+    rows = mappings.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("id"), F.col(successor).alias("next"), F.xxhash64(*identity).alias("what") if identity else F.lit(0).cast("long").alias("what"))
+    ids = rows.groupBy("id").agg(F.count_distinct("next").alias("__out"), F.min("next").alias("next"), F.min("what").alias("what"))
+    named = rows.where("next is not null").select("id", "next").distinct().groupBy("next").agg(F.count("*").alias("__in"))
+    known = ids.select(F.col("id").alias("__id"), F.col("what").alias("__what"))
+    own = ids.join(known, F.col("next") == F.col("__id"), "left").join(named, "next", "left")
+    own = settled(own.select("id", "next", "__id", (F.col("__out") > 1).alias("fork"), (F.coalesce("__in", F.lit(0)) > 1).alias("merged"), (F.col("next").isNotNull() & F.col("__id").isNull()).alias("missing"), (F.col("what") != F.col("__what")).alias("changed")))
+    # an end points to itself in 0 steps
+    walk = settled(own.select("id", F.coalesce("__id", "id").alias("to"), F.col("__id").isNotNull().cast("long").alias("steps"), F.col("__id").isNull().alias("done")))
+    total = walk.count()
+    for _ in range(max(1, total).bit_length() + 1):
+        if walk.where("not done").limit(1).count() == 0:
+            break
+        ahead = walk.select(F.col("id").alias("__at"), F.col("to").alias("__to"), F.col("steps").alias("__steps"), F.col("done").alias("__done"))
+        walk = settled(walk.join(ahead, F.col("to") == F.col("__at")).select("id", F.col("__to").alias("to"), F.when(F.col("done"), F.col("steps")).otherwise(F.col("steps") + F.col("__steps")).alias("steps"), (F.col("done") | F.col("__done")).alias("done")))
+    codes = {"cycle": ~F.col("done"), "fork": F.col("fork"), "identity_changed": F.coalesce("changed", F.lit(False)), "merged": F.col("merged"), "missing_successor": F.col("missing")}
+    out = own.join(walk.select(F.col("id").alias("__at"), "to", "steps", "done"), F.col("id") == F.col("__at"))
+    return out.select("id", F.when(F.col("done"), F.col("to")).alias("head"), F.when(F.col("done"), F.col("steps")).alias("steps"), F.array_compact(F.array(*[F.when(t, c) for c, t in codes.items()])).alias("problems"))
+
+
 def latest_version(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("w")).select(*keys, *[F.col(f"w.{c}").alias(c) for c in rest])

@@ -107,3 +107,39 @@ def list_sets(spark: SparkSession, d: str) -> DataFrame:
 def union_codes(spark: SparkSession, d: str) -> DataFrame:
     codes = serve.union_codes(F.array("p_type", "p_brand"), F.when(F.col("p_size") % 2 == 0, F.array(F.col("p_brand"), F.lit("even"))))
     return b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(codes, ",").alias("codes"))
+
+
+_TREE = """n AS (SELECT {k} count(*) AS dn, sum(c) AS n FROM x {by}), d AS (SELECT {k} n, CAST(greatest(0, ceil(ln(dn / {leaf}.0) / ln(16))) AS INTEGER) AS d FROM n),
+lf AS (SELECT {xk} d, h[1:d] AS p, sha256(string_agg(h || ' ' || c, chr(10) ORDER BY h || ' ' || c)) AS x FROM x, d WHERE {same} GROUP BY ALL),
+l1 AS (SELECT {k} d, p, x FROM lf WHERE d = 1 UNION ALL SELECT {k} d, p[1:1], sha256(string_agg(p || ' ' || x, chr(10) ORDER BY p || ' ' || x)) FROM lf WHERE d = 2 GROUP BY {k} d, p[1:1]),
+rt AS (SELECT {k} x AS root FROM lf WHERE d = 0 UNION ALL SELECT {k2} sha256(string_agg(p || ' ' || x, chr(10) ORDER BY p || ' ' || x)) FROM l1 {by2})"""
+
+
+@query(f"""WITH o AS (SELECT o_custkey % 20 AS k, CAST(o_orderkey % 9000 AS VARCHAR) AS line FROM orders), x AS (SELECT k, sha256(line) AS h, count(*) AS c FROM o GROUP BY 1, 2),
+{_TREE.format(k="k,", by="GROUP BY 1", leaf=64, xk="x.k,", same="x.k = d.k", k2="k,", by2="GROUP BY 1")} SELECT rt.k, root, CAST(n AS BIGINT) AS n FROM rt JOIN d ON d.k = rt.k""")
+def merkle_root(spark: SparkSession, d: str) -> DataFrame:
+    o = b.table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("k"), (F.col("o_orderkey") % 9000).cast("string").alias("line"))
+    return pit.merkle_root(o, ["k"], F.col("line"), leaf_lines=64)
+
+
+@query(f"""WITH {b.OBS}, rec AS (SELECT sha256(CAST(series AS VARCHAR)) AS s, sha256(series || '|' || CAST(observed_at AS VARCHAR) || '|' || CAST(price AS VARCHAR)) AS r FROM obs),
+lines AS (SELECT 'series' AS "set", CAST(series AS VARCHAR) AS line FROM (SELECT DISTINCT series FROM obs) UNION ALL SELECT 'observations', r FROM rec UNION ALL SELECT 'dataset', s || '|' || r FROM rec),
+x AS (SELECT "set" AS k, sha256(line) AS h, count(*) AS c FROM lines GROUP BY 1, 2), {_TREE.format(k="k,", by="GROUP BY 1", leaf=4096, xk="x.k,", same="x.k = d.k", k2="k,", by2="GROUP BY 1")}
+SELECT rt.k AS "set", root, CAST(n AS BIGINT) AS n FROM rt JOIN d ON d.k = rt.k""")
+def import_hashes(spark: SparkSession, d: str) -> DataFrame:
+    o = b.observations(spark, d)
+    return pit.import_hashes(o, o.select("series"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT p_partkey AS id, p_type AS what, CASE WHEN p_partkey % 50 = 49 THEN p_partkey - 3 WHEN p_partkey % 10 < 7 THEN p_partkey + 1 + p_size % 3 END AS nxt FROM part UNION ALL SELECT p_partkey, p_type, p_partkey + 2 FROM part WHERE p_partkey % 97 = 0),
+i AS (SELECT id, min(nxt) AS nxt, min(what) AS what, count(DISTINCT nxt) AS outs FROM m GROUP BY 1), ind AS (SELECT nxt, count(DISTINCT id) AS ins FROM m WHERE nxt IS NOT NULL GROUP BY 1),
+f AS (SELECT i.*, t.id AS known, t.what AS twhat, ins FROM i LEFT JOIN i t ON t.id = i.nxt LEFT JOIN ind ON ind.nxt = i.nxt),
+w AS (SELECT id, id AS at_id, 0 AS steps FROM f UNION ALL SELECT w.id, f.known, steps + 1 FROM w JOIN f ON f.id = w.at_id WHERE f.known IS NOT NULL AND steps < 400),
+e AS (SELECT w.id, w.at_id AS head, steps FROM w JOIN f ON f.id = w.at_id WHERE f.known IS NULL)
+SELECT f.id, head, CAST(steps AS BIGINT) AS steps, array_to_string(list_filter([CASE WHEN e.id IS NULL THEN 'cycle' END, CASE WHEN outs > 1 THEN 'fork' END, CASE WHEN what <> twhat THEN 'identity_changed' END, CASE WHEN ins > 1 THEN 'merged' END, CASE WHEN f.nxt IS NOT NULL AND known IS NULL THEN 'missing_successor' END], lambda c: c IS NOT NULL), ',') AS problems
+FROM f LEFT JOIN e ON e.id = f.id""")
+def mapping_chains(spark: SparkSession, d: str) -> DataFrame:
+    k, p = F.col("p_partkey"), b.table(spark, d, "part")
+    nxt = F.when(k % 50 == 49, k - 3).when(k % 10 < 7, k + 1 + F.col("p_size") % 3)
+    m = p.select(k.alias("id"), nxt.alias("nxt"), F.col("p_type").alias("what")).union(p.where("p_partkey % 97 = 0").select(k, k + 2, F.col("p_type")))
+    return pit.mapping_chains(m, "id", "nxt", ["what"]).withColumn("problems", F.array_join("problems", ","))

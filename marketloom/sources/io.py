@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,8 +18,18 @@ MEMBER = "success boolean, results array<struct<productId:long,subTypeName:strin
 PATH = r"/(?:\w+=)?(\d{4}-\d{2}-\d{2})/(?:\w+=)?(\d+)/(?:\w+=)?(\d+)/[^/]+$"
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; on one machine, if none is named, a temporary one."""
+#: Folders that are in use, innermost last; the first is the application's own.
+_SPACES: list[tuple[str, str]] = []
+
+
+def _path(spark: SparkSession, folder: str) -> tuple[object, object]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _new_space(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; on one machine, if none is named, a temporary one. It is deleted when
+    the application ends, if not before."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -27,7 +38,33 @@ def work_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="marketloom-")
-    return f"{named}/work-{uuid.uuid4().hex}"
+    folder = f"{named}/work-{uuid.uuid4().hex}"
+    path, files = _path(spark, folder)
+    files.deleteOnExit(path)
+    return folder
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new name below the innermost work space, or the application's."""
+    app = spark.sparkContext.applicationId
+    _SPACES[:] = [x for x in _SPACES if x[0] == app]
+    if not _SPACES:
+        _SPACES.append((app, _new_space(spark)))
+    return f"{_SPACES[-1][1]}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def work_space(spark: SparkSession) -> Iterator[str]:
+    """What is written by `settled` inside is deleted at the end, so results have to be written or collected before: for applications that live long."""
+    work_folder(spark)  # the application's own comes first
+    folder = _new_space(spark)
+    _SPACES.append((spark.sparkContext.applicationId, folder))
+    try:
+        yield folder
+    finally:
+        _SPACES[:] = [x for x in _SPACES if x[1] != folder]
+        path, files = _path(spark, folder)
+        files.delete(path, True)
 
 
 def settled(df: DataFrame) -> DataFrame:
