@@ -12,6 +12,7 @@ from marketloom.plans import bindings as b
 from marketloom.plans.market_queries import outlier_status_sequential  # noqa: F401  the batch form, whose SQL the stream shares
 from marketloom.plans.registry import _SQL, query
 from marketloom.sources.io import work_folder
+from marketloom.sources.tables import BucketTable
 from marketloom.streaming import streams
 
 Sink = Callable[[DataFrame, int], None]
@@ -29,7 +30,7 @@ def _demand(stream: DataFrame) -> DataFrame:
     return stream.select(F.col("user_id").alias("user"), F.get_json_object("props", "$.k").cast("int").alias("variant"), F.try_element_at(kinds, "event_type").alias("kind"), F.col("ts").cast("timestamp").alias("at"))
 
 
-def _run(stream: DataFrame, sink: Callable[[SparkSession, str], Sink] | None = None, mode: str = "append", states: bool = False) -> DataFrame:
+def _run(stream: DataFrame, sink: Callable[[SparkSession, str], Sink] | None = None, mode: str = "append", states: bool = False, table: bool = False) -> DataFrame:
     """Run the stream to its end. Without a sink, each batch is a folder, which a repeated batch overwrites."""
     spark = stream.sparkSession
     folder = work_folder(spark)
@@ -46,13 +47,7 @@ def _run(stream: DataFrame, sink: Callable[[SparkSession, str], Sink] | None = N
     finally:
         if states:
             spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
-    return spark.read.parquet(f"{folder}/out")
-
-
-def _newest(versions: DataFrame) -> DataFrame:
-    """The rows of the newest version of an upsert sink's table."""
-    last = versions.agg(F.max("v")).first()[0]
-    return versions.where(F.col("v") == last).drop("v")
+    return BucketTable(spark, f"{folder}/out", []).read().drop("__bucket") if table else spark.read.parquet(f"{folder}/out")
 
 
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {n}" for n, k in demand.KINDS.items())
@@ -71,14 +66,15 @@ def eligible_demand_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {b.DEMAND} SELECT variant, CAST(date_trunc('week', ts) AS DATE) AS period, {_COUNTS}, CAST(count(DISTINCT "user") AS INTEGER) AS unique_users, count(DISTINCT "user") >= 15 AS privacy_threshold_met FROM demand GROUP BY 1, 2""")
 def weekly_demand_stream(spark: SparkSession, d: str) -> DataFrame:
-    table = _run(streams.weekly_demand(_demand(_source(spark, d)), threshold=15), lambda s, path: streams.upsert_sink(s, path, ["period", "variant"]), "update")
-    return _newest(table)
+    keys = ["period", "variant", "user"]
+    rows = _run(streams.weekly_user_demand(_demand(_source(spark, d))), lambda s, path: streams.upsert_sink(s, path, keys), "update", table=True)
+    return streams.weekly_counts(rows, threshold=15)
 
 
 @query(f"""WITH {b.DEMAND}, w AS (SELECT CAST(date_trunc('day', ts) AS DATE) + CAST(k AS INTEGER) AS until, variant, "user" FROM demand, generate_series(1, 7) g(k)) SELECT until, variant, count(*) AS events, CAST(count(DISTINCT "user") AS INTEGER) AS users FROM w GROUP BY 1, 2""")
 def sliding_velocity_stream(spark: SparkSession, d: str) -> DataFrame:
-    table = _run(streams.sliding_velocity(_demand(_source(spark, d))), lambda s, path: streams.upsert_sink(s, path, ["until", "variant"]), "update")
-    return _newest(table)
+    keys = ["until", "variant", "user"]
+    return streams.sliding_velocity(_run(streams.sliding_user_events(_demand(_source(spark, d))), lambda s, path: streams.upsert_sink(s, path, keys), "update", table=True))
 
 
 @query("SELECT DISTINCT user_id AS id FROM events")
@@ -117,5 +113,4 @@ def retention_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id AS key, max(ts) AS stamp FROM events GROUP BY 1")
 def archive_stream(spark: SparkSession, d: str) -> DataFrame:
-    table = _run(_source(spark, d).select(F.col("user_id").alias("key"), F.col("ts").alias("stamp")), lambda s, path: streams.ordered_sink(s, path, ["key"], "stamp"))
-    return _newest(table)
+    return _run(_source(spark, d).select(F.col("user_id").alias("key"), F.col("ts").alias("stamp")), lambda s, path: streams.ordered_sink(s, path, ["key"], "stamp"), table=True)

@@ -17,6 +17,7 @@ from marketloom.operators.demand import KINDS
 from marketloom.operators.merge import apply_if_newer
 from marketloom.operators.pit import gate
 from marketloom.operators.portfolio import ALERTS
+from marketloom.sources.tables import BucketTable, replace_rows
 
 
 def dedupe_demand(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
@@ -30,17 +31,27 @@ def eligible_demand(stream: DataFrame, excluded: DataFrame) -> DataFrame:
     return stream.join(excluded.select("user").distinct().withColumn("__x", F.lit(True)), "user", "left").where("__x is null").drop("__x")
 
 
-def weekly_demand(stream: DataFrame, threshold: int = 20, delay: str = "1 day") -> DataFrame:
-    """Monday-to-Sunday aggregates; distinct users exactly, as a set of the week's users of a variant."""
-    w = stream.withWatermark("at", delay).groupBy(F.window("at", "7 days", "7 days", "4 days"), "variant")
-    users = F.size(F.collect_set("user"))
-    return w.agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in KINDS.items()], users.alias("unique_users")).select(F.to_date("window.start").alias("period"), "variant", *KINDS, "unique_users", (F.col("unique_users") >= threshold).alias("privacy_threshold_met"))
+def weekly_user_demand(stream: DataFrame, delay: str = "1 day") -> DataFrame:
+    """(period, variant, user, a count of each kind) of Monday-to-Sunday weeks: a state row for each user, of constant size."""
+    w = stream.withWatermark("at", delay).groupBy(F.window("at", "7 days", "7 days", "4 days"), "variant", "user")
+    return w.agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in KINDS.items()]).select(F.to_date("window.start").alias("period"), "variant", "user", *KINDS)
 
 
-def sliding_velocity(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Events and distinct users (exactly, as a set) of each variant in the last seven days, moved on by a day."""
-    w = stream.withWatermark("at", delay).groupBy(F.window("at", "7 days", "1 day"), "variant")
-    return w.agg(F.count("*").alias("events"), F.size(F.collect_set("user")).alias("users")).select(F.to_date("window.end").alias("until"), "variant", "events", "users")
+def weekly_counts(rows: DataFrame, threshold: int = 20) -> DataFrame:
+    """The second step: (period, variant, counts, unique_users, privacy_threshold_met) of the newest rows of weekly_user_demand."""
+    users = F.count("*").cast("int")
+    return rows.groupBy("period", "variant").agg(*[F.sum(n).alias(n) for n in KINDS], users.alias("unique_users"), (users >= threshold).alias("privacy_threshold_met"))
+
+
+def sliding_user_events(stream: DataFrame, delay: str = "1 day") -> DataFrame:
+    """(until, variant, user, events) of the last seven days, moved on by a day: a state row for each user, of constant size."""
+    w = stream.withWatermark("at", delay).groupBy(F.window("at", "7 days", "1 day"), "variant", "user")
+    return w.agg(F.count("*").alias("events")).select(F.to_date("window.end").alias("until"), "variant", "user", "events")
+
+
+def sliding_velocity(rows: DataFrame) -> DataFrame:
+    """The second step: (until, variant, events, users) of the newest rows of sliding_user_events."""
+    return rows.groupBy("until", "variant").agg(F.sum("events").alias("events"), F.count("*").cast("int").alias("users"))
 
 
 class OutlierGate(StatefulProcessor):
@@ -127,18 +138,13 @@ def first_seen_stream(stream: DataFrame) -> DataFrame:
     return stream.dropDuplicates(["id"])
 
 
-def upsert_sink(spark: SparkSession, path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that replaces the keys' rows: each batch writes a new version folder, the latest is the table.
-
-    A batch that is run again writes the same version again, so a restart leaves no repeats.
-    """
+def upsert_sink(spark: SparkSession, path: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that replaces the keys' rows in a BucketTable: what is written follows the buckets that a batch touches, and
+    a batch that is run again leaves no repeats."""
+    table = BucketTable(spark, path, keys, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        now = batch
-        if batch_id > 0:
-            old = spark.read.parquet(f"{path}/v={batch_id - 1}")
-            now = old.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
-        now.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        table.apply(batch, batch_id, replace_rows(keys))
 
     return write
 
@@ -171,18 +177,19 @@ def retention_sink(spark: SparkSession, path: str, day: str, keep_days: int) ->
     return write
 
 
-def ordered_sink(spark: SparkSession, path: str, keys: list[str], stamp: str) -> Callable[[DataFrame, int], None]:
+def ordered_sink(spark: SparkSession, path: str, keys: list[str], stamp: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """As upsert_sink, but of each key only rows with a later stamp than the table's are applied, the newest of a batch: an
     arrival out of order is not applied."""
+    table = BucketTable(spark, path, keys, buckets)
+
+    def merge(old: DataFrame, change: DataFrame) -> DataFrame:
+        newer = apply_if_newer(old, change, keys, stamp)
+        return old.join(newer.select(*keys), keys, "left_anti").unionByName(newer)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rest = [c for c in batch.columns if c not in keys]
         own = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), stamp).alias("w")).select(*keys, *[F.col(f"w.{c}").alias(c) for c in rest])
-        if batch_id > 0:
-            old = spark.read.parquet(f"{path}/v={batch_id - 1}")
-            newer = apply_if_newer(old, own, keys, stamp)
-            own = old.join(newer.select(*keys), keys, "left_anti").unionByName(newer)
-        own.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        table.apply(own, batch_id, merge)
 
     return write
 

@@ -1,8 +1,11 @@
 import datetime as dt
+import glob
+import os
 
 import pytest
 
 from marketloom.operators import demand, pit
+from marketloom.sources.tables import BucketTable, replace_rows
 from marketloom.streaming import streams
 
 
@@ -25,7 +28,7 @@ def test_weekly_stream_equals_batch(spark, tmp_path):
     from pyspark.sql import functions as F
 
     e = ledger(spark)
-    got = run(spark, e, str(tmp_path), lambda s: streams.weekly_demand(s, threshold=2), "complete")
+    got = streams.weekly_counts(run(spark, e, str(tmp_path), streams.weekly_user_demand, "complete"), threshold=2)
     want = demand.demand_aggregate(e, e.limit(0).select("user"), F.to_date(F.date_trunc("week", "at")), 2)
     cols = ["variant", "period", "views", "watch_adds", "unique_users", "privacy_threshold_met"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
@@ -110,7 +113,29 @@ def test_upsert_sink_replaces_rows_and_can_be_run_again(spark, tmp_path):
     write(frame((1, "a"), (2, "b")), 0)
     for _ in range(2):
         write(frame((2, "c")), 1)
-    assert {(r["k"], r["v"]) for r in spark.read.parquet(f"{path}/v=1").collect()} == {(1, "a"), (2, "c")}
+    assert {(r["k"], r["v"]) for r in BucketTable(spark, path, ["k"]).read().collect()} == {(1, "a"), (2, "c")}
+
+
+def test_bucket_table_writes_what_a_batch_touches(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = BucketTable(spark, path, ["k"], buckets=16)
+    files = lambda: {f: os.path.getmtime(f) for f in glob.glob(f"{path}/data/*/*/*.parquet")}
+    want = {i: "old" for i in range(500)}
+    table.apply(spark.createDataFrame(list(want.items()), "k long, v string"), 0, replace_rows(["k"]))
+    first = files()
+    for version, keys in ((1, [3, 4]), (2, [5]), (2, [5]), (4, [3, 900])):  # version 2 twice, version 3 never came
+        assert table.apply(spark.createDataFrame([(k, f"v{version}") for k in keys], "k long, v string"), version, replace_rows(["k"])) <= 2
+        want |= {k: f"v{version}" for k in keys}
+        assert {r["k"]: r["v"] for r in table.read().collect()} == want and table.read().count() == len(want)
+        assert table.versions()[-1] == version and len(table.versions()) <= 2
+    assert len(files()) <= len(first) + 4 and len(set(files()) & set(first)) >= 10  # most buckets were never written again
+    before = table.read(table.versions()[-2])
+    assert before.count() == 500  # the version before can still be read
+    table.apply(spark.createDataFrame([], "k long, v string"), 5, replace_rows(["k"]))
+    assert table.read().count() == len(want)
+    table.apply(spark.createDataFrame([(7, "x")], "k long, v string"), 6, lambda old, change: old.where("k > 1000"))
+    assert table.read().where("k = 7").count() == 0
+    assert BucketTable(spark, str(tmp_path / "none"), ["k"]).read(schema="k long").count() == 0
 
 
 def test_archive_stream_handles_new_files_once(spark, tmp_path):
@@ -153,12 +178,12 @@ def test_ordered_sink_does_not_apply_older_rows(spark, tmp_path):
     write(frame((1, 5, "a"), (1, 7, "b"), (2, 1, "c")), 0)
     for _ in range(2):
         write(frame((1, 6, "old"), (2, 3, "d"), (3, 1, "e")), 1)
-    assert {(r["k"], r["v"]) for r in spark.read.parquet(f"{path}/v=1").collect()} == {(1, "b"), (2, "d"), (3, "e")}
+    assert {(r["k"], r["v"]) for r in BucketTable(spark, path, ["k"]).read().collect()} == {(1, "b"), (2, "d"), (3, "e")}
 
 
 def test_sliding_velocity_counts_users_exactly(spark, tmp_path):
     e = ledger(spark)
-    got = {(r["until"], r["variant"]): (r["events"], r["users"]) for r in run(spark, e, str(tmp_path), streams.sliding_velocity, "complete").collect()}
+    got = {(r["until"], r["variant"]): (r["events"], r["users"]) for r in streams.sliding_velocity(run(spark, e, str(tmp_path), streams.sliding_user_events, "complete")).collect()}
     want = {}
     for r in e.collect():
         for d in range(1, 8):
