@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +44,37 @@ def filter_sets(sets: DataFrame, query: str, least: float = 0.35) -> DataFrame:
     return sets.withColumn("score", score).where(F.col("score") >= least)
 
 
-def prefix_index(products: DataFrame, id_: str, name: str, shards: int = 64) -> DataFrame:
-    """(shard, prefix, id, name): a row for each prefix of a product, to be written by shard and sorted."""
-    return products.select(F.explode(card_prefixes(F.col(name))).alias("prefix"), id_, name).withColumn("shard", shard_of(F.col("prefix"), shards))
+def prefix_index(products: DataFrame, id_: str, name: str, shards: int = 64, category: str | None = None) -> DataFrame:
+    """(shard, prefix, id, name, and category if named): a row for each prefix of a product, to be written by write_prefix_index."""
+    kept = [id_, name, *([category] if category else [])]
+    return products.select(F.explode(card_prefixes(F.col(name))).alias("prefix"), *kept).withColumn("shard", shard_of(F.col("prefix"), shards))
+
+
+def write_prefix_index(index: DataFrame, path: str, name: str, category: str | None = None) -> None:
+    """The index as Parquet, a folder for each category and shard, sorted by prefix and name, so that a search reads one folder and few row groups of it."""
+    folders = [*([category] if category else []), "shard"]
+    index.repartition(*folders).sortWithinPartitions(*folders, "prefix", name).write.partitionBy(*folders).parquet(path)
 
 
-def prefix_search(index: DataFrame, query: str, id_: str, name: str, after: str | None = None, limit: int = 25) -> DataFrame:
-    """The first `limit` products by (name, id) after the cursor that contain the query; only its prefix's rows are read."""
+def prefix_search(index: DataFrame, query: str, id_: str, name: str, after: tuple[str, object] | None = None, limit: int = 25, category: tuple[str, object] | None = None, shards: int | None = None) -> DataFrame:
+    """The first `limit` products by (name, id) that contain the query, after the (name, id) at which the last page ended.
+
+    Only the rows of the query's first prefix are read; with `shards` (as the index was made) and category (column, value) only their folder.
+    A query of fewer than 3 or more than 120 characters is refused.
+    """
     text = " ".join(query.lower().split())
+    if not 3 <= len(text) <= 120:
+        raise ValueError("a query has 3 to 120 characters")
     first = next((t for t in text.split(" ") if len(t) >= 3), text)[:3]
-    found = index.where(F.col("prefix") == first).where(F.instr(query_norm(F.col(name)), text) > 0)
+    found = index.where(F.col("prefix") == first)
+    if shards is not None:
+        # taken here, so that the plan has a constant to choose folders by
+        found = found.where(F.col("shard") == int(hashlib.sha256(first.encode()).hexdigest()[:8], 16) % shards)
+    if category is not None:
+        found = found.where(F.col(category[0]) == category[1])
+    found = found.where(F.instr(query_norm(F.col(name)), text) > 0)
     if after is not None:
-        found = found.where(F.concat_ws("|", name, F.col(id_).cast("string")) > after)
+        found = found.where((F.col(name) > after[0]) | ((F.col(name) == after[0]) & (F.col(id_) > after[1])))
     return found.select(id_, name).distinct().orderBy(name, id_).limit(limit)
 
 

@@ -10,6 +10,7 @@ from marketloom.operators import ranking
 from marketloom.plans import bindings as b
 from marketloom.plans.market_queries import rounded
 from marketloom.plans.registry import query
+from marketloom.sources.io import work_folder
 
 _QN = "trim(regexp_replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g'))".format
 
@@ -186,6 +187,24 @@ def prefix_search(spark: SparkSession, d: str) -> DataFrame:
     return ranking.prefix_search(x, "red widget", "id", "name")
 
 
+@query("""WITH f AS (SELECT p_type AS category, p_partkey AS id, p_name AS name, row_number() OVER (PARTITION BY p_type ORDER BY p_name, p_partkey) AS r FROM part WHERE contains(lower(p_name), 'wid') AND p_type IN ('ECONOMY', 'SMALL'))
+SELECT category, CAST((r - 1) // 10 AS INTEGER) AS page, id, name FROM f WHERE r <= 30""")
+def prefix_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Three pages of ten in each of two categories, from the written index."""
+    folder = work_folder(spark)
+    x = ranking.prefix_index(b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("category")), "id", "name", 16, "category")
+    ranking.write_prefix_index(x, folder, "name", "category")
+    index, pages = spark.read.parquet(folder), []
+    for category in ("ECONOMY", "SMALL"):
+        after = None
+        for page in range(3):
+            # a page of ten is what a client holds
+            rows = ranking.prefix_search(index, "wid", "id", "name", after, 10, ("category", category), 16).collect()
+            pages += [(category, page, r["id"], r["name"]) for r in rows]
+            after = (rows[-1]["name"], rows[-1]["id"]) if rows else after
+    return spark.createDataFrame(pages, "category string, page int, id long, name string")
+
+
 @query("""WITH r AS (SELECT o_custkey AS custkey, o_orderkey AS orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY sha256(CAST(o_orderkey AS VARCHAR))) AS sample_rank FROM orders) SELECT * FROM r WHERE sample_rank <= 3""")
 def hash_sample(spark: SparkSession, d: str) -> DataFrame:
     o = b.table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"))
