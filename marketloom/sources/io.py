@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -176,25 +178,120 @@ def read_weekly_panel(spark: SparkSession, path: str, price: str = "price", wher
 
 def publish_grouped_documents(df: DataFrame, keys: list[str], order: list[str], payload: list[str], max_bytes: int = 131_072) -> DataFrame:
     """(keys, part, parts_total, rows, bytes, oversized, body): JSON documents of a group's rows in order, none over max_bytes
-    unless it is one row. A part closes when the next row would overflow it, by a fold over the group's row sizes."""
-    rows = df.select(*keys, F.struct(*order).alias("o"), F.to_json(F.struct(*payload)).alias("j"))
-    sized = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("o", (F.octet_length("j") + 1).alias("b"), "j"))).alias("r"))
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("parts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["used"] > 0) & (acc["used"] + x["b"] > max_bytes)
-        p = acc["p"] + F.when(over, 1).otherwise(0)
-        return F.struct(p.alias("p"), F.when(over, x["b"]).otherwise(acc["used"] + x["b"]).alias("used"), F.concat(acc["parts"], F.array(p)).alias("parts"))
-
-    parted = sized.select(*keys, "r", F.aggregate("r", start, step)["parts"].alias("parts"))
-    each = parted.select(*keys, (F.array_max("parts") + 1).alias("parts_total"), F.explode(F.arrays_zip("r", "parts")).alias("x"))
-    docs = each.groupBy(*keys, "parts_total", F.col("x.parts").alias("part")).agg(F.count("*").alias("rows"), F.sum("x.r.b").alias("bytes"), F.array_sort(F.collect_list(F.struct(F.col("x.r.o").alias("o"), F.col("x.r.j").alias("j")))).alias("d"))
+    unless it is one row. A part closes when the next row would overflow it.
+
+    Rows are dealt out by ranges of (keys, order), so a huge group is spread over tasks. Where a part ends depends on the bytes that the open part has when
+    a range begins; each range gives that as a function (carry_table), these are composed in order, and the ranges number their rows with the bytes they begin with. Only
+    the rows of one part come together, at most max_bytes or one row.
+    """
+    rows = df.select(*keys, F.struct(*order).alias("o"), F.to_json(F.struct(*payload)).alias("j")).withColumn("b", (F.octet_length("j") + 1).cast("long"))
+    by = [F.col(c).asc_nulls_first() for c in keys]
+    # rows that are equal in keys, order and size are dealt out together
+    ranged = rows.repartitionByRange(*by, "o", "b").sortWithinPartitions(*by, "o", "b", "j")
+    placed = settled(ranged.withColumns({"pid": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
+    runs = placed.groupBy(*keys, "pid").agg(F.min("place").alias("first"))
+    by_range = placed.select(*keys, "pid", "place", "b").repartition("pid").sortWithinPartitions("pid", "place")
+    kinds = {c: t for c, t in df.dtypes if c in keys}
+    own = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, sizes in _runs(batches, keys):
+            yield pd.DataFrame([[*key, *carry_table(np.array(sizes, np.int64), max_bytes)]], columns=[*keys, "pid", "bounds", "cuts", "left", "whole", "fresh_cuts", "fresh_left"])
+
+    functions = settled(by_range.mapInPandas(tables, f"{own}, pid int, bounds array<long>, cuts array<long>, left array<long>, whole long, fresh_cuts long, fresh_left long"))
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, part, used = None, 0, 0
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                key = tuple(None if pd.isna(x) else x for x in row[: len(keys)])
+                if key != now:
+                    now, part, used = key, 0, 0
+                out.append([*row[: len(keys) + 1], part, used])
+                more, used = carried(used, *row[len(keys) + 1 :])
+                part += more
+            yield pd.DataFrame(out, columns=[*keys, "pid", "part", "used"])
+
+    dealt = functions.repartition(*keys).sortWithinPartitions(*by, "pid")
+    entries = dealt.mapInPandas(compose, f"{own}, pid int, part long, used long")
+    # the state in which a range takes up a group goes before the group's first row in it
+    marked = join_on(entries, runs, [*keys, "pid"]).select(*keys, "pid", F.col("first").alias("place"), F.lit(-1).cast("long").alias("b"), "part", "used")
+    stream = placed.select(*keys, "pid", "place", "b", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("used")).unionByName(marked)
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = used = 0
+        for pdf in batches:
+            places, parts = [], []
+            for place, size, entry, taken in zip(pdf["place"], pdf["b"], pdf["part"], pdf["used"], strict=True):
+                if size < 0:
+                    part, used = entry, taken
+                    continue
+                if used and used + size > max_bytes:
+                    part, used = part + 1, 0
+                used += size
+                places.append(place)
+                parts.append(part)
+            yield pd.DataFrame({"place": places, "part": parts})
+
+    parts = stream.repartition("pid").sortWithinPartitions("pid", "place", "b").mapInPandas(number, "place long, part long")
+    docs = placed.join(parts, "place").groupBy(*keys, "part").agg(F.count("*").alias("rows"), F.sum("b").alias("bytes"), F.array_sort(F.collect_list(F.struct("o", "b", "j"))).alias("d"))
     body = F.concat(F.lit("["), F.array_join(F.transform("d", lambda x: x["j"]), ","), F.lit("]"))
-    return docs.select(*keys, "part", "parts_total", "rows", "bytes", (F.col("bytes") > max_bytes).alias("oversized"), body.alias("body"))
+    made = settled(docs.select(*keys, F.col("part").cast("int").alias("part"), "rows", "bytes", (F.col("bytes") > max_bytes).alias("oversized"), body.alias("body")))
+    totals = made.groupBy(*keys).agg((F.max("part") + 1).alias("parts_total"))
+    return join_on(made, totals, keys).select(*keys, "part", "parts_total", "rows", "bytes", "oversized", "body")
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """An inner join where all keys are the same, null with null."""
+    own = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = [left[k].eqNullSafe(own[f"__k_{k}"]) for k in keys]
+    return left.join(own, same).drop(*[f"__k_{k}" for k in keys])
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, list[int]]]:
+    """((keys, pid), sizes) of rows that come by pid and place."""
+    now, sizes = None, []
+    for pdf in batches:
+        for row in pdf[[*keys, "pid", "b"]].itertuples(index=False):
+            key = tuple(None if pd.isna(x) else x for x in row[:-1])
+            if key != now:
+                if sizes:
+                    yield now, sizes
+                now, sizes = key, []
+            sizes.append(row[-1])
+    if sizes:
+        yield now, sizes
+
+
+def carry_table(sizes: np.ndarray, most: int) -> tuple[list[int], list[int], list[int], int, int, int]:
+    """What a run of rows does to an open part, as a function of its bytes: (bounds, cuts, left, whole, fresh_cuts, fresh_left).
+
+    If the open part has more than bounds[i] bytes (the first such i), it closes before row i, and the run makes cuts[i] cuts in all and leaves left[i] bytes open. With no
+    such i it only grows by `whole`. An empty part gives the fresh values. After its first cut a run goes on in one way for each row, taken from the end.
+    """
+    n, ends = len(sizes), np.cumsum(sizes)
+    starts = ends - sizes
+    # of a part that begins with row i: the row that closes it
+    closing = np.maximum(np.searchsorted(ends, starts + most, "right"), np.arange(n) + 1)
+    cuts, left = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    for i in range(n - 1, -1, -1):
+        j = closing[i]
+        cuts[i], left[i] = (1 + cuts[j], left[j]) if j < n else (0, ends[-1] - starts[i])
+    reach = int(np.searchsorted(starts, most, "right"))  # a part that is open has a byte at least
+    return (most - ends[:reach]).tolist(), (1 + cuts[:reach]).tolist(), left[:reach].tolist(), int(ends[-1]), int(cuts[0]), int(left[0])
+
+
+def carried(used: int, bounds: Sequence[int], cuts: Sequence[int], left: Sequence[int], whole: int, fresh_cuts: int, fresh_left: int) -> tuple[int, int]:
+    """(cuts, bytes left open) after a run that begins with `used` bytes."""
+    if not used:
+        return fresh_cuts, fresh_left
+    over = np.flatnonzero(used > np.asarray(bounds))
+    return (cuts[over[0]], left[over[0]]) if len(over) else (0, used + whole)
 
 
-def publish_manifest(docs: DataFrame, keys: list[str], expected: DataFrame | None = None) -> DataFrame:
-    """Per group: status, parts, rows, bytes and a hash over the parts' hashes.
+def publish_manifest(docs: DataFrame, keys: list[str], expected: DataFrame | None = None, dates: DataFrame | None = None) -> DataFrame:
+    """Per group: status, parts, rows, bytes and a hash over the parts' hashes; with `dates` (keys, day) also first and last.
 
     `expected` (keys) names all groups that there are: those without documents are excluded, with no part. Otherwise all are published.
     """
@@ -203,6 +300,8 @@ def publish_manifest(docs: DataFrame, keys: list[str], expected: DataFrame | Non
     if expected is not None:
         zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("parts", "rows", "bytes")}
         own = expected.select(*keys).distinct().join(own, keys, "left").withColumns(zero)
+    if dates is not None:
+        own = own.join(dates.groupBy(*keys).agg(F.min("day").alias("first"), F.max("day").alias("last")), keys, "left")
     return own.withColumn("status", F.when(F.col("parts") > 0, "published").otherwise("excluded"))
 
 

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
+import random
 
+import numpy as np
 import pytest
 
 from marketloom.sources import io
@@ -117,3 +119,48 @@ def test_table_over_jdbc(spark, tmp_path):
     spark.range(100).selectExpr("id", "id * 2 as v").write.format("jdbc").options(url=url, dbtable="t", **driver).save()
     got = io.read_state_table(spark, url, "t", "id", 0, 100, parts=4, **driver)
     assert got.rdd.getNumPartitions() == 4 and got.agg({"v": "sum"}).first()[0] == 9900
+
+
+def folded(sizes, most):
+    """Parts by a fold over the rows."""
+    parts, part, used = [], 0, 0
+    for b in sizes:
+        if used and used + b > most:
+            part, used = part + 1, 0
+        used += b
+        parts.append(part)
+    return parts, used
+
+
+def test_runs_compose_to_the_fold():
+    r = random.Random(6)
+    for _ in range(300):
+        sizes, most = [r.choice([1, 5, 30, 90, 130]) for _ in range(r.randint(1, 60))], r.choice([60, 100, 131])
+        cuts = sorted(r.sample(range(1, len(sizes)), min(len(sizes) - 1, r.randint(0, 6))))
+        part = used = 0
+        for a, z in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+            more, used = io.carried(used, *io.carry_table(np.array(sizes[a:z]), most))
+            part += more
+        parts, left = folded(sizes, most)
+        assert (part, used) == (parts[-1], left)
+
+
+def test_a_huge_group_is_spread_and_cut_as_by_the_fold(spark):
+    r = random.Random(7)
+    rows = [("big", i, "x" * r.choice([3, 20, 60, 300])) for i in range(5_000)] + [(g, i, "y" * (i % 90)) for g in ("a", "b", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, id int, v string")
+    docs = io.publish_grouped_documents(df, ["g"], ["id"], ["id", "v"], max_bytes=200).collect()
+    got = {}
+    for x in docs:
+        assert x["rows"] == len(json.loads(x["body"])) and x["oversized"] == (x["bytes"] > 200)
+        got.setdefault(x["g"], {})[x["part"]] = [y["id"] for y in json.loads(x["body"])]
+        if x["oversized"]:
+            assert x["rows"] == 1
+    for g in ("big", "a", "b", None):
+        own = [x for x in rows if x[0] == g]
+        parts, _ = folded([len(json.dumps({"id": i, "v": v}, separators=(",", ":"))) + 1 for _, i, v in own], 200)
+        want = {}
+        for (_, i, _), p in zip(own, parts, strict=True):
+            want.setdefault(p, []).append(i)
+        assert got[g] == want and {x["parts_total"] for x in docs if x["g"] == g} == {len(want)}
+    assert io.publish_grouped_documents(df.where("false"), ["g"], ["id"], ["id", "v"]).count() == 0
