@@ -39,6 +39,61 @@ def forecast_availability(holdings: DataFrame, publications: DataFrame, least_ti
     return j.select("id", state.alias("availability"))
 
 
+def exact_availability(holdings: DataFrame, publications: DataFrame, horizon: int, identity: Sequence[str], currency: str, enabled: bool = True, least_tier: int = 4) -> DataFrame:
+    """(id, availability, horizons) of holdings (id, variant, manual, identity columns) at a horizon: the first reason that holds, limited, or available.
+
+    publications: variant, pub_currency, tier, limited, horizons (array of days), and the identity columns; the one whose identity is the
+    holding's own, all fields present, is taken. Where none is, the reason tells a field that is missing on the holding's side, or in every publication, from one that
+    differs. horizons lists what the taken publication offers.
+    """
+    own = holdings.select("id", "variant", "manual", *identity)
+    pub = publications.select(F.col("variant").alias("__v"), *[F.col(c).alias(f"__{c}") for c in identity], "pub_currency", "tier", "limited", F.array_sort("horizons").alias("horizons"))
+    same = F.col("variant") == F.col("__v")
+    for c in identity:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    there = publications.groupBy(F.col("variant").alias("__w")).agg(F.count("*").alias("__n"), *[F.count(c).alias(f"__n_{c}") for c in identity])
+    j = own.join(pub, same, "left").join(there, F.col("variant") == F.col("__w"), "left")
+    lacking = F.exists(F.array(*[F.col(c).isNull() | (F.coalesce(F.col(f"__n_{c}"), F.lit(0)) == 0) for c in identity]), lambda x: x)
+    state = (
+        F.when(F.lit(not enabled), "disabled")
+        .when(F.col("variant").isNull(), "unmatched")
+        .when(F.col("manual"), "manual")
+        .when(F.col("__n").isNull(), "no_publication")
+        .when(F.col("__v").isNull() & lacking, "identity_incomplete")
+        .when(F.col("__v").isNull(), "identity_differs")
+        .when(F.col("pub_currency") != currency, "currency_differs")
+        .when((F.col("tier") < least_tier) | (F.size("horizons") == 0), F.when(F.col("tier") < 2, "history_too_limited").otherwise("tier_too_low"))
+        .when(~F.array_contains("horizons", horizon), "horizon_not_published")
+        .when(F.col("limited"), "limited")
+        .otherwise("available")
+    )
+    return j.select("id", state.alias("availability"), F.coalesce("horizons", F.expr("cast(array() as array<int>)")).alias("horizons"))
+
+
+#: Labels of a confidence by the value from which they hold; none is `unknown`.
+CONFIDENCE_LABELS = ((float("-inf"), "insufficient"), (20, "low"), (40, "medium-low"), (60, "medium"), (80, "high"))
+
+
+def comparison_confidence(selection: DataFrame, metrics: DataFrame, key: str, confidences: Sequence[str], labels: Sequence[tuple[float, str]] = CONFIDENCE_LABELS, none: str = "unknown") -> DataFrame:
+    """(comparison, slot, key, confidence, label, confidence_differs): the least confidence that a slot's metrics have, its label (the last of `labels`, as
+    (from, label) in order, that it reaches), and whether a comparison of several slots has more than one label."""
+    least = F.array_min(F.array_compact(F.array(*[F.col(c).cast("double") for c in confidences])))
+    label = F.lit(none)
+    for bound, name in labels:
+        label = F.when(F.col("confidence") >= bound, name).otherwise(label)
+    j = selection.join(metrics, key).withColumn("confidence", least).withColumn("label", F.when(F.col("confidence").isNull(), none).otherwise(label))
+    w = Window.partitionBy("comparison")
+    differs = (F.count("*").over(w) > 1) & (F.size(F.collect_set("label").over(w)) > 1)
+    return j.select("comparison", "slot", key, "confidence", "label", differs.alias("confidence_differs"))
+
+
+def collection_freshness(holdings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, known, stale, latest_age, latest_state) of holdings (keys, manual, state, age_days): those without a manual value and with a known age."""
+    known = ~F.coalesce(F.col("manual"), F.lit(False)) & F.col("age_days").isNotNull()
+    g = holdings.groupBy(*keys).agg(F.count_if(known).alias("known"), F.count_if(known & (F.col("state") == "stale")).alias("stale"), F.min(F.when(known, F.struct("age_days", "state"))).alias("__l"))
+    return g.select(*keys, "known", "stale", F.col("__l.age_days").alias("latest_age"), F.coalesce("__l.state", F.lit("unknown")).alias("latest_state"))
+
+
 def support_tier_projection(df: DataFrame, columns: dict[str, int], tier: str = "tier") -> DataFrame:
     """df with each column null below the tier from which it is shown."""
     return df.withColumns({c: F.when(F.col(tier) >= t, F.col(c)) for c, t in columns.items()})

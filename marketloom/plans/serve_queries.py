@@ -152,3 +152,35 @@ def descriptive_candidate(spark: SparkSession, d: str) -> DataFrame:
     s = serve.descriptive_candidate(_snapshots(spark, d))
     return s.select("origin", "series", F.array_join("drivers", ",").alias("drivers"), F.array_join("reasons", ",").alias("reasons"))
 
+
+
+@query("""WITH h AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber <> 3 THEN l_partkey END AS variant, l_quantity < 3 AS manual, CASE WHEN l_linenumber <> 2 THEN l_returnflag END AS finish FROM lineitem),
+p AS (SELECT p_partkey AS variant, CASE WHEN p_size % 7 > 0 THEN ['A', 'N', 'R'][1 + p_size % 3] END AS finish, CASE WHEN p_size % 5 = 0 THEN 'EUR' ELSE 'USD' END AS pc, p_size % 8 AS tier, p_size > 40 AS limited, CASE WHEN p_size % 2 = 0 THEN 30 ELSE 90 END AS hz FROM part WHERE p_size > 5),
+n AS (SELECT variant, count(finish) AS named FROM p GROUP BY 1)
+SELECT id, CASE WHEN h.variant IS NULL THEN 'unmatched' WHEN manual THEN 'manual' WHEN n.variant IS NULL THEN 'no_publication' WHEN p.variant IS NULL AND (h.finish IS NULL OR named = 0) THEN 'identity_incomplete' WHEN p.variant IS NULL THEN 'identity_differs' WHEN pc <> 'USD' THEN 'currency_differs'
+WHEN tier < 2 THEN 'history_too_limited' WHEN tier < 4 THEN 'tier_too_low' WHEN hz <> 30 THEN 'horizon_not_published' WHEN limited THEN 'limited' ELSE 'available' END AS availability, coalesce(CAST(hz AS VARCHAR), '') AS horizons FROM h LEFT JOIN p ON h.variant = p.variant AND h.finish = p.finish LEFT JOIN n ON n.variant = h.variant""")
+def exact_availability(spark: SparkSession, d: str) -> DataFrame:
+    line, size = F.col("l_linenumber"), F.col("p_size")
+    h = b.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + line).alias("id"), F.when(line != 3, F.col("l_partkey")).alias("variant"), (F.col("l_quantity") < 3).alias("manual"), F.when(line != 2, F.col("l_returnflag")).alias("finish"))
+    finish = F.when(size % 7 > 0, F.get(F.array(F.lit("A"), F.lit("N"), F.lit("R")), size % 3))
+    p = b.table(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("variant"), finish.alias("finish"), F.when(size % 5 == 0, "EUR").otherwise("USD").alias("pub_currency"), (size % 8).alias("tier"), (size > 40).alias("limited"), F.array(F.when(size % 2 == 0, 30).otherwise(90)).alias("horizons"))
+    return serve.exact_availability(h, p, 30, ["finish"], "USD").withColumn("horizons", F.array_join(F.col("horizons").cast("array<string>"), ","))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS comparison, CAST(l_linenumber AS BIGINT) AS slot, min(l_partkey) AS k FROM lineitem GROUP BY 1, 2), m AS (SELECT p_partkey AS k, CASE WHEN p_size % 3 > 0 THEN p_size * 2.0 END AS a, CASE WHEN p_size % 4 > 0 THEN 100 - p_size * 1.0 END AS z FROM part),
+c AS (SELECT comparison, slot, s.k, CASE WHEN a IS NULL THEN z WHEN z IS NULL THEN a ELSE least(a, z) END AS confidence FROM s JOIN m ON s.k = m.k), l AS (SELECT *, CASE WHEN confidence >= 80 THEN 'high' WHEN confidence >= 60 THEN 'medium' WHEN confidence >= 40 THEN 'medium-low' WHEN confidence >= 20 THEN 'low' WHEN confidence IS NOT NULL THEN 'insufficient' ELSE 'unknown' END AS label FROM c),
+g AS (SELECT comparison, count(*) > 1 AND count(DISTINCT label) > 1 AS differs FROM l GROUP BY 1) SELECT l.comparison, slot, k, confidence + 0.0 AS confidence, label, differs AS confidence_differs FROM l JOIN g ON g.comparison = l.comparison""")
+def comparison_confidence(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size")
+    s = b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("comparison"), F.col("l_linenumber").cast("long").alias("slot")).agg(F.min("l_partkey").alias("k"))
+    m = b.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.when(size % 3 > 0, size * 2.0).alias("a"), F.when(size % 4 > 0, 100 - size * 1.0).alias("z"))
+    return serve.comparison_confidence(s, m, "k", ["a", "z"])
+
+
+@query("""WITH x AS (SELECT o_custkey AS owner, o_orderkey % 9 = 0 AS manual, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 40 / 2.0 END AS age FROM orders), y AS (SELECT *, CASE WHEN age IS NULL THEN 'unknown' WHEN age < 1 THEN 'today' WHEN age <= 7 THEN 'recent' ELSE 'stale' END AS state FROM x)
+SELECT owner, count(age) FILTER (WHERE NOT manual) AS known, count(*) FILTER (WHERE NOT manual AND state = 'stale') AS stale, round(min(age) FILTER (WHERE NOT manual), 6) + 0.0 AS latest_age, coalesce(arg_min(state, age) FILTER (WHERE NOT manual AND age IS NOT NULL), 'unknown') AS latest_state FROM y GROUP BY 1""")
+def collection_freshness(spark: SparkSession, d: str) -> DataFrame:
+    k, age = F.col("o_orderkey"), F.col("age_days")
+    x = b.table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), (k % 9 == 0).alias("manual"), F.when(k % 4 > 0, k % 40 / 2.0).alias("age_days"))
+    x = x.withColumn("state", F.when(age.isNull(), "unknown").when(age < 1, "today").when(age <= 7, "recent").otherwise("stale"))
+    return rounded(serve.collection_freshness(x, ["owner"]))
