@@ -274,6 +274,32 @@ def test_counterfactuals_free_identity_terms(spark):
     assert fair.score("the muslim word1 word2") < toxicity.THRESHOLD
 
 
+def test_scores_and_fit_equal_their_definitions(spark):
+    """Every score of the query by the model's definition, and the fit at a point where the written-out loss has no slope."""
+    rows, labels = corpus(random.Random(8), 700, ["idiot", "moron"], "muslim")
+    docs, lab = frame(spark, rows), frame(spark, labels, "doc_id long, toxic int")
+    learnt = lab.where(~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.train(docs, learnt, steps=4000)
+    scored = {x["doc_id"]: x["score"] for x in toxicity.score(docs, model).collect()}
+
+    def features(text):
+        words = set(toxicity.words_of(text.lower()))
+        return words | {w[:n] + "*" for w in words for n in toxicity.PREFIXES if len(w) > n}
+
+    odds = lambda found: 1 / (1 + math.exp(-(model.intercept + sum(model.weights.get(f, 0.0) for f in found))))
+    texts = {i: t for i, t, *_ in rows}
+    assert all(scored[i] == pytest.approx(odds(features(t or ""))) for i, t in texts.items())
+    truth = {x["doc_id"]: x["toxic"] for x in learnt.collect()}
+    every = [(features(texts[i]), y) for i, y in truth.items()]
+    swapped = [(features(texts[i]), features(" ".join(toxicity.SWAP.get(w, w) for w in toxicity.words_of(texts[i].lower())))) for i in truth if set(toxicity.words_of(texts[i].lower())) & set(toxicity.SWAP)]
+    for f in sorted(model.weights, key=lambda f: -abs(model.weights[f]))[:12]:
+        slope = sum((odds(x) - y) for x, y in every if f in x) / len(every) + 2 * toxicity.RIDGE * model.weights[f]
+        for own, other in swapped:
+            change = sum(model.weights.get(x, 0.0) for x in own) - sum(model.weights.get(x, 0.0) for x in other)
+            slope += 2 * toxicity.COUNTERFACTUAL / len(swapped) * change * ((f in own) - (f in other))
+        assert abs(slope) < 1e-2, (f, slope)  # the last steps of the descent still sway
+
+
 def test_toxicity_edge_rows(spark):
     docs = frame(spark, [(1, None, 0.5), (2, "", 0.5), (None, "x", 0.5), (3, "x" * 200_000, 0.5), (3, "x" * 200_000, 0.5)], "doc_id long, text string, score double")
     lab = frame(spark, [(1, 1), (2, None), (None, 1), (77, 0)], "doc_id long, toxic int")
