@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import map_arrow, slices, strings
+from marketloom.llm.common import cut, map_arrow, slices, strings
 
 MARK = "▁"
 
@@ -154,7 +154,7 @@ def frequent(texts: DataFrame, model: str, share: float = SHARE) -> dict[str, in
         kept = {w: n for w, n in found.items() if n >= share * total and len(w) <= LONGEST}
         yield pa.RecordBatch.from_arrays([pa.array(["", *kept], pa.string()), pa.array([total, *kept.values()], pa.int64()), pa.array([True] + [False] * len(kept))], names=["word", "n", "every"])
 
-    counts = map_arrow(texts, run, "word string, n long, every boolean").groupBy("every", "word").agg(F.sum("n").alias("n"))
+    counts = cut(map_arrow(texts, run, "word string, n long, every boolean").groupBy("every", "word").agg(F.sum("n").alias("n")))
     # one row holds the number of all pre-tokens; words under the share are left behind on the executors
     whole = F.sum(F.when(F.col("every"), F.col("n")))
     rows = counts.withColumn("whole", F.lit(counts.agg(whole).first()[0] or 0)).where(~F.col("every") & (F.col("n") >= F.col("whole") * share)).select("word").collect()
