@@ -104,8 +104,8 @@ def quantiles_of_large(df: DataFrame, keys: Sequence[str], wanted: dict[str, tup
         each = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), c.cast("double").alias("v")) for k, (_, c) in enumerate(values)]))
         rows = df.select(*keys, each.alias("__x")).select(*keys, F.col("__x.of").alias("__of"), F.col("__x.v").alias("__v"))
     rows = rows.where("__v is not null and not isnan(__v)")
-    # grows with the value, and keeps the order of values of both signs
-    rows = rows.withColumn("__cell", F.floor(F.asinh(F.col("__v") * 1e6) * steps))
+    # grows with the value, and keeps the order of values of both signs: of the absolute value, as the logarithm behind asinh cancels below zero
+    rows = rows.withColumn("__cell", F.floor(F.signum("__v") * F.asinh(F.abs("__v") * 1e6) * steps))
     group = [*keys, "__of"]
     cells = rows.groupBy(*group, "__cell").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     w = Window.partitionBy(*group)
@@ -120,7 +120,13 @@ def quantiles_of_large(df: DataFrame, keys: Sequence[str], wanted: dict[str, tup
     found = even.unionByName(ranked.where(F.array_contains("__ranks", F.col("__r"))).select(*group, "__n", "__r", "__v"))
     pick = lambda own, r: F.max(F.when(own & (F.col("__r") == r.cast("long")), F.col("__v")))
     out = found.groupBy(*keys).agg(*[x for q, (own, a) in at.items() for x in (pick(own, F.floor(a)).alias(f"__a_{q}"), pick(own, F.ceil(a)).alias(f"__b_{q}"), F.max(F.when(own, a - F.floor(a))).alias(f"__f_{q}"))])
-    return out.select(*keys, *[(F.col(f"__a_{q}") + (F.col(f"__b_{q}") - F.col(f"__a_{q}")) * F.col(f"__f_{q}")).alias(q) for q in at])
+    return out.select(*keys, *[_between(F.col(f"__a_{q}"), F.col(f"__b_{q}"), F.col(f"__f_{q}")).alias(q) for q in at])
+
+
+def _between(a: Column, b: Column, share: Column) -> Column:
+    """The value at a share of the way from a to b; either may be infinite."""
+    infinite = (F.abs(a) == float("inf")) | (F.abs(b) == float("inf"))
+    return F.when((share == 0) | (a == b), a).when(infinite, a * (1 - share) + b * share).otherwise(a + (b - a) * share)
 
 
 def lower_percentile(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:

@@ -164,3 +164,14 @@ def test_outlier_gate_with_revisions_and_late_points(spark, gate, sequential):
     want = brute_gate(rows, sequential)
     assert "outlier" in want.values()
     assert {x["id"]: x["status"] for x in gate(obs).select("id", "status").collect()} == want
+
+
+def test_quantiles_of_large_below_zero_and_infinite(spark):
+    r = random.Random(5)
+    values = [-(10 ** r.uniform(0, 4)) for _ in range(4000)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", -math.inf), ("b", 1.0), ("b", 2.0), ("c", -math.inf), ("c", -math.inf)], "k string, v double")
+    got = {x["k"]: x for x in stats.quantile_of_large(df, ["k"], "v", {"lo": 0.1, "mid": 0.5}).collect()}
+    values.sort()
+    at = lambda p: values[int(p * 3999)] + (values[int(p * 3999) + 1] - values[int(p * 3999)]) * (p * 3999 - int(p * 3999))
+    assert got["a"]["lo"] == pytest.approx(at(0.1), rel=1e-12) and got["a"]["mid"] == pytest.approx(at(0.5), rel=1e-12)
+    assert (got["b"]["lo"], got["b"]["mid"], got["c"]["mid"]) == (-math.inf, 1.0, -math.inf)
