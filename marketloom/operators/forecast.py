@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.scalars import array_median, clamp
+from marketloom.functions.scalars import array_median, clamp, log_ratio
 from marketloom.operators.index import cohort_return
 from marketloom.operators.stats import join_same, quantile_of_large, tercile_bucket, trimmed_mean_of_large
 from marketloom.operators.windows import smoothed
@@ -20,13 +20,13 @@ MAD_FLOOR = 1e-4
 
 
 def baselines(df: DataFrame, keys: list[str], horizon_days: int, damping: float = 0.25) -> DataFrame:
-    """(keys, baseline, log_return, price) in long form. df: price, slope, market_slope, cohort, structural."""
+    """(keys, baseline, log_return, price) in long form. df: price, slope, market_slope, cohort, structural. Equal prices have no gap, also where both are zero."""
     names = {
         "no_change": F.lit(0.0),
         "damped_momentum": F.col("slope") * horizon_days * damping,
         "market_index": F.col("market_slope") * horizon_days * damping,
         "lifecycle_cohort": F.col("cohort"),
-        "structural_convergence": F.log(F.col("structural") / F.col("price")) * damping,
+        "structural_convergence": F.when(F.col("structural") == F.col("price"), 0.0).otherwise(log_ratio(F.col("structural"), F.col("price"))) * damping,
     }
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("baseline"), clamp(x, -CAP, CAP).alias("log_return")) for n, x in names.items()]))
     return df.select(*keys, "price", rows.alias("b")).select(*keys, "b.baseline", "b.log_return", (F.col("price") * F.exp("b.log_return")).alias("price"))

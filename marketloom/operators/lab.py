@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.scalars import array_median, clamp, fold_of, freshness_score, normal_cdf
+from marketloom.functions.scalars import array_median, clamp, fold_of, freshness_score, ln, log_ratio, normal_cdf, ratio
 from marketloom.operators.forecast import origin_parts
 from marketloom.operators.market import Z
 from marketloom.operators.pit import point_in_time_many
@@ -22,13 +22,14 @@ QUANTILES = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
 def trend_snapshot(obs: DataFrame, origins: DataFrame, keys: list[str], max_lag_days: float = 3.0, floor: float = 1e-6, least: int = 7, least_quality: float = 0.5) -> DataFrame:
     """One row for each (origin, series): returns, robust slopes, volatility, drawdown, density, quality and state.
 
+    A price of zero has the logarithm minus infinity and counts as such in slopes, steps and drawdown.
     All windows hang on the series' latest point known at the origin. Points of a series are few at each origin (a
     window of at most 180 days is squared for no more than 90 days), so they are folded as sorted arrays after one shuffle.
     """
     own = ["origin", *keys]
     known = point_in_time_many(obs, origins, keys)
     t = F.unix_micros("observed_at") / 1e6 / DAY
-    series = known.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), F.log("price").alias("y"), F.col("quality").alias("q"), F.col("price").cast("double").alias("v")))).alias("p"))
+    series = known.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), ln(F.col("price")).alias("y"), F.col("quality").alias("q"), F.col("price").cast("double").alias("v")))).alias("p"))
     last = F.try_element_at("p", F.lit(-1))
     series = series.withColumn("last", last).withColumns({f"p{d}": F.expr(f"filter(p, x -> x.t >= last.t - {d})") for d in (30, 90, 180)})
 
@@ -47,7 +48,7 @@ def trend_snapshot(obs: DataFrame, origins: DataFrame, keys: list[str], max_lag_
         ref = back(h)
         return F.when(F.col("last.t") - h - ref["t"] <= max_lag_days, F.col("last.y") - ref["y"])
 
-    drawdown = F.expr("aggregate(p180, struct(cast(-1e300 as double) as peak, cast(0 as double) as d), (s, x) -> struct(greatest(s.peak, x.y) as peak, greatest(s.d, 1 - exp(x.y - greatest(s.peak, x.y))) as d), s -> s.d)")
+    drawdown = F.expr("aggregate(p180, struct(cast('-Infinity' as double) as peak, cast(0 as double) as d), (s, x) -> struct(greatest(s.peak, x.y) as peak, greatest(s.d, 1 - exp(x.y - greatest(s.peak, x.y))) as d), s -> s.d)")
     density = F.least(F.lit(1.0), F.expr("size(array_distinct(transform(p90, x -> floor(x.t))))") / (F.floor(F.col("last.t")) - F.floor(F.col("last.t") - 90) + 1))
     out = series.select(
         *own,
@@ -81,7 +82,7 @@ def forecast_cells(snapshots: DataFrame, realized: DataFrame, keys: list[str], h
     c = snapshots.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("matures", F.date_add(F.to_date("origin"), F.col("horizon")))
     j = c.join(realized.select(*keys, "matures", "realized"), [*keys, "matures"], "left")
     state = F.when(F.col("observations_90d") < least, "feature_abstained").when(F.col("matures") > as_of, "open").when(F.col("realized").isNull(), "unscorable").otherwise("scored")
-    return j.withColumn("cell", state).withColumn("realized_return", F.when(F.col("cell") == "scored", F.log(F.col("realized") / F.col("current_price"))))
+    return j.withColumn("cell", state).withColumn("realized_return", F.when(F.col("cell") == "scored", log_ratio(F.col("realized"), F.col("current_price"))))
 
 
 def coverage_contract(cells: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -133,8 +134,8 @@ def watch_candidates(forecasts: DataFrame, costs: DataFrame, keys: list[str], le
     all_in = F.col("price") * (1 + F.col("tax")) + F.col("shipping")
     net = lambda q: (F.col(q) * (1 - F.col("fee_rate")) - F.col("exit_fixed")) / all_in - 1
     even = (all_in + F.col("exit_fixed")) / (1 - F.col("fee_rate"))
-    sigma = F.log(F.col("q90") / F.col("q10")) / (2 * Z["q90"])
-    positive = 1 - normal_cdf((F.log(even) - F.log("q50")) / sigma)
+    sigma = log_ratio(F.col("q90"), F.col("q10")) / (2 * Z["q90"])
+    positive = 1 - normal_cdf(ratio(F.log(even) - ln(F.col("q50")), sigma))
     reasons = F.array_compact(F.array(F.when(net("q25") <= 0, "conservative_net_return_not_positive"), F.when(positive < least_probability, "net_probability_below_threshold")))
     out = j.select(*keys, all_in.alias("all_in"), even.alias("break_even"), net("q25").alias("conservative_roi"), net("q50").alias("median_roi"), positive.alias("probability_net_positive"), reasons.alias("reasons"))
     return out.withColumn("status", F.when(F.size("reasons") == 0, "watch_candidate").otherwise("not_selected"))

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions.scalars import clamp, normal_cdf
+from marketloom.functions.scalars import clamp, ln, log_ratio, normal_cdf
 from marketloom.operators import evaluate, lab
 from marketloom.operators.evaluate import REQUIRED_BASELINES
 from marketloom.operators.stats import join_same, quantiles_of_large
@@ -33,7 +33,7 @@ def with_baselines(cells: DataFrame, members: DataFrame | None, keys: list[str],
     else:
         own = members.select(*keys, F.col("cohort").cast("string").alias("cohort"))
         known = join_same(one, own, keys).where("cohort is not null")
-        typical = bounded(quantiles_of_large(known, ["origin", "cohort"], {"__cohort": ("slope_90d", 0.5), "__worth": (F.log("current_price"), 0.5)}))
+        typical = bounded(quantiles_of_large(known, ["origin", "cohort"], {"__cohort": ("slope_90d", 0.5), "__worth": (ln(F.col("current_price")), 0.5)}))
         out = join_same(join_same(out, own, keys), typical, ["origin", "cohort"])
     h = F.col("horizon")
     returns = {
@@ -41,7 +41,7 @@ def with_baselines(cells: DataFrame, members: DataFrame | None, keys: list[str],
         "damped_momentum": F.coalesce("slope_90d", F.lit(0.0)) * h * damping,
         "market_index": F.col("__market") * h * damping,
         "lifecycle_cohort": F.col("__cohort") * h,
-        "structural_convergence": (F.col("__worth") - F.log("current_price")) * damping,
+        "structural_convergence": (F.col("__worth") - ln(F.col("current_price"))) * damping,
     }
     return out.withColumns({name: F.when(r.isNotNull(), clamp(r, -MOST_RETURN, MOST_RETURN)) for name, r in returns.items()}).drop("__market", "__cohort", "__worth")
 
@@ -54,7 +54,7 @@ def probability_up(move: Column, sigma: Column) -> Column:
 def lifts(cases: DataFrame, by: Sequence[str], names: Sequence[str], seed: str, samples: int, level: float, cluster: str = "origin") -> DataFrame:
     """(by, lift_<name>, lower_<name> for each name): lift over each baseline price, null where a case lacks it, and its lower bound
     over samples of whole clusters, null with fewer than two."""
-    error = lambda c: F.abs(F.log(F.col(c) / F.col("realized")))
+    error = lambda c: F.abs(log_ratio(F.col(c), F.col("realized")))
     whole = cases.groupBy(*by).agg(*[F.when((F.count(n) == F.count("*")) & (F.avg(error(n)) > 0), 1 - F.avg(error("predicted")) / F.avg(error(n))).alias(f"lift_{n}") for n in names])
     bounds = evaluate.cluster_bootstrap(cases, names, cluster, seed, samples, level, by).where("clusters > 1")
     wide = bounds.groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("lower"))).alias(f"lower_{n}") for n in names])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.functions.scalars import ln
 from marketloom.operators import evaluate, forecast, lab, walks
 from marketloom.operators.evaluate import REQUIRED_BASELINES
 from marketloom.plans import bindings as b
@@ -122,7 +123,7 @@ def _ensemble_cells(spark: SparkSession, d: str) -> DataFrame:
 def ensemble_forecast(spark: SparkSession, d: str) -> DataFrame:
     c = settled(_ensemble_cells(spark, d))
     f = lab.ensemble_forecast(c, c, ["series"], REQUIRED_BASELINES, least_quality=0.1)
-    return rounded(f.select("series", "origin", "horizon", *[F.log(q).alias(f"log_{q}") for q in forecast.QUANTILES], "probability_up", "status"))
+    return rounded(f.select("series", "origin", "horizon", *[ln(F.col(q)).alias(f"log_{q}") for q in forecast.QUANTILES], "probability_up", "status"))
 
 
 @query(f"""WITH {_SNAP}, {_ENSEMBLE}, mt AS (SELECT *, cur AS current, q50 AS predicted FROM fc WHERE n >= 7 AND matures <= DATE '{_AS_OF}' AND realized IS NOT NULL), ct AS (SELECT horizon, count(*) AS forecasts, count(*) FILTER (WHERE status <> 'research_only') AS quarantined FROM mt GROUP BY 1),

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import evaluate, forecast, walks
+from marketloom.operators import evaluate, forecast, lab, walks
 
 OBS = "series long, observed_at timestamp, available_at timestamp, price double, quality double, id long"
 START = datetime.datetime(2024, 1, 1)
@@ -101,3 +101,21 @@ def test_shadow_report(spark):
     small = walks.ShadowPolicy(cases=5, series=5, cohorts=2, spaced_origins=1, calibration_cases=5, cost_cases=5, pocket_cases=5)
     y = walks.shadow_walk_forward(cells, ["series"], members, costs, policy=small, least_quality=0.1).first()
     assert y["cost_cases"] == y["n"] and y["pocket_cases"] > 0 and y["pocket_positive"] > 0.9 and "missing_after_cost_evidence" not in y["reasons"]
+
+
+def test_a_price_of_zero_is_minus_infinity_and_no_error(spark):
+    prices = [10.0, 0.0, 12.0, 11.0, 13.0, 12.0, 14.0, 0.0]
+    rows = [(1, START + datetime.timedelta(days=d), START + datetime.timedelta(days=d), p, 0.9, d) for d, p in enumerate(prices)] + [(1, START + datetime.timedelta(days=9), START + datetime.timedelta(days=9), 5.0, 0.9, 9)]
+    obs, at = spark.createDataFrame(rows, OBS), START + datetime.timedelta(days=7)
+    snaps = lab.trend_snapshot(obs, spark.createDataFrame([(at,)], "origin timestamp"), ["series"])
+    s = snaps.first()
+    y = [math.log(p) if p else -math.inf for p in prices]
+    slopes = sorted(x for x in ((y[j] - y[i]) / (j - i) for i in range(8) for j in range(i + 1, 8)) if not math.isnan(x))
+    assert len(slopes) == 27 and s["slope_90d"] == pytest.approx((slopes[13] + slopes[14]) / 2) and s["max_drawdown_180d"] == 1.0  # the NaN comes last
+    real = evaluate.realized_price(obs, spark.createDataFrame([(1, (at + datetime.timedelta(days=2)).date())], "series long, matures date"), ["series"], 1)
+    cell = lab.forecast_cells(snaps, real, ["series"], [2], F.lit("2024-02-01").cast("date")).first()
+    assert cell["cell"] == "scored" and cell["realized_return"] == math.inf
+    case = spark.createDataFrame([("a", 0.0, 0.0, 5.0), ("a", 5.0, 5.0, 5.0)], "origin string, predicted double, x double, realized double")
+    assert walks.lifts(case, ["origin"], ["x"], "s", 2, 0.9).count() == 1
+    base = {r["baseline"]: r for r in forecast.baselines(spark.createDataFrame([(1, 0.0, 0.1, 0.0, 0.0, 0.0)], "id long, price double, slope double, market_slope double, cohort double, structural double"), ["id"], 7).collect()}
+    assert base["structural_convergence"]["log_return"] == 0.0 and base["structural_convergence"]["price"] == 0.0
