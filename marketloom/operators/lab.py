@@ -12,7 +12,7 @@ from marketloom.operators.forecast import origin_parts
 from marketloom.operators.market import Z
 from marketloom.operators.pit import point_in_time_many
 from marketloom.operators.regress import coefficients, predicted
-from marketloom.operators.stats import gram_matrix, model_weights, quantile_of_large
+from marketloom.operators.stats import gram_matrix, median_slopes, model_weights, quantile_of_large
 from marketloom.sources.io import bounded
 
 DAY = 86400.0
@@ -23,8 +23,8 @@ def trend_snapshot(obs: DataFrame, origins: DataFrame, keys: list[str], max_lag_
     """One row for each (origin, series): returns, robust slopes, volatility, drawdown, density, quality and state.
 
     A price of zero has the logarithm minus infinity and counts as such in slopes, steps and drawdown.
-    All windows hang on the series' latest point known at the origin. Points of a series are few at each origin (a
-    window of at most 180 days is squared for no more than 90 days), so they are folded as sorted arrays after one shuffle.
+    All windows hang on the series' latest point known at the origin. The points of a series at an origin are
+    folded as sorted arrays after one shuffle; pairs are taken for no more than 90 days, by median_slope, which bounds what it holds.
     """
     own = ["origin", *keys]
     known = point_in_time_many(obs, origins, keys)
@@ -34,7 +34,8 @@ def trend_snapshot(obs: DataFrame, origins: DataFrame, keys: list[str], max_lag_
     series = series.withColumn("last", last).withColumns({f"p{d}": F.expr(f"filter(p, x -> x.t >= last.t - {d})") for d in (30, 90, 180)})
 
     def slope(p: str) -> Column:
-        return array_median(F.expr(f"flatten(transform({p}, a -> transform(filter({p}, b -> b.t > a.t), b -> (b.y - a.y) / (b.t - a.t))))"))
+        known = F.filter(p, lambda x: x["y"].isNotNull())
+        return median_slopes(F.transform(known, lambda x: x["t"]), F.transform(known, lambda x: x["y"]))
 
     def steps(p: str) -> str:
         return f"zip_with(slice({p}, 2, greatest(size({p}) - 1, 0)), slice({p}, 1, greatest(size({p}) - 1, 0)), (b, a) -> (b.y - a.y) / sqrt(b.t - a.t))"

@@ -2,11 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+
+def median_slope(t: np.ndarray, y: np.ndarray, most: int = 4_000_000) -> float | None:
+    """Median over all pairs of points, in order of t, of the difference of y by that of t; NaN counts as the greatest, None for fewer than two points.
+
+    Up to `most` slopes are held at once. Of more, the middle ranks are found digit by digit of the slopes' bits, which makes them anew in each pass.
+    """
+    n = len(t)
+    if n < 2:
+        return None
+
+    def blocks(size: int) -> Iterator[np.ndarray]:
+        held, count = [], 0
+        for lag in range(1, n):
+            with np.errstate(invalid="ignore", over="ignore"):
+                held.append((y[lag:] - y[:-lag]) / (t[lag:] - t[:-lag]))
+            count += n - lag
+            if count >= size or lag == n - 1:
+                yield np.concatenate(held)
+                held, count = [], 0
+
+    pairs = n * (n - 1) // 2
+    ranks = (pairs - 1) // 2, pairs // 2
+    if pairs <= most:
+        own = np.partition(next(blocks(pairs)), ranks)
+        return float((own[ranks[0]] + own[ranks[1]]) / 2)
+
+    def at(rank: int) -> float:
+        found = np.uint64(0)
+        for shift in (48, 32, 16, 0):
+            counts = np.zeros(1 << 16, np.int64)
+            for x in blocks(most):
+                bits = np.where(np.isnan(x), np.nan, x).view(np.uint64)
+                bits = np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))  # in the order of the numbers
+                if shift < 48:
+                    bits = bits[bits >> np.uint64(shift + 16) == found]
+                counts += np.bincount((bits >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+            ends = np.cumsum(counts)
+            digit = int(np.searchsorted(ends, rank, "right"))
+            rank -= int(ends[digit - 1]) if digit else 0
+            found = found << np.uint64(16) | np.uint64(digit)
+        found = found ^ np.uint64(1 << 63) if found >> np.uint64(63) == 1 else ~found
+        return float(np.array([found], np.uint64).view(np.float64)[0])
+
+    return (at(ranks[0]) + at(ranks[1])) / 2
+
+
+@F.pandas_udf(DoubleType())
+def median_slopes(t: pd.Series, y: pd.Series) -> pd.Series:
+    """median_slope of two arrays in each row."""
+    return pd.Series([median_slope(np.asarray(a, np.float64), np.asarray(b, np.float64)) for a, b in zip(t, y, strict=True)], dtype="Float64")
 
 
 def theil_sen_slope(obs: DataFrame, keys: list[str], day: str = "day", value: str = "price") -> DataFrame:

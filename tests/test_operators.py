@@ -2,6 +2,8 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +177,36 @@ def test_quantiles_of_large_below_zero_and_infinite(spark):
     at = lambda p: values[int(p * 3999)] + (values[int(p * 3999) + 1] - values[int(p * 3999)]) * (p * 3999 - int(p * 3999))
     assert got["a"]["lo"] == pytest.approx(at(0.1), rel=1e-12) and got["a"]["mid"] == pytest.approx(at(0.5), rel=1e-12)
     assert (got["b"]["lo"], got["b"]["mid"], got["c"]["mid"]) == (-math.inf, 1.0, -math.inf)
+
+
+def test_median_slope_in_bounded_memory_equals_all_pairs():
+    r = random.Random(2)
+    for n in (2, 3, 40, 90):
+        t, y = np.array(sorted(r.sample(range(1000), n))) / 24, np.array([-math.inf if k % 17 == 16 else math.log(r.uniform(1, 50)) for k in range(n)])
+        with np.errstate(invalid="ignore"):
+            every = np.sort([(y[j] - y[i]) / (t[j] - t[i]) for i in range(n) for j in range(i + 1, n)])
+        m = len(every)
+        want = (every[(m - 1) // 2] + every[m // 2]) / 2
+        assert stats.median_slope(t, y) == want and stats.median_slope(t, y, 50) == want
+    assert stats.median_slope(t[:1], y[:1]) is None
+
+
+def test_gate_reads_a_window_not_all_points():
+    r, start = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(pd.Timestamp(start + dt.timedelta(hours=r.randrange(720))), k) for k in range(1500)]
+    points = pd.DataFrame([(o, o + pd.Timedelta(hours=k % 5), k, 10 * math.exp(r.gauss(0, 0.3))) for o, k in rows], columns=["observed_at", "available_at", "id", "price"]).sort_values(["available_at", "observed_at", "id"])
+    span = pd.Timedelta(days=1)
+    status, accepted = pit.gate(points, [], 7, 2.0, 1.1, 1)
+    want, known = [], []
+    for o, a, i, price in zip(points["observed_at"], points["available_at"], points["id"], points["price"], strict=True):
+        past = np.array(list({p[0]: p[3] for p in sorted(p for p in known if o - span <= p[0] < o and p[1] <= a)}.values()))
+        c = np.median(past) if len(past) else 0.0
+        m = np.median(np.abs(past - c)) if len(past) else 0.0
+        off = abs(math.log(price) - c)
+        out = len(past) >= 7 and (off > 1.1 if m == 0 else off / (1.4826 * m) > 2.0)
+        want.append("outlier" if out else "accepted")
+        known += [] if out else [(o, a, i, math.log(price))]
+    assert status == want and 10 < want.count("outlier") < 1000
+    # in two batches as in one, the later of which has late points
+    first, held = pit.gate(points[:700], [], 7, 2.0, 1.1, 1)
+    assert first + pit.gate(points[700:], held, 7, 2.0, 1.1, 1)[0] == want
