@@ -121,7 +121,8 @@ def trimmed_mean_of_large(df: DataFrame, keys: list[str], value: str, fraction:
 
 def empirical_quantile(df: DataFrame, keys: list[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Linear interpolation at p (n - 1)."""
-    return df.groupBy(*keys).agg(*[F.percentile(value, p).alias(f"q{round(p * 100):02d}") for p in probs])
+    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    return join_same(groups, quantile_of_large(df, keys, value, {f"q{round(p * 100):02d}": p for p in probs}), keys)
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
