@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, decontam, exact_dedup, near_copies, toxicity
+from marketloom.llm import bpe, decontam, exact_dedup, near_copies, simhash, toxicity
 from marketloom.llm.common import ensure_checkpoint_dir, table
 from marketloom.llm.queries import VOCABULARY
 
@@ -34,9 +34,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 or more) the smallest doc_id stays, a null one
-    only where there is no other. Texts without words are one group; a text of fewer than five words is one shingle."""
-    return near_copies.keep_one(docs)
+    """Of each group of near copies the smallest doc_id stays, a null one only where there is no other. Near copies are texts whose
+    SimHash fingerprints differ in 4 bits or fewer, as op2 links them, and texts whose sets of 5-word shingles have Jaccard
+    similarity 0.8 or more, which 4 bits miss; a group is what links of both kinds connect. Texts without words are one group; a
+    text of fewer than five words is one shingle."""
+    return near_copies.keep_one(docs, bits=simhash.DISTANCE)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ connect all verified pairs of the band. Bands with equal members are searched on
 `chunk_bytes` of sets are dealt out as pairs of chunks. Sets are compared by the low 32 bits of the
 shingles' XXH64 (seed 42).
 
+With `bits`, texts whose SimHash fingerprints (simhash.py: 4-word shingles with repeats) differ in so many bits or fewer
+link as well, found by that operator's blocks, and components are taken over the links of both kinds.
+
 Null and empty texts, and texts of blanks, are one set. Repeated rows each keep a row.
 """
 
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm import simhash
 from marketloom.llm.common import bounded, cut, keyed_texts, map_arrow, only, slices, utf8
 from marketloom.llm.graph import components
 
@@ -63,16 +67,18 @@ def bands_of(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """k1, k2, doc_id, node (equal for equal sets), size (shingles) and bands of keyed texts."""
+def sketches(docs: DataFrame, words: int = WORDS, fingerprints: bool = False) -> DataFrame:
+    """k1, k2, doc_id, node (equal for equal sets), size (shingles), bands and, if asked for, fp (SimHash, signed) of keyed texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sets = [shingle_set(t, words) for t in utf8(part.column(3))]
+            texts = utf8(part.column(3))
+            sets = [shingle_set(t, words) for t in texts]
             nodes = [node_of(s) for s in sets]
-            columns = [pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands_of(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *columns], names=["k1", "k2", "doc_id", "node", "size", "bands"])
+            fps = [simhash.signed(simhash.fingerprint(t)) for t in texts] if fingerprints else [None] * len(texts)
+            columns = [pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands_of(s) for s in sets], pa.list_(pa.int64())), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *columns], names=["k1", "k2", "doc_id", "node", "size", "bands", "fp"])
 
-    return map_arrow(docs, run, "k1 long, k2 long, doc_id long, node binary, size long, bands array<long>")
+    return map_arrow(docs, run, "k1 long, k2 long, doc_id long, node binary, size long, bands array<long>, fp long")
 
 
 def shingle_sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
@@ -154,12 +160,23 @@ def near_links(docs: DataFrame, classes: DataFrame, words: int = WORDS, least: f
     return map_arrow(dealt, run, "a binary, b binary").distinct()
 
 
-def labelled(df: DataFrame, words: int, least: float, chunk_bytes: int) -> DataFrame:
+def fingerprint_links(sketched: DataFrame, bits: int) -> DataFrame:
+    """(a, b): links between nodes, enough to connect all whose fingerprints differ in `bits` bits or fewer. A fingerprint's
+    nodes hang on the least of them, and these are linked as simhash links the fingerprints."""
+    own = cut(sketched.select("fp", "node").distinct())
+    least = cut(own.groupBy("fp").agg(F.min("node").alias("least")))
+    end = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}"))
+    near = simhash.near_links(least, bits).join(end("a"), "a").join(end("b"), "b").select("node_a", "node_b")
+    return own.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).union(near)
+
+
+def labelled(df: DataFrame, words: int, least: float, chunk_bytes: int, bits: int | None = None) -> DataFrame:
     """doc_id, k1, k2, node, first: the keys and doc_id of the component's first document."""
     docs = keyed_texts(df)
-    sketched = cut(sketches(docs, words))
+    sketched = cut(sketches(docs, words, bits is not None))
     classes = cut(sketched.groupBy("node").agg(F.min(F.struct("k1", "k2", "doc_id")).alias("first"), F.min("size").alias("size"), F.min("bands").alias("bands")))
-    found = components(near_links(docs, classes, words, least, chunk_bytes))
+    links = near_links(docs, classes, words, least, chunk_bytes)
+    found = components(links if bits is None else links.union(fingerprint_links(sketched, bits)))
     firsts = classes.select("node", "first")
     named = found.join(firsts, "node").groupBy("component").agg(F.min("first").alias("least"))
     linked = found.join(named, "component").select("node", "least")
@@ -167,13 +184,13 @@ def labelled(df: DataFrame, words: int, least: float, chunk_bytes: int) -> DataF
     return sketched.select("doc_id", "k1", "k2", "node").join(reps, "node").select("doc_id", "k1", "k2", "node", "first")
 
 
-def near_duplicates(df: DataFrame, words: int = WORDS, least: float = LEAST, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = WORDS, least: float = LEAST, chunk_bytes: int = CHUNK_BYTES, bits: int | None = None) -> DataFrame:
     """doc_id, node, component_id: the smallest doc_id reachable over links, itself included. df has doc_id and text."""
-    return labelled(df, words, least, chunk_bytes).select("doc_id", "node", F.col("first.doc_id").alias("component_id"))
+    return labelled(df, words, least, chunk_bytes, bits).select("doc_id", "node", F.col("first.doc_id").alias("component_id"))
 
 
-def keep_one(df: DataFrame, words: int = WORDS, least: float = LEAST, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def keep_one(df: DataFrame, words: int = WORDS, least: float = LEAST, chunk_bytes: int = CHUNK_BYTES, bits: int | None = None) -> DataFrame:
     """The rows of df whose document, by doc_id and text together, is the first of its component: least doc_id, null
     last, then least hash of the text. Rows that repeat it are the same document and stay with it."""
-    first = labelled(df, words, least, chunk_bytes).select(F.col("first.doc_id").alias("__id"), F.col("first.k2").alias("__key")).distinct()
+    first = labelled(df, words, least, chunk_bytes, bits).select(F.col("first.doc_id").alias("__id"), F.col("first.k2").alias("__key")).distinct()
     return only(df, first)

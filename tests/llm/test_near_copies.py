@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from marketloom.llm import graph, near_copies
+from marketloom.llm import graph, near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -94,3 +94,15 @@ def test_edge_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(x["doc_id"] or 0 for x in near_copies.keep_one(df).collect()) == [0, 1, 1, 2]
     assert near_copies.keep_one(df.where("false")).count() == 0
+
+
+def test_stage_links_fingerprints_too(spark):
+    line = [f"line{i}" for i in range(11)] * 10
+    a, b = (" ".join([*line, *[f"{x}{i}" for i in range(40)]]) for x in "ab")
+    c = " ".join([*b.split()[:-1], "end"])
+    assert jaccard(a, b) < 0.3 and jaccard(a, c) < 0.3 and jaccard(b, c) >= 0.8
+    bits = (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count()
+    assert 0 < bits <= 4
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ((4, a), (2, b), (7, c), (9, "something else that stays here"))], SCHEMA)
+    assert sorted(x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [2, 9]
+    assert sorted(x["doc_id"] for x in near_copies.keep_one(df).collect()) == [2, 4, 9]
