@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import card_prefixes, hash_similarity, query_norm, shard_of, text_similarity
+from marketloom.sources.io import bounded
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, name: str = "rank") -> DataFrame:
@@ -32,8 +33,13 @@ def rank_hits(items: DataFrame, query: str) -> DataFrame:
     """items (id, name, detail, number) with score: similarity of name or detail, plus 0.12 for the exact number."""
     q = F.lit(query)
     exact = F.array_contains(F.split(query_norm(q), " "), query_norm(F.col("number")))
-    score = F.greatest(text_similarity(F.col("name"), q), 0.92 * text_similarity(F.col("detail"), q)) + F.when(exact & (query_norm(F.col("number")) != ""), 0.12).otherwise(0.0)
-    best = items.withColumn("score", F.least(F.lit(1.0), score)).groupBy("id").agg(F.max_by(F.struct("name", "score"), F.struct("score", "name")).alias("b"))
+    # a text is compared once, however many items share it
+    compared = lambda c, weight: bounded(items.select(c).distinct().select(F.col(c).alias(f"__k_{c}"), (weight * text_similarity(F.col(c), q)).alias(f"__s_{c}")))
+    own = items
+    for c, weight in (("name", 1.0), ("detail", 0.92)):
+        own = own.join(compared(c, weight), F.col(c).eqNullSafe(F.col(f"__k_{c}")), "left")
+    score = F.greatest("__s_name", "__s_detail") + F.when(exact & (query_norm(F.col("number")) != ""), 0.12).otherwise(0.0)
+    best = own.select("id", "name", F.least(F.lit(1.0), score).alias("score")).groupBy("id").agg(F.max_by(F.struct("name", "score"), F.struct("score", "name")).alias("b"))
     return best.select("id", "b.name", "b.score")
 
 

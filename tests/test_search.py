@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from marketloom.functions.scalars import query_norm, text_similarity
 from marketloom.operators import ranking
 
 
@@ -22,3 +24,19 @@ def test_pages_join_without_a_gap_and_read_one_folder(spark, tmp_path):
     assert "PartitionFilters: [isnotnull" in plan.replace("\n", " ") and "(category" in plan and "EqualTo(prefix,red)" in plan
     with pytest.raises(ValueError, match="3 to 120"):
         ranking.prefix_search(index, "ab", "id", "name")
+
+
+def test_rank_hits_compares_a_text_once(spark):
+    names = ["red widget", "Red  Widget 7", "blue kit", "", None]
+    rows = [(i % 190, names[i % 5], f"{names[i % 5]} {i % 3}" if i % 4 else None, str(i % 9) if i % 6 else None) for i in range(200)]
+    items = spark.createDataFrame(rows, "id long, name string, detail string, number string")
+    q = F.lit("red widget 7")
+    exact = F.when((query_norm(F.col("number")) == "7"), 0.12).otherwise(0.0)
+    each = items.withColumn("score", F.least(F.lit(1.0), F.greatest(text_similarity(F.col("name"), q), 0.92 * text_similarity(F.col("detail"), q)) + exact))
+    want = {}
+    for x in each.collect():
+        want.setdefault(x["id"], []).append((x["score"], x["name"] or ""))
+    found = ranking.rank_hits(items, "red widget 7")
+    assert {x["id"]: (x["score"], x["name"] or "") for x in found.collect()} == {k: max(v) for k, v in want.items()}
+    # the similarities are written by text before, so no item's row computes one
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
