@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from marketloom.sources.io import bounded
+
 
 def median_slope(t: np.ndarray, y: np.ndarray, most: int = 4_000_000) -> float | None:
     """Median over all pairs of points, in order of t, of the difference of y by that of t; NaN counts as the greatest, None for fewer than two points.
@@ -134,17 +136,20 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(own, same, how).drop(*[f"__k_{k}" for k in keys])
 
 
-def quantile_of_large(df: DataFrame, keys: Sequence[str], value: Column | str, quantiles: dict[str, float], steps: int = 1024) -> DataFrame:
+def quantile_of_large(df: DataFrame, keys: Sequence[str], value: Column | str, quantiles: dict[str, float], steps: int = 1024, few: bool = False) -> DataFrame:
     """(keys, one column for each quantile): as quantiles_of_large, of one value."""
-    return quantiles_of_large(df, keys, {q: (value, p) for q, p in quantiles.items()}, steps)
+    return quantiles_of_large(df, keys, {q: (value, p) for q, p in quantiles.items()}, steps, few)
 
 
-def quantiles_of_large(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column | str, float]], steps: int = 1024) -> DataFrame:
+def quantiles_of_large(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column | str, float]], steps: int = 1024, few: bool = False) -> DataFrame:
     """(keys, one column for each name of `wanted`): linear interpolation at p (n - 1), for groups that are too large for one task.
 
     wanted has a value and p for each name; all values are counted in one pass. Values are counted by narrow cells, `steps` to a factor of e,
     which combines before the shuffle. The counts tell in which cells the wanted ranks fall; only those cells' rows are ranked, and not even
     these where all values of a cell are equal. Nulls and NaN are left out.
+
+    few: there are few groups. The wanted cells are written first, and the rows are filtered by them where they are read instead of being shuffled
+    (counted, so that more cells than a broadcast holds are joined as else). Fewer `steps` keep the counts of many groups small.
     """
     keys, values, of = list(keys), [], {}
     for name, (value, p) in wanted.items():
@@ -168,6 +173,8 @@ def quantiles_of_large(df: DataFrame, keys: Sequence[str], wanted: dict[str, tup
     at = {q: (F.col("__of") == k, p * (F.col("__n") - 1)) for q, (k, p) in of.items()}
     ranks = F.array_distinct(F.array_compact(F.array(*[F.when(own, r.cast("long")) for own, x in at.values() for r in (F.floor(x), F.ceil(x))])))
     needed = placed.withColumn("__ranks", F.filter(ranks, lambda r: (r >= F.col("__b")) & (r < F.col("__b") + F.col("__c")))).where(F.size("__ranks") > 0)
+    if few:
+        needed = bounded(needed)
     even = needed.where("__lo = __hi").select(*group, "__n", F.explode("__ranks").alias("__r"), F.col("__lo").alias("__v"))
     split = needed.where("__lo < __hi").select(*group, "__cell", "__n", "__b", "__ranks")
     met = join_same(rows, split, [*group, "__cell"], "inner")
