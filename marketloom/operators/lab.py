@@ -13,7 +13,7 @@ from marketloom.operators.market import Z
 from marketloom.operators.pit import point_in_time_many
 from marketloom.operators.regress import coefficients, predicted
 from marketloom.operators.stats import gram_matrix, median_slopes, model_weights, quantile_of_large
-from marketloom.sources.io import bounded
+from marketloom.sources.io import bounded, settled
 
 DAY = 86400.0
 QUANTILES = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
@@ -171,18 +171,18 @@ def structural_gap(rows: DataFrame, group: str, x: Sequence[str], y: str, folds:
     """rows with fair, lo, hi and position, cross-fitted by whole groups.
 
     Fold k is tested, k + 1 calibrates and the rest train. The sums of the fit are taken once by fold; each test fold's training
-    sums are the total less two folds'.
+    sums are the total less two folds'. Rows are written once with their fold, as the fit, the band and the result read them.
     """
-    f = rows.withColumn("fold", fold_of(F.col(group), folds))
+    f = settled(rows.withColumn("fold", fold_of(F.col(group), folds)))
     by = gram_matrix(f, ["fold"], x, y)
     sums = [c for c in by.columns if c.startswith("x")]
     total = by.agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
     nxt = by.select((F.pmod(F.col("fold") - 1, F.lit(folds))).alias("fold"), *[F.col(c).alias(f"n_{c}") for c in sums])
     # folds are few rows
     train = F.broadcast(by).join(F.broadcast(nxt), "fold").join(F.broadcast(total)).select("fold", *[(F.col(f"t_{c}") - F.col(c) - F.col(f"n_{c}")).alias(c) for c in sums])
-    beta = coefficients(train, ["fold"], len(x) + 1, ridge)
+    beta = settled(coefficients(train, ["fold"], len(x) + 1, ridge))
     calibrate = f.withColumn("fold", F.pmod(F.col("fold") - 1, F.lit(folds)).cast("int")).join(F.broadcast(beta), "fold").withColumn("e", F.col(y) - predicted(x))
-    band = quantile_of_large(calibrate, ["fold"], "e", {"e10": 0.1, "e90": 0.9})
+    band = quantile_of_large(calibrate, ["fold"], "e", {"e10": 0.1, "e90": 0.9}, few=True)
     out = f.join(F.broadcast(beta), "fold").join(F.broadcast(band), "fold").withColumn("fair", predicted(x))
     out = out.withColumns({"lo": F.col("fair") + F.col("e10"), "hi": F.col("fair") + F.col("e90")}).drop("beta", "e10", "e90")
     return out.withColumn("position", F.when(F.col(y) < F.col("lo"), "below").when(F.col(y) > F.col("hi"), "above").otherwise("within"))

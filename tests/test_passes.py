@@ -1,9 +1,11 @@
 """How often an operator reads what it is given."""
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_gates import CASE, gate_rows
 
-from marketloom.operators import evaluate, stats
+from marketloom.functions.scalars import fold_of
+from marketloom.operators import evaluate, lab, stats
 
 
 def counted(spark, df):
@@ -37,3 +39,17 @@ def test_quantiles_of_few_groups_are_exact_for_any_steps(spark):
         got = {r["g"]: (r["q10"], r["q50"]) for r in stats.quantile_of_large(df, ["g"], "v", {"q10": 0.1, "q50": 0.5}, steps, few=True).collect()}
         for g in (0, 1, None):
             assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g], [0.1, 0.5]), atol=1e-12)
+
+
+def test_structural_gap_reads_its_rows_once(spark):
+    df, made = counted(spark, spark.range(500).select("id", (F.col("id") % 23).cast("string").alias("grp"), (F.col("id") % 50).cast("double").alias("x"), F.log(F.col("id") + 1.0).alias("y")))
+    assert lab.structural_gap(df, "grp", ["x"], "y").count() == 500
+    assert made.value == 500
+
+
+def test_fold_is_the_whole_hash_modulo_folds(spark):
+    import hashlib
+
+    for folds in (2, 5, 97, 2_000_000_011):
+        for r in spark.range(40).select("id", fold_of(F.col("id"), folds).alias("fold")).collect():
+            assert r["fold"] == int(hashlib.sha256(str(r["id"]).encode()).hexdigest(), 16) % folds
