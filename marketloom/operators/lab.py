@@ -12,7 +12,7 @@ from marketloom.operators.forecast import origin_parts
 from marketloom.operators.market import Z
 from marketloom.operators.pit import point_in_time_many
 from marketloom.operators.regress import coefficients, predicted
-from marketloom.operators.stats import gram_matrix, median_slopes, model_weights, quantile_of_large
+from marketloom.operators.stats import gram_matrix, median_slopes_of_both, model_weights, quantile_of_large
 from marketloom.sources.io import bounded, settled
 
 DAY = 86400.0
@@ -33,14 +33,13 @@ def trend_snapshot(obs: DataFrame, origins: DataFrame, keys: list[str], max_lag_
     last = F.try_element_at("p", F.lit(-1))
     series = series.withColumn("last", last).withColumns({f"p{d}": F.expr(f"filter(p, x -> x.t >= last.t - {d})") for d in (30, 90, 180)})
 
-    def slope(p: str) -> Column:
-        known = F.filter(p, lambda x: x["y"].isNotNull())
-        return median_slopes(F.transform(known, lambda x: x["t"]), F.transform(known, lambda x: x["y"]))
+    priced = {d: F.filter(f"p{d}", lambda x: x["y"].isNotNull()) for d in (30, 90)}
+    slopes = median_slopes_of_both(F.transform(priced[90], lambda x: x["t"]), F.transform(priced[90], lambda x: x["y"]), F.size(priced[30]))
 
     def steps(p: str) -> str:
         return f"zip_with(slice({p}, 2, greatest(size({p}) - 1, 0)), slice({p}, 1, greatest(size({p}) - 1, 0)), (b, a) -> (b.y - a.y) / sqrt(b.t - a.t))"
 
-    series = series.withColumns({"s30": slope("p30"), "s90": slope("p90"), "r90": F.expr(steps("p90")), "r30": F.expr(steps("p30"))})
+    series = series.withColumn("s", slopes).withColumns({"s30": F.col("s.short"), "s90": F.col("s.whole"), "r90": F.expr(steps("p90")), "r30": F.expr(steps("p30"))})
     series = series.withColumns({"m90": array_median(F.col("r90")), "m30": array_median(F.col("r30"))})
     vol = lambda n: 1.4826 * array_median(F.expr(f"transform(r{n}, x -> abs(x - m{n}))"))
     back = lambda h: F.expr(f"try_element_at(filter(p, x -> x.t <= last.t - {h}), -1)")

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from marketloom.sources.io import bounded
 
 
+@lru_cache(300)
+def _upper(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def median_slope(t: np.ndarray, y: np.ndarray, most: int = 4_000_000) -> float | None:
     """Median over all pairs of points, in order of t, of the difference of y by that of t; NaN counts as the greatest, None for fewer than two points.
 
@@ -35,6 +41,12 @@ def median_slope(t: np.ndarray, y: np.ndarray, most: int = 4_000_000) -> float |
 
     pairs = n * (n - 1) // 2
     ranks = (pairs - 1) // 2, pairs // 2
+    if n <= 256:  # short series: all differences at once, of which the upper triangle counts
+        upper = _upper(n)
+        with np.errstate(invalid="ignore", over="ignore"):
+            own = (y[None, :] - y[:, None])[upper] / (t[None, :] - t[:, None])[upper]
+        own.partition(ranks)
+        return float((own[ranks[0]] + own[ranks[1]]) / 2)
     if pairs <= most:
         own = np.partition(next(blocks(pairs)), ranks)
         return float((own[ranks[0]] + own[ranks[1]]) / 2)
@@ -59,10 +71,15 @@ def median_slope(t: np.ndarray, y: np.ndarray, most: int = 4_000_000) -> float |
     return (at(ranks[0]) + at(ranks[1])) / 2
 
 
-@F.pandas_udf(DoubleType())
-def median_slopes(t: pd.Series, y: pd.Series) -> pd.Series:
-    """median_slope of two arrays in each row."""
-    return pd.Series([median_slope(np.asarray(a, np.float64), np.asarray(b, np.float64)) for a, b in zip(t, y, strict=True)], dtype="Float64")
+@F.pandas_udf(StructType([StructField("short", DoubleType()), StructField("whole", DoubleType())]))
+def median_slopes_of_both(t: pd.Series, y: pd.Series, last: pd.Series) -> pd.DataFrame:
+    """median_slope of the last `last` points and of all points of two arrays in each row; taken once where these are the same."""
+    out = []
+    for a, b, k in zip(t, y, last, strict=True):
+        a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
+        whole = median_slope(a, b)
+        out.append((whole if k >= len(a) else median_slope(a[len(a) - k :], b[len(b) - k :]), whole))
+    return pd.DataFrame(out, columns=["short", "whole"], dtype="Float64")
 
 
 def theil_sen_slope(obs: DataFrame, keys: list[str], day: str = "day", value: str = "price") -> DataFrame:

@@ -53,3 +53,21 @@ def test_fold_is_the_whole_hash_modulo_folds(spark):
     for folds in (2, 5, 97, 2_000_000_011):
         for r in spark.range(40).select("id", fold_of(F.col("id"), folds).alias("fold")).collect():
             assert r["fold"] == int(hashlib.sha256(str(r["id"]).encode()).hexdigest(), 16) % folds
+
+
+def test_slopes_of_both_windows_are_taken_once_where_they_are_the_same(spark, monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    sizes, calls = (0, 1, 2, 7, 256, 257, 400), []
+    t = [np.sort(rng.uniform(0, 90, n)) for n in sizes]
+    y = [rng.normal(0, 1, n) for n in sizes]
+    y[3][2] = -np.inf
+    one, slow = stats.median_slope, lambda a, b: np.median([(b[j] - b[i]) / (a[j] - a[i]) for i in range(len(a)) for j in range(i + 1, len(a))]) if len(a) > 1 else None
+    monkeypatch.setattr(stats, "median_slope", lambda a, b: calls.append(len(a)) or one(a, b))
+    got = stats.median_slopes_of_both.func(pd.Series(t), pd.Series(y), pd.Series([n if n < 100 else n - 50 for n in sizes]))
+    assert calls == [0, 1, 2, 7, 256, 206, 257, 207, 400, 350]
+    for k, n in enumerate(sizes):
+        for name, m in (("whole", n), ("short", n if n < 100 else n - 50)):
+            want = slow(t[k][n - m :], y[k][n - m :])
+            assert pd.isna(got[name][k]) if want is None else np.isclose(got[name][k], want, atol=1e-12)
