@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators.stats import join_same, quantile_of_large
+from marketloom.sources.io import bounded, settled
+
 
 def step_returns(panel: DataFrame, keys: list[str], t: str = "t", price: str = "price") -> DataFrame:
     """panel with r: log return over the last priced step, by step, null at the first."""
@@ -99,7 +102,13 @@ def flag_streak(df: DataFrame, keys: list[str], at: str, flag: str, k: int = 3,
 
 
 def expanding_mad(df: DataFrame, origins: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
-    """(keys, origin, mad) over points up to each of a few origins."""
-    known = df.join(F.broadcast(origins), F.col(t) <= F.col("origin"))
-    c = known.withColumn("__c", F.percentile(value, 0.5).over(Window.partitionBy("origin", *keys)))
-    return c.groupBy("origin", *keys).agg(F.percentile(F.abs(F.col(value) - F.col("__c")), 0.5).alias("mad"))
+    """(keys, origin, mad) over points up to each of a few origins.
+
+    A group may hold a large share of all points, so both medians go by counted cells (stats.quantiles_of_large). The points are written once, with
+    what is read of them.
+    """
+    known = settled(df.where(F.col(value).isNotNull()).select(*keys, t, value)).join(F.broadcast(origins), F.col(t) <= F.col("origin"))
+    own = ["origin", *keys]
+    centre = bounded(quantile_of_large(known, own, value, {"__c": 0.5}, steps=256, few=True))
+    off = join_same(known, centre, own).select(*own, F.abs(F.col(value) - F.col("__c")).alias("__off"))
+    return join_same(known.select(*own).distinct(), quantile_of_large(off, own, "__off", {"mad": 0.5}, steps=256, few=True), own)

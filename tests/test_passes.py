@@ -71,3 +71,19 @@ def test_slopes_of_both_windows_are_taken_once_where_they_are_the_same(spark, mo
         for name, m in (("whole", n), ("short", n if n < 100 else n - 50)):
             want = slow(t[k][n - m :], y[k][n - m :])
             assert pd.isna(got[name][k]) if want is None else np.isclose(got[name][k], want, atol=1e-12)
+
+
+def test_expanding_mad_reads_its_points_once_and_ranks_no_whole_group(spark):
+    from marketloom.operators import windows
+
+    rng = np.random.default_rng(9)
+    rows = [("a" if i % 3 else None, int(i % 30), None if i % 97 == 0 else float(rng.lognormal(3, 1))) for i in range(3000)]
+    df, made = counted(spark, spark.createDataFrame(rows, "k string, t int, v double"))
+    origins = spark.createDataFrame([(8,), (16,)], "origin int")
+    found = windows.expanding_mad(df, origins, ["k"], "t", "v")
+    got = {(r["k"], r["origin"]): r["mad"] for r in found.collect()}
+    assert made.value == len(rows) and len(got) == 4
+    for (k, o), mad in got.items():
+        own = np.array([v for kk, t, v in rows if kk == k and t <= o and v is not None])
+        assert np.isclose(mad, np.median(np.abs(own - np.median(own))), atol=1e-12)
+    assert "percentile" not in found._jdf.queryExecution().toString()
