@@ -86,12 +86,12 @@ def anchor_saturated(own: Column, hedonic: Column, n: Column, least: int = 8, n0
     return F.coalesce((n < least) & (F.abs((1 - n / (n + n0)) * (hedonic - own)) > most), F.lit(False))
 
 
-def conformal_offsets(residuals: DataFrame, keys: list[str], value: str = "standardized", least: int = 1) -> DataFrame:
+def conformal_offsets(residuals: DataFrame, keys: list[str], value: str = "standardized", least: int = 1, few: bool = False) -> DataFrame:
     """(keys, q10..q90, pool): quantiles of standardised residuals; the middle is 0 and each side stays on its side.
 
-    A pool of fewer than `least` residuals takes the default (q - 1/2) 2.
+    A pool of fewer than `least` residuals takes the default (q - 1/2) 2. few: as in quantiles_of_large.
     """
-    found = join_same(residuals.groupBy(*keys).agg(F.count(value).alias("pool")), quantile_of_large(residuals, keys, value, QUANTILES), keys)
+    found = join_same(residuals.groupBy(*keys).agg(F.count(value).alias("pool")), quantile_of_large(residuals, keys, value, QUANTILES, few=few), keys)
     enough = F.col("pool") >= least
     side = lambda q, p: F.lit(0.0) if p == 0.5 else F.when(~enough | F.col(q).isNull(), (p - 0.5) * 2).otherwise(F.least(F.lit(0.0), F.col(q)) if p < 0.5 else F.greatest(F.lit(0.0), F.col(q)))
     return found.select(*keys, *[side(q, p).alias(q) for q, p in QUANTILES.items()], "pool")
@@ -188,9 +188,10 @@ def trajectory_forecast(
     # the only pass over the points: one shuffle by series, all windows on its order; what follows works on a few rows of each series
     kept = settled(x.where((F.col("t") == F.col("last")) | F.col("t").isin(wanted) if wanted else F.col("t") == F.col("last")).select(*keys, "t", "last", "y", "mad", "n", "steps"))
     pool_keys = ["category", "bucket", "horizon"]
-    found = settled(tercile_bucket(kept.where("t = last").select(*keys, "y", "mad", "n", "last", F.col("steps").alias("middles")), ["category"], "mad"))
-    pooled = join_same(kept.where("mad is not null").select(*keys, F.explode("steps").alias("x")).where("x.standardized is not null"), found.select(*keys, "bucket"), keys).select("category", "bucket", "x.horizon", "x.standardized")
-    offsets = conformal_offsets(pooled, pool_keys)
+    found = settled(tercile_bucket(kept.where("t = last").select(*keys, "y", "mad", "n", "last", F.col("steps").alias("middles")), ["category"], "mad", few=True))
+    # read for the counts, the cells and the ranks
+    pooled = settled(join_same(kept.where("mad is not null").select(*keys, F.explode("steps").alias("x")).where("x.standardized is not null"), found.select(*keys, "bucket"), keys).select("category", "bucket", "x.horizon", "x.standardized"))
+    offsets = conformal_offsets(pooled, pool_keys, few=True)
     if hedonic is not None:
         offsets = settled(offsets)
     fallback = trimmed_mean_of_large(found, ["category"], "mad", name="__fallback").select("category", F.greatest("__fallback", F.lit(MAD_FLOOR)).alias("__fallback"))
@@ -216,7 +217,7 @@ def trajectory_forecast(
 
 def _cold_starts(cold: DataFrame, keys: list[str], horizons: list[int], weights: dict[int, tuple[float, float, float]], context: DataFrame, found: DataFrame, offsets: DataFrame, fallback: DataFrame, last: int) -> DataFrame:
     """Rows of keys that were never priced: the hedonic price moved with the index, in the widest band of the category."""
-    typical = quantile_of_large(found, ["category", "bucket"], "mad", {"__typical": 0.5}).withColumn("__typical", F.greatest("__typical", F.lit(MAD_FLOOR)))
+    typical = quantile_of_large(found, ["category", "bucket"], "mad", {"__typical": 0.5}, few=True).withColumn("__typical", F.greatest("__typical", F.lit(MAD_FLOOR)))
     spread = F.greatest(*QUANTILES) - F.least(*QUANTILES)
     pools = join_same(join_same(offsets, typical, ["category", "bucket"]), fallback, ["category"]).withColumn("__scale", F.coalesce("__typical", "__fallback", F.lit(MAD_FLOOR)))
     widest = pools.groupBy("category", "horizon").agg(F.max_by(F.struct(*[F.col(q).alias(f"__{q}") for q in QUANTILES], "__scale"), F.struct(spread * F.col("__scale"), "bucket")).alias("__w"))

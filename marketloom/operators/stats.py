@@ -231,8 +231,9 @@ def leave_one_out_quantile(df: DataFrame, keys: list[str], key: str, value: str,
     return near.where("n > 1").select(*keys, key, (kept(lo) + (kept(hi) - kept(lo)) * (at - lo)).alias("others"))
 
 
-def tercile_bucket(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    cuts = quantile_of_large(df, keys, value, {"q33": 1 / 3, "q67": 2 / 3})
+def tercile_bucket(df: DataFrame, keys: list[str], value: str, few: bool = False) -> DataFrame:
+    cuts = quantile_of_large(df, keys, value, {"q33": 1 / 3, "q67": 2 / 3}, few=few)
+    cuts = bounded(cuts) if few else cuts
     label = F.when(F.col(value).isNull(), "unknown").when(F.col(value) <= F.col("q33"), "low").when(F.col(value) <= F.col("q67"), "mid").otherwise("high")
     return join_same(df, cuts, keys).withColumn("bucket", label).drop("q33", "q67")
 

@@ -87,3 +87,11 @@ def test_expanding_mad_reads_its_points_once_and_ranks_no_whole_group(spark):
         own = np.array([v for kk, t, v in rows if kk == k and t <= o and v is not None])
         assert np.isclose(mad, np.median(np.abs(own - np.median(own))), atol=1e-12)
     assert "percentile" not in found._jdf.queryExecution().toString()
+
+
+def test_tercile_buckets_of_few_groups_are_the_same(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "ab"[i % 2] if i % 5 else None, None if i % 31 == 0 else float(rng.normal(0, 1))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, g string, v double")
+    of = lambda **k: {r["id"]: r["bucket"] for r in stats.tercile_bucket(df, ["g"], "v", **k).collect()}
+    assert of(few=True) == of() and set(of(few=True).values()) == {"low", "mid", "high", "unknown"}
