@@ -9,7 +9,7 @@ import datetime
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -49,6 +49,23 @@ def sliding_user_events(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return w.agg(F.count("*").alias("events")).select(F.to_date("window.end").alias("until"), "variant", "user", "events")
 
 
+def daily_user_events(stream: DataFrame, delay: str = "7 days") -> DataFrame:
+    """(day, variant, user, events): a state row for each user and day. With a delay longer by the six days that a window lies open after its first, an event
+    counts as long as any of its windows of sliding_user_events would take it."""
+    w = stream.withWatermark("at", delay).groupBy(F.window("at", "1 day"), "variant", "user")
+    return w.agg(F.count("*").alias("events")).select(F.to_date("window.start").alias("day"), "variant", "user", "events")
+
+
+def sliding_velocity_of_days(rows: DataFrame, days: int = 7) -> DataFrame:
+    """The second step: as sliding_velocity, from the newest rows of daily_user_events. A user's row is kept for the windows from its day on up to the user's next
+    day, so each user counts once in a window, without repeated rows for the events and without a distinct count."""
+    ahead = F.least(F.lit(days), F.datediff(F.lead("day").over(Window.partitionBy("variant", "user").orderBy("day")), "day"))
+    first = rows.select("variant", "day", "events", F.coalesce(ahead, F.lit(days)).alias("ahead")).groupBy("variant", "day", "ahead").agg(F.sum("events").alias("events"), F.count("*").alias("users"))
+    each = first.select("variant", "day", "ahead", "events", "users", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("k"))
+    counted = F.sum(F.when(F.col("k") <= F.col("ahead"), F.col("users")).otherwise(0)).cast("int")
+    return each.groupBy(F.date_add("day", F.col("k")).alias("until"), "variant").agg(F.sum("events").alias("events"), counted.alias("users"))
+
+
 def sliding_velocity(rows: DataFrame) -> DataFrame:
     """The second step: (until, variant, events, users) of the newest rows of sliding_user_events."""
     return rows.groupBy("until", "variant").agg(F.sum("events").alias("events"), F.count("*").cast("int").alias("users"))
