@@ -131,10 +131,19 @@ class AlertState(StatefulProcessor):
         self.last = handle.getValueState("last", "price double, currency string, stale boolean, trend string, position string, signature string, fingerprint string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows)).sort_values("at")
-        last = dict(zip(BASELINE, self.last.get(), strict=True)) if self.last.exists() else None
+        # plain lists: most keys have few rows, for which a frame's own operations cost more than the rules
+        columns, parts = None, []
+        for pdf in rows:
+            columns = list(pdf.columns)
+            own = (pdf[c] for c in columns)
+            parts += zip(*[x.tolist() if x.dtype.kind in "bi" else [None if v is None or v != v else v for v in x.tolist()] for x in own], strict=True)
+        place = columns.index("at")
+        parts.sort(key=lambda r: (r[place] is None, r[place]))
+        before = self.last.get()
+        last = dict(zip(BASELINE, before, strict=True)) if before is not None else None
         out = []
-        for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+        for part in parts:
+            row = dict(zip(columns, part, strict=True))
             out += [(key[0], row["at"], kind) for kind in alert_kinds(row, last)]
             last = {c: row[c] for c in BASELINE}
         self.last.update(tuple(last.values()))
