@@ -85,10 +85,60 @@ def forecast_cells(snapshots: DataFrame, realized: DataFrame, keys: list[str], h
     return j.withColumn("cell", state).withColumn("realized_return", F.when(F.col("cell") == "scored", log_ratio(F.col("realized"), F.col("current_price"))))
 
 
-def coverage_contract(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Counts of each state by group; planned is their sum by construction, so a difference elsewhere shows a lost row."""
-    states = ("feature_abstained", "open", "unscorable", "scored")
-    return cells.groupBy(*by).agg(F.count("*").alias("planned"), *[F.count_if(F.col("cell") == s).alias(s) for s in states])
+def declared_cells(obs: DataFrame, origins: DataFrame, keys: list[str], horizons: Sequence[int]) -> DataFrame:
+    """(origin, keys, horizon) of the declared panel: each series of which a point is known at the origin, whether it has a snapshot or not."""
+    known = F.when(F.col("observed_at").isNotNull() & F.col("available_at").isNotNull(), F.greatest("observed_at", "available_at"))
+    first = obs.groupBy(*keys).agg(F.min(known).alias("__first"))
+    own = first.join(F.broadcast(origins.select("origin").distinct()), F.col("__first") <= F.col("origin")).drop("__first")
+    return own.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+
+
+def forecast_examples(snapshots: DataFrame, realized: DataFrame, keys: list[str], horizons: Sequence[int], as_of: Column, least: int = 7) -> DataFrame:
+    """(keys, origin, horizon, matures, current_price, realized, cell): the compiled rows. Examples, whose target has matured and has a price, belong to
+    scored cells, and targets, which have not matured, to open ones."""
+    rows = snapshots.where(F.col("observations_90d") >= least).select(*keys, "origin", "current_price").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    rows = rows.withColumn("matures", F.date_add(F.to_date("origin"), F.col("horizon")))
+    labels = realized.where("realized is not null").select(*keys, "matures", "realized")
+    examples = rows.where(F.col("matures") <= as_of).join(labels, [*keys, "matures"]).withColumn("cell", F.lit("scored"))
+    return examples.unionByName(rows.where(F.col("matures") > as_of).withColumn("cell", F.lit("open")), allowMissingColumns=True)
+
+
+#: What bars a declared, retrospective panel from promotion, whatever its counts.
+PROMOTION_BLOCKERS = ("missing_independently_sealed_input_universe", "retrospective_compilation_not_prospective_evidence")
+
+
+def coverage_contract(planned: DataFrame, cells: DataFrame, examples: DataFrame, keys: Sequence[str], by: Sequence[str], blockers: Sequence[str] = PROMOTION_BLOCKERS) -> DataFrame:
+    """(by, planned, feature_abstained, open, unscorable, scored, reconciled, reasons): declared cells against the ledger of cells and the compiled rows.
+
+    keys name a cell in all three; cells and examples have its state as `cell`, and planned has the columns of `by`. The sides are stacked and meet by key, which is
+    their full outer join. Planned are the declared cells, and the states are counted in the ledger, so they add up only if each declared cell
+    stands in it once. A scored or open cell has one compiled row of its state, any other has none. Reasons are what breaks the contract, then `blockers`.
+    """
+    states, carried = ("feature_abstained", "open", "unscorable", "scored"), [c for c in by if c not in keys]
+    rows = planned.select(*keys, *carried, F.lit("planned").alias("__side"))
+    for side, df in (("cell", cells), ("row", examples)):
+        rows = rows.unionByName(df.select(*keys, F.lit(side).alias("__side"), F.col("cell").alias("__state")), allowMissingColumns=True)
+    of = lambda side, *state: F.count_if((F.col("__side") == side) & (F.col("__state").isin(*state) if state else F.lit(True)))
+    each = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], of("planned").alias("planned"), of("cell").alias("__cells"), of("row").alias("__rows"), *[of("cell", s).alias(s) for s in states], *[of("row", s).alias(f"__{s}") for s in ("open", "scored")])
+    problems = {
+        "cell_declared_twice": F.col("planned") > 1,
+        "declared_cell_missing": (F.col("planned") > 0) & (F.col("__cells") == 0),
+        "cell_not_declared": (F.col("planned") == 0) & (F.col("__cells") > 0),
+        "cell_repeated": F.col("__cells") > 1,
+        "cell_state_unknown": F.col("__cells") > sum((F.col(s) for s in states), F.lit(0)),
+        "row_without_its_cell": (F.col("__rows") > F.col("__open") + F.col("__scored")) | (F.col("__open") > F.col("open")) | (F.col("__scored") > F.col("scored")),
+        "cell_without_its_row": (F.col("open") > F.col("__open")) | (F.col("scored") > F.col("__scored")),
+    }
+    out = each.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("planned", *states)], *[F.count_if(p).alias(f"__{c}") for c, p in problems.items()])
+    found = F.array_compact(F.array(*[F.when(F.col(f"__{c}") > 0, c) for c in problems]))
+    adds_up = F.col("planned") == sum((F.col(s) for s in states), F.lit(0))
+    return out.select(*by, "planned", *states, (adds_up & (F.size(found) == 0)).alias("reconciled"), F.concat(found, F.array(*[F.lit(x) for x in blockers])).alias("reasons"))
+
+
+def fail_closed(contract: DataFrame) -> DataFrame:
+    """The contract, or an error that names the first group which does not reconcile, with its reasons."""
+    broken = F.raise_error(F.concat(F.lit("coverage does not reconcile: "), F.to_json(F.struct(*contract.columns))))
+    return contract.withColumn("planned", F.when(F.col("reconciled"), F.col("planned")).otherwise(broken.cast("long")))
 
 
 def ensemble_forecast(features: DataFrame, cells: DataFrame, keys: list[str], models: Sequence[str], share: float = 0.25, least: int = 10, sigma_floor: float = 0.03, least_quality: float = 0.5, widen: float = 2.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.scalars import ln
 from marketloom.operators import evaluate, forecast, lab, walks
 from marketloom.operators.evaluate import REQUIRED_BASELINES
+from marketloom.operators.stats import join_same
 from marketloom.plans import bindings as b
 from marketloom.plans.market_queries import rounded
 from marketloom.plans.registry import query
@@ -75,11 +76,16 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
     return b.observations(spark, d).select("series").distinct().withColumn("cohort", (F.col("series") % 6).cast("string"))
 
 
-def _cells(spark: SparkSession, d: str) -> DataFrame:
+def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Snapshots at the origins, and the realized prices of their maturities."""
     o = b.observations(spark, d)
     s = settled(lab.trend_snapshot(o, _origins(spark), ["series"]))
     due = s.select("series", F.explode(F.array(*[F.date_add(F.to_date("origin"), h) for h in _HORIZONS])).alias("matures")).distinct()
-    return lab.forecast_cells(s, evaluate.realized_price(o, due, ["series"]), ["series"], _HORIZONS, F.lit(_AS_OF).cast("date"))
+    return s, evaluate.realized_price(o, due, ["series"])
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return lab.forecast_cells(*_labelled(spark, d), ["series"], _HORIZONS, F.lit(_AS_OF).cast("date"))
 
 
 _Z = lab.Z
@@ -170,4 +176,9 @@ def forecast_dataset(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_SNAP}, x AS (SELECT horizon, CASE WHEN n < 7 THEN 'feature_abstained' WHEN matures > DATE '{_AS_OF}' THEN 'open' WHEN realized IS NULL THEN 'unscorable' ELSE 'scored' END AS cell FROM ce)
 SELECT CAST(horizon AS BIGINT) AS horizon, count(*) AS planned, count(*) FILTER (WHERE cell = 'feature_abstained') AS feature_abstained, count(*) FILTER (WHERE cell = 'open') AS open, count(*) FILTER (WHERE cell = 'unscorable') AS unscorable, count(*) FILTER (WHERE cell = 'scored') AS scored FROM x GROUP BY 1""")
 def coverage_contract(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(lab.coverage_contract(_cells(spark, d), ["horizon"]))
+    snapshots, realized = _labelled(spark, d)
+    compiled = (snapshots, settled(realized), ["series"], _HORIZONS, F.lit(_AS_OF).cast("date"))
+    planned = join_same(lab.declared_cells(b.observations(spark, d), _origins(spark), ["series"], _HORIZONS), _members(spark, d), ["series"])
+    c = lab.coverage_contract(planned, lab.forecast_cells(*compiled), lab.forecast_examples(*compiled), ["series", "origin", "horizon"], ["cohort", "horizon"])
+    counts = ("planned", "feature_abstained", "open", "unscorable", "scored")
+    return rounded(lab.fail_closed(c).groupBy("horizon").agg(*[F.sum(x).alias(x) for x in counts]))
