@@ -64,11 +64,12 @@ def test_near_names_of_one_make(spark, least):
 
 def test_only_names_two_edits_apart_share_a_key(spark):
     names = spark.range(3000).select(F.format_string("customer 000%06d", F.col("id") * 331).alias("n"))
-    left = resolve.edit_keys(names, "n", {18}, {18}, 0.88, 2, False)
-    met = left.join(resolve.edit_keys(names.withColumnRenamed("n", "sn"), "sn", {18}, {18}, 0.88, 2, True), "key").where("n <> sn")
+    shapes = resolve.name_shapes(names, "n", 24)
+    left = resolve.edit_keys(names, "n", shapes, shapes, 0.88, 2, False)
+    met = left.join(resolve.edit_keys(names.withColumnRenamed("n", "sn"), "sn", shapes, shapes, 0.88, 2, True), "key").where("n <> sn")
     x = met.agg(F.count("*").alias("n"), F.max(F.levenshtein("n", "sn")).alias("edits")).first()
     assert x["edits"] == 2 and x["n"] < 100_000  # 9,000,000 pairs share a gram
-    assert left.groupBy("n").count().agg(F.max("count")).first()[0] <= 153 + 18
+    assert left.groupBy("n").count().agg(F.max("count")).first()[0] <= 15 + 18 and shapes == {18: "customer 000" + "\x01" * 6}
 
 
 @pytest.mark.parametrize("margin", [0.02, 0.07, 0.3])
